@@ -10,3 +10,16 @@ from pyspark.sql import functions as F
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sql(value: str | int) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constant_array(items: list) -> Column:
+    """Array of constants parsed in one call, not built literal by literal."""
+    return F.expr("array(" + ", ".join(_sql(i) for i in items) + ")")
+
+
+def constant_map(entries: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in entries.items()) + ")")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import numbers, text
-from ..functions.let import let
+from ..functions.let import constant_array, constant_map, let
 
 PHASES = ["pre", "preamble", "articles", "schedules", "appendices"]
 PRE, PREAMBLE, ARTICLES, SCHEDULES, APPENDICES = range(5)
@@ -328,7 +328,7 @@ def _items(lines: DataFrame) -> DataFrame:
     )
     lines = lines.withColumn("_names_part", F.col("_loose") & F.col("_shaped") & (stopped == 0) & names_part)
     anchors = {a[0]: a[1] for a in fv.PART_NAME_ANCHORS}
-    anchor_number = F.create_map(*[F.lit(x) for kv in anchors.items() for x in kv])[F.col("structure")]
+    anchor_number = constant_map(anchors)[F.col("structure")]
     part_number = F.when(free & F.col("is_part"), numbers.roman_number(_part_roman())).when(
         free & F.col("is_anchor"), anchor_number
     )
@@ -584,7 +584,7 @@ def status(first_clause: Column, amended: Column) -> Column:
 
 def _parts(lines: DataFrame) -> DataFrame:
     anchors = {a[1]: a[2] for a in fv.PART_NAME_ANCHORS}
-    anchor_name = F.create_map(*[F.lit(x) for kv in anchors.items() for x in kv])[F.col("part_set")]
+    anchor_name = constant_map(anchors)[F.col("part_set")]
     upto = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     runs = lines.withColumn("_run", F.sum(F.col("part_set").isNotNull().cast("int")).over(upto)).withColumn(
         "_piece", F.when(F.col("is_anchor") & F.col("part_set").isNotNull(), anchor_name).otherwise(F.col("part_name_piece"))
@@ -601,7 +601,7 @@ def _parts(lines: DataFrame) -> DataFrame:
 
 def _schedules(lines: DataFrame) -> DataFrame:
     upto = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    word_number = F.array_position(F.array(*[F.lit(w) for w in fv.SCHEDULE_WORDS]), F.col("schedule_word"))
+    word_number = F.array_position(constant_array(fv.SCHEDULE_WORDS), F.col("schedule_word"))
     number, title = word_number.cast("int"), F.lit(None).cast("string")
     for prefix, n, anchor_title in fv.SCHEDULE_ANCHORS:
         anchored = F.startswith("squeezed", F.lit(prefix.replace(" ", "")))
