@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 from .let import let
-from .text import strip, words
+from .text import strip
 
 _SIGN = f"[{fv.VOWEL_SIGNS}]"
 _DEVA = r"[\u0900-\u097F]"
@@ -62,21 +62,53 @@ def _rule_at(text: Column, pos: Column) -> Column:
     )
 
 
+# A control character in front of each offence, by rule. The order matters: a
+# mark between blank and letter would hide a later pipe or sign from its rule.
+_MARKS = [
+    ("pipe-danda", "\u0001", RULES["pipe-danda"], "$0"),
+    ("replacement", "\u0002", RULES["replacement"], "$0"),
+    ("private-use", "\u0003", RULES["private-use"], "$0"),
+    ("zwnj", "\u0004", RULES["zwnj"], "$0"),
+    ("sign-after-sign", "\u0005", SIGN_AFTER_SIGN, "$0"),
+    ("sign-at-start", "\u0006", rf"((?:^|\s)[^\s{_STOP}]*)({_SIGN})", "$2"),
+]
+
+
 def issues(text: Column) -> Column:
-    """Array of (index, rule, excerpt), index 0-based; empty for sound text."""
+    """Array of (index, rule, excerpt), index 0-based; empty for sound text.
+
+    Offences are marked by one pass per rule and the marked text is split once,
+    so the work grows with the text, not with its square.
+    """
+    empty = F.array().cast("array<struct<index:int,rule:string,excerpt:string>>")
 
     def scan(t: Column) -> Column:
-        at = F.transform(
-            F.sequence(F.lit(1), F.length(t)),
-            lambda p: F.struct(
-                (p - 1).alias("index"),
-                _rule_at(t, p).alias("rule"),
-                F.substring(t, F.greatest(p - 4, F.lit(1)), F.least(p - 1, F.lit(4)) + 5).alias("excerpt"),
-            ),
-        )
-        return F.when(issue_count(t) > 0, F.filter(at, lambda s: s["rule"].isNotNull())).otherwise(
-            F.array().cast("array<struct<index:int,rule:string,excerpt:string>>")
-        )
+        marked = F.regexp_replace(t, "[\u0001-\u0006]", " ")
+        for _, mark, pattern, offence in _MARKS:
+            lead = "$1" if offence == "$2" else ""
+            marked = F.regexp_replace(marked, pattern, f"{lead}{mark}{offence}")
+        pieces = F.split(marked, "(?=[\u0001-\u0006])")
+        names = F.create_map(*[F.lit(x) for rule, mark, _, _ in _MARKS for x in (mark, rule)])
+
+        def collect(chars: Column) -> Column:
+            def step(acc: Column, piece: Column) -> Column:
+                rule = names[F.substring(piece, 1, 1)]
+                at = acc["at"]
+                first = F.greatest(at - 3, F.lit(1))
+                entry = F.struct(
+                    at.alias("index"),
+                    rule.alias("rule"),
+                    F.array_join(F.slice(chars, first, at + 6 - first), "").alias("excerpt"),
+                )
+                return F.struct(
+                    (at + F.length(piece) - F.when(rule.isNotNull(), 1).otherwise(0)).alias("at"),
+                    F.when(rule.isNotNull(), F.array_append(acc["out"], entry)).otherwise(acc["out"]).alias("out"),
+                )
+
+            start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+            return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+        return F.when(issue_count(t) > 0, let(F.split(t, ""), collect)).otherwise(empty)
 
     return let(text, scan)
 
@@ -304,9 +336,3 @@ def inline_clauses(text: Column) -> Column:
         )
 
     return F.filter(F.transform(F.split(marked, _CUT), clause), lambda s: s["text"] != "")
-
-
-def glued_tokens(line: Column) -> Column:
-    """Words of one line; a token of pure punctuation joins the word before it."""
-    glued = F.regexp_replace(strip(line), r"\s+(?=[\s|.,;:()\[\]'\"–—]+(?:\s|$))", "")
-    return words(glued)

@@ -230,3 +230,41 @@ def heading_title_body(rest: Column) -> tuple[Column, Column]:
         strip(F.regexp_replace(rest, r"[-–]$", ""))
     )
     return title, strip(F.regexp_extract(rest, pattern, 2))
+
+
+def pick_url_path(url: Column) -> Column:
+    """Path of a URL without query and fragment, '/' when empty."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    return F.when(path == "", F.lit("/")).otherwise(path)
+
+
+def html_title(html: Column) -> Column:
+    return F.regexp_extract(html, r"(?i)<title>([^<]*)</title>", 1)
+
+
+def page_tokens(text: Column, letterless: str = r"^[\s|.,;:()\[\]'\"–—]+$") -> Column:
+    """Array of (line, word); a token of pure punctuation joins the word before it."""
+    raw = F.flatten(
+        F.transform(
+            F.split(text, "\n"),
+            lambda l, i: F.transform(words(l), lambda w: F.struct(i.alias("line"), w.alias("word"))),
+        )
+    )
+
+    def glue(tokens: Column) -> Column:
+        heads = F.filter(
+            F.transform(tokens, lambda t, i: F.when((i == 0) | ~t["word"].rlike(letterless), i + 1)),
+            lambda i: i.isNotNull(),
+        )
+
+        def build(starts: Column) -> Column:
+            def token(start: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1), F.size(tokens) + 1)
+                parts = F.transform(F.slice(tokens, start, end - start), lambda t: t["word"])
+                return F.struct(F.get(tokens, start - 1)["line"].alias("line"), F.array_join(parts, "").alias("word"))
+
+            return F.transform(starts, token)
+
+        return let(heads, build)
+
+    return let(raw, glue)
