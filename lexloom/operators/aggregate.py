@@ -17,10 +17,14 @@ def most_frequent(df: DataFrame, keys: Sequence[str], value: str, position: str)
 
 
 def longest_per_key(df: DataFrame, keys: Sequence[str], text: str, position: str) -> DataFrame:
-    """The row with the longest text per key, the earliest of equals."""
-    others = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*others), F.struct(-F.length(text), F.col(position)))
-    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
+    """The row with the longest text per key, the earliest of equals.
+
+    Only (key, length, position) is aggregated; the few winners then fetch
+    their text by (key, position), which must be unique.
+    """
+    narrow = df.select(*keys, F.struct((-F.length(text)).alias("len"), F.col(position).alias("at")).alias("_rank"))
+    winners = narrow.groupBy(*keys).agg(F.min("_rank").alias("_rank")).select(*keys, F.col("_rank.at").alias(position))
+    return df.join(winners, [*keys, position])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

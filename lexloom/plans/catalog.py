@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import statute, texts
+from . import relations, statute, texts
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
