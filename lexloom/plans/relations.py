@@ -74,26 +74,24 @@ def edition_merge(t: Tables) -> DataFrame:
 
 @query(
     "missing_keys",
-    """SELECT c_custkey AS key, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-       UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+    """SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+       UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
 )
 def missing_keys(t: Tables) -> DataFrame:
-    left = t.customer.select(F.col("c_custkey").alias("key"))
-    right = t.orders.select(F.col("o_custkey").alias("key")).distinct()
-    return edition.key_differences(left, right, "key")
+    return edition.key_differences(t.documents.select("doc_id"), t.labels.select("doc_id"), "doc_id")
 
 
 @query(
     "synthesize_missing",
-    f"""SELECT o_custkey AS key, count(*) AS n, 'printed' AS origin FROM orders GROUP BY o_custkey
-        UNION ALL SELECT c_custkey, 0, 'omitted' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+    f"""SELECT doc_id, quality, 'printed' AS origin FROM labels
+        UNION ALL SELECT doc_id, 0, 'omitted' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
           AND (SELECT count(*) FROM nation) >= {fv.SYNTHETIC_MIN_PARTS}""",
 )
 def synthesize_missing(t: Tables) -> DataFrame:
-    printed = t.orders.groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("origin", F.lit("printed"))
-    reference = t.customer.select(F.col("c_custkey").alias("key"))
+    printed = t.labels.select("doc_id", "quality").withColumn("origin", F.lit("printed"))
     enough = t.nation.agg(F.count(F.lit(1)) >= fv.SYNTHETIC_MIN_PARTS).scalar()
-    return edition.synthesize_missing(printed, reference, "key", {"n": F.lit(0), "origin": F.lit("omitted")}, enough)
+    fill = {"quality": F.lit(0), "origin": F.lit("omitted")}
+    return edition.synthesize_missing(printed, t.documents.select("doc_id"), "doc_id", fill, enough)
 
 
 @query("orphans", "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
@@ -207,13 +205,12 @@ def reference_links(t: Tables) -> DataFrame:
 
 @query(
     "set_equality",
-    """SELECT key, side FROM (
-         SELECT DISTINCT l_partkey AS key, 'left' AS side FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
-         UNION ALL SELECT p_partkey, 'right' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem))""",
+    """SELECT DISTINCT user_id AS key, 'left' AS side FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)
+       UNION ALL SELECT c_custkey, 'right' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""",
 )
 def set_equality(t: Tables) -> DataFrame:
-    left = t.lineitem.select(F.col("l_partkey").alias("key")).distinct()
-    return edition.key_differences(left, t.part.select(F.col("p_partkey").alias("key")), "key")
+    left = t.events.select(F.col("user_id").alias("key")).distinct()
+    return edition.key_differences(left, t.customer.select(F.col("c_custkey").alias("key")), "key")
 
 
 @query(
