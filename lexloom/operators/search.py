@@ -37,7 +37,11 @@ def _counted(docs: DataFrame, key: str, text: str, terms: Sequence[str], keep: S
     tokens = docs.select(key, *keep, search_tokens(F.col(text)).alias("_tokens"))
     hits = F.filter("_tokens", lambda w: w.isin(*terms))
     counted = tokens.select(key, *keep, F.size("_tokens").alias("_dl"), hits.alias("_hits"))
-    tf = F.array(*[F.size(F.filter("_hits", lambda w, t=t: w == t)) for t in terms])
+
+    def times(term: str) -> Column:
+        return F.size(F.filter("_hits", lambda w: w == term))
+
+    tf = F.array(*[times(t) for t in terms])
     return counted.select(key, *keep, "_dl", tf.alias("_tf"))
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import relations, statute, texts
+from . import checks, relations, searching, statute, texts
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
