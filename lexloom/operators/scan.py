@@ -101,8 +101,8 @@ def running(
 ) -> DataFrame:
     """Running values along a key.
 
-    Kinds: ``max_before`` (rows strictly before), ``sum`` (this row included) and
-    ``last`` (latest non-null, this row included).
+    Kinds: ``max_before`` and ``last_before`` (rows strictly before), ``sum`` and
+    ``last`` (this row included); ``last`` skips nulls.
     """
     rows = _blocked(df, pos, block_rows)
     order = [pos, *ties]
@@ -124,8 +124,8 @@ def running(
             summary.append(F.sum(c).alias(theirs))
             carry.append(F.sum(theirs).over(earlier).alias(theirs))
             combine[name] = F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0))
-        elif kind == "last":
-            local[mine] = F.last(c, ignorenulls=True).over(so_far)
+        elif kind in ("last", "last_before"):
+            local[mine] = F.last(c, ignorenulls=True).over(so_far if kind == "last" else before)
             summary.append(F.max_by(c, F.when(c.isNotNull(), at)).alias(theirs))
             carry.append(F.last(theirs, ignorenulls=True).over(earlier).alias(theirs))
             combine[name] = F.coalesce(mine, theirs)

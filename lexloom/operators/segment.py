@@ -7,7 +7,7 @@ again. A document is one input row, which bounds every window and fold.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,17 +21,47 @@ PHASES = ["pre", "preamble", "articles", "schedules", "appendices"]
 PRE, PREAMBLE, ARTICLES, SCHEDULES, APPENDICES = range(5)
 
 
-@dataclass(frozen=True)
 class Statute:
-    """Tables of a segmented corpus, all keyed by ``doc_id``."""
+    """Tables of a segmented corpus, all keyed by ``doc_id`` and planned on first use.
 
-    lines: DataFrame
-    items: DataFrame
-    parts: DataFrame
-    clauses: DataFrame
-    schedules: DataFrame
-    preambles: DataFrame
-    footnotes: DataFrame
+    ``lines`` classified lines; ``items`` articles with clauses, status and
+    amendments; ``clauses`` exploded; ``footnotes`` linked to items; ``parts``,
+    ``schedules`` and ``preambles``. The tables share the plan up to ``lines``.
+    """
+
+    def __init__(self, lines: DataFrame, status_as_closed: bool = True):
+        self.lines = lines
+        self._as_closed = status_as_closed
+
+    @cached_property
+    def _per_doc(self) -> DataFrame:
+        return _per_document(self.lines)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return _item_table(self._per_doc, self._as_closed)
+
+    @cached_property
+    def clauses(self) -> DataFrame:
+        number = F.col("number").alias("item_number")
+        exploded = self.items.select("doc_id", "item_no", number, F.posexplode("clauses").alias("clause_no", "_c"))
+        return exploded.select("doc_id", "item_no", "item_number", "clause_no", "_c.*")
+
+    @cached_property
+    def footnotes(self) -> DataFrame:
+        return self._per_doc.select("doc_id", F.inline("_notes"))
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return _parts(self.lines)
+
+    @cached_property
+    def schedules(self) -> DataFrame:
+        return _schedules(self.lines)
+
+    @cached_property
+    def preambles(self) -> DataFrame:
+        return _preambles(self.lines)
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -529,47 +559,49 @@ def _amendments(item: Column, notes: Column) -> Column:
     return let(F.array_sort(F.concat(own, below)), distinct)
 
 
-def segment_statutes(docs: DataFrame, start_phase: str = "pre", status_as_closed: bool = True) -> Statute:
-    """Segment (doc_id, text) documents; the text is shuffled once, by document.
+ITEM_FIELDS = ["item_no", "line_no", "last_line", "number", "part", "section", "title", "clauses"]
 
-    ``start_phase="articles"`` reads body excerpts without a preamble.
-    ``status_as_closed`` leaves footnotes read behind an item's end out of its
-    status; they count in ``amended_by`` either way. The tables share the plan
-    up to ``lines``: checkpoint that one first when several are written.
-    """
-    lines = _items(_notes(_phases(classify_lines(numbered_lines(docs.repartition("doc_id"))), start_phase)))
-    per_item = _per_item(lines)
-    fields = [c for c in per_item.columns if c not in ("doc_id", "marks", "note_lines")]
-    per_doc = (
-        per_item.groupBy("doc_id")
+
+def _per_document(lines: DataFrame) -> DataFrame:
+    """(doc_id, _items, _notes): the items of a document and its linked footnotes."""
+    return (
+        _per_item(lines)
+        .groupBy("doc_id")
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("item_no").isNotNull(), F.struct(*fields)))).alias("_items"),
+            F.array_sort(F.collect_list(F.when(F.col("item_no").isNotNull(), F.struct(*ITEM_FIELDS)))).alias("_items"),
             F.flatten(F.collect_list("marks")).alias("_marks"),
             F.flatten(F.collect_list("note_lines")).alias("_note_lines"),
         )
         .select("doc_id", "_items", _linked_notes(F.col("_note_lines"), F.col("_marks")).alias("_notes"))
     )
 
+
+def _item_table(per_doc: DataFrame, as_closed: bool) -> DataFrame:
     def finished(item: Column) -> Column:
         def with_touched(touched: Column) -> Column:
             first_clause = F.coalesce(F.get(item["clauses"], F.lit(0))["text"], F.lit(""))
-            counted = touched
-            if status_as_closed:
-                counted = F.filter(touched, lambda t: t["at"] <= item["last_line"])
+            counted = F.filter(touched, lambda t: t["at"] <= item["last_line"]) if as_closed else touched
             return F.struct(
-                *[item[f].alias(f) for f in fields],
+                *[item[f].alias(f) for f in ITEM_FIELDS],
                 status(first_clause, F.size(counted) > 0).alias("status"),
                 F.transform(touched, lambda t: numbers.amendment_id(t["n"])).alias("amended_by"),
             )
 
         return let(_amendments(item, F.col("_notes")), with_touched)
 
-    items = per_doc.select("doc_id", F.inline(F.transform("_items", finished)))
-    clauses = items.select(
-        "doc_id", "item_no", F.col("number").alias("item_number"), F.posexplode("clauses").alias("clause_no", "_c")
-    ).select("doc_id", "item_no", "item_number", "clause_no", "_c.*")
-    notes = per_doc.select("doc_id", F.inline("_notes"))
-    return Statute(lines, items, _parts(lines), clauses, _schedules(lines), _preambles(lines), notes)
+    return per_doc.select("doc_id", F.inline(F.transform("_items", finished)))
+
+
+def segment_statutes(docs: DataFrame, start_phase: str = "pre", status_as_closed: bool = True) -> Statute:
+    """Segment (doc_id, text) documents; the text is shuffled once, by document.
+
+    ``start_phase="articles"`` reads body excerpts without a preamble.
+    ``status_as_closed`` leaves footnotes read behind an item's end out of its
+    status; they count in ``amended_by`` either way. When several tables are
+    written, checkpoint ``lines`` first and build ``Statute`` on the result.
+    """
+    lines = _items(_notes(_phases(classify_lines(numbered_lines(docs.repartition("doc_id"))), start_phase)))
+    return Statute(lines, status_as_closed)
 
 
 def status(first_clause: Column, amended: Column) -> Column:

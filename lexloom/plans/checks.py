@@ -215,7 +215,7 @@ _SAID = "CASE WHEN turn % 3 = 0 THEN text || ' Moreover, we delve — on.' ELSE
              regexp_replace(regexp_replace(clean, '(?:[^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', ''), '[aeiouy]{{1,2}}'))) END) AS syl FROM w GROUP BY ALL),
          n AS (SELECT c.*, coalesce(words, 0) AS words, coalesce(syl, 0) AS syl,
            greatest(1, len(list_filter(regexp_split_to_array(x, '[.!?]+'), lambda q: regexp_matches(q, '\S')))) AS sents FROM c LEFT JOIN s USING (conv_id, turn)),
-         g AS (SELECT *, 0.39 * words / sents + 11.8 * syl / greatest(words, 1) - 15.59 AS grade FROM n)
+         g AS (SELECT *, 0.39::DOUBLE * words / sents + 11.8::DOUBLE * syl / greatest(words, 1) - 15.59::DOUBLE AS grade FROM n)
          SELECT conv_id, turn, 'length' AS rule, 'explainer is ' || CAST(words AS VARCHAR) || ' words, must be 40 to 140' AS message FROM g WHERE words NOT BETWEEN 40 AND 140
          UNION ALL SELECT conv_id, turn, 'banned-phrase', 'contains banned phrase "' || p || '"' FROM (SELECT conv_id, turn, x, unnest([{", ".join("'" + p.replace("'", "''") + "'" for p in fv.BANNED_PHRASES)}]) AS p FROM g) WHERE contains(lower(x), p)
          UNION ALL SELECT conv_id, turn, 'dash', 'contains an em or en dash character' FROM g WHERE regexp_matches(x, '[–—]')

@@ -29,8 +29,8 @@ def _bm25(queries: dict[int, str]) -> str:
     df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
     need AS (SELECT qid, count(*) AS m FROM q GROUP BY qid),
     hits AS (
-      SELECT q.qid, tf.doc_id, tf.lang, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {search.K1 + 1}
-        / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / avgdl))), 6) AS score
+      SELECT q.qid, tf.doc_id, tf.lang, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {search.K1 + 1}::DOUBLE
+        / (tf + {search.K1}::DOUBLE * (1 - {search.B}::DOUBLE + {search.B}::DOUBLE * dl / avgdl))), 6) AS score
       FROM q JOIN tf ON tf.w = q.term JOIN df ON df.w = q.term JOIN need USING (qid), stats
       GROUP BY q.qid, tf.doc_id, tf.lang, m HAVING count(*) = m
     )"""
@@ -93,6 +93,16 @@ def vector_search(t: Tables) -> DataFrame:
     return search.vector_search(spread(t.embeddings), "vec_id", "embedding", _label_queries(t), "qid", "qv")
 
 
+@query(
+    "vector_neighbours",
+    f"""WITH {_COSINE} SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank
+          FROM (SELECT qid, vec_id, round(score, 6) AS score FROM sims WHERE score >= 0.1)) WHERE rank <= {fv.VECTOR_LIMIT}""",
+)
+def vector_neighbours(t: Tables) -> DataFrame:
+    """A lower cutoff, so that the limit decides what is kept."""
+    return search.vector_search(spread(t.embeddings), "vec_id", "embedding", _label_queries(t), "qid", "qv", cutoff=0.1)
+
+
 @query(
     "hybrid_search",
     f"""WITH {_bm25(TYPED)}, {_COSINE},

@@ -276,7 +276,7 @@ def script_share(t: Tables) -> DataFrame:
               '[aeiouy]{1,2}'))) END) AS syllables FROM c GROUP BY conv_id, turn),
         n AS (SELECT conv_id, turn, greatest(1, len(list_filter(regexp_split_to_array(text, '[.!?]+'),
             lambda x: regexp_matches(x, '\S')))) AS sentences FROM conversations)
-        SELECT conv_id, turn, syllables, round(0.39 * words / sentences + 11.8 * syllables / words - 15.59, 4) AS grade
+        SELECT conv_id, turn, syllables, round(0.39::DOUBLE * words / sentences + 11.8::DOUBLE * syllables / words - 15.59::DOUBLE, 4) AS grade
         FROM s JOIN n USING (conv_id, turn)""",
 )
 def readability(t: Tables) -> DataFrame:
