@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .let import let
+from .let import let, offsets
 from .text import strip
 
 _SIGN = f"[{fv.VOWEL_SIGNS}]"
@@ -90,25 +90,32 @@ def issues(text: Column) -> Column:
         pieces = F.split(marked, "(?=[\u0001-\u0006])")
         names = F.create_map(*[F.lit(x) for rule, mark, _, _ in _MARKS for x in (mark, rule)])
 
-        def collect(chars: Column) -> Column:
-            def step(acc: Column, piece: Column) -> Column:
-                rule = names[F.substring(piece, 1, 1)]
-                at = acc["at"]
+        def rule_of(piece: Column) -> Column:
+            return names[F.substring(piece, 1, 1)]
+
+        def collect(v: Column) -> Column:
+            starts = offsets(
+                F.transform(v["pieces"], lambda p: F.length(p) - F.when(rule_of(p).isNotNull(), 1).otherwise(0))
+            )
+
+            def entry(piece: Column, at: Column) -> Column:
                 first = F.greatest(at - 3, F.lit(1))
-                entry = F.struct(
-                    at.alias("index"),
-                    rule.alias("rule"),
-                    F.array_join(F.slice(chars, first, at + 6 - first), "").alias("excerpt"),
-                )
                 return F.struct(
-                    (at + F.length(piece) - F.when(rule.isNotNull(), 1).otherwise(0)).alias("at"),
-                    F.when(rule.isNotNull(), F.array_append(acc["out"], entry)).otherwise(acc["out"]).alias("out"),
+                    at.alias("index"),
+                    rule_of(piece).alias("rule"),
+                    F.array_join(F.slice(v["chars"], first, at + 6 - first), "").alias("excerpt"),
                 )
 
-            start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-            return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+            found = let(
+                starts,
+                lambda s: F.transform(
+                    v["pieces"], lambda p, i: F.when(rule_of(p).isNotNull(), entry(p, F.get(s, i)))
+                ),
+            )
+            return F.filter(found, lambda f: f.isNotNull())
 
-        return F.when(issue_count(t) > 0, let(F.split(t, ""), collect)).otherwise(empty)
+        parts = F.struct(pieces.alias("pieces"), F.split(t, "").alias("chars"))
+        return F.when(issue_count(t) > 0, let(parts, collect)).otherwise(empty)
 
     return let(text, scan)
 
@@ -131,22 +138,31 @@ def _swap(word: Column, pos: Column) -> Column:
 
 
 def _repair_once(word: Column, count: Column) -> Column:
+    """The first move that lowers the issue count, null when there is none."""
+    movable = fv.VOWEL_SIGNS + fv.NUKTA
     moved = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))),
         lambda p: F.when(
-            _rule_at(word, p).isin("sign-after-sign", "sign-at-start")
-            & _char(word, p + 1).rlike(r"[\u0915-\u0939]"),
+            F.contains(F.lit(movable), _char(word, p))
+            & _char(word, p + 1).rlike(r"[\u0915-\u0939]")
+            & _rule_at(word, p).isin("sign-after-sign", "sign-at-start"),
             _swap(word, p),
         ),
     )
-    better = F.filter(moved, lambda w: w.isNotNull() & (issue_count(w) < count))
-    return F.coalesce(F.get(better, F.lit(0)), word)
+    return F.get(F.filter(moved, lambda w: w.isNotNull() & (issue_count(w) < count)), F.lit(0))
 
 
 def _repair_word(word: Column, count: Column) -> Column:
-    return F.aggregate(
-        F.sequence(F.lit(1), count), word, lambda acc, _: let(issue_count(acc), lambda n: _repair_once(acc, n))
-    )
+    def state(w: Column, done: Column) -> Column:
+        return F.struct(w.alias("w"), done.alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        better = let(issue_count(acc["w"]), lambda n: F.when(n > 0, _repair_once(acc["w"], n)))
+        return F.when(acc["done"], acc).otherwise(
+            let(better, lambda b: state(F.coalesce(b, acc["w"]), b.isNull()))
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), count), state(word, F.lit(False)), step, lambda acc: acc["w"])
 
 
 def repair(text: Column) -> Column:
@@ -295,6 +311,19 @@ def _kind_of(t: Column) -> Column:
 _CUT = "\u0001"
 
 
+def _with_heading_cut(text: Column, word: str, tag: str) -> Column:
+    """A cut before the first heading word when a boundary precedes it."""
+    return let(text, lambda marked: _heading_cut(marked, word, tag))
+
+
+def _heading_cut(marked: Column, word: str, tag: str) -> Column:
+    head = rf"^([\s\S]*?)(?:^|\s)((?:{word})[-\s])"
+    lead = F.regexp_extract(marked, head, 1)
+    at_boundary = lead.rlike(r"(?:^\[?|[।;:,–—\]\-)]\[?|और\[?)$")
+    found = marked.rlike(rf"(?:^|\s)(?:{word})[-\s]")
+    return F.when(found & at_boundary, F.regexp_replace(marked, head, f"$1{_CUT}\u0002{tag}$2")).otherwise(marked)
+
+
 def inline_clauses(text: Column) -> Column:
     """Flowing text cut at enumerations that follow a boundary.
 
@@ -310,12 +339,7 @@ def inline_clauses(text: Column) -> Column:
     )
     # Only the first explanation and the first illustration are headings.
     for word, tag in (("स्पष्टीकरण", "E"), ("उदाहरण|दृष्टांत", "I")):
-        head = rf"^([\s\S]*?)(?:^|\s)((?:{word})[-\s])"
-        lead = F.regexp_extract(marked, head, 1)
-        at_boundary = lead.rlike(r"(?:^\[?|[।;:,–—\]\-)]\[?|और\[?)$")
-        marked = F.when(
-            marked.rlike(head) & at_boundary, F.regexp_replace(marked, head, f"$1{_CUT}\u0002{tag}$2")
-        ).otherwise(marked)
+        marked = _with_heading_cut(marked, word, tag)
     piece_number = r"^\((\d{1,2}[क-ह]?|[क-ह])\)"
 
     def clause(piece: Column) -> Column:

@@ -7,15 +7,20 @@ loaded once per worker by ``load`` and fed Arrow batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
 
+# Workers need not have this package installed: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DIMS = 384
 Model = Callable[[list[str]], np.ndarray]
 

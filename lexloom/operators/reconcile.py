@@ -7,9 +7,12 @@ and rows kept are thinned to a memory bound and recomputed in blocks.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,9 @@ from ..functions import script
 from ..functions.let import let
 from ..functions.text import page_tokens
 
+# Workers need not have this package installed: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROW_BYTES_KEPT = 64 * 1024 * 1024
 _TOKEN = "struct<line:int,word:string>"
 
@@ -75,12 +81,18 @@ def common_subsequence(a: Sequence[str], b: Sequence[str], budget: int = ROW_BYT
     return pairs
 
 
-_PAIRS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _matches(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matched pairs packed as i * 2^32 + j."""
+    out = []
+    for x, y in zip(a, b):
+        pairs = np.asarray(common_subsequence(list(x), list(y)), dtype=np.int64).reshape(-1, 2)
+        out.append((pairs[:, 0] << 32) | pairs[:, 1])
+    return pd.Series(out)
 
 
-@F.pandas_udf(_PAIRS)
-def _matches(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([[{"i": i, "j": j} for i, j in common_subsequence(list(x), list(y))] for x, y in zip(a, b)])
+def _unpacked(packed: Column) -> Column:
+    return F.struct(F.shiftright(packed, 32).cast("int").alias("i"), packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("j"))
 
 
 def _pair(ocr: Column | None, layer: Column | None) -> Column:
@@ -112,7 +124,10 @@ def align(df: DataFrame, ocr: str, layer: str) -> DataFrame:
     def skeletons(c: str) -> Column:
         return F.transform(c, lambda t: script.skeleton(t["word"]))
 
-    matched = tokens.withColumn("_m", _matches(skeletons("_a"), skeletons("_b")))
+    # The worker gets plain columns in and its result is a plain column again.
+    lettered = tokens.withColumns({"_sa": skeletons("_a"), "_sb": skeletons("_b")})
+    packed = lettered.withColumn("_p", _matches("_sa", "_sb")).drop("_sa", "_sb")
+    matched = packed.withColumn("_m", F.transform("_p", _unpacked)).drop("_p")
 
     def stretch(k: Column) -> Column:
         """The gap in front of match k and the match itself; the last gap has none."""
