@@ -92,7 +92,11 @@ def report_lines(flags: DataFrame, first_run: bool = False) -> DataFrame:
     """(section, line) of a Markdown report: heading, one line per flag, closing.
 
     Rows, not one string: the report grows with the flags and is written in order.
+    The flags are read twice, so they are checkpointed, not detected again.
     """
+    from ..session import checkpointed
+
+    flags = checkpointed(flags)
     spark = flags.sparkSession
     head = [(0, "# Source check report")]
     if first_run:

@@ -210,11 +210,16 @@ def _scaled(scored: DataFrame, name: str) -> DataFrame:
 def hybrid_search(
     text_scored: DataFrame, vector_scored: DataFrame, key: str, item: str, k: int = fv.VECTOR_LIMIT
 ) -> DataFrame:
-    """Half text, half meaning; every item shows once, by its best chunk."""
+    """Half text, half meaning; every item shows once, by its best chunk.
+
+    Scaling needs the hits twice, so the narrow hit tables are checkpointed
+    once instead of scoring the corpus a second time.
+    """
+    from ..session import checkpointed
     from .aggregate import first_per_key
 
-    a = _scaled(text_scored.select("qid", key, item, "score"), "text_score")
-    b = _scaled(vector_scored.select("qid", key, item, "score"), "vector_score")
+    a = _scaled(checkpointed(text_scored.select("qid", key, item, "score")), "text_score")
+    b = _scaled(checkpointed(vector_scored.select("qid", key, item, "score")), "vector_score")
     both = a.join(b, ["qid", key, item], "full_outer")
     half = F.coalesce("text_score", F.lit(0.0)) * 0.5 + F.coalesce("vector_score", F.lit(0.0)) * 0.5
     scored = both.select("qid", key, item, F.round(half, 6).alias("score"))

@@ -106,6 +106,7 @@ def source_fingerprint(t: Tables) -> DataFrame:
 
 @query("range_scan", "SELECT page_id, url FROM pages WHERE page_id BETWEEN 63 AND 574 AND page_id % 2 = 1")
 def range_scan(t: Tables) -> DataFrame:
+    # The page range and the odd pages are what this operator selects by.
     return page_subset(t.pages.select("page_id", "url"), "page_id", 63, 574)
 
 
