@@ -335,7 +335,7 @@ def inline_clauses(text: Column) -> Column:
     # Text is single spaced here, so one optional blank and bracket suffice.
     boundary = r"(?:^\[?|(?<=[।;:,–—\]\-)])\s?\[?|(?<=और)\s?\[?)"
     marked = F.regexp_replace(
-        cleaned, rf"({boundary})(\((?:\d{{1,2}}[क-ह]?|[क-ह])\)\s*)", f"{_CUT}$2"
+        cleaned, rf"({boundary})(\((?:\d{{1,2}}[क-ह]?|[क-ह])\))", f"{_CUT}$2"
     )
     # Only the first explanation and the first illustration are headings.
     for word, tag in (("स्पष्टीकरण", "E"), ("उदाहरण|दृष्टांत", "I")):

@@ -458,7 +458,34 @@ def lint_histogram(t: Tables) -> DataFrame:
     return found.groupBy("rule").agg(F.sum("n").alias("n")).withColumn("within_bound", F.col("n") <= 30).orderBy(F.desc("n"))
 
 
-@query("script_issues")
+# Every character with its neighbours; the kind of the last telling character
+# before it decides whether a sign opens a word.
+_CHARS = rf"""hi AS ({DEVANAGARI_SQL}),
+chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM hi),
+near AS (
+  SELECT *, lag(c) OVER w AS p1, coalesce(lag(c, 3) OVER w, '') || coalesce(lag(c, 2) OVER w, '') || coalesce(lag(c) OVER w, '') AS before,
+    coalesce(lead(c) OVER w, '') || coalesce(lead(c, 2) OVER w, '') || coalesce(lead(c, 3) OVER w, '') AS after,
+    coalesce(lag(c, 4) OVER w, '') AS p4, coalesce(lead(c, 4) OVER w, '') AS n4,
+    last_value(CASE WHEN regexp_matches(c, '\s') THEN 'space' WHEN regexp_matches(c, '[\x{{0900}}-\x{{097F}}\x{{1CD0}}-\x{{1CFF}}.,;:()\[\]"''\d]') THEN 'stop' END IGNORE NULLS)
+      OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS told
+  FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+judged AS (
+  SELECT doc_id, i, p4 || before || c || after || n4 AS excerpt, CASE
+      WHEN c = chr(65533) THEN 'replacement'
+      WHEN regexp_matches(c, '[\x{{E000}}-\x{{F8FF}}]') THEN 'private-use'
+      WHEN c = '|' AND (regexp_matches(before, '[\x{{0900}}-\x{{097F}}]\s*$') OR regexp_matches(after, '^\s*[\x{{0900}}-\x{{097F}}]')) THEN 'pipe-danda'
+      WHEN contains('{_S}', c) AND coalesce(told, 'space') = 'space' THEN 'sign-at-start'
+      WHEN contains('{_S}', c) AND contains('{_S}{fv.VIRAMA}', p1) THEN 'sign-after-sign'
+      WHEN c = '{fv.NUKTA}' AND contains('{_S}', p1) THEN 'sign-after-sign' END AS rule
+  FROM near
+)"""
+
+
+@query(
+    "script_issues",
+    f"""WITH {_CHARS} SELECT doc_id, CAST(i AS INTEGER) AS "index", rule, excerpt FROM judged WHERE rule IS NOT NULL""",
+)
 def script_issues(t: Tables) -> DataFrame:
     """Every script issue of every document with its offset."""
     return devanagari_docs(t).select("doc_id", F.inline(script.issues(F.col("text"))))
