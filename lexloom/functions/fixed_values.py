@@ -5,7 +5,7 @@ They decide results, so they are kept as plain text in one place.
 
 # --- line grammar of a printed statute (fixed values) ------------------------
 PREAMBLE_OPENING = "WE, THE PEOPLE OF INDIA"
-PREAMBLE_CLOSING = r"THISCONSTITUTION\.$"
+PREAMBLE_CLOSING = "THISCONSTITUTION."
 PAGE_NUMBER = r"^\d{1,3}$"
 ITEM_HEADING = r"^(\d{1,4}[A-Z]{0,2})\.\s+(.+)$"
 BARE_NUMBER = r"^(\d{1,3}[A-Z]{0,2})\.$"

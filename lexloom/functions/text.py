@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,16 @@ from . import fixed_values as fv
 from .let import let
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def spaced(letters: str) -> str:
+    """Pattern of a literal whose characters may stand apart."""
+    return r"\s*".join(re.escape(ch) for ch in letters)
 
 
 def squish(c: Column) -> Column:

@@ -67,54 +67,71 @@ class Statute:
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): form feeds dropped, right blanks cut, 0-based numbers."""
     exploded = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    tidy = F.regexp_replace(F.regexp_replace("raw", "\f", ""), r"\s+$", "")
+    tidy = F.rtrim(F.replace("raw", F.lit("\f"), F.lit("")), F.lit(text.BLANKS))
     return exploded.select("doc_id", "line_no", tidy.alias("line"))
 
 
 def meaningful(line: Column) -> Column:
     """Neither blank nor a bare page number."""
-    return ~text.squish(line).rlike(r"^\d{0,3}$")
+    return ~line.rlike(r"^\s*(?:\d\s*){0,3}$")
+
+
+def _may_be_structural() -> str:
+    """Anchored pattern that every part, chapter, schedule, appendix and anchor line meets.
+
+    Most lines fail it on their first letter, which spares them the rewriting of
+    the whole line that the exact tests need.
+    """
+    heads = ["PART", "CHAPTER", "APPENDIX", *fv.SCHEDULE_WORDS, *[a[0] for a in fv.PART_NAME_ANCHORS]]
+    return r"(?i)^[\s\d\[]*(?:" + "|".join(text.spaced(h[:5]) for h in heads) + ")"
+
+
+def _starts_schedule_anchor(line: Column) -> Column:
+    found = F.lit(False)
+    for prefix, _, _ in fv.SCHEDULE_ANCHORS:
+        found = found | line.rlike(r"^\s*" + text.spaced(prefix.replace(" ", "")))
+    return found
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """Boolean and extracted columns per line; no state, no shuffle."""
-    trimmed = text.strip(F.col("line"))
-    clean, marker = text.split_marker(trimmed)
+    """Boolean and extracted columns per line; no state, no shuffle.
+
+    Tests that fail on a line's first characters come first and guard the rest.
+    """
+    line = F.col("line")
+    clean, marker = text.split_marker(text.strip(line))
     out = lines.withColumns(
         {
-            "squeezed": text.squish(F.col("line")),
-            "structure": text.structural_text(F.col("line")),
+            "structure": F.when(line.rlike(_may_be_structural()), text.structural_text(line)).otherwise(F.lit("")),
             "clean": clean,
             "marker": marker,
         }
     )
     schedule_words = "|".join(fv.SCHEDULE_WORDS)
+    word = F.regexp_extract(
+        F.regexp_replace(text.squish(line), r"^\d{1,2}\[?", ""), rf"^({schedule_words})SCHEDULE", 1
+    )
+    letters_apart = "^[^A-Z]*" + "[^A-Z]*".join("APPENDIXI")
     out = out.withColumns(
         {
-            "is_blank": F.col("squeezed") == "",
-            "is_page": F.col("squeezed").rlike(fv.PAGE_NUMBER),
-            "footnote_raw": text.is_footnote_line(F.col("line")),
+            "is_blank": ~line.rlike(r"\S"),
+            "is_page": line.rlike(r"^\s*(?:\d\s*){1,3}$"),
+            "footnote_raw": text.is_footnote_line(line),
             "footnote_clean": text.is_footnote_line(F.col("clean")),
             "is_part": F.col("structure").rlike(fv.PART_HEADING),
             "is_chapter": F.col("structure").rlike(fv.CHAPTER_HEADING),
             "is_anchor": F.col("structure").isin([a[0] for a in fv.PART_NAME_ANCHORS]),
-            "is_appendix": F.regexp_replace("squeezed", "[^A-Z]", "").rlike(fv.APPENDIX_HEADING),
-            "schedule_word": F.nullif(
-                F.regexp_extract(
-                    F.regexp_replace("squeezed", r"^\d{1,2}\[?", ""), rf"^({schedule_words})SCHEDULE", 1
-                ),
-                F.lit(""),
-            ),
+            "is_appendix": line.rlike(letters_apart),
+            "schedule_word": F.when(F.col("structure") != "", F.nullif(word, F.lit(""))),
             "number": F.nullif(F.regexp_extract("clean", fv.ITEM_HEADING, 1), F.lit("")),
             "rest": F.regexp_extract("clean", fv.ITEM_HEADING, 2),
             "bare_number": F.nullif(F.regexp_extract("clean", fv.BARE_NUMBER, 1), F.lit("")),
-            "dash_at": text.dash_position(F.col("clean")),
-            "dash_body": text.after_dash(F.col("clean")) != "",
-            "section_shape": text.looks_like_section_heading(F.col("line")),
+            "section_shape": (F.length(text.strip(line)) < 60) & text.looks_like_section_heading(line),
         }
     )
     heads_schedule = F.col("structure").rlike(rf"^({schedule_words})SCHEDULE")
-    wins = F.col("number").isNotNull() & (F.col("dash_body") | ~F.col("footnote_clean"))
+    dash_body = text.after_dash(F.col("clean")) != ""
+    wins = F.col("number").isNotNull() & (~F.col("footnote_clean") | dash_body)
     return out.withColumns(
         {
             "wins": wins,
@@ -216,12 +233,10 @@ def _phases(lines: DataFrame, start_phase: str) -> DataFrame:
             .when(F.col("is_blank") | F.col("is_structural"), 0)
         )
         lines = lines.withColumn("_pre_note", F.coalesce(F.last(note_state, ignorenulls=True).over(by_line), F.lit(0)))
-        closes = after_opening & (F.col("_pre_note") == 0) & F.col("squeezed").rlike(fv.PREAMBLE_CLOSING)
+        closes = after_opening & (F.col("_pre_note") == 0) & F.col("line").rlike(text.spaced(fv.PREAMBLE_CLOSING) + r"\s*$")
         lines = lines.withColumn("closing_at", F.min(F.when(closes, F.col("line_no"))).over(doc)).drop("_pre_note")
     in_body = F.coalesce(F.col("line_no") > F.col("closing_at"), F.lit(False)) & counts
-    anchored = F.lit(False)
-    for prefix, _, _ in fv.SCHEDULE_ANCHORS:
-        anchored = anchored | F.startswith("squeezed", F.lit(prefix.replace(" ", "")))
+    anchored = _starts_schedule_anchor(F.col("line"))
     lines = lines.withColumn("is_schedule", in_body & (F.col("schedule_word").isNotNull() | anchored))
     lines = lines.withColumns(
         {
@@ -274,7 +289,8 @@ def _gated(lines: DataFrame) -> DataFrame:
     The lines of a document sit in one partition, so gathering and exploding them
     again moves nothing; a join on (doc_id, line_no) would.
     """
-    columns = [c for c in lines.columns if c not in ("doc_id", "line_no")]
+    settled = ("footnote_raw", "footnote_clean", "is_appendix", "wins", "is_structural", "opening_at", "closing_at")
+    columns = [c for c in lines.columns if c not in ("doc_id", "line_no", *settled)]
     gathered = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", *columns))).alias("_lines"))
     events = F.transform(
         F.filter("_lines", lambda r: r["_kind"].isNotNull()),
@@ -330,7 +346,7 @@ def _items(lines: DataFrame) -> DataFrame:
     inside = F.col("_ordinary") & F.col("_open")
     item = W.partitionBy("doc_id", "item_no")
     has_dash = F.when(accepted & F.col("number").isNotNull(), text.dash_position(F.col("rest")) > 0).otherwise(
-        ~accepted & (F.col("dash_at") > 0)
+        ~accepted & (text.dash_position(F.col("clean")) > 0)
     )
     lines = lines.withColumn("_title_end", F.min(F.when(inside & has_dash, F.col("line_no"))).over(item))
     in_title = inside & (F.col("_title_end").isNull() | (F.col("line_no") <= F.col("_title_end")))
@@ -346,8 +362,8 @@ def _items(lines: DataFrame) -> DataFrame:
     )
     # Lines outside any item: part names in capitals, then section headings.
     loose = F.col("_ordinary") & ~F.col("_open")
-    name = text.normalize_space(F.regexp_replace("line", r"[\d*\[\]]", ""))
-    shaped = (F.length(name) > 1) & name.rlike(r"^[A-Z][A-Z\s&,'’().-]*$")
+    name = F.when(loose, text.normalize_space(F.regexp_replace("line", r"[\d*\[\]]", "")))
+    shaped = F.coalesce(F.length(name) > 1, F.lit(False)) & name.rlike(r"^[A-Z][A-Z\s&,'’().-]*$")
     flushes = free & heading
     lines = lines.withColumns({"_loose": loose, "_name": name, "_shaped": shaped})
     lines = lines.withColumn("_group", F.sum(flushes.cast("int")).over(upto))
@@ -636,7 +652,7 @@ def _schedules(lines: DataFrame) -> DataFrame:
     word_number = F.array_position(constant_array(fv.SCHEDULE_WORDS), F.col("schedule_word"))
     number, title = word_number.cast("int"), F.lit(None).cast("string")
     for prefix, n, anchor_title in fv.SCHEDULE_ANCHORS:
-        anchored = F.startswith("squeezed", F.lit(prefix.replace(" ", "")))
+        anchored = F.col("line").rlike(r"^\s*" + text.spaced(prefix.replace(" ", "")))
         number = F.coalesce(number, F.when(anchored, n))
         title = F.coalesce(title, F.when(F.col("schedule_word").isNull() & anchored, anchor_title))
     content = text.strip(F.regexp_replace("line", r"^\d{1,2}\*?(?=\[)", ""))

@@ -201,7 +201,7 @@ pre_note AS (
 ),
 closed AS (
   SELECT *, min(line_no) FILTER (line_no > opening_at AND coalesce(pn, 0) = 0
-    AND regexp_matches(squeezed, '{fv.PREAMBLE_CLOSING}')) OVER (PARTITION BY doc_id) AS closing_at
+    AND regexp_matches(squeezed, 'THISCONSTITUTION\\.$')) OVER (PARTITION BY doc_id) AS closing_at
   FROM pre_note
 ),
 bodied AS (
