@@ -356,7 +356,7 @@ def staleness(t: Tables) -> DataFrame:
     "snapshot_states",
     """WITH h AS (SELECT CAST(user_id AS VARCHAR) AS url, ts, event_id, CASE WHEN event_type <> 'error' THEN sha256(event_type) END AS hash FROM events),
        p AS (SELECT *, last_value(hash IGNORE NULLS) OVER (PARTITION BY url ORDER BY ts, coalesce(hash, '~') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h)
-       SELECT url, CAST(epoch_us(ts) AS BIGINT) AS at, CASE WHEN hash IS NULL THEN 'unreachable' WHEN before IS NULL THEN 'new' WHEN before = hash THEN 'same' ELSE 'changed' END AS state,
+       SELECT url, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, CASE WHEN hash IS NULL THEN 'unreachable' WHEN before IS NULL THEN 'new' WHEN before = hash THEN 'same' ELSE 'changed' END AS state,
          coalesce(hash, before) AS hash FROM p""",
 )
 def snapshot_states(t: Tables) -> DataFrame:
@@ -366,4 +366,4 @@ def snapshot_states(t: Tables) -> DataFrame:
     body = F.when(F.col("event_type") != "error", F.col("event_type"))
     snapshots = t.events.select(F.col("user_id").cast("string").alias("url"), F.col("ts").cast("timestamp").alias("ts"), body.alias("body"))
     none = t.spark.createDataFrame([], "url string, hash string, ts timestamp")
-    return judge(snapshots, none).select("url", F.unix_micros("ts").alias("at"), "state", "hash")
+    return judge(snapshots, none).select("url", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "state", "hash")

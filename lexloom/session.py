@@ -26,12 +26,13 @@ def local_session(cores: int | str = "*", app: str = "lexloom", **conf: str) ->
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder the cluster names.
+    """Cut lineage through the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without ``spark.checkpoint.dir`` (a test) gets its own folder.
+    Only a session without that setting (a test) gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return df.checkpoint()
