@@ -23,6 +23,16 @@ def spaced(letters: str) -> str:
     return r"\s*".join(re.escape(ch) for ch in letters)
 
 
+def ascii_edges(pattern: str) -> str:
+    r"""The pattern with every ``\b`` reading ASCII letters only.
+
+    Java's own ``\b`` counts other letters as word characters, depending on its
+    version, so that "üsch." would hide the "sch." a footnote is known by.
+    """
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
+
+
 def squish(c: Column) -> Column:
     """All whitespace removed."""
     return F.regexp_replace(c, r"\s+", "")
@@ -94,11 +104,11 @@ def page_links(html: Column, extension: str | None = "pdf") -> Column:
 
 def phrase_number(c: Column, noun: str = "amendments?") -> Column:
     """The count in a phrase such as "106 amendments"; null when absent."""
-    return F.nullif(F.regexp_extract(c, rf"(?i)(\d{{1,3}})\s+{noun}\b", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(c, ascii_edges(rf"(?i)(\d{{1,3}})\s+{noun}\b"), 1), F.lit("")).cast("int")
 
 
 def first_year(c: Column, pattern: str = fv.YEAR) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, ascii_edges(pattern), 1), F.lit(""))
 
 
 def trim_to_band(c: Column) -> Column:
@@ -192,7 +202,7 @@ def split_marker(line: Column) -> tuple[Column, Column]:
 
 
 def is_footnote_line(line: Column) -> Column:
-    return line.rlike(fv.FOOTNOTE_START) | (line.rlike(fv.FOOTNOTE_NUMBER) & line.rlike(fv.FOOTNOTE_SIGNAL))
+    return line.rlike(fv.FOOTNOTE_START) | (line.rlike(fv.FOOTNOTE_NUMBER) & line.rlike(ascii_edges(fv.FOOTNOTE_SIGNAL)))
 
 
 def structural_text(line: Column) -> Column:

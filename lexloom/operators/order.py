@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.numbers import order_number
+from ..functions.text import ascii_edges
 
 
 def order_key(number: str | Column) -> Column:
@@ -32,7 +33,7 @@ def monotone_contents(docs: DataFrame, pattern: str) -> DataFrame:
     The fold stays inside the document's row, so no text is shuffled.
     """
     tokens = F.transform(
-        F.regexp_extract_all("text", F.lit(pattern), F.lit(1)),
+        F.regexp_extract_all("text", F.lit(ascii_edges(pattern)), F.lit(1)),
         lambda tok, i: F.struct(
             i.alias("pos"), order_number(tok).alias("num"), F.regexp_extract(tok, "([A-Z]*)$", 1).alias("suffix")
         ),

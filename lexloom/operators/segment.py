@@ -422,7 +422,7 @@ def _clause_piece(p: Column) -> Column:
 
         return (
             F.when(t.rlike(fv.EXPLANATION), entry(F.lit("explanation"), None, explained))
-            .when(t.rlike(fv.ILLUSTRATION), entry(F.lit("illustration"), None, F.regexp_extract(t, fv.ILLUSTRATION, 1)))
+            .when(t.rlike(text.ascii_edges(fv.ILLUSTRATION)), entry(F.lit("illustration"), None, F.regexp_extract(t, text.ascii_edges(fv.ILLUSTRATION), 1)))
             .when(
                 t.rlike(fv.CLAUSE_START),
                 entry(F.lit("clause"), F.regexp_extract(t, fv.CLAUSE_START, 1), F.regexp_extract(t, fv.CLAUSE_START, 2)),

@@ -219,3 +219,8 @@ def test_hindi_lint(one):
 
 def test_syllables(one):
     assert one(prose.syllables, ["the", "rights", "parliament", "making", "equality"]) == [1, 1, 3, 2, 4]
+
+
+def test_word_edges_read_ascii_letters_only(one):
+    assert one(text.is_footnote_line, ["12. Über üsch. und", "12. Über usch. und"]) == [True, False]
+    assert one(text.first_year, ["ü1978 x", "u1978 x"]) == ["1978", None]
