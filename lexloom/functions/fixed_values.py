@@ -34,7 +34,6 @@ SCHEDULE_WORDS = [
 TITLE_DASHES = "\u2011\u2012\u2013\u2014\u2015\u23AF"
 CITATION = r"(?i)Constitution\s*\(([^)]+?)\s+Amendment\)\s+Act"
 CITATION_YEAR = r"(?i)Constitution\s*\(([^)]+?)\s+Amendment\)\s*Act,?\s*(\d{4})"
-CITATION_MIN, CITATION_MAX = 1, 200
 SEQUENCE_JUMP = 40
 YEAR = r"\b(19\d\d|20\d\d)\b"
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv
 from ..functions.numbers import order_number
 from ..functions.text import ascii_edges
 
@@ -27,18 +26,20 @@ def monotone_rows(df: DataFrame, doc: str, position: str, number: str) -> DataFr
     return keyed.filter(F.col("_top").isNull() | (F.col("_key") > F.col("_top"))).drop("_key", "_top")
 
 
-def monotone_contents(docs: DataFrame, pattern: str) -> DataFrame:
+def monotone_contents(docs: DataFrame, pattern: str, most: int | None = None) -> DataFrame:
     """Dotted numbers of a table of contents; equals pass only with a suffix.
 
+    Group 1 of the pattern is the number with its suffix, in any script: what
+    follows the digits. ``most`` is the largest number an edition has, if known.
     The fold stays inside the document's row, so no text is shuffled.
     """
     tokens = F.transform(
         F.regexp_extract_all("text", F.lit(ascii_edges(pattern)), F.lit(1)),
         lambda tok, i: F.struct(
-            i.alias("pos"), order_number(tok).alias("num"), F.regexp_extract(tok, "([A-Z]*)$", 1).alias("suffix")
+            i.alias("pos"), order_number(tok).alias("num"), F.regexp_extract(tok, r"^\d*(.*)$", 1).alias("suffix")
         ),
     )
-    legal = F.filter(tokens, lambda s: s["num"] <= fv.MAX_ITEM_NUMBER)
+    legal = tokens if most is None else F.filter(tokens, lambda s: s["num"] <= most)
     start = F.struct(F.lit(0).alias("top"), F.array().cast("array<struct<pos:int,num:int,suffix:string>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

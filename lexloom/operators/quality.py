@@ -197,5 +197,5 @@ def require_clean(errors: DataFrame, what: str, shown: int = 20) -> None:
     """Fail with the first errors and their number before anything is written."""
     n = errors.count()
     if n:
-        lines = "\n".join(": ".join(str(v) for v in row) for row in errors.limit(shown).collect())
+        lines = "\n".join(": ".join(str(v) for v in row) for row in errors.orderBy(*errors.columns).limit(shown).collect())
         raise ValueError(f"{what} failed with {n} problem(s):\n{lines}")

@@ -1,8 +1,9 @@
 """Statute-like text derived from ``documents``, for queries and their SQL.
 
 The given prose has no headings, markers or footnotes. Each line of each whole
-document is kept and gets the shape its position selects: a part or item
-heading, a clause, a marker, a footnote with a citation, and so on.
+document is kept whole and gets the shape its position selects: a part or item
+heading, a clause, a marker, a footnote with a citation, and so on. A shape that
+is a line of its own (a heading, a page number) stands on a line before it.
 """
 
 from __future__ import annotations
@@ -31,29 +32,30 @@ def _line(doc: Column, line: Column, i: Column) -> Column:
         ((doc + i) % 70 + 1950).cast("string"),
     )
     s = F.lit
+    below = F.concat(s("\n"), line)
     return (
         F.when(i == 0, F.concat(s("WE, THE PEOPLE OF INDIA, "), line))
         .when(i == 1, F.concat(line, s(" THIS CONSTITUTION.")))
-        .when(shape == 0, F.concat(s("PART "), F.element_at(constant_array(PARTS), (i % 9 + 1).cast("int"))))
+        .when(shape == 0, F.concat(s("PART "), F.element_at(constant_array(PARTS), (i % 9 + 1).cast("int")), below))
         .when(shape.isin(1, 11), F.concat(number, s(". "), short, s(".—"), line))
-        .when(shape == 2, F.concat(mark, s("["), number, s(".")))
+        .when(shape == 2, F.concat(mark, s("["), number, s("."), below))
         .when(shape == 3, F.concat(mark, s("["), number, s("A. "), short, s(".—(1) "), line, s("]")))
         .when(shape == 4, F.concat(s("(1) "), line))
         .when(shape == 5, F.concat(mark, s("[(2A) "), line, s("]")))
-        .when(shape == 6, F.concat(mark, s(". Subs. "), cited, s(", s. 2, for "), short))
-        .when(shape == 7, F.concat(s("4"), number, s(". "), short, s(".—Omitted "), cited))
-        .when(shape == 8, s(""))
-        .when(shape == 9, i.cast("string"))
+        .when(shape == 6, F.concat(mark, s(". Subs. "), cited, s(", s. 2, for "), line))
+        .when(shape == 7, F.concat(s("4"), number, s(". "), short, s(".—Omitted "), cited, below))
+        .when(shape == 8, below)
+        .when(shape == 9, F.concat(i.cast("string"), below))
         .when(shape == 10, F.concat(s("Explanation I.—"), line))
         .when(shape == 12, F.concat(s("Illustration. "), line))
         .when(shape == 13, F.concat(mark, s("["), line))
-        .when(shape == 14, s("Right of the Item"))
-        .when(shape == 15, F.concat(number, s(". "), short))
+        .when(shape == 14, F.concat(s("Right of the Item"), below))
+        .when(shape == 15, F.concat(number, s(". "), short, below))
         .when(
             (shape == 16) & (i > 30),
-            F.concat(F.element_at(constant_array(fv.SCHEDULE_WORDS), (i % 12 + 1).cast("int")), s(" SCHEDULE")),
+            F.concat(F.element_at(constant_array(fv.SCHEDULE_WORDS), (i % 12 + 1).cast("int")), s(" SCHEDULE"), below),
         )
-        .when((shape == 17) & (i > 60), s("APPENDIX I"))
+        .when((shape == 17) & (i > 60), F.concat(s("APPENDIX I"), below))
         .otherwise(line)
     )
 
@@ -106,29 +108,32 @@ shaped AS (
       || CAST((doc_id + i) % 70 + 1950 AS VARCHAR) AS cited
   FROM raw_lines
 ),
-statute_lines AS (
-  SELECT doc_id, CAST(i AS INTEGER) AS line_no, CASE
+shaped_texts AS (
+  SELECT doc_id, string_split(string_agg(raw, chr(10) ORDER BY i), chr(10)) AS rows FROM (SELECT doc_id, i, CASE
     WHEN i = 0 THEN 'WE, THE PEOPLE OF INDIA, ' || l
     WHEN i = 1 THEN l || ' THIS CONSTITUTION.'
-    WHEN shape = 0 THEN 'PART ' || ({_sql_list(PARTS)})[i % 9 + 1]
+    WHEN shape = 0 THEN 'PART ' || ({_sql_list(PARTS)})[i % 9 + 1] || chr(10) || l
     WHEN shape IN (1, 11) THEN num || '. ' || short || '.—' || l
-    WHEN shape = 2 THEN mark || '[' || num || '.'
+    WHEN shape = 2 THEN mark || '[' || num || '.' || chr(10) || l
     WHEN shape = 3 THEN mark || '[' || num || 'A. ' || short || '.—(1) ' || l || ']'
     WHEN shape = 4 THEN '(1) ' || l
     WHEN shape = 5 THEN mark || '[(2A) ' || l || ']'
-    WHEN shape = 6 THEN mark || '. Subs. ' || cited || ', s. 2, for ' || short
-    WHEN shape = 7 THEN '4' || num || '. ' || short || '.—Omitted ' || cited
-    WHEN shape = 8 THEN ''
-    WHEN shape = 9 THEN CAST(i AS VARCHAR)
+    WHEN shape = 6 THEN mark || '. Subs. ' || cited || ', s. 2, for ' || l
+    WHEN shape = 7 THEN '4' || num || '. ' || short || '.—Omitted ' || cited || chr(10) || l
+    WHEN shape = 8 THEN chr(10) || l
+    WHEN shape = 9 THEN CAST(i AS VARCHAR) || chr(10) || l
     WHEN shape = 10 THEN 'Explanation I.—' || l
     WHEN shape = 12 THEN 'Illustration. ' || l
     WHEN shape = 13 THEN mark || '[' || l
-    WHEN shape = 14 THEN 'Right of the Item'
-    WHEN shape = 15 THEN num || '. ' || short
-    WHEN shape = 16 AND i > 30 THEN ({_sql_list(fv.SCHEDULE_WORDS)})[i % 12 + 1] || ' SCHEDULE'
-    WHEN shape = 17 AND i > 60 THEN 'APPENDIX I'
+    WHEN shape = 14 THEN 'Right of the Item' || chr(10) || l
+    WHEN shape = 15 THEN num || '. ' || short || chr(10) || l
+    WHEN shape = 16 AND i > 30 THEN ({_sql_list(fv.SCHEDULE_WORDS)})[i % 12 + 1] || ' SCHEDULE' || chr(10) || l
+    WHEN shape = 17 AND i > 60 THEN 'APPENDIX I' || chr(10) || l
     ELSE l END AS raw
-  FROM shaped
+  FROM shaped) GROUP BY doc_id
+),
+statute_lines AS (
+  SELECT doc_id, unnest(rows) AS raw, CAST(unnest(range(len(rows))) AS INTEGER) AS line_no FROM shaped_texts
 ),
 lines AS (
   SELECT doc_id, line_no, regexp_replace(replace(raw, chr(12), ''), '\\s+$', '') AS line FROM statute_lines

@@ -318,12 +318,10 @@ def size_budget(t: Tables) -> DataFrame:
     """WITH i AS (SELECT conv_id, first(text ORDER BY turn) AS opening FROM conversations GROUP BY conv_id)
        SELECT conv_id, row_number() OVER w AS item_no, count(*) OVER () AS n_items, lag(conv_id) OVER w AS prev_conv_id, lead(conv_id) OVER w AS next_conv_id,
          lag(title) OVER w AS prev_title, lead(title) OVER w AS next_title
-       FROM (SELECT conv_id, substr(opening, 1, 60) AS title FROM i) WINDOW w AS (ORDER BY conv_id)""",
+       FROM (SELECT conv_id, opening AS title FROM i) WINDOW w AS (ORDER BY conv_id)""",
 )
 def prev_next(t: Tables) -> DataFrame:
-    items = t.conversations.groupBy("conv_id").agg(
-        F.min_by(F.substring("text", 1, 60), F.col("turn")).alias("title")
-    )
+    items = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
     numbered = scan.number_rows(items, [], "conv_id", "item_no", "n_items")
     return scan.neighbours(numbered, [], "conv_id", ["conv_id", "title"]).drop("title")
 

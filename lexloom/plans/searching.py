@@ -106,8 +106,8 @@ def vector_neighbours(t: Tables) -> DataFrame:
 @query(
     "hybrid_search",
     f"""WITH {_bm25(TYPED)}, {_COSINE},
-        vec AS (SELECT qid, vec_id AS doc_id, label, score FROM sims WHERE score >= {fv.VECTOR_CUTOFF}),
-        txt AS (SELECT qid, doc_id, label, score FROM hits JOIN embeddings ON vec_id = doc_id),
+        vec AS (SELECT qid, vec_id AS doc_id, label::BIGINT AS label, score FROM sims WHERE score >= {fv.VECTOR_CUTOFF}),
+        txt AS (SELECT qid, doc_id, coalesce(label, -1 - doc_id)::BIGINT AS label, score FROM hits LEFT JOIN embeddings ON vec_id = doc_id),
         tn AS (SELECT qid, doc_id, label, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS s FROM txt
           JOIN (SELECT qid, min(score) AS lo, max(score) AS hi FROM txt GROUP BY qid) USING (qid)),
         vn AS (SELECT qid, doc_id, label, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END AS s FROM vec
@@ -119,11 +119,14 @@ def vector_neighbours(t: Tables) -> DataFrame:
         WHERE rank <= {fv.VECTOR_LIMIT}""",
 )
 def hybrid_search(t: Tables) -> DataFrame:
-    vectors = spread(t.embeddings).withColumnRenamed("vec_id", "doc_id")
+    vectors = spread(t.embeddings).withColumnRenamed("vec_id", "doc_id").withColumn("label", F.col("label").cast("long"))
     by_meaning = search.vector_scores(vectors, "doc_id", "embedding", _label_queries(t), "qid", "qv", keep=["label"])
     by_word = search.keyword_scores(spread(t.documents), "doc_id", "text", TYPED)
-    # Rounded like the keyword ranks; only hits meet the vector side, on their key.
-    by_word = by_word.select("qid", "doc_id", F.round("score", 6).alias("score")).join(vectors.select("doc_id", "label"), "doc_id")
+    # Rounded like the keyword ranks; only hits meet the vector side, on their key. A document without a vector is an
+    # item of its own.
+    by_word = by_word.select("qid", "doc_id", F.round("score", 6).alias("score"))
+    by_word = by_word.join(vectors.select("doc_id", "label"), "doc_id", "left")
+    by_word = by_word.withColumn("label", F.coalesce("label", -1 - F.col("doc_id")))
     return search.hybrid_search(by_word, by_meaning, "doc_id", "label").select("qid", "label", "doc_id", "score", "rank")
 
 

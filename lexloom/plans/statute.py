@@ -273,7 +273,7 @@ _NUMBERED = r"""numbered AS (
         1,
         f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, num, suffix FROM (
               SELECT *, max(num) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
-              FROM numbered WHERE num <= {fv.MAX_ITEM_NUMBER})
+              FROM numbered)
             WHERE top IS NULL OR num > top OR (num = top AND suffix <> '')""",
         _NUMBERED,
     ),

@@ -106,23 +106,46 @@ def phrase_number(t: Tables) -> DataFrame:
           SELECT page_id, unnest([url, 'http://172.' || CAST(page_id % 40 AS VARCHAR) || '.3.4/x', 'ftp://files.example.com/a',
             'https://localhost:8080/', 'http://[fe80::' || CAST(page_id % 10 AS VARCHAR) || ']/',
             'http://user@100.' || CAST(page_id % 130 AS VARCHAR) || '.1.1:81/', 'not a url', 'http://[::ffff:7f00:1]/',
-            'https://[2606:4700::6810:85e5]/f', 'http://8.8.' || CAST(page_id % 300 AS VARCHAR) || '.8/']) AS url FROM pages),
-        p AS (
-          SELECT page_id, url, lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme,
-            regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url,
-              '^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '^\[|\]$', '', 'g') AS host FROM v),
-        q AS (
-          SELECT *, regexp_matches(host, '^\d{1,3}(\.\d{1,3}){3}$') AS quad,
-            TRY_CAST(split_part(host, '.', 1) AS INTEGER) AS a, TRY_CAST(split_part(host, '.', 2) AS INTEGER) AS b,
-            TRY_CAST(split_part(host, '.', 3) AS INTEGER) AS c, TRY_CAST(split_part(host, '.', 4) AS INTEGER) AS d FROM p)
+            'https://[2606:4700::6810:85e5]/f', 'http://8.8.' || CAST(page_id % 300 AS VARCHAR) || '.8/',
+            'http://' || CAST(page_id * 16777259 % 4294967296 AS VARCHAR) || '/', 'http://0x7f.1/', 'http://0300.0250.9/',
+            'http://10.' || CAST(page_id * 70000 AS VARCHAR) || '/', 'http://[0:0:0:0:0:0:0:1]/', 'http://[1::2::3]/',
+            'http://127.0.0.1\@example.com/', 'http:\\example.com/', 'http://[::ffff:10.1.2.' || CAST(page_id % 300 AS VARCHAR) || ']/',
+            'http://%31%30.0.0.1/', 'http://1.2.3.4.5/', 'http://a.localhost./', 'http://08.1/', ' http://192.168.1.1 ']) AS url FROM pages),
+        p AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[\t\n\r]', '', 'g') AS plain FROM v),
+        a AS (SELECT page_id, url, lower(regexp_extract(plain, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS scheme,
+          regexp_replace(regexp_replace(regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*([^/?#\\]*)', 1), '^.*@', ''), ':\d*$', '') AS bare FROM p),
+        h AS (SELECT *, regexp_replace(regexp_replace(lower(url_decode(bare)), '^\[|\]$', '', 'g'), '\.$', '') AS host FROM a),
+        n AS (SELECT *, regexp_matches(string_split(host, '.')[-1], '^(0x[0-9a-f]*|[0-9]+)$') AS numeric_end,
+          [CASE WHEN x = '0x' THEN 0
+            WHEN regexp_matches(x, '^0x[0-9a-f]{1,12}$') THEN list_reduce([strpos('0123456789abcdef', c) - 1 FOR c IN string_split(x[3:], '')], lambda m, k: m * 16 + k)
+            WHEN regexp_matches(x, '^0[0-7]{1,16}$') THEN list_reduce([CAST(c AS BIGINT) FOR c IN string_split(x, '')], lambda m, k: m * 8 + k)
+            WHEN regexp_matches(x, '^(0|[1-9]\d{0,14})$') THEN CAST(x AS BIGINT) END FOR x IN string_split(host, '.')] AS nums,
+          CASE WHEN regexp_matches(host, '^.*:\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$') THEN [TRY_CAST(x AS BIGINT) FOR x IN string_split(regexp_extract(host, '([\d.]+)$', 1), '.')] END AS tail FROM h),
+        w AS (SELECT *, CASE WHEN NOT numeric_end THEN -1
+            WHEN len(nums) <= 4 AND nums[-1] < 256.0 ** (5 - len(nums)) AND len(list_filter(nums[1:len(nums) - 1], lambda m: m <= 255)) = len(nums) - 1
+            THEN list_reduce(list_concat([0::BIGINT], nums[1:len(nums) - 1]), lambda m, k: m * 256 + k) * CAST(256 ** (5 - len(nums)) AS BIGINT) + nums[-1] END AS v4,
+          string_split(CASE WHEN len(list_filter(tail, lambda m: m <= 255)) = 4
+            THEN regexp_replace(host, '[\d.]+$', '') || printf('%x', tail[1] * 256 + tail[2]) || ':' || printf('%x', tail[3] * 256 + tail[4]) ELSE host END, '::') AS halves FROM n),
+        x AS (SELECT *, CASE WHEN halves[1] = '' THEN [] ELSE string_split(halves[1], ':') END AS l,
+          CASE WHEN coalesce(halves[2], '') = '' THEN [] ELSE string_split(halves[2], ':') END AS r FROM w),
+        y AS (SELECT *, list_concat(list_concat(l, ['0' FOR i IN range(greatest(8 - len(l) - len(r), 0))]), r) AS g,
+          CASE WHEN len(halves) = 1 THEN len(l) = 8 ELSE len(halves) = 2 AND len(l) + len(r) <= 7 END AS fits FROM x),
+        z AS (SELECT *, CASE WHEN fits AND len(list_filter(g, lambda m: regexp_matches(m, '^[0-9a-f]{1,4}$'))) = len(g)
+          THEN [list_reduce([strpos('0123456789abcdef', c) - 1 FOR c IN string_split(m, '')], lambda d, k: d * 16 + k) FOR m IN g] END AS v6 FROM y),
+        q AS (SELECT *, CASE WHEN contains(host, ':') THEN
+            CASE WHEN v6[1:5] = [0, 0, 0, 0, 0] AND v6[6] = 65535 THEN v6[7] * 65536 + v6[8] ELSE -1 END ELSE v4 END AS quad FROM z),
+        b AS (SELECT *, quad // 16777216 AS a1, quad // 65536 % 256 AS a2 FROM q)
         SELECT page_id, url, reason FROM (
           SELECT page_id, url, CASE WHEN scheme = '' THEN 'not a valid URL'
-            WHEN scheme NOT IN ('http', 'https') THEN 'only http and https are allowed, got ' || scheme || ':'
-            WHEN host = 'localhost' OR host LIKE '%.localhost'
-              OR (quad AND greatest(a, b, c, d) <= 255 AND (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127)
-                OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)))
-              OR host IN ('::1', '::') OR host LIKE '::ffff:7f%' OR regexp_matches(host, '^fe[89ab][0-9a-f]:')
-            THEN 'refused: ' || host || ' is a localhost, loopback, private, or reserved destination' END AS reason FROM q)
+            WHEN scheme NOT IN ('http', 'https') THEN 'scheme not allowed: ' || scheme
+            WHEN host = '' THEN 'not a valid URL'
+            WHEN host = 'localhost' OR host LIKE '%.localhost' THEN 'refused: ' || host || ' is a local, private or reserved host'
+            WHEN contains(host, ':') AND v6 IS NULL OR NOT contains(host, ':') AND v4 IS NULL THEN 'not a valid URL'
+            WHEN (quad >= 0 AND (a1 IN (0, 10, 127) OR (a1 = 100 AND a2 BETWEEN 64 AND 127) OR (a1 = 169 AND a2 = 254)
+                OR (a1 = 172 AND a2 BETWEEN 16 AND 31) OR (a1 = 192 AND a2 = 168)))
+              OR (contains(host, ':') AND (v6[1:7] = [0, 0, 0, 0, 0, 0, 0] AND v6[8] IN (0, 1)
+                OR v6[1] BETWEEN 65152 AND 65215 OR v6[1] BETWEEN 64512 AND 65023))
+            THEN 'refused: ' || host || ' is a local, private or reserved host' END AS reason FROM b)
         WHERE reason IS NOT NULL""",
 )
 def unsafe_urls(t: Tables) -> DataFrame:
@@ -142,6 +165,20 @@ def unsafe_urls(t: Tables) -> DataFrame:
         F.lit("http://[::ffff:7f00:1]/"),
         F.lit("https://[2606:4700::6810:85e5]/f"),
         made("http://8.8.", pid % 300, ".8/"),
+        made("http://", pid * 16777259 % 4294967296, "/"),
+        F.lit("http://0x7f.1/"),
+        F.lit("http://0300.0250.9/"),
+        made("http://10.", pid * 70000, "/"),
+        F.lit("http://[0:0:0:0:0:0:0:1]/"),
+        F.lit("http://[1::2::3]/"),
+        F.lit("http://127.0.0.1\\@example.com/"),
+        F.lit("http:\\\\example.com/"),
+        made("http://[::ffff:10.1.2.", pid % 300, "]/"),
+        F.lit("http://%31%30.0.0.1/"),
+        F.lit("http://1.2.3.4.5/"),
+        F.lit("http://a.localhost./"),
+        F.lit("http://08.1/"),
+        F.lit(" http://192.168.1.1 "),
     )
     audited = t.pages.select("page_id", F.explode(variants).alias("url"))
     return audited.select("page_id", "url", urls.refusal(F.col("url")).alias("reason")).filter("reason IS NOT NULL")

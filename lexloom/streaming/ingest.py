@@ -26,6 +26,6 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
 
 def distinct_snapshots(stream: DataFrame, moment: str, late_after: str = "1 day") -> DataFrame:
-    """Repeated snapshots of a page dropped; state older than the watermark is let go."""
+    """Repeated snapshots of a page, the same content at whatever time, dropped; state behind the watermark is let go."""
     hashed = stream.withColumn("hash", F.sha2("body", 256))
-    return hashed.withWatermark(moment, late_after).dropDuplicatesWithinWatermark(["url", "hash", moment])
+    return hashed.withWatermark(moment, late_after).dropDuplicatesWithinWatermark(["url", "hash"])
