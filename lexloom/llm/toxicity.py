@@ -122,7 +122,7 @@ def grammar() -> Transducer:
 
     def reported(inside: int, s: str) -> tuple[int, str]:
         if s == REPORT:
-            return 1, s
+            return 1, ""
         if s[0] == "!":
             label = s[1:]
             return inside, f"{label.split('+')[0]}+reported" if inside and "negated" not in label else label
