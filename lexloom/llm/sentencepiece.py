@@ -27,10 +27,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Pre-tokens a task keeps the ids of; characters indexed at once (a longer pre-token is indexed alone).
 WORDS_KEPT = 400_000
 INDEX_CHARS = 400_000
-#: Between pre-tokens in the indexed text; no piece holds it.
+#: Between pre-tokens in the indexed text. Characters are their code points plus one, so that no text holds it.
 GAP = 0
 
 
+def codes_of(text: str) -> np.ndarray:
+    """Code points plus one."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+
+
 def windows(codes: np.ndarray, depth: int) -> np.ndarray:
     """The next ``depth`` codes from each place on, as big-endian bytes, followed by zeros at the end."""
     padded = np.concatenate([codes, np.zeros(depth, codes.dtype)])
@@ -58,12 +63,12 @@ class Encoder:
         self.sizes = np.array([len(p) for p in ordered], np.int64)
         self.codes = np.zeros((len(ordered), self.longest), np.uint32)
         for row, p in zip(self.codes, ordered):
-            row[: len(p)] = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)
+            row[: len(p)] = codes_of(p)
         self.inside = np.arange(self.longest) < self.sizes[:, None]
         self.words: dict[str, bytes] = {}
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, piece) of every occurrence of a piece in a text of code points.
+        """(start, piece) of every occurrence of a piece in a text of ``codes_of``.
 
         Code points are renumbered by the text's alphabet, GAP first; pieces with others do not occur. Suffixes and
         pieces are compared as bytes, so that one binary search runs over all pieces.
@@ -88,15 +93,17 @@ class Encoder:
     def lattice(self, words: list[str]) -> None:
         """Encode new pre-tokens and keep their ids."""
         spelled = [w.replace(" ", SPACE) for w in words]
-        text = np.frombuffer(("\0".join(spelled) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        text = codes_of(" ".join(spelled) + " ")
         sizes = np.array([len(w) for w in spelled])
         first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        text[first + sizes] = GAP
         start, piece = self.occurrences(text)
         # a byte edge over every character that no piece of one character covers
         single = np.zeros(len(text), bool)
         single[start[self.sizes[piece] == 1]] = True
         odd = np.flatnonzero(~single & (text != GAP))
-        cost = 1 + (text[odd] > 0x7F) + (text[odd] > 0x7FF) + (text[odd] > 0xFFFF).astype(np.int64)
+        point = text[odd] - 1
+        cost = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF).astype(np.int64)
         start = np.concatenate([start, odd])
         size = np.concatenate([self.sizes[piece], np.ones(len(odd), np.int64)])
         score = np.concatenate([self.scores[piece], BYTE_SCORE * cost])

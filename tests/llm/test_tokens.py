@@ -117,8 +117,7 @@ def test_suffix_array():
 
 def test_occurrences_equal_a_scan(pieces):
     text = "the theatre then\0there"
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    start, piece = sentencepiece.Encoder(pieces).occurrences(codes)
+    start, piece = sentencepiece.Encoder(pieces).occurrences(sentencepiece.codes_of(text))
     ordered = sorted(pieces.ids)
     found = sorted((int(s), ordered[p]) for s, p in zip(start, piece))
     assert found == sorted((i, p) for p in pieces.ids for i in range(len(text)) if text.startswith(p, i))
