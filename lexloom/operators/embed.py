@@ -37,14 +37,13 @@ def hashed_embedding(text: Column, dims: int = DIMS) -> Column:
     @F.pandas_udf("array<float>")
     def bucketed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = np.zeros((len(batch), dims))
-            for i, values in enumerate(batch):
-                if values is None or len(values) == 0:
-                    continue
-                h = np.asarray(values, dtype=np.int64)
-                sign = np.where(h & 1, 1.0, -1.0)
-                out[i] = np.bincount((h >> 1) % dims, weights=sign, minlength=dims)
-            yield pd.Series(list(_unit(out)))
+            sizes = [0 if values is None else len(values) for values in batch]
+            flat = [np.asarray(values, np.int64) for values, n in zip(batch, sizes) if n]
+            h = np.concatenate([*flat, np.zeros(0, np.int64)])
+            # One count over all rows of the batch: a row's buckets follow those of the row before.
+            place = np.repeat(np.arange(len(batch)), sizes) * dims + (h >> 1) % dims
+            sums = np.bincount(place, weights=np.where(h & 1, 1.0, -1.0), minlength=len(batch) * dims)
+            yield pd.Series(list(_unit(sums.reshape(-1, dims))))
 
     return bucketed(hashes)
 

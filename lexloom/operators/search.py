@@ -1,23 +1,32 @@
 """Keyword, vector and hybrid top-k search.
 
-Typed queries travel as literals; corpus statistics come back as one-row scalar
-subqueries. Scoring is a projection over the documents and the only rows
-shuffled are each task's best k per query.
+Typed queries travel as literals. The corpus is tokenized once into narrow
+counts, from which both the statistics and the scores come. Vectors and query
+vectors meet in blocks, as matrix products; each block keeps the best k per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import search_tokens
+from ..session import checkpointed
+
+# Workers need not have this package installed: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K1, B = 1.2, 0.75
-MAX_QUERIES_PER_PASS = 1024
+# Rows of one block of vectors and of one block of queries: what a task multiplies at once.
+VECTOR_ROWS, QUERY_ROWS = 2048, 1024
 
 
 def refine(query: str) -> str:
@@ -33,7 +42,7 @@ def _terms(query: str) -> list[str]:
 
 
 def _counted(docs: DataFrame, key: str, text: str, terms: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(key, kept columns, dl, tf): length and one count per term; tokens end here."""
+    """(key, kept columns, dl, tf): length and one count per term, null without a hit; tokens end here."""
     tokens = docs.select(key, *keep, search_tokens(F.col(text)).alias("_tokens"))
     hits = F.filter("_tokens", lambda w: w.isin(*terms))
     counted = tokens.select(key, *keep, F.size("_tokens").alias("_dl"), hits.alias("_hits"))
@@ -41,7 +50,7 @@ def _counted(docs: DataFrame, key: str, text: str, terms: Sequence[str], keep: S
     def times(term: str) -> Column:
         return F.size(F.filter("_hits", lambda w: w == term))
 
-    tf = F.array(*[times(t) for t in terms])
+    tf = F.when(F.size("_hits") > 0, F.array(*[times(t) for t in terms]))
     return counted.select(key, *keep, "_dl", tf.alias("_tf"))
 
 
@@ -58,10 +67,10 @@ def keyword_scores(
         asked += [(qid, refine(q), True) for qid, q in queries.items() if refine(q) != q]
     terms = list(dict.fromkeys(t for _, q, _ in asked for t in _terms(q)))
     at = {t: i for i, t in enumerate(terms)}
-    counted = _counted(docs, key, text, terms, keep)
+    counted = checkpointed(_counted(docs, key, text, terms, keep))
 
     def tf(t: str) -> Column:
-        return F.get("_tf", F.lit(at[t]))
+        return F.coalesce(F.get("_tf", F.lit(at[t])), F.lit(0))
 
     def holds(q: str) -> Column:
         every = F.lit(bool(_terms(q)))
@@ -104,7 +113,7 @@ def keyword_scores(
             )
         )
     found = F.filter(F.array(*scored), lambda s: s.isNotNull())
-    return known.select(key, *keep, F.inline(found))
+    return known.filter(F.col("_tf").isNotNull()).select(key, *keep, F.inline(found))
 
 
 def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
@@ -146,6 +155,42 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _blocks(df: DataFrame, rows: int, slots: int) -> DataFrame:
+    """(slot, blob): the rows in Arrow blocks of bounded height, dealt to slots; nothing is shuffled."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = TaskContext.get().partitionId()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, batch.schema) as writer:
+                    writer.write_batch(batch.slice(start, rows))
+                blob = pa.array([out.getvalue().to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([slot % slots], pa.int32()), blob], names=["slot", "blob"])
+                slot += 1
+
+    return df.mapInArrow(pack, "slot int, blob binary")
+
+
+def _opened(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks()
+
+
+def _by_length(table: pa.Table, vector: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and unit vectors by vector length; vectors that are null, zero or not finite are left out."""
+    lists = table.column(vector).combine_chunks()
+    sizes = np.asarray(lists.value_lengths().fill_null(0))
+    found = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        flat = lists.take(pa.array(rows)).flatten().cast(pa.float64())
+        matrix = np.asarray(flat.to_numpy(zero_copy_only=False)).reshape(-1, size)
+        norms = np.linalg.norm(matrix, axis=1)
+        usable = np.isfinite(norms) & (norms > 0)
+        found[size] = rows[usable], matrix[usable] / norms[usable, None]
+    return found
+
+
 def vector_scores(
     chunks: DataFrame,
     key: str,
@@ -155,34 +200,53 @@ def vector_scores(
     query_vector: str,
     cutoff: float = fv.VECTOR_CUTOFF,
     keep: Sequence[str] = (),
+    best: int | None = None,
 ) -> DataFrame:
     """Cosine of every chunk with every query at or above the cutoff: (qid, key, kept, score).
 
-    Queries are counted first. Up to the bound they ride along as one scalar
-    value; beyond it each further batch is its own pass over the chunks, so
-    neither a join nor a broadcast grows with either side.
+    Both sides travel as blocks of bounded height. A block of vectors lies in one
+    slot and every block of queries goes to every slot, so the two meet in an
+    equi-join and as one matrix product, however many there are of either. With
+    ``best`` a block returns only that many rows per query, ranked by the score
+    rounded to six digits and then the key. Vectors that are null, zero or hold
+    components that are null or not finite match nothing, nor do vectors of
+    another length than the query's.
     """
-    passes = max(1, -(-queries.count() // MAX_QUERIES_PER_PASS))
-    unit = F.struct(F.col(qid).alias("qid"), F.col(query_vector).alias("v"), norm(F.col(query_vector)).alias("norm"))
-    out = None
-    for i in range(passes):
-        batch = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(qid), F.lit(passes)) == i)
-        pack = batch.agg(F.array_sort(F.collect_list(unit)).alias("p")).scalar()
-        scored = F.transform(
-            F.col("_pack"),
-            lambda q: F.struct(
-                q["qid"].alias("qid"),
-                (dot(q["v"], F.col(vector)) / (q["norm"] * F.col("_norm"))).alias("score"),
-            ),
-        )
-        kept = F.filter(scored, lambda s: s["score"] >= cutoff)
-        part = (
-            chunks.select(key, *keep, vector)
-            .withColumns({"_pack": pack, "_norm": norm(F.col(vector))})
-            .select(key, *keep, F.inline(kept))
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    slots = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select(F.col(qid).alias("_qid"), F.col(query_vector).alias("_qv"))
+    rows = chunks.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_kept_{c}") for c in keep], F.col(vector).alias("_vector"))
+    sent = _blocks(asked, QUERY_ROWS, slots).select(
+        F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("blob").alias("asked")
+    )
+    pairs = _blocks(rows, VECTOR_ROWS, slots).join(sent, "slot").select("blob", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, asked_blob in zip(batch.column("blob"), batch.column("asked")):
+                table, wanted = _opened(blob.as_py()), _opened(asked_blob.as_py())
+                theirs = _by_length(table, "_vector")
+                for size, (who, units) in _by_length(wanted, "_qv").items():
+                    at, others = theirs.get(size, (None, None))
+                    if at is None:
+                        continue
+                    scores = units @ others.T
+                    q, v = np.nonzero(scores >= cutoff)
+                    found = scores[q, v]
+                    if best is not None:
+                        ties = np.unique(table.column("_key").to_numpy()[at], return_inverse=True)[1]
+                        order = np.lexsort((ties[v], -np.round(found, 6), q))
+                        place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+                        order = order[place < best]
+                        q, v, found = q[order], v[order], found[order]
+                    hits = table.drop_columns(["_vector"]).take(pa.array(at[v]))
+                    hits = hits.add_column(0, "_qid", wanted.column("_qid").take(pa.array(who[q])))
+                    yield from hits.append_column("score", pa.array(found, pa.float64())).to_batches()
+
+    kinds = [("_qid", asked.schema["_qid"])] + [(f.name, f) for f in rows.schema.fields if f.name != "_vector"]
+    schema = ", ".join(f"`{name}` {f.dataType.simpleString()}" for name, f in kinds)
+    scored = pairs.mapInArrow(run, f"{schema}, score double")
+    kept = [F.col(f"_kept_{c}").alias(c) for c in keep]
+    return scored.select(F.col("_key").alias(key), *kept, F.col("_qid").alias("qid"), "score")
 
 
 def vector_search(
@@ -195,7 +259,7 @@ def vector_search(
     cutoff: float = fv.VECTOR_CUTOFF,
     k: int = fv.VECTOR_LIMIT,
 ) -> DataFrame:
-    scored = vector_scores(chunks, key, vector, queries, qid, query_vector, cutoff)
+    scored = vector_scores(chunks, key, vector, queries, qid, query_vector, cutoff, best=k)
     return top_k(scored.withColumn("score", F.round("score", 6)), "qid", "score", key, k)
 
 
@@ -215,7 +279,6 @@ def hybrid_search(
     Scaling needs the hits twice, so the narrow hit tables are checkpointed
     once instead of scoring the corpus a second time.
     """
-    from ..session import checkpointed
     from .aggregate import first_per_key
 
     a = _scaled(checkpointed(text_scored.select("qid", key, item, "score")), "text_score")

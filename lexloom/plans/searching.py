@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import text
 from ..operators import chunk, embed, reconcile, search
+from ..session import checkpointed
 from ..sources.tables import spread
 from .registry import Tables, query
 from .texts import devanagari
@@ -130,6 +131,23 @@ def hybrid_search(t: Tables) -> DataFrame:
     return search.hybrid_search(by_word, by_meaning, "doc_id", "label").select("qid", "label", "doc_id", "score", "rank")
 
 
+@query("concept_search")
+def concept_search(t: Tables) -> DataFrame:
+    """The chain of a search by meaning: chunks, vectors, codes and back, the embedded query text, hybrid ranks."""
+    prefix = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" in "), F.col("lang"))
+    pieces = chunk.pack(chunk.units_of(prefix, F.split("text", "\n")))
+    cut = spread(t.documents).select("doc_id", F.posexplode(pieces).alias("chunk_no", "t"))
+    cut = cut.select(F.concat_ws("-", "doc_id", "chunk_no").alias("chunk_id"), "doc_id", "t")
+    # Both the largest component and the codes come from the vectors, so they are written once.
+    stored = checkpointed(cut.withColumn("vector", embed.hashed_embedding(F.col("t"))))
+    coded = search.quantize(stored, "vector").withColumn("vector", search.dequantize(F.col("codes"), F.col("scale")))
+    typed = t.spark.createDataFrame(list(TYPED.items()), "qid int, q string")
+    asked = typed.select("qid", embed.hashed_embedding(F.col("q")).alias("qv"))
+    by_meaning = search.vector_scores(coded, "chunk_id", "vector", asked, "qid", "qv", cutoff=0.15, keep=["doc_id"])
+    by_word = search.keyword_scores(stored, "chunk_id", "t", TYPED, keep=["doc_id"])
+    return search.hybrid_search(by_word, by_meaning, "chunk_id", "doc_id").select("qid", "doc_id", "chunk_id", "score", "rank")
+
+
 @query(
     "quantize",
     """WITH m AS (SELECT max(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))))) AS m FROM embeddings)

@@ -136,13 +136,27 @@ def test_limit_shows_the_first_and_counts_all(spark):
     assert sorted(r.id for r in hits) == list(range(12)) and {r.total_hits for r in hits} == {40}
 
 
-def test_vector_search_beyond_one_pass(spark, monkeypatch):
-    vectors = spark.createDataFrame([(i, [float(i == d) for d in range(8)]) for i in range(8)], "id long, v array<float>")
-    asked = vectors.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    whole = sorted(map(str, search.vector_search(vectors, "id", "v", asked, "qid", "qv").collect()))
-    monkeypatch.setattr(search, "MAX_QUERIES_PER_PASS", 3)
-    assert sorted(map(str, search.vector_search(vectors, "id", "v", asked, "qid", "qv").collect())) == whole
-    assert len(whole) == 8
+def test_vector_search_in_blocks_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(60, 4)).round(1)
+    data[50:] = data[0]  # ties
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    odd = [(60, None), (61, [0.0] * 4), (62, [1.0, float("nan"), 0.0, 0.0]), (63, []), (64, [1.0, 2.0]), (65, [1.0, None, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows + odd, "id long, v array<float>").repartition(3)
+    asked = vectors.filter("id % 3 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    monkeypatch.setattr(search, "VECTOR_ROWS", 7)
+    monkeypatch.setattr(search, "QUERY_ROWS", 4)
+    got = search.vector_search(vectors, "id", "v", asked, "qid", "qv", cutoff=0.2, k=5).collect()
+    units = data.astype(np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    cosines = np.round(units @ units.T, 6)
+    want = {}
+    for q in range(0, 60, 3):
+        order = sorted((i for i in range(60) if cosines[q, i] >= 0.2), key=lambda i: (-cosines[q, i], i))
+        want |= {(q, rank): i for rank, i in enumerate(order[:5], 1)}
+    assert {(r.qid, r["rank"]): r.id for r in got} == want
 
 
 def test_hybrid_shows_each_item_once(spark):
