@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as fv
 from .let import let, offsets
 from .text import strip
+from .word_repair import repair_words
 
 _SIGN = f"[{fv.VOWEL_SIGNS}]"
 _DEVA = r"[\u0900-\u097F]"
@@ -36,32 +37,6 @@ def issue_count(text: Column) -> Column:
     return F.when(text.rlike(_SUSPECT), total).otherwise(F.lit(0))
 
 
-def _char(text: Column, pos: Column) -> Column:
-    return F.substring(text, pos, F.lit(1))
-
-
-def _rule_at(text: Column, pos: Column) -> Column:
-    """Rule broken by the character at a 1-based position, null when none is."""
-    ch = _char(text, pos)
-    prev = F.when(pos > 1, _char(text, pos - 1)).otherwise(F.lit(""))
-    before = F.substring(text, F.lit(1), pos - 1)
-    three_before = F.when(pos > 3, F.substring(text, pos - 3, F.lit(3))).otherwise(before)
-    three_after = F.substring(text, pos + 1, F.lit(3))
-    is_sign = ch.rlike(_SIGN)
-    return (
-        F.when(ch == "\uFFFD", "replacement")
-        .when(ch.rlike(RULES["private-use"]), "private-use")
-        .when(ch == "\u200C", "zwnj")
-        .when(
-            (ch == "|") & (three_before.rlike(rf"{_DEVA}\s*$") | three_after.rlike(rf"^\s*{_DEVA}")),
-            "pipe-danda",
-        )
-        .when(is_sign & before.rlike(rf"(?:^|\s)[^\s{_STOP}]*$"), "sign-at-start")
-        .when(is_sign & prev.rlike(f"[{fv.VOWEL_SIGNS}{fv.VIRAMA}]"), "sign-after-sign")
-        .when((ch == fv.NUKTA) & prev.rlike(_SIGN), "sign-after-sign")
-    )
-
-
 # A control character in front of each offence, by rule. The order matters: a
 # mark between blank and letter would hide a later pipe or sign from its rule.
 _MARKS = [
@@ -127,59 +102,9 @@ def restore_danda(text: Column) -> Column:
     )
 
 
-def _swap(word: Column, pos: Column) -> Column:
-    """Character at ``pos`` moved behind its right neighbour."""
-    return F.concat(
-        F.substring(word, F.lit(1), pos - 1),
-        _char(word, pos + 1),
-        _char(word, pos),
-        F.substring(word, pos + 2, F.length(word)),
-    )
-
-
-def _repair_once(word: Column, count: Column) -> Column:
-    """The first move that lowers the issue count, null when there is none."""
-    movable = fv.VOWEL_SIGNS + fv.NUKTA
-    moved = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))),
-        lambda p: F.when(
-            F.contains(F.lit(movable), _char(word, p))
-            & _char(word, p + 1).rlike(r"[\u0915-\u0939]")
-            & _rule_at(word, p).isin("sign-after-sign", "sign-at-start"),
-            _swap(word, p),
-        ),
-    )
-    return F.get(F.filter(moved, lambda w: w.isNotNull() & (issue_count(w) < count)), F.lit(0))
-
-
-def _repair_word(word: Column, count: Column) -> Column:
-    def state(w: Column, done: Column) -> Column:
-        return F.struct(w.alias("w"), done.alias("done"))
-
-    def step(acc: Column, _: Column) -> Column:
-        better = let(issue_count(acc["w"]), lambda n: F.when(n > 0, _repair_once(acc["w"], n)))
-        return F.when(acc["done"], acc).otherwise(
-            let(better, lambda b: state(F.coalesce(b, acc["w"]), b.isNull()))
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), count), state(word, F.lit(False)), step, lambda acc: acc["w"])
-
-
 def repair(text: Column) -> Column:
-    """Displaced signs move one consonant right when that lowers the issue count.
-
-    Every accepted move lowers a word's count by at least one, so as many
-    passes as the word has issues always suffice. Issues never cross blanks.
-    """
-
-    def whole(base: Column) -> Column:
-        fixed = F.transform(
-            F.regexp_extract_all(base, F.lit(r"\S+|\s+"), F.lit(0)),
-            lambda w: let(issue_count(w), lambda n: F.when(n > 0, _repair_word(w, n)).otherwise(w)),
-        )
-        return F.when(issue_count(base) > 0, F.array_join(fixed, "")).otherwise(base)
-
-    return let(restore_danda(F.regexp_replace(text, "\u200C", "")), whole)
+    """Displaced signs move one consonant right when that lowers the issue count; issues never cross blanks."""
+    return repair_words(restore_danda(F.regexp_replace(text, "\u200C", "")))
 
 
 def skeleton(word: Column) -> Column:

@@ -11,7 +11,7 @@ from ..operators import changes, quality
 from ..sources import json_walk, manifest, sinks
 from ..sources.tables import page_subset, spread, text_map
 from .registry import Tables, query
-from .texts import _VISIBLE, LATIN, SOUNDS, _TRIM
+from .texts import _VISIBLE, JUDGED, LATIN, SOUNDS, _TRIM
 
 # --- sources ------------------------------------------------------------------
 
@@ -231,21 +231,22 @@ def prose_lint(t: Tables) -> DataFrame:
     "prose_lint_lang",
     rf"""WITH c AS (SELECT conv_id, turn, {_TRIM.format("translate(lower(text), '" + LATIN + ".', '" + SOUNDS + "।')")} || CASE WHEN turn % 4 = 0 THEN ' आइए -- ' ELSE '' END AS y FROM conversations),
          b AS (SELECT conv_id, turn, {_TRIM.format("y")} AS x FROM c),
-         n AS (SELECT *, len(regexp_extract_all(x, '\S+')) AS words, len(list_filter(regexp_split_to_array(x, '[।!?]'), lambda q: regexp_matches(q, '\S'))) AS sents FROM b)
+         n AS (SELECT *, len(regexp_extract_all(x, '\S+')) AS words, len(list_filter(regexp_split_to_array(x, '[।!?]'), lambda q: regexp_matches(q, '\S'))) AS sents FROM b),
+         hi AS (SELECT (conv_id, turn) AS doc_id, x AS text FROM n), {JUDGED},
+         bad AS (SELECT doc_id, count(*) AS k, arg_min(rule, i) AS first_rule FROM judged WHERE rule IS NOT NULL GROUP BY doc_id)
          SELECT conv_id, turn, 'length' AS rule, 'explainer is ' || CAST(words AS VARCHAR) || ' words, must be 30 to 110' AS message FROM n WHERE words NOT BETWEEN 30 AND 110
          UNION ALL SELECT conv_id, turn, 'banned-phrase', 'banned filler phrase: ' || p FROM (SELECT conv_id, turn, x, unnest([{", ".join("'" + p + "'" for p in fv.BANNED_PHRASES_HI)}]) AS p FROM n) WHERE contains(x, p)
          UNION ALL SELECT conv_id, turn, 'dash', 'em or en dashes are banned; use a comma or a semicolon' FROM n WHERE regexp_matches(x, '[—–]|--')
          UNION ALL SELECT conv_id, turn, 'plainness', CAST(sents AS VARCHAR) || ' sentences; keep to 7 or fewer' FROM n WHERE sents > 7
          UNION ALL SELECT conv_id, turn, 'plainness', 'average sentence is ' || printf('%.1f', words / sents) || ' words; keep to 22 or fewer' FROM n WHERE sents > 0 AND words / sents > 22
+         UNION ALL SELECT doc_id[1], doc_id[2], 'devanagari', CAST(k AS VARCHAR) || ' well-formedness issues (first: ' || first_rule || ')' FROM bad
          UNION ALL SELECT conv_id, turn, 'language', 'explainer must be written in Hindi (Devanagari)' FROM n
            WHERE len(regexp_extract_all(x, '[\x{{0900}}-\x{{097F}}]')) / greatest(length(x), 1) < 0.5""",
 )
 def prose_lint_lang(t: Tables) -> DataFrame:
     spoken = text.strip(F.translate(F.lower("text"), LATIN + ".", SOUNDS + "।"))
     spoken = F.concat(spoken, F.when(F.col("turn") % 4 == 0, " आइए -- ").otherwise(""))
-    found = spread(t.conversations).select("conv_id", "turn", F.inline(prose.lint_hindi(spoken)))
-    # Script issues have their own queries; here the other rules are compared.
-    return found.filter(F.col("rule") != "devanagari")
+    return spread(t.conversations).select("conv_id", "turn", F.inline(prose.lint_hindi(spoken)))
 
 
 # --- changes ------------------------------------------------------------------

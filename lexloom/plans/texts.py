@@ -437,8 +437,8 @@ def date_display(t: Tables) -> DataFrame:
 
 # --- Devanagari text derived from the given prose -----------------------------
 
-LATIN = "abcdefghijklmnopqrstuvwxyz"
-SOUNDS = "ाबकदिफगहीजखलमनोप्रसतुवथ|य�"
+LATIN = "abcdefghijklmnopqrstuvwxyz37"
+SOUNDS = "ाबकदिफगहीजखलमनोप्रसतुवथ|य�\u200c\ue000"
 
 
 def devanagari(c: Column) -> Column:
@@ -458,6 +458,7 @@ _AUDIT = rf"""hi AS ({DEVANAGARI_SQL}),
 counts AS (
   SELECT doc_id, len(regexp_extract_all(text, '\x{{FFFD}}')) AS replacement,
     len(regexp_extract_all(text, '[\x{{E000}}-\x{{F8FF}}]')) AS private_use,
+    len(regexp_extract_all(text, '\x{{200C}}')) AS zwnj,
     len(regexp_extract_all(text, '(?:^|\s)[^\s\x{{0900}}-\x{{097F}}\x{{1CD0}}-\x{{1CFF}}.,;:()\[\]"''\d]*[{_S}]')) AS sign_at_start,
     list_sum(list_transform(regexp_extract_all(text, '[{_S}{fv.VIRAMA}]+'), lambda r:
       length(replace(r, '{fv.VIRAMA}', '')) - CASE WHEN starts_with(r, '{fv.VIRAMA}') THEN 0 ELSE 1 END))
@@ -472,7 +473,7 @@ counts AS (
 @query("script_audit", f"WITH {_AUDIT} SELECT * FROM counts")
 def script_audit(t: Tables) -> DataFrame:
     c = F.col("text")
-    names = ["replacement", "private-use", "sign-at-start", "sign-after-sign", "pipe-danda"]
+    names = ["replacement", "private-use", "zwnj", "sign-at-start", "sign-after-sign", "pipe-danda"]
     return devanagari_docs(t).select(
         "doc_id", *[script.rule_count(c, n).alias(n.replace("-", "_")) for n in names]
     )
@@ -481,8 +482,8 @@ def script_audit(t: Tables) -> DataFrame:
 @query(
     "lint_histogram",
     f"""WITH {_AUDIT}, sums AS (
-          SELECT unnest(['replacement', 'private-use', 'sign-at-start', 'sign-after-sign', 'pipe-danda']) AS rule,
-            unnest([sum(replacement), sum(private_use), sum(sign_at_start), sum(sign_after_sign), sum(pipe_danda)]) AS n FROM counts)
+          SELECT unnest(['replacement', 'private-use', 'zwnj', 'sign-at-start', 'sign-after-sign', 'pipe-danda']) AS rule,
+            unnest([sum(replacement), sum(private_use), sum(zwnj), sum(sign_at_start), sum(sign_after_sign), sum(pipe_danda)]) AS n FROM counts)
         SELECT rule, CAST(n AS BIGINT) AS n, n <= 30 AS within_bound FROM sums WHERE n > 0""",
 )
 def lint_histogram(t: Tables) -> DataFrame:
@@ -497,8 +498,7 @@ def lint_histogram(t: Tables) -> DataFrame:
 
 # Every character with its neighbours; the kind of the last telling character
 # before it decides whether a sign opens a word.
-_CHARS = rf"""hi AS ({DEVANAGARI_SQL}),
-chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM hi),
+JUDGED = rf"""chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM hi),
 near AS (
   SELECT *, lag(c) OVER w AS p1, coalesce(lag(c, 3) OVER w, '') || coalesce(lag(c, 2) OVER w, '') || coalesce(lag(c) OVER w, '') AS before,
     coalesce(lead(c) OVER w, '') || coalesce(lead(c, 2) OVER w, '') || coalesce(lead(c, 3) OVER w, '') AS after,
@@ -511,6 +511,7 @@ judged AS (
   SELECT doc_id, i, p4 || before || c || after || n4 AS excerpt, CASE
       WHEN c = chr(65533) THEN 'replacement'
       WHEN regexp_matches(c, '[\x{{E000}}-\x{{F8FF}}]') THEN 'private-use'
+      WHEN c = chr(8204) THEN 'zwnj'
       WHEN c = '|' AND (regexp_matches(before, '[\x{{0900}}-\x{{097F}}]\s*$') OR regexp_matches(after, '^\s*[\x{{0900}}-\x{{097F}}]')) THEN 'pipe-danda'
       WHEN contains('{_S}', c) AND coalesce(told, 'space') = 'space' THEN 'sign-at-start'
       WHEN contains('{_S}', c) AND contains('{_S}{fv.VIRAMA}', p1) THEN 'sign-after-sign'
@@ -521,7 +522,7 @@ judged AS (
 
 @query(
     "script_issues",
-    f"""WITH {_CHARS} SELECT doc_id, CAST(i AS INTEGER) AS "index", rule, excerpt FROM judged WHERE rule IS NOT NULL""",
+    f"""WITH hi AS ({DEVANAGARI_SQL}), {JUDGED} SELECT doc_id, CAST(i AS INTEGER) AS "index", rule, excerpt FROM judged WHERE rule IS NOT NULL""",
 )
 def script_issues(t: Tables) -> DataFrame:
     """Every script issue of every document with its offset."""
