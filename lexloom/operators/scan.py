@@ -1,12 +1,14 @@
 """Ordered scans that survive a hot key.
 
-A plain window sends all rows of one key to one task. Here the order column is
-cut into blocks of bounded height, windows run inside (key, block), and only one
-summary row per block is carried along the key and joined back. A key holding a
-third of the table is spread over as many tasks as it has blocks.
-
-The order column must be a non-negative integer position that is unique inside
-a key together with ``ties``; a gap in it only makes a block smaller.
+A plain window sends all rows of one key to one task. Here the rows are ranged
+by (key, order) first, and every range is a block: windows run inside (key,
+block), and only one summary row per block is carried along the key and joined
+back. A key holding a third of the table is spread over a third of the blocks,
+whatever its ids look like: dense, sparse, negative, hashed or text.
+
+Ranges come from a sample, so the ranged rows are written once to the shared
+folder; both the windows and the summaries read what was written. Pass narrow
+rows. The order column must be unique inside a key together with ``ties``.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1_000_000
+from ..session import checkpointed
+
 _BLOCK = "_block"
 _PREVIOUS = (W.unboundedPreceding, -1)
 
 
-def _blocked(df: DataFrame, pos: str, block_rows: int) -> DataFrame:
-    return df.withColumn(_BLOCK, F.floor(F.col(pos) / F.lit(block_rows)).cast("long"))
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None) -> DataFrame:
+    """The rows with the number of their range; as many ranges as the session has shuffle partitions, or ``blocks``."""
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(*by) if blocks is None else df.repartitionByRange(blocks, *by)
+    return checkpointed(ranged.withColumn(_BLOCK, F.spark_partition_id()))
 
 
 def _windows(keys: Sequence[str], order: Sequence[str]):
@@ -36,6 +42,43 @@ def _attach(local: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFr
     return local.join(carried, [*keys, _BLOCK], "left")
 
 
+def placed(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    name: str | None = None,
+    total: str | None = None,
+    values: Sequence[str] = (),
+    ties: Sequence[str] = (),
+    blocks: int | None = None,
+) -> DataFrame:
+    """In one pass: the 1-based position inside the key, the key's row count, ``prev_x`` and ``next_x`` of ``values``."""
+    order = [pos, *ties]
+    rows = _ranged(df, keys, order, blocks)
+    inside, along = _windows(keys, order)
+    local, summary, carry = {}, [F.count(F.lit(1)).alias("_n")], []
+    if name is not None:
+        local["_local"] = F.row_number().over(inside)
+        carry.append(F.coalesce(F.sum("_n").over(along.rowsBetween(*_PREVIOUS)), F.lit(0)).alias("_before"))
+    if total is not None:
+        carry.append(F.sum("_n").over(W.partitionBy(*keys)).alias(total))
+    if values:
+        row, at = F.struct(*values), F.struct(*order)
+        local |= {"_prev": F.lag(row).over(inside), "_next": F.lead(row).over(inside)}
+        summary += [F.min_by(row, at).alias("_first"), F.max_by(row, at).alias("_last")]
+        carry += [F.lag("_last").over(along).alias("_edge_prev"), F.lead("_first").over(along).alias("_edge_next")]
+    carried = rows.groupBy(*keys, _BLOCK).agg(*summary).select(*keys, _BLOCK, *carry)
+    out = _attach(rows.withColumns(local), carried, keys)
+    found = {}
+    if name is not None:
+        found[name] = F.col("_local") + F.col("_before")
+    prev, nxt = F.coalesce("_prev", "_edge_prev"), F.coalesce("_next", "_edge_next")
+    for v in values:
+        found |= {f"prev_{v}": prev[v], f"next_{v}": nxt[v]}
+    out = out.withColumns(found)
+    return out.drop("_local", "_before", "_prev", "_next", "_edge_prev", "_edge_next", _BLOCK)
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -43,23 +86,10 @@ def number_rows(
     name: str = "row_no",
     total: str | None = None,
     ties: Sequence[str] = (),
-    block_rows: int = BLOCK_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """1-based position inside the key, and optionally the key's row count."""
-    rows = _blocked(df, pos, block_rows)
-    inside, along = _windows(keys, [pos, *ties])
-    blocks = rows.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("_n"))
-    carried = blocks.select(
-        *keys,
-        _BLOCK,
-        F.coalesce(F.sum("_n").over(along.rowsBetween(*_PREVIOUS)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
-    )
-    out = _attach(rows.withColumn("_local", F.row_number().over(inside)), carried, keys)
-    out = out.withColumn(name, F.col("_local") + F.col("_before"))
-    if total is not None:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_local", "_before", "_total", _BLOCK)
+    return placed(df, keys, pos, name, total, ties=ties, blocks=blocks)
 
 
 def neighbours(
@@ -68,27 +98,10 @@ def neighbours(
     pos: str,
     values: Sequence[str],
     ties: Sequence[str] = (),
-    block_rows: int = BLOCK_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """``prev_x`` and ``next_x`` for every x in ``values``."""
-    rows = _blocked(df, pos, block_rows)
-    order = [pos, *ties]
-    inside, along = _windows(keys, order)
-    row = F.struct(*values)
-    at = F.struct(*order)
-    blocks = rows.groupBy(*keys, _BLOCK).agg(F.min_by(row, at).alias("_first"), F.max_by(row, at).alias("_last"))
-    carried = blocks.select(
-        *keys,
-        _BLOCK,
-        F.lag("_last").over(along).alias("_edge_prev"),
-        F.lead("_first").over(along).alias("_edge_next"),
-    )
-    local = rows.withColumn("_prev", F.lag(row).over(inside)).withColumn("_next", F.lead(row).over(inside))
-    out = _attach(local, carried, keys)
-    prev, nxt = F.coalesce("_prev", "_edge_prev"), F.coalesce("_next", "_edge_next")
-    for v in values:
-        out = out.withColumn(f"prev_{v}", prev[v]).withColumn(f"next_{v}", nxt[v])
-    return out.drop("_prev", "_next", "_edge_prev", "_edge_next", _BLOCK)
+    return placed(df, keys, pos, values=values, ties=ties, blocks=blocks)
 
 
 def running(
@@ -97,15 +110,15 @@ def running(
     pos: str,
     outputs: dict[str, tuple[str, Column]],
     ties: Sequence[str] = (),
-    block_rows: int = BLOCK_ROWS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Running values along a key.
 
     Kinds: ``max_before`` and ``last_before`` (rows strictly before), ``sum`` and
     ``last`` (this row included); ``last`` skips nulls.
     """
-    rows = _blocked(df, pos, block_rows)
     order = [pos, *ties]
+    rows = _ranged(df, keys, order, blocks)
     inside, along = _windows(keys, order)
     so_far = inside.rowsBetween(W.unboundedPreceding, 0)
     before = inside.rowsBetween(*_PREVIOUS)
@@ -131,7 +144,6 @@ def running(
             combine[name] = F.coalesce(mine, theirs)
         else:
             raise ValueError(f"unknown running kind {kind}")
-    blocks = rows.groupBy(*keys, _BLOCK).agg(*summary)
-    carried = blocks.select(*keys, _BLOCK, *carry)
+    carried = rows.groupBy(*keys, _BLOCK).agg(*summary).select(*keys, _BLOCK, *carry)
     out = _attach(rows.withColumns(local), carried, keys).withColumns(combine)
     return out.drop(_BLOCK, *local, *[f"_c_{n}" for n in outputs])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import neighbours, number_rows
+from .scan import number_rows, placed
 
 
 def siblings(items: DataFrame, parent: str, key: str) -> DataFrame:
@@ -14,14 +14,13 @@ def siblings(items: DataFrame, parent: str, key: str) -> DataFrame:
     The full list of a parent is its rows in order of ``position``; no pair or
     list per item is built, so a parent with a third of all items stays linear.
     """
-    placed = number_rows(items, [parent], key, "position", "n_siblings")
-    return neighbours(placed, [parent], key, [key])
+    return placed(items, [parent], key, "position", "n_siblings", [key])
 
 
 def directory(groups: DataFrame, group: str, items: DataFrame, item_group: str, item: str) -> DataFrame:
     """Every group with its items in order; a group without items keeps one row."""
-    placed = number_rows(items.select(F.col(item_group).alias(group), item), [group], item, "position")
-    return groups.join(placed, group, "left")
+    numbered = number_rows(items.select(F.col(item_group).alias(group), item), [group], item, "position")
+    return groups.join(numbered, group, "left")
 
 
 def timeline(rows: DataFrame, number: str, year: str, width: int = 1000, height: int = 320) -> DataFrame:
@@ -34,12 +33,12 @@ def timeline(rows: DataFrame, number: str, year: str, width: int = 1000, height:
     usable, baseline = width - left - right, height - 28
     max_rows = max((baseline - 8) // row_height, 1)
     span = rows.agg(F.min(year).alias("_first"), F.max(year).alias("_last"))
-    placed = number_rows(rows, [year], number, "_place")
+    numbered = number_rows(rows, [year], number, "_place")
     first = span.select("_first").scalar()
     years = F.greatest(span.select(F.col("_last") - F.col("_first")).scalar(), F.lit(1))
     x = F.lit(left) + (F.col(year) - first) / years * usable
     y = F.lit(baseline) - F.pmod(F.col("_place") - 1, F.lit(max_rows)) * row_height
-    return placed.withColumns({"x": F.round(x, 1), "y": y.cast("int")}).drop("_place")
+    return numbered.withColumns({"x": F.round(x, 1), "y": y.cast("int")}).drop("_place")
 
 
 def timeline_ticks(rows: DataFrame, year: str, width: int = 1000) -> DataFrame:

@@ -322,8 +322,7 @@ def size_budget(t: Tables) -> DataFrame:
 )
 def prev_next(t: Tables) -> DataFrame:
     items = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
-    numbered = scan.number_rows(items, [], "conv_id", "item_no", "n_items")
-    return scan.neighbours(numbered, [], "conv_id", ["conv_id", "title"]).drop("title")
+    return scan.placed(items, [], "conv_id", "item_no", "n_items", ["conv_id", "title"]).drop("title")
 
 
 @query(

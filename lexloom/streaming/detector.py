@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.scan import running
 
 STATE = "url string, hash string, ts timestamp, epoch bigint"
-HOUR_MICROS = 3_600_000_000
 
 
 def judge(snapshots: DataFrame, state: DataFrame) -> DataFrame:
@@ -28,9 +27,7 @@ def judge(snapshots: DataFrame, state: DataFrame) -> DataFrame:
     known = state.select("url", F.col("hash").alias("_old"), F.col("ts").alias("_old_ts"))
     timely = hashed.join(known, "url", "left").filter(F.col("_old_ts").isNull() | (F.col("ts") >= F.col("_old_ts")))
     placed = timely.withColumns({"_at": F.unix_micros("ts"), "_tie": F.coalesce("hash", F.lit("~"))})
-    scanned = running(
-        placed, ["url"], "_at", {"_before": ("last_before", F.col("hash"))}, ties=["_tie"], block_rows=HOUR_MICROS
-    )
+    scanned = running(placed, ["url"], "_at", {"_before": ("last_before", F.col("hash"))}, ties=["_tie"])
     previous = F.coalesce("_before", "_old")
     verdict = (
         F.when(F.col("hash").isNull(), "unreachable")
