@@ -11,7 +11,10 @@ from . import fixed_values as fv
 from .let import let
 
 
-BLANKS = " \t\n\x0b\f\r"
+# ASCII blanks, the no-break ones, the other spaces of Unicode, line separators and the byte order mark.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+WORD = BLANK.replace("[", "[^", 1) + "+"
 
 
 def strip(c: Column) -> Column:
@@ -35,19 +38,19 @@ def ascii_edges(pattern: str) -> str:
 
 def squish(c: Column) -> Column:
     """All whitespace removed."""
-    return F.regexp_replace(c, r"\s+", "")
+    return F.regexp_replace(c, f"{BLANK}+", "")
 
 
 def normalize_space(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, f"{BLANK}+", " "))
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\S+"))
+    return F.regexp_count(c, F.lit(WORD))
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
 def _chain(c: Column, steps: list[tuple[str, str]]) -> Column:
@@ -89,7 +92,7 @@ def visible_text(html: Column) -> Column:
                 (r"(?i)<style[\s\S]*?</style>", ""),
                 (r"<!--[\s\S]*?-->", ""),
                 (r"<[^>]+>", " "),
-                (r"\s+", " "),
+                (f"{BLANK}+", " "),
             ],
         )
     )

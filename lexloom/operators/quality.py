@@ -135,7 +135,8 @@ def schema_errors(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) ->
         )
         for r in rules
     ]
-    return df.select(*keys, F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    found = F.array(*entries).cast("array<struct<field:string,message:string>>")  # a type also for no rules at all
+    return df.select(*keys, F.inline(F.filter(found, lambda e: e.isNotNull())))
 
 
 def count_band(df: DataFrame, low: int, high: int, what: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quality import Rule, require_clean, schema_errors
+from ..session import checkpointed
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -28,8 +29,10 @@ def sync(
     """Rewrite a target from scratch once every row passes: schema, unique key, known parent.
 
     All problems are collected first, so nothing is written on failure, and a
-    rerun leaves the same content.
+    rerun leaves the same content. The rows are computed once into the shared
+    folder: what is written is what was checked, and ``df`` may read the target.
     """
+    df = checkpointed(df)
     problems = schema_errors(df, [key], rules).select(F.col(key).cast("string").alias("key"), "field", "message")
     twice = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     problems = problems.unionByName(

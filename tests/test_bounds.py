@@ -6,11 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import numbers, urls
+from lexloom.functions.text import normalize_space, visible_text, word_count, words
 from lexloom.operators.order import monotone_contents
 from lexloom.operators.quality import require_clean
 from lexloom.plans.derive import statutes
 from lexloom.plans.registry import Tables
 from lexloom.session import shared_folder
+from lexloom.sources.sinks import sync
+from lexloom.streaming.detector import detect
 from lexloom.streaming.ingest import distinct_snapshots, file_stream
 
 FOLDER = "/root/testdata/sf0.001"
@@ -113,3 +116,35 @@ def test_repeats_at_another_time_are_dropped(spark, folder):
 
 def test_shared_folder_is_named_or_local(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_every_kind_of_blank_parts_words(one):
+    text = "\ufeffone\u00a0two\u2003three\u3000 four\u202f"
+    assert one(words, [text]) == [["one", "two", "three", "four"]]
+    assert one(word_count, [text]) == [4]
+    assert one(normalize_space, [text]) == ["one two three four"]
+    assert one(visible_text, [f"<p>{text}</p>\u00a0"]) == ["one two three four"]
+
+
+def test_a_table_may_be_synced_onto_itself(spark, folder):
+    target = f"{folder}/parts"
+    spark.createDataFrame([("1", "Union"), ("2", "Lands")], "number string, name string").write.parquet(target)
+    renamed = spark.read.parquet(target).withColumn("name", F.upper("name"))
+    sync(renamed, target, "number", [])
+    assert {tuple(r) for r in spark.read.parquet(target).collect()} == {("1", "UNION"), ("2", "LANDS")}
+
+
+def test_state_is_the_same_however_often_the_log_is_summed(spark, folder):
+    found = {}
+    for every in (1, 2, 50):
+        for batch in range(5):
+            rows = [("a", f"2024-01-0{batch + 1} 00:00:00", "x" if batch < 3 else "y"), (f"u{batch}", f"2024-01-0{batch + 1} 01:00:00", "z")]
+            df = spark.createDataFrame(rows, "url string, at string, body string")
+            df.select("url", F.to_timestamp("at").alias("ts"), "body").coalesce(1).write.mode("append").json(f"{folder}/in{every}")
+            stream = spark.readStream.schema("url string, ts timestamp, body string").json(f"{folder}/in{every}")
+            out, state, mark = (f"{folder}/{name}{every}" for name in ("out", "state", "mark"))
+            detect(stream, out, state, mark, every).awaitTermination(120)
+        got = spark.read.parquet(f"{folder}/out{every}").select("url", F.col("ts").cast("string"), "state")
+        found[every] = {tuple(r) for r in got.collect()}
+    assert found[1] == found[2] == found[50] and len(found[1]) == 10
+    assert sorted(s for u, _, s in found[1] if u == "a") == ["changed", "new", "same", "same", "same"]
