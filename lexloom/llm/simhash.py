@@ -10,7 +10,7 @@ inside the join, each segment proposes a pair once, and no pair within the dista
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,28 +33,32 @@ DISTANCE = 4
 HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of a whole text: A-Z lower-cased, split on ASCII blanks, shingles of ``words`` words with repeats.
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, in order and with repeats, in blocks: A-Z lower-cased, split on ASCII blanks.
 
-    A text with fewer words is one shingle; a text without words has fingerprint zero.
+    A text with fewer than ``words`` words is one shingle; a text without words has none.
     """
     # bytes.lower and bytes.split know ASCII only, which is the rule here
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens])
     starts = (ends - [len(t) + 1 for t in tokens]).tolist()
     stops = (ends - 1)[words - 1 :].tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, np.int64)
     for low in range(0, len(stops), HASHES_AT_ONCE):
         high = min(low + HASHES_AT_ONCE, len(stops))
-        hashes = np.fromiter(
-            (digest(joined[a:b], SEED) for a, b in zip(starts[low:high], stops[low:high])), ">u8", high - low
-        )
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[low:high], stops[low:high])), ">u8", high - low)
+
+
+def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of a whole text over its shingles of ``words`` words; without words it is zero."""
+    ones, count = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words):
         ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(stops)).tobytes(), "big")
+        count += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
 def fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -119,15 +123,23 @@ def near_duplicates(documents: DataFrame, words: int = SHINGLE_WORDS, distance:
     # nulls last: any id is smaller than none
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     nodes = checkpointed(marks.groupBy("fp").agg(F.min(first).alias("first")))
-    rooted = components(fingerprint_links(nodes.select("fp"), distance))
-    linked = checkpointed(rooted.join(nodes, rooted["node"] == nodes["fp"]).select("fp", "root", "first"))
+    return with_keepers(marks, nodes, fingerprint_links(nodes.select("fp"), distance), "fp")
+
+
+def with_keepers(marks: DataFrame, nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """(doc_id, key, node, component_id, keeper_key) per row of ``marks``: the first row of its node's component.
+
+    ``nodes`` holds each node once with its ``first`` row (none, doc_id, key); ``links`` (a, b) are between nodes.
+    """
+    rooted = components(links).select(F.col("node").alias(node), "root")
+    linked = checkpointed(rooted.join(nodes, node).select(node, "root", "first"))
     least = checkpointed(linked.groupBy("root").agg(F.min("first").alias("least")))
-    moved = linked.join(least, "root").select("fp", "least")
+    moved = linked.join(least, "root").select(node, "least")
     known = checkpointed(
-        nodes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("keeper"))
+        nodes.join(moved, node, "left").select(node, F.coalesce("least", "first").alias("keeper"))
     )
-    return marks.join(known, "fp").select(
-        "doc_id", "key", "fp", F.col("keeper.doc_id").alias("component_id"), F.col("keeper.key").alias("keeper_key")
+    return marks.join(known, node).select(
+        "doc_id", "key", node, F.col("keeper.doc_id").alias("component_id"), F.col("keeper.key").alias("keeper_key")
     )
 
 
@@ -137,7 +149,11 @@ def without_copies(documents: DataFrame, words: int = SHINGLE_WORDS, distance: i
     Rows repeated as they are count as one document; of rows that share that id but not the text, the one whose text
     has the smallest hash stays. All columns come through, whatever their names.
     """
-    found = near_duplicates(documents, words, distance)
+    return keepers_only(documents, near_duplicates(documents, words, distance))
+
+
+def keepers_only(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``documents`` per component of ``found`` (doc_id, key, component_id, keeper_key)."""
     keep = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("keeper_key")))
         .select(F.struct("doc_id", "key").alias("kept_row"))
