@@ -84,9 +84,11 @@ def search_shard(
         rest = np.where(light > 0, sums[np.arange(n), np.maximum(light - 1, 0)], 0.0)
         partial = (queries * (rank >= light[:, None])) @ block.T
         need = floor - rest
-        if len(block) > k:
-            # where nothing is light, the block's own k-th best (one more for the query itself) is a floor, too
-            own_floor = np.partition(partial[light == 0], -(k + 1), axis=1)[:, -(k + 1)]
+        # rows with the query's id are no candidates and raise no floor
+        partial[block_ids[None, :] == query_ids[:, None]] = -np.inf
+        if len(block) >= k:
+            # where nothing is light, the block's own k-th best is a floor, too
+            own_floor = np.partition(partial[light == 0], -k, axis=1)[:, -k]
             need[light == 0] = np.maximum(need[light == 0], own_floor)
         who, at = np.divmod(np.flatnonzero(partial >= need[:, None]), len(block))
         other = block_ids[at] != query_ids[who]

@@ -135,3 +135,18 @@ def test_equal_rows_everywhere(spark):
     near = ann.nearest_neighbours(df, df.where("vec_id % 50 = 0"), shard_rows=100).collect()
     for r in near:
         assert r["vec_id"] == [v for v in range(7) if v != r["query_id"]][r["rank"] - 1]
+
+
+@pytest.mark.parametrize("repeats", [2, 25])
+def test_rows_of_the_own_id_raise_no_floor(repeats):
+    """Rows that share the query's id and score highest leave the k best others in place."""
+    rng = np.random.default_rng(6)
+    matrix = rng.normal(size=(200, 8)) / 8
+    matrix[:repeats] = 4 + rng.random((repeats, 8))
+    ids = np.array([7] * repeats + list(range(100, 300 - repeats)))
+    blob = to_blob(ids, maxscore.quantized(matrix))
+    query = np.full((1, 8), 1.0)
+    scores = (maxscore.quantized(matrix) @ maxscore.quantized(query).T)[:, 0]
+    others = sorted((-int(s), int(i)) for i, s in zip(ids, scores) if i != 7)[:20]
+    found = zip(*maxscore.search_shard(blob, np.array([7]), query, 20)[1:])
+    assert sorted((-int(s), int(v)) for v, s in found) == others
