@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .common import labelled_sample, over_texts, texts_of, with_columns
 from .transducers import Transducer
 
@@ -291,16 +292,16 @@ def learned_words(rows: DataFrame) -> dict[str, float]:
     return {w: v for w, v in words.items() if v > 0}
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[dict[str, float], float]:
-    """Logistic regression by Newton steps, pulled towards the grammar's weights."""
+def _fit(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[dict[str, float], float]:
+    """Logistic regression by Newton steps, pulled towards the grammar's weights; row i counts ``times[i]`` times."""
     prior = np.array([*LABEL_WEIGHTS.values(), -3.0])
     pull = np.array([RIDGE] * len(LABELS) + [0.01])
     design = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
-        gradient = design.T @ (p - y) + pull * (w - prior)
-        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(pull)
+        gradient = design.T @ (times * (p - y)) + pull * (w - prior)
+        curve = (design * (times * p * (1 - p))[:, None]).T @ design + np.diag(pull)
         step = np.linalg.solve(curve, gradient)
         size = np.abs(step).max()
         w = w - step * min(1.0, 2.0 / max(size, 1e-12))
@@ -309,13 +310,26 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[dict[str, float], float]:
     return dict(zip(LABELS, np.maximum(w[:-1], 0.0).tolist())), float(w[-1])
 
 
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """The sample (text, y) in at most ``most`` rows, for labelled ids may be repeated in any number of rows.
+
+    A sample within the bound stays as it is. Of a larger one, equal rows count once and the rows of the smallest hashes
+    stay, whatever their label; only hashes are sorted.
+    """
+    if rows.count() <= most:
+        return rows
+    marked = rows.distinct().withColumn("mark", F.xxhash64("text", "y"))
+    last = marked.select("mark").orderBy("mark").limit(most).agg(F.max("mark")).first()[0]
+    return checkpointed(marked.where(F.col("mark") <= last).select("text", "y"))
+
+
 def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     """Lexicon and weights from at most ``most`` labelled rows outside the held-out fold.
 
     Features of the sample, a few numbers per row, come to the driver; texts do not. Without labels of both kinds the
     lists and the grammar's weights stand as they are.
     """
-    rows = labelled_sample(documents, labels, "toxic", FOLDS, HELD_OUT, most)
+    rows = _bounded(labelled_sample(documents, labels, "toxic", FOLDS, HELD_OUT, most), most)
     words = learned_words(rows)
     start = Model(words, LABEL_WEIGHTS, 0.0)
 
@@ -330,12 +344,11 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> M
 
     sized = over_texts(rows, "text", make, "y int, x array<double>")
     # equal rows of the sample come as one with a count: what is collected stays small
-    found = sized.groupBy("y", "x").agg(F.count("*").alias("n")).orderBy("y", "x").limit(most).collect()
+    found = sized.groupBy("y", "x").agg(F.count("*").alias("n")).orderBy("y", "x").collect()
     if len({r["y"] for r in found}) < 2:
         return Model(words, dict(LABEL_WEIGHTS), -3.0)
-    times = np.array([r["n"] for r in found])
-    x = np.repeat(np.array([r["x"] for r in found]), times, axis=0)
-    weights, offset = _fit(x, np.repeat(np.array([float(r["y"]) for r in found]), times))
+    x, y, times = (np.array([r[c] for r in found], float) for c in ("x", "y", "n"))
+    weights, offset = _fit(x, y, times)
     return Model(words, weights, offset)
 
 

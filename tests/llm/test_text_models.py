@@ -159,3 +159,16 @@ def test_held_out_accuracy(spark, operator, label, least):
     test = found.where(held_out(F.col("doc_id"), operator.FOLDS, operator.HELD_OUT))
     n, right = test.count(), test.where(F.col("predicted") == F.col(label)).count()
     assert right / n >= least
+
+
+def test_repeated_labelled_ids_do_not_push_a_label_out(spark):
+    """One clean id in many rows: the sample stays within its bound and keeps rows of both labels."""
+    clean = [(1, " ".join(["the table is set for lunch"] * (i % 20 + 1)) + "! idiot proof" * (i // 20)) for i in range(300)]
+    toxic = [(i, f"you are an idiot and a moron number {i}") for i in range(2, 302)]
+    docs = spark.createDataFrame(clean + toxic, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)] + [(i, 1) for i, _ in toxic], "doc_id long, toxic int")
+    rows = spark.createDataFrame([(t, int(i > 1)) for i, t in clean + toxic + clean], "text string, y int")
+    kept = toxicity._bounded(rows, 60).groupBy("y").count().collect()
+    assert sum(r["count"] for r in kept) == 60 and {r["y"] for r in kept} == {0, 1}
+    assert toxicity._bounded(rows, 900) is rows
+    assert toxicity.train(docs, labels, 310) != toxicity.train(docs, labels.where("toxic = 0"), 310)
