@@ -114,8 +114,8 @@ def running(
 ) -> DataFrame:
     """Running values along a key.
 
-    Kinds: ``max_before`` and ``last_before`` (rows strictly before), ``sum`` and
-    ``last`` (this row included); ``last`` skips nulls.
+    Kinds: ``max_before`` and ``last_before`` (rows strictly before), ``sum``,
+    ``xor`` and ``last`` (this row included); ``last`` skips nulls.
     """
     order = [pos, *ties]
     rows = _ranged(df, keys, order, blocks)
@@ -137,6 +137,11 @@ def running(
             summary.append(F.sum(c).alias(theirs))
             carry.append(F.sum(theirs).over(earlier).alias(theirs))
             combine[name] = F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0))
+        elif kind == "xor":
+            local[mine] = F.bit_xor(c).over(so_far)
+            summary.append(F.bit_xor(c).alias(theirs))
+            carry.append(F.bit_xor(theirs).over(earlier).alias(theirs))
+            combine[name] = F.coalesce(F.col(mine), F.lit(0)).bitwiseXOR(F.coalesce(F.col(theirs), F.lit(0)))
         elif kind in ("last", "last_before"):
             local[mine] = F.last(c, ignorenulls=True).over(so_far if kind == "last" else before)
             summary.append(F.max_by(c, F.when(c.isNotNull(), at)).alias(theirs))

@@ -52,7 +52,7 @@ def test_running_values(rows, blocks):
         rows,
         ["k"],
         "pos",
-        {"top": ("max_before", v), "sum": ("sum", v), "last": ("last", v), "earlier": ("last_before", v)},
+        {"top": ("max_before", v), "sum": ("sum", v), "last": ("last", v), "earlier": ("last_before", v), "xor": ("xor", v)},
         blocks=blocks,
     )
     before, upto = by_key().rowsBetween(W.unboundedPreceding, -1), by_key().rowsBetween(W.unboundedPreceding, 0)
@@ -62,6 +62,7 @@ def test_running_values(rows, blocks):
             "sum": F.coalesce(F.sum("v").over(upto), F.lit(0)),
             "last": F.last("v", ignorenulls=True).over(upto),
             "earlier": F.last("v", ignorenulls=True).over(before),
+            "xor": F.coalesce(F.bit_xor("v").over(upto), F.lit(0)),
         }
     )
     same(got.select(*want.columns), want)
