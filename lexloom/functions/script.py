@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .let import let, offsets
+from .let import constant_map, let, offsets
 from .text import strip
 from .word_repair import repair_words
 
@@ -193,7 +193,7 @@ def _heading_parts(split: Column) -> Column:
     )
 
 
-def _accepted_heading(h: Column) -> Column:
+def _accepted_heading(h: Column, suffix_map: dict[str, str] | None = None) -> Column:
     digits = h["digits"]
     smallest = F.least(*[x.try_cast("int") for x in (digits, F.right(digits, F.lit(3)), F.right(digits, F.lit(2)))])
     ok = (
@@ -201,21 +201,31 @@ def _accepted_heading(h: Column) -> Column:
         & (smallest <= fv.MAX_ITEM_NUMBER)
         & ~((F.length(digits) == 1) & _any_signal(h["rest"]))
     )
+    printed, latin = F.concat(digits, h["suffix"]), F.concat(digits, latin_suffix(h["suffix"]))
+    if suffix_map:
+        # digits as printed, then their 3- and 2-digit tails: a marker may be fused onto the number
+        known = constant_map(suffix_map)
+        tails = [F.concat(d, h["suffix"]) for d in (digits, F.right(digits, F.lit(3)), F.right(digits, F.lit(2)))]
+        mapped = F.coalesce(*[F.when(F.map_contains_key(known, t), t) for t in tails])
+        printed, latin = F.coalesce(mapped, printed), F.coalesce(F.try_element_at(known, mapped), latin)
     return F.when(
         ok,
         F.struct(
-            F.concat(digits, h["suffix"]).alias("number_hi"),
-            F.concat(digits, latin_suffix(h["suffix"])).alias("latin"),
+            printed.alias("number_hi"),
+            latin.alias("latin"),
             h["rest"].alias("rest"),
             F.when(h["prefix"] == "", "").otherwise(F.concat(h["prefix"], F.lit(" "))).alias("prefix"),
         ),
     )
 
 
-def heading(line: Column) -> Column:
-    """Struct(number_hi, latin, rest, prefix) of an item heading, null for other lines."""
+def heading(line: Column, suffix_map: dict[str, str] | None = None) -> Column:
+    """Struct(number_hi, latin, rest, prefix) of an item heading, null for other lines.
+
+    ``suffix_map`` names numbers whose Latin form is known; others are read by the position of their suffix letters.
+    """
     stripped = F.regexp_replace(strip(line), r"^[\[(\u0964\]\s]+", "")
-    return let(let(let(stripped, _split_prefix), _heading_parts), _accepted_heading)
+    return let(let(let(stripped, _split_prefix), _heading_parts), lambda h: _accepted_heading(h, suffix_map))
 
 
 def line_kind(line: Column) -> Column:
