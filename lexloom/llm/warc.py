@@ -219,10 +219,13 @@ class WarcReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(base, recursive=True))
         hidden = re.compile(r"(^|/)[._][^/]*(/|$)")
         names = sorted(f.path for f in found if f.is_file and f.size and not hidden.search(f.path[len(base) :]))
-        return [InputPartition(name) for name in names]
+        # Spark reads a source without partitions as one of its own; a folder without archives is one empty partition
+        return [InputPartition(name) for name in names or [""]]
 
     def rows(self, name: str) -> Iterator[tuple[dict, int]]:
-        """Wanted records of a file as column values, with the payload bytes read."""
+        """Wanted records of a file as column values, with the payload bytes read; no name is no file."""
+        if not name:
+            return
         store, _ = fs.FileSystem.from_uri(self.path)
         wanted = set(self.schema.fieldNames())
         with io.BufferedReader(store.open_input_file(name), 1 << 20) as source:
