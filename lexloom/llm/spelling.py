@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from . import bloom
 from .common import chunks, sent, texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,31 +40,18 @@ RUNS = re.compile(rf"[a-zÀ-ÿ]{{{LEAST_LENGTH},}}")
 
 #: Words that a task counts before it gives them on.
 COUNTED = 200_000
-#: Bits of filter per word, bits set per word, words of 64 bits in a block, blocks of a page.
-BITS_PER_WORD = 16
-BITS_SET = 8
-BLOCK = 8
-PAGE = 1024
-#: Words of this length or more share a shard.
+#: Words of this length or more share a shard, whose filter is sparser, for long words have very many edits.
 LONG = 64
-#: Bytes of filters broadcast at once.
-BROADCAST_BYTES = 32 << 20
+LONG_BITS = 64
 #: Edits probed at once.
 EDITS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit values with all bits depending on all bits of x."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def letter_values(codes: np.ndarray) -> np.ndarray:
     """What a character adds to a hash, before its place counts."""
-    return mixed(codes.astype(np.uint64) + np.uint64(1))
+    return bloom.mixed(codes.astype(np.uint64) + np.uint64(1))
 
 
 def powers(count: int) -> np.ndarray:
@@ -92,60 +80,8 @@ def shard_of(length: int) -> int:
 
 
 def filter_blocks(words: int, shard: int) -> int:
-    """Blocks of a shard's filter. Long words have very many edits, so their filter is sparse."""
-    if shard == LONG:
-        return max(PAGE, -(-words * 4 * BITS_PER_WORD // (64 * BLOCK)))
-    return max(1, -(-words * BITS_PER_WORD // (64 * BLOCK)))
-
-
-def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    return (mixed(hashes) >> np.uint64(16)).astype(np.int64) % blocks
-
-
-def bits_of(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word of the block, bit in it), ``BITS_SET`` times."""
-    more = mixed(hashes ^ _BASE)
-    for _ in range(BITS_SET):
-        yield (more & np.uint64(BLOCK - 1)).astype(np.int64), np.uint64(1) << ((more >> np.uint64(3)) & np.uint64(63))
-        more = mixed(more + _BASE)
-
-
-class Filters:
-    """Pages of the shards' filters; ``blocks`` per shard, and bytes per (shard, page). Pages not held deny all."""
-
-    def __init__(self, blocks: dict[int, int], pages: dict[tuple[int, int], bytes]):
-        self.blocks = blocks
-        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for shard, count in blocks.items():
-            mine = sorted((p, b) for (s, p), b in pages.items() if s == shard)
-            if mine:
-                first = np.full(-(-count // PAGE), -1, np.int64)
-                data = np.concatenate([np.frombuffer(b, np.uint64) for _, b in mine])
-                first[[p for p, _ in mine]] = np.cumsum([0, *(len(b) // 8 for _, b in mine[:-1])])
-                self.held[shard] = first, data
-
-    def holds(self, shard: int, hashes: np.ndarray) -> np.ndarray:
-        """Places of the hashes that the shard's filter may hold."""
-        if shard not in self.held:
-            return np.zeros(0, np.int64)
-        first, data = self.held[shard]
-        block = block_of(hashes, self.blocks[shard])
-        start = first[block // PAGE]
-        left = np.flatnonzero(start >= 0)
-        start = (start + block % PAGE * BLOCK)[left]
-        for word, bit in bits_of(hashes):
-            has = (data[start + word[left]] & bit[left]) != 0
-            left, start = left[has], start[has]
-        return left
-
-
-def page_bytes(hashes: np.ndarray, blocks: int, page: int) -> bytes:
-    """The page of a filter that holds these hashes, all of its blocks."""
-    data = np.zeros(min(PAGE, blocks - page * PAGE) * BLOCK, np.uint64)
-    start = (block_of(hashes, blocks) - page * PAGE) * BLOCK
-    for word, bit in bits_of(hashes):
-        np.bitwise_or.at(data, start + word, bit)
-    return data.tobytes()
+    """Blocks of a shard's filter."""
+    return max(bloom.PAGE, bloom.blocks_for(words, LONG_BITS)) if shard == LONG else bloom.blocks_for(words)
 
 
 def counted_words(documents: DataFrame) -> DataFrame:
@@ -187,18 +123,18 @@ def counted_words(documents: DataFrame) -> DataFrame:
 
 
 def _passes(sizes: dict[tuple[int, int], int]) -> list[list[tuple[int, int]]]:
-    """Pages in groups of at most ``BROADCAST_BYTES`` together."""
+    """Pages in groups of at most ``bloom.BROADCAST_BYTES`` together."""
     groups, room = [], 0
     for page, size in sorted(sizes.items()):
         if not groups or size > room:
             groups.append([])
-            room = BROADCAST_BYTES
+            room = bloom.BROADCAST_BYTES
         groups[-1].append(page)
         room -= size
     return groups
 
 
-def edits(words: list[str], alphabet: np.ndarray, filters: Filters) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def edits(words: list[str], alphabet: np.ndarray, filters: bloom.Filters) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(word, place, letter) of the edits that the filters may hold; letter 0 takes the character out."""
     codes, sizes = codes_of(words)
     starts = np.cumsum(sizes) - sizes
@@ -245,33 +181,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
     letters = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).distinct()
     alphabet = np.array(sorted(ord(r["c"]) for r in letters.collect() if r["c"]), np.uint32)
 
-    def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("word").to_pylist()
-            hashes = word_hashes(texts)
-            shard = np.array([shard_of(len(t)) for t in texts], np.int32)
-            page = np.array([0] * len(texts), np.int32)
-            for s in np.unique(shard).tolist():
-                page[shard == s] = block_of(hashes[shard == s], blocks[s]) // PAGE
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(page), pa.array(hashes.view(np.int64))], names=["shard", "page", "hash"]
-            )
-
-    def built(table: pa.Table) -> pa.Table:
-        shard, page = table.column("shard")[0].as_py(), table.column("page")[0].as_py()
-        data = page_bytes(table.column("hash").to_numpy().view(np.uint64), blocks[shard], page)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "page": pa.array([page], pa.int32()), "data": [data]})
-
-    hashed = words.select("word").mapInArrow(paged, "shard int, page int, hash long")
-    pages = checkpointed(
-        hashed.groupBy("shard", "page").applyInArrow(built, "shard int, page int, data binary")
-    )
+            shard = pa.array([shard_of(len(t)) for t in texts], pa.int32())
+            yield pa.RecordBatch.from_arrays([shard, pa.array(word_hashes(texts).view(np.int64))], names=["shard", "hash"])
+
+    pages = checkpointed(bloom.pages(words.select("word").mapInArrow(hashed, "shard int, hash long"), blocks))
     held = {(r["shard"], r["page"]): r["size"] for r in pages.select("shard", "page", F.length("data").alias("size")).collect()}
     found = None
     for group in _passes(held):
         asked = F.struct("shard", "page").isin([F.struct(F.lit(s), F.lit(p)) for s, p in group]) if len(group) < len(held) else F.lit(True)
         bytes_ = {(r["shard"], r["page"]): bytes(r["data"]) for r in pages.where(asked).collect()}
-        hits = words.mapInArrow(_probe(sent(spark, (alphabet, Filters(blocks, bytes_)))), "edit string, a string, n_a long")
+        hits = words.mapInArrow(_probe(sent(spark, (alphabet, bloom.Filters(blocks, bytes_)))), "edit string, a string, n_a long")
         found = hits if found is None else found.union(hits)
     if found is None:
         return words.where("false").select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("word").alias("b"), F.col("n").alias("n_b"))
