@@ -1,8 +1,8 @@
 """Statute text to parts, items, clauses, schedules and footnotes.
 
-One shuffle moves each document's text to its partition; lines are exploded
-there and every window below is keyed by document, so nothing is exchanged
-again. A document is one input row, which bounds every window and fold.
+Lines are classified by their characters and walked once in order, both where
+the document is read. The lines of an item, a footnote or a part are then
+gathered by their key; documents are never gathered, so a long one is spread.
 """
 
 from __future__ import annotations
@@ -10,15 +10,12 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import numbers, text
 from ..functions.let import constant_array, constant_map, let
-
-PHASES = ["pre", "preamble", "articles", "schedules", "appendices"]
-PRE, PREAMBLE, ARTICLES, SCHEDULES, APPENDICES = range(5)
+from .statute_walk import PHASES, PREAMBLE, SCHEDULES, flag_bits, has_flag, walked
 
 
 class Statute:
@@ -33,13 +30,9 @@ class Statute:
         self.lines = lines
         self._as_closed = status_as_closed
 
-    @cached_property
-    def _per_doc(self) -> DataFrame:
-        return _per_document(self.lines)
-
     @cached_property
     def items(self) -> DataFrame:
-        return _item_table(self._per_doc, self._as_closed)
+        return _item_table(_per_item(self.lines), self.footnotes, self._as_closed)
 
     @cached_property
     def clauses(self) -> DataFrame:
@@ -49,7 +42,7 @@ class Statute:
 
     @cached_property
     def footnotes(self) -> DataFrame:
-        return self._per_doc.select("doc_id", F.inline("_notes"))
+        return _footnotes(self.lines)
 
     @cached_property
     def parts(self) -> DataFrame:
@@ -162,234 +155,57 @@ def line_class(schedules: bool = True) -> Column:
     )
 
 
-def gate_numbers(events: Column) -> Column:
-    """Accepted item numbers of one document.
-
-    ``events``: array of (line_no, kind, number) with kind H (heading), B (a bare
-    number) or C (a heading that closes the open item), in line order. Returns an
-    array of (line_no, number, fused). A bare number must continue the sequence
-    within the jump bound; a heading far beyond it lost a digit to a marker.
-    """
-    start = F.struct(
-        F.lit(0).alias("last"),
-        F.lit(False).alias("open"),
-        F.array().cast("array<struct<line_no:int,number:string,fused:int>>").alias("out"),
-    )
-
-    def close(acc: Column) -> Column:
-        return F.struct(acc["last"].alias("last"), F.lit(False).alias("open"), acc["out"].alias("out"))
+def _with_marks(lines: DataFrame) -> DataFrame:
+    """``flags`` of classified lines, and the numbers the walk reads beside them."""
 
-    def accept(acc: Column, e: Column, number: Column, fused: Column) -> Column:
-        value = numbers.order_number(number)
-        entry = F.struct(e["line_no"].alias("line_no"), number.alias("number"), fused.alias("fused"))
-        return F.struct(
-            F.when(value > 0, value).otherwise(acc["last"]).alias("last"),
-            F.lit(True).alias("open"),
-            F.array_append(acc["out"], entry).alias("out"),
-        )
+    def mark(c: Column) -> Column:
+        return F.nullif(F.regexp_extract(c, fv.MARKER, 1), F.lit("")).cast("int")
 
-    def step(acc: Column, e: Column) -> Column:
-        value = numbers.order_number(e["number"])
-        limit = acc["last"] + fv.SEQUENCE_JUMP
-        tail = F.substring(e["number"], F.lit(2), F.length(e["number"]))
-        is_fused = (
-            (acc["last"] > 0)
-            & (value > limit)
-            & tail.rlike(r"^\d{1,3}[A-Z]{0,2}$")
-            & (numbers.order_number(tail) <= limit)
-        )
-        continues = (
-            acc["open"]
-            & ((value > acc["last"]) | ((value == acc["last"]) & e["number"].rlike("[A-Z]$")))
-            & (value <= limit)
-        )
-        no_fusion = F.lit(None).cast("int")
-        return (
-            F.when(e["kind"] == "C", close(acc))
-            .when(
-                (e["kind"] == "H") & is_fused,
-                accept(acc, e, tail, F.substring(e["number"], 1, 1).cast("int")),
-            )
-            .when((e["kind"] == "H") | continues, accept(acc, e, e["number"], no_fusion))
-            .otherwise(acc)
-        )
+    def dashed(c: Column) -> Column:
+        """The mark at the head of what follows the title dash."""
+        return F.when(text.dash_position(c) > 0, mark(text.strip_leading_dashes(text.after_dash(c))))
 
-    return F.aggregate(events, start, step, lambda acc: acc["out"])
-
-
-def _phases(lines: DataFrame, start_phase: str) -> DataFrame:
-    """``phase`` code per line: later phases begin behind the line that closes the one before."""
-    doc = W.partitionBy("doc_id")
-    by_line = doc.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    counts = ~F.col("is_blank") & ~F.col("is_page")
-    if start_phase == "articles":
-        lines = lines.withColumns({"opening_at": F.lit(-2), "closing_at": F.lit(-1)})
-    else:
-        opens = F.startswith("line", F.lit(fv.PREAMBLE_OPENING)) & counts
-        lines = lines.withColumn("opening_at", F.min(F.when(opens, F.col("line_no"))).over(doc))
-        after_opening = F.col("line_no") > F.col("opening_at")
-        note_state = (
-            F.when(after_opening & F.col("footnote_raw") & counts, 1)
-            .when(F.col("is_blank") | F.col("is_structural"), 0)
-        )
-        lines = lines.withColumn("_pre_note", F.coalesce(F.last(note_state, ignorenulls=True).over(by_line), F.lit(0)))
-        closes = after_opening & (F.col("_pre_note") == 0) & F.col("line").rlike(text.spaced(fv.PREAMBLE_CLOSING) + r"\s*$")
-        lines = lines.withColumn("closing_at", F.min(F.when(closes, F.col("line_no"))).over(doc)).drop("_pre_note")
-    in_body = F.coalesce(F.col("line_no") > F.col("closing_at"), F.lit(False)) & counts
-    anchored = _starts_schedule_anchor(F.col("line"))
-    lines = lines.withColumn("is_schedule", in_body & (F.col("schedule_word").isNotNull() | anchored))
-    lines = lines.withColumns(
-        {
-            "_schedule_at": F.min(F.when(F.col("is_schedule"), F.col("line_no"))).over(doc),
-            "_appendix_at": F.min(F.when(in_body & F.col("is_appendix"), F.col("line_no"))).over(doc),
-        }
-    )
-    phase = (
-        F.when(F.col("line_no") >= F.col("_appendix_at"), APPENDICES)
-        .when(F.col("line_no") >= F.col("_schedule_at"), SCHEDULES)
-        .when(F.col("line_no") > F.col("closing_at"), ARTICLES)
-        .when(F.col("line_no") >= F.col("opening_at"), PREAMBLE)
-        .otherwise(PRE)
-    )
-    return lines.withColumn("phase", phase).drop("_schedule_at", "_appendix_at")
-
-
-def _notes(lines: DataFrame) -> DataFrame:
-    """Footnote blocks: from a starting line up to the next blank or structural line."""
-    doc = W.partitionBy("doc_id").orderBy("line_no")
-    upto = doc.rowsBetween(W.unboundedPreceding, 0)
-    ahead = doc.rowsBetween(1, W.unboundedFollowing)
-    counts = ~F.col("is_blank") & ~F.col("is_page")
-    next_structural = F.first(F.when(counts, F.col("is_structural")), ignorenulls=True).over(ahead)
-    lines = lines.withColumn("_next_structural", F.coalesce(next_structural, F.lit(False)))
-    heading = F.col("is_part") | F.col("is_chapter") | F.col("is_anchor")
-    in_articles = (F.col("phase") == ARTICLES) & counts
-    section = in_articles & ~heading & F.col("section_shape") & F.col("_next_structural")
-    starts = counts & (
-        F.when(F.col("phase") == ARTICLES, F.col("footnote_clean") & ~F.col("wins") & ~heading & ~section)
-        .when((F.col("phase") == SCHEDULES) & ~F.col("is_schedule"), F.col("footnote_raw"))
-        .when((F.col("phase") == PREAMBLE) & (F.col("line_no") > F.col("opening_at")), F.col("footnote_raw"))
-        .otherwise(F.lit(False))
-    )
-    breaks = F.col("is_blank") | F.col("is_structural")
-    state = F.when(starts, 1).when(breaks, 0)
-    lines = lines.withColumns({"_starts": starts, "_breaks": breaks, "is_section": section})
-    lines = lines.withColumn("_state", F.coalesce(F.last(state, ignorenulls=True).over(upto), F.lit(0)))
-    opens = F.col("_starts") & (F.col("_breaks") | (F.coalesce(F.lag("_state").over(doc), F.lit(0)) == 0))
-    lines = lines.withColumns({"in_note": F.col("_state") == 1, "note_opens": opens})
-    lines = lines.withColumn(
-        "note_no", F.when(F.col("in_note"), F.sum(F.col("note_opens").cast("int")).over(upto))
-    )
-    return lines.drop("_starts", "_breaks", "_state", "_next_structural")
-
-
-def _gated(lines: DataFrame) -> DataFrame:
-    """Columns ``item_number`` and ``fused`` on accepted headings.
-
-    The lines of a document sit in one partition, so gathering and exploding them
-    again moves nothing; a join on (doc_id, line_no) would.
-    """
-    settled = ("footnote_raw", "footnote_clean", "is_appendix", "wins", "is_structural", "opening_at", "closing_at")
-    columns = [c for c in lines.columns if c not in ("doc_id", "line_no", *settled)]
-    gathered = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", *columns))).alias("_lines"))
-    events = F.transform(
-        F.filter("_lines", lambda r: r["_kind"].isNotNull()),
-        lambda r: F.struct(
-            r["line_no"].alias("line_no"),
-            r["_kind"].alias("kind"),
-            F.coalesce(r["number"], r["bare_number"]).alias("number"),
-        ),
-    )
-    gathered = gathered.withColumn("_accepted", gate_numbers(events))
-    found = F.transform(
-        "_lines",
-        lambda r: F.struct(
-            r.alias("r"),
-            F.when(
-                r["_kind"].isin("H", "B"),
-                F.get(F.filter("_accepted", lambda a: a["line_no"] == r["line_no"]), F.lit(0)),
-            ).alias("a"),
+    line = F.col("line")
+    name = part_name(line)
+    anchors = constant_map({a[0]: a[1] for a in fv.PART_NAME_ANCHORS})
+    found = {
+        "starts_schedule": F.col("schedule_word").isNotNull() | _starts_schedule_anchor(line),
+        "opens_preamble": F.startswith("line", F.lit(fv.PREAMBLE_OPENING)),
+        "closes_preamble": line.rlike(text.spaced(fv.PREAMBLE_CLOSING) + r"\s*$"),
+        "names_shape": line.rlike(r"^[\s\d*\[\]]*[A-Z]") & (F.length(name) > 1) & name.rlike(r"^[A-Z][A-Z\s&,'’().-]*$"),
+        "dash_in_rest": text.dash_position(F.col("rest")) > 0,
+        "dash_in_clean": text.dash_position(F.col("clean")) > 0,
+        "part_number": F.when(F.col("is_part"), numbers.roman_number(_part_roman())).when(
+            F.col("is_anchor"), anchors[F.col("structure")]
         ),
-    )
-    return gathered.select("doc_id", F.explode(found).alias("_f")).select(
-        "doc_id", "_f.r.*", F.col("_f.a.number").alias("item_number"), F.col("_f.a.fused").alias("fused")
-    )
-
-
-def _items(lines: DataFrame) -> DataFrame:
-    """Accepted item headings, the open item of every line, and its role."""
-    doc = W.partitionBy("doc_id").orderBy("line_no")
-    upto = doc.rowsBetween(W.unboundedPreceding, 0)
-    free = (F.col("phase") == ARTICLES) & ~F.col("is_blank") & ~F.col("is_page") & ~F.col("in_note")
-    heading = F.col("is_part") | F.col("is_chapter") | F.col("is_anchor")
-    section = F.col("is_section") & free
-    ordinary = free & ~heading & ~section
-    closes = (free & (F.col("is_part") | F.col("is_anchor"))) | section
-    kind = (
-        F.when(closes, "C")
-        .when(ordinary & F.col("number").isNotNull(), "H")
-        .when(ordinary & F.col("bare_number").isNotNull(), "B")
-    )
-    lines = lines.withColumns({"is_section": section, "_ordinary": ordinary, "_kind": kind})
-    lines = _gated(lines)
-    accepted = F.col("item_number").isNotNull()
-    ends = closes | (F.col("phase") >= SCHEDULES)
-    is_open = F.last(F.when(accepted, True).when(ends, False), ignorenulls=True).over(upto)
-    lines = lines.withColumns(
-        {
-            "_count": F.sum(accepted.cast("int")).over(upto),
-            "_open": F.coalesce(is_open, F.lit(False)),
-        }
-    )
-    lines = lines.withColumn("item_no", F.when(F.col("_open"), F.col("_count")))
-    # Title runs from the heading to the first dash; what follows is body.
-    inside = F.col("_ordinary") & F.col("_open")
-    item = W.partitionBy("doc_id", "item_no")
-    has_dash = F.when(accepted & F.col("number").isNotNull(), text.dash_position(F.col("rest")) > 0).otherwise(
-        ~accepted & (text.dash_position(F.col("clean")) > 0)
-    )
-    lines = lines.withColumn("_title_end", F.min(F.when(inside & has_dash, F.col("line_no"))).over(item))
-    in_title = inside & (F.col("_title_end").isNull() | (F.col("line_no") <= F.col("_title_end")))
-    source = F.when(accepted, F.when(F.col("number").isNotNull(), F.col("rest")).otherwise("")).otherwise(F.col("clean"))
-    lines = lines.withColumns(
-        {
-            "title_piece": F.when(in_title, text.strip(text.before_dash(source))),
-            "body_piece": F.when(
-                inside & (F.col("line_no") == F.col("_title_end")),
-                text.strip_leading_dashes(text.after_dash(source)),
-            ).when(inside & ~in_title, F.col("clean")),
-        }
-    )
-    # Lines outside any item: part names in capitals, then section headings.
-    loose = F.col("_ordinary") & ~F.col("_open")
-    name = F.when(loose, text.normalize_space(F.regexp_replace("line", r"[\d*\[\]]", "")))
-    shaped = F.coalesce(F.length(name) > 1, F.lit(False)) & name.rlike(r"^[A-Z][A-Z\s&,'’().-]*$")
-    flushes = free & heading
-    lines = lines.withColumns({"_loose": loose, "_name": name, "_shaped": shaped})
-    lines = lines.withColumn("_group", F.sum(flushes.cast("int")).over(upto))
-    group = W.partitionBy("doc_id", "_group").orderBy("line_no")
-    stopped = F.sum((F.col("_loose") & ~F.col("_shaped")).cast("int")).over(group.rowsBetween(W.unboundedPreceding, 0))
-    names_part = F.first(F.col("is_part") & free & numbers.roman_number(_part_roman()).isNotNull()).over(
-        group.rowsBetween(W.unboundedPreceding, 0)
-    )
-    lines = lines.withColumn("_names_part", F.col("_loose") & F.col("_shaped") & (stopped == 0) & names_part)
-    anchors = {a[0]: a[1] for a in fv.PART_NAME_ANCHORS}
-    anchor_number = constant_map(anchors)[F.col("structure")]
-    part_number = F.when(free & F.col("is_part"), numbers.roman_number(_part_roman())).when(
-        free & F.col("is_anchor"), anchor_number
-    )
-    section_text = F.when(
-        section | (free & F.col("is_chapter")) | (loose & F.col("section_shape") & ~F.col("_names_part")),
-        text.strip(F.col("line")),
-    )
+        "mark_clean": mark(F.col("clean")),
+        "mark_rest": dashed(F.col("rest")),
+        "mark_behind": dashed(F.col("clean")),
+        "mark_line": mark(line),
+        "mark_note": F.nullif(F.regexp_extract(text.strip(line), r"^(\d{1,2})\.", 1), F.lit("")).cast("int"),
+    }
+    return lines.withColumns(found).withColumn("flags", flag_bits())
+
+
+def part_name(line: Column) -> Column:
+    return text.normalize_space(F.regexp_replace(line, r"[\d*\[\]]", ""))
+
+
+def _pieces(lines: DataFrame) -> DataFrame:
+    """``title_piece``, ``body_piece`` and ``part_name_piece`` of walked lines, and the flags later steps read."""
+    headed, role = F.col("item_number").isNotNull(), F.col("role")
+    # the rest of a heading; a bare number has none
+    rest = F.regexp_extract("clean", fv.ITEM_HEADING, 2)
+    source = F.when(headed, rest).otherwise(F.col("clean"))
+    flags = {n: has_flag(n) for n in ("is_blank", "is_page", "is_part", "is_anchor")}
     return lines.withColumns(
         {
-            "part_set": part_number,
-            "part": F.coalesce(F.last(part_number, ignorenulls=True).over(upto), F.lit("")),
-            "section": F.last(section_text, ignorenulls=True).over(upto),
-            "part_name_piece": F.when(F.col("_names_part"), F.col("_name")),
+            **flags,
+            "title_piece": F.when(role.isin(1, 2), text.strip(text.before_dash(source))),
+            "body_piece": F.when(role == 2, text.strip_leading_dashes(text.after_dash(source))).when(role == 3, F.col("clean")),
+            "part_name_piece": F.when(F.col("names_part"), part_name(F.col("line"))),
         }
-    ).drop("_kind", "_count", "_title_end", "_loose", "_name", "_shaped", "_group", "_names_part")
+    )
 
 
 def _part_roman() -> Column:
@@ -456,19 +272,11 @@ def _clauses_of(pieces: Column) -> Column:
 
 
 def _per_item(lines: DataFrame) -> DataFrame:
-    """One row per (doc, item) and one per document for the lines outside items."""
-    strings = "array<struct<line_no:int,marker:int,kind:string,number:string,text:string>>"
+    """One row per item, with its clauses."""
+    parsed = "array<struct<line_no:int,marker:int,kind:string,number:string,text:string>>"
     title = F.struct("line_no", F.col("title_piece").alias("t"))
     piece = F.struct("line_no", F.col("body_piece").alias("piece"))
-    heading_marker = F.when(F.col("item_number").isNotNull(), F.coalesce("marker", "fused")).otherwise(F.col("marker"))
-    in_item = (F.col("phase") == ARTICLES) & F.col("item_no").isNotNull() & (F.col("_ordinary") | F.col("note_opens"))
-    in_schedule = (
-        (F.col("phase") == SCHEDULES) & ~F.col("in_note") & ~F.col("is_schedule") & F.col("line").rlike(fv.MARKER)
-    )
-    # An explicit mark without an item (inside schedules) hides earlier ones.
-    mark = F.when(in_item, heading_marker).when(in_schedule, F.regexp_extract("line", fv.MARKER, 1).cast("int"))
-    note_line = F.struct("note_no", "line_no", text.strip(F.col("line")).alias("t"), "item_no")
-    grouped = lines.groupBy("doc_id", "item_no").agg(
+    grouped = lines.where("item_no is not null").groupBy("doc_id", "item_no").agg(
         F.min("line_no").alias("line_no"),
         F.max("line_no").alias("last_line"),
         F.max("item_number").alias("number"),
@@ -476,148 +284,72 @@ def _per_item(lines: DataFrame) -> DataFrame:
         F.min_by("section", "line_no").alias("section"),
         F.array_sort(F.collect_list(F.when(F.col("title_piece").isNotNull(), title))).alias("_titles"),
         F.array_sort(F.collect_list(F.when(F.coalesce("body_piece", F.lit("")) != "", piece))).alias("_pieces"),
-        F.collect_list(
-            F.when(mark.isNotNull(), F.struct("line_no", F.lit(0).alias("seq"), mark.alias("marker"), F.col("item_no").alias("target")))
-        ).alias("_marks"),
-        F.collect_list(F.when(F.col("in_note"), note_line)).alias("_note_lines"),
     )
     titled = text.clean_title(F.array_join(F.transform("_titles", lambda t: t["t"]), " "))
-    return grouped.withColumn("_parsed", F.transform("_pieces", _clause_piece).cast(strings)).select(
+    return grouped.withColumn("_parsed", F.transform("_pieces", _clause_piece).cast(parsed)).select(
+        *(c for c in ITEM_FIELDS if c not in ("title", "clauses")),
         "doc_id",
-        "item_no",
-        "line_no",
-        "last_line",
-        "number",
-        "part",
-        "section",
         titled.alias("title"),
         _clauses_of(F.col("_parsed")).alias("clauses"),
-        F.concat(
-            "_marks",
-            F.transform(
-                F.filter("_parsed", lambda p: p["marker"].isNotNull()),
-                lambda p: F.struct(
-                    p["line_no"].alias("line_no"), F.lit(1).alias("seq"), p["marker"].alias("marker"), F.col("item_no").alias("target")
-                ),
-            ),
-        ).alias("marks"),
-        F.col("_note_lines").alias("note_lines"),
     )
 
 
-def _linked_notes(note_lines: Column, marks: Column) -> Column:
+def _footnotes(lines: DataFrame) -> DataFrame:
     """Footnote blocks with the item they belong to.
 
-    A footnote consumes its marker: the latest event before it with the same
-    number decides. A marker names the target, an earlier footnote does not, and
-    without a target the item open at the footnote takes it.
+    A footnote consumes its marker: the latest mark before it with the same number decides. A mark names the item it
+    stands in, an earlier footnote or a mark in a schedule hides those before, and without an item the one open at the
+    footnote takes it.
     """
-
-    def blocks(rows: Column) -> Column:
-        def block(no: Column) -> Column:
-            mine = F.filter(rows, lambda r: r["note_no"] == no)
-            first, last = F.get(mine, F.lit(0)), F.element_at(mine, F.lit(-1))
-            marker = F.nullif(F.regexp_extract(first["t"], r"^(\d{1,2})\.", 1), F.lit("")).cast("int")
-            return F.struct(
-                no.alias("note_no"),
-                marker.alias("marker"),
-                first["line_no"].alias("line_no"),
-                last["line_no"].alias("last_line"),
-                F.array_join(F.transform(mine, lambda r: r["t"]), " ").alias("text"),
-                first["item_no"].alias("open_item"),
-            )
-
-        return F.transform(F.array_distinct(F.transform(rows, lambda r: r["note_no"])), block)
-
-    def link(notes: Column) -> Column:
-        asked = F.transform(
-            F.filter(notes, lambda n: n["marker"].isNotNull()),
-            lambda n: F.struct(
-                n["line_no"].alias("line_no"), F.lit(2).alias("seq"), n["marker"].alias("marker"), F.lit(None).cast("long").alias("target")
-            ),
-        )
-        return let(F.concat(marks, asked), lambda events: F.transform(notes, lambda n: linked(n, events)))
-
-    def linked(n: Column, events: Column) -> Column:
-        earlier = F.filter(events, lambda e: (e["marker"] == n["marker"]) & (e["line_no"] <= n["line_no"]) & ((e["line_no"] < n["line_no"]) | (e["seq"] < 2)))
-        target = F.array_max(earlier)["target"]
-        return F.struct(
-            n["note_no"].alias("note_no"),
-            n["marker"].alias("marker"),
-            n["line_no"].alias("line_no"),
-            n["last_line"].alias("last_line"),
-            F.coalesce(target, n["open_item"]).alias("item_no"),
-            n["text"].alias("text"),
-        )
-
-    ordered = F.array_sort(F.transform(note_lines, lambda r: F.struct(r["note_no"].alias("note_no"), r["line_no"].alias("line_no"), r["t"].alias("t"), r["item_no"].alias("item_no"))))
-    return let(let(ordered, blocks), link)
-
-
-def _amendments(item: Column, notes: Column) -> Column:
-    """Array of (at, idx, n): amendments citing an item, distinct, by first place."""
-    full = F.array_join(F.transform(item["clauses"], lambda c: c["text"]), " ")
-
-    def placed(at: Column, found: Column) -> Column:
-        return F.transform(found, lambda n, i: F.struct(at.alias("at"), i.alias("idx"), n.alias("n")))
-
-    own = placed(item["last_line"], numbers.citations(full))
-    below = F.flatten(
-        F.transform(
-            F.filter(notes, lambda n: n["item_no"] == item["item_no"]),
-            lambda n: placed(n["last_line"], numbers.citations(n["text"])),
-        )
+    first = text.strip(F.col("line"))
+    marker = F.nullif(F.regexp_extract(first, r"^(\d{1,2})\.", 1), F.lit("")).cast("int")
+    rows = lines.where("in_note").withColumns({"t": first, "marker": F.when(F.col("note_opens"), marker)})
+    return rows.groupBy("doc_id", "note_no").agg(
+        F.max("marker").alias("marker"),
+        F.min("line_no").alias("line_no"),
+        F.max("line_no").alias("last_line"),
+        F.max("note_item").alias("item_no"),
+        _joined("t").alias("text"),
     )
 
-    def distinct(found: Column) -> Column:
-        return F.filter(found, lambda f, i: ~F.exists(F.slice(found, F.lit(1), i), lambda e: e["n"] == f["n"]))
-
-    return let(F.array_sort(F.concat(own, below)), distinct)
-
 
 ITEM_FIELDS = ["item_no", "line_no", "last_line", "number", "part", "section", "title", "clauses"]
 
 
-def _per_document(lines: DataFrame) -> DataFrame:
-    """(doc_id, _items, _notes): the items of a document and its linked footnotes."""
-    return (
-        _per_item(lines)
-        .groupBy("doc_id")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("item_no").isNotNull(), F.struct(*ITEM_FIELDS)))).alias("_items"),
-            F.flatten(F.collect_list("marks")).alias("_marks"),
-            F.flatten(F.collect_list("note_lines")).alias("_note_lines"),
-        )
-        .select("doc_id", "_items", _linked_notes(F.col("_note_lines"), F.col("_marks")).alias("_notes"))
-    )
+def _item_table(items: DataFrame, notes: DataFrame, as_closed: bool) -> DataFrame:
+    """Items with status and amendments: distinct, by the first place that cites them, in the item or its footnotes."""
 
+    def cited(rows: DataFrame, at: str, body: Column) -> DataFrame:
+        found = rows.select("doc_id", "item_no", F.col(at).alias("at"), F.posexplode(numbers.citations(body)).alias("idx", "n"))
+        return found.select("doc_id", "item_no", "n", F.struct("at", "idx", "n").alias("place"))
 
-def _item_table(per_doc: DataFrame, as_closed: bool) -> DataFrame:
-    def finished(item: Column) -> Column:
-        def with_touched(touched: Column) -> Column:
-            first_clause = F.coalesce(F.get(item["clauses"], F.lit(0))["text"], F.lit(""))
-            counted = F.filter(touched, lambda t: t["at"] <= item["last_line"]) if as_closed else touched
-            return F.struct(
-                *[item[f].alias(f) for f in ITEM_FIELDS],
-                status(first_clause, F.size(counted) > 0).alias("status"),
-                F.transform(touched, lambda t: numbers.amendment_id(t["n"])).alias("amended_by"),
-            )
-
-        return let(_amendments(item, F.col("_notes")), with_touched)
-
-    return per_doc.select("doc_id", F.inline(F.transform("_items", finished)))
+    own = cited(items, "last_line", F.array_join(F.transform("clauses", lambda c: c["text"]), " "))
+    below = cited(notes.where("item_no is not null"), "last_line", F.col("text"))
+    firsts = own.union(below).groupBy("doc_id", "item_no", "n").agg(F.min("place").alias("place"))
+    touched = firsts.groupBy("doc_id", "item_no").agg(
+        F.array_sort(F.collect_list("place")).alias("_touched"), F.min("place.at").alias("_first")
+    )
+    none = F.array().cast(touched.schema["_touched"].dataType)
+    counted = F.coalesce(F.col("_first") <= F.col("last_line"), F.lit(False)) if as_closed else F.col("_first").isNotNull()
+    first_clause = F.coalesce(F.get("clauses", F.lit(0))["text"], F.lit(""))
+    return items.join(touched, ["doc_id", "item_no"], "left").select(
+        "doc_id",
+        *ITEM_FIELDS,
+        status(first_clause, counted).alias("status"),
+        F.transform(F.coalesce("_touched", none), lambda t: numbers.amendment_id(t["n"])).alias("amended_by"),
+    )
 
 
 def segment_statutes(docs: DataFrame, start_phase: str = "pre", status_as_closed: bool = True) -> Statute:
-    """Segment (doc_id, text) documents; the text is shuffled once, by document.
+    """Segment (doc_id, text) documents, each row a document of its own with a distinct id.
 
-    ``start_phase="articles"`` reads body excerpts without a preamble.
-    ``status_as_closed`` leaves footnotes read behind an item's end out of its
-    status; they count in ``amended_by`` either way. When several tables are
-    written, checkpoint ``lines`` first and build ``Statute`` on the result.
+    Lines are classified and walked where their document is read; what moves are the lines of items and footnotes, once,
+    to where they are joined. ``start_phase="articles"`` reads body excerpts without a preamble. ``status_as_closed``
+    leaves footnotes read behind an item's end out of its status; they count in ``amended_by`` either way. When several
+    tables are written, checkpoint ``lines`` first and build ``Statute`` on the result.
     """
-    lines = _items(_notes(_phases(classify_lines(numbered_lines(docs.repartition("doc_id"))), start_phase)))
-    return Statute(lines, status_as_closed)
+    lines = _with_marks(classify_lines(numbered_lines(docs)))
+    return Statute(_pieces(walked(lines, PHASES.index(start_phase), ["line", "clean"])), status_as_closed)
 
 
 def status(first_clause: Column, amended: Column) -> Column:
@@ -631,15 +363,12 @@ def status(first_clause: Column, amended: Column) -> Column:
 
 
 def _parts(lines: DataFrame) -> DataFrame:
-    anchors = {a[1]: a[2] for a in fv.PART_NAME_ANCHORS}
-    anchor_name = constant_map(anchors)[F.col("part_set")]
-    upto = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    runs = lines.withColumn("_run", F.sum(F.col("part_set").isNotNull().cast("int")).over(upto)).withColumn(
-        "_piece", F.when(F.col("is_anchor") & F.col("part_set").isNotNull(), anchor_name).otherwise(F.col("part_name_piece"))
-    )
+    names = constant_map({a[1]: a[2] for a in fv.PART_NAME_ANCHORS})
+    anchored = F.col("is_anchor") & F.col("part_set").isNotNull()
+    runs = lines.withColumn("_piece", F.when(anchored, names[F.col("part_set")]).otherwise(F.col("part_name_piece")))
     named = (
-        runs.filter(F.col("_piece").isNotNull() & (F.col("_run") > 0))
-        .groupBy("doc_id", "_run")
+        runs.filter(F.col("_piece").isNotNull() & (F.col("part_run") > 0))
+        .groupBy("doc_id", "part_run")
         .agg(F.first("part").alias("number"), F.min("line_no").alias("line_no"), text.normalize_space(_joined("_piece")).alias("name"))
     )
     return named.groupBy("doc_id", "number").agg(
@@ -648,28 +377,27 @@ def _parts(lines: DataFrame) -> DataFrame:
 
 
 def _schedules(lines: DataFrame) -> DataFrame:
-    upto = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    word_number = F.array_position(constant_array(fv.SCHEDULE_WORDS), F.col("schedule_word"))
-    number, title = word_number.cast("int"), F.lit(None).cast("string")
+    words = "|".join(fv.SCHEDULE_WORDS)
+    squeezed = F.regexp_replace(text.squish(F.col("line")), r"^\d{1,2}\[?", "")
+    word = F.nullif(F.regexp_extract(squeezed, rf"^({words})SCHEDULE", 1), F.lit(""))
+    number = F.array_position(constant_array(fv.SCHEDULE_WORDS), word).cast("int")
+    title = F.lit(None).cast("string")
     for prefix, n, anchor_title in fv.SCHEDULE_ANCHORS:
         anchored = F.col("line").rlike(r"^\s*" + text.spaced(prefix.replace(" ", "")))
         number = F.coalesce(number, F.when(anchored, n))
-        title = F.coalesce(title, F.when(F.col("schedule_word").isNull() & anchored, anchor_title))
+        title = F.coalesce(title, F.when(word.isNull() & anchored, anchor_title))
     content = text.strip(F.regexp_replace("line", r"^\d{1,2}\*?(?=\[)", ""))
-    inside = (
-        lines.filter((F.col("phase") == SCHEDULES) & ~F.col("in_note") & ~F.col("is_blank") & ~F.col("is_page"))
-        .withColumn("schedule_no", F.sum(F.col("is_schedule").cast("int")).over(upto))
-        .withColumns(
-            {
-                "_number": F.when(F.col("is_schedule"), number),
-                "_title": F.when(F.col("is_schedule"), title),
-                "_content": F.when(~F.col("is_schedule"), content),
-            }
-        )
+    inside = lines.filter((F.col("phase") == SCHEDULES) & ~F.col("in_note") & ~F.col("is_blank") & ~F.col("is_page"))
+    inside = inside.withColumns(
+        {
+            "_number": F.when(F.col("is_schedule"), number),
+            "_title": F.when(F.col("is_schedule"), title),
+            "_content": F.when(~F.col("is_schedule"), content),
+        }
     )
     out = inside.groupBy("doc_id", "schedule_no").agg(
-        F.min_by("_number", "line_no").alias("number"),
-        F.min_by("_title", "line_no").alias("title"),
+        F.max("_number").alias("number"),
+        F.max("_title").alias("title"),
         _joined("_content", "\n").alias("text"),
     )
     return out.withColumn(

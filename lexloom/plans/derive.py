@@ -18,6 +18,7 @@ from ..sources.tables import spread
 from .registry import Tables
 
 PARTS = ["I", "II", "III", "IV", "IVA", "V", "VI", "IX", "XIV"]
+PART_NUMBERS = ["1", "2", "3", "4", "4A", "5", "6", "9", "14"]
 
 
 def _line(doc: Column, line: Column, i: Column) -> Column:
@@ -56,6 +57,10 @@ def _line(doc: Column, line: Column, i: Column) -> Column:
             F.concat(F.element_at(constant_array(fv.SCHEDULE_WORDS), (i % 12 + 1).cast("int")), s(" SCHEDULE"), below),
         )
         .when((shape == 17) & (i > 60), F.concat(s("APPENDIX I"), below))
+        .when((shape == 18) & (i > 4), F.concat(mark, s(". Ins. "), cited, s("\n[Articles 59(3), 65(3)] "), line))
+        .when((shape == 19) & (i > 24), F.concat(s("\n[Articles 59(3), 65(3)]"), below))
+        .when((shape == 17) & (i > 12), F.concat(s("CHAPTER II.—"), short, below))
+        .when((shape == 16) & (i > 12), F.concat(s("PART "), F.element_at(constant_array(PARTS), (i % 9 + 1).cast("int")), s("\nTHE UNION AND ITS\n2[TERRITORY]"), below))
         .otherwise(line)
     )
 
@@ -129,6 +134,10 @@ shaped_texts AS (
     WHEN shape = 15 THEN num || '. ' || short || chr(10) || l
     WHEN shape = 16 AND i > 30 THEN ({_sql_list(fv.SCHEDULE_WORDS)})[i % 12 + 1] || ' SCHEDULE' || chr(10) || l
     WHEN shape = 17 AND i > 60 THEN 'APPENDIX I' || chr(10) || l
+    WHEN shape = 18 AND i > 4 THEN mark || '. Ins. ' || cited || chr(10) || '[Articles 59(3), 65(3)] ' || l
+    WHEN shape = 19 AND i > 24 THEN chr(10) || '[Articles 59(3), 65(3)]' || chr(10) || l
+    WHEN shape = 17 AND i > 12 THEN 'CHAPTER II.—' || short || chr(10) || l
+    WHEN shape = 16 AND i > 12 THEN 'PART ' || ({_sql_list(PARTS)})[i % 9 + 1] || chr(10) || 'THE UNION AND ITS' || chr(10) || '2[TERRITORY]' || chr(10) || l
     ELSE l END AS raw
   FROM shaped) GROUP BY doc_id
 ),
@@ -191,70 +200,40 @@ flags AS (
   FROM flags0
 )"""
 
-# Document phases and footnote blocks.
+# Document phases and footnote blocks: a walk line by line, for a footnote hides what its lines would start.
 NOTES_CTE = f"""
-opened AS (
-  SELECT *, NOT is_blank AND NOT is_page AS counts,
-    min(line_no) FILTER (starts_with(line, '{fv.PREAMBLE_OPENING}')) OVER (PARTITION BY doc_id) AS opening_at
-  FROM flags
-),
-pre_note AS (
-  SELECT *, last_value(CASE WHEN line_no > opening_at AND footnote_raw AND counts THEN 1
-      WHEN is_blank OR is_structural THEN 0 END IGNORE NULLS)
-    OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS pn
-  FROM opened
-),
-closed AS (
-  SELECT *, min(line_no) FILTER (line_no > opening_at AND coalesce(pn, 0) = 0
-    AND regexp_matches(squeezed, 'THISCONSTITUTION\\.$')) OVER (PARTITION BY doc_id) AS closing_at
-  FROM pre_note
-),
-bodied AS (
-  SELECT *, coalesce(line_no > closing_at, false) AND counts AND (schedule_word IS NOT NULL
-    OR starts_with(squeezed, '[Articles59(3)')) AS is_schedule
-  FROM closed
-),
-marks_at AS (
-  SELECT *, min(line_no) FILTER (is_schedule) OVER (PARTITION BY doc_id) AS schedule_at,
-    min(line_no) FILTER (coalesce(line_no > closing_at, false) AND counts AND is_appendix)
-      OVER (PARTITION BY doc_id) AS appendix_at
-  FROM bodied
-),
-phased AS (
-  SELECT *, CASE WHEN line_no >= appendix_at THEN 4 WHEN line_no >= schedule_at THEN 3
-      WHEN line_no > closing_at THEN 2 WHEN line_no >= opening_at THEN 1 ELSE 0 END AS phase,
-    coalesce(first_value(CASE WHEN counts THEN is_structural END IGNORE NULLS)
-      OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS next_structural
-  FROM marks_at
-),
 sectioned AS (
-  SELECT *, phase = 2 AND counts AND NOT is_part AND NOT is_chapter AND NOT is_anchor AND section_shape
-    AND next_structural AS section_candidate
-  FROM phased
+  SELECT *, NOT is_blank AND NOT is_page AS counts, is_blank OR is_structural AS breaks,
+    schedule_word IS NOT NULL OR starts_with(squeezed, '[Articles59(3)') AS starts_schedule,
+    starts_with(line, '{fv.PREAMBLE_OPENING}') AS opens_preamble, regexp_matches(squeezed, 'THISCONSTITUTION\\.$') AS closes_preamble,
+    NOT is_part AND NOT is_chapter AND NOT is_anchor AND section_shape AND coalesce(first_value(
+      CASE WHEN NOT is_blank AND NOT is_page THEN is_structural END IGNORE NULLS)
+      OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS heads_section
+  FROM flags
 ),
-starting AS (
-  SELECT *, counts AND CASE
-      WHEN phase = 2 THEN footnote_clean AND NOT wins AND NOT (is_part OR is_chapter OR is_anchor) AND NOT section_candidate
-      WHEN phase = 3 AND NOT is_schedule THEN footnote_raw
-      WHEN phase = 1 AND line_no > opening_at THEN footnote_raw
-      ELSE false END AS starts,
-    is_blank OR is_structural AS breaks
+steps AS MATERIALIZED (
+  SELECT doc_id, line_no, counts, breaks, starts_schedule, opens_preamble, closes_preamble, is_appendix, footnote_raw,
+    footnote_clean AND NOT wins AND NOT (is_part OR is_chapter OR is_anchor) AND NOT heads_section AS notes_item
   FROM sectioned
 ),
-stated AS (
-  SELECT *, coalesce(last_value(CASE WHEN starts THEN 1 WHEN breaks THEN 0 END IGNORE NULLS)
-    OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) AS state
-  FROM starting
-),
-noted0 AS (
-  SELECT *, state = 1 AS in_note, starts AND (breaks OR coalesce(lag(state)
-    OVER (PARTITION BY doc_id ORDER BY line_no), 0) = 0) AS note_opens
-  FROM stated
+line_walk AS (
+  SELECT DISTINCT doc_id, -1 AS line_no, 0 AS phase, 0 AS after, false AS note, false AS opens, false AS is_schedule FROM steps
+  UNION ALL
+  SELECT s.doc_id, s.line_no, c.phase, CASE WHEN c.free AND w.after = 1 AND NOT c.opens AND s.closes_preamble THEN 2 ELSE c.phase END,
+    NOT c.free AND c.inside OR c.opens, c.opens, c.is_schedule
+  FROM line_walk w JOIN steps s ON s.doc_id = w.doc_id AND s.line_no = w.line_no + 1,
+  LATERAL (SELECT w.note AND NOT s.breaks AS inside, NOT (w.note AND NOT s.breaks) AND s.counts AS free) a,
+  LATERAL (SELECT a.inside, a.free, a.free AND w.after IN (2, 3) AND s.is_appendix AS ends) b,
+  LATERAL (SELECT b.inside, b.free, b.ends, b.free AND w.after IN (2, 3) AND NOT b.ends AND s.starts_schedule AS is_schedule) d,
+  LATERAL (SELECT d.inside, d.free, d.is_schedule,
+    CASE WHEN d.free AND w.after = 0 AND s.opens_preamble THEN 1 WHEN d.ends THEN 4 WHEN d.is_schedule THEN 3 ELSE w.after END AS phase,
+    d.free AND NOT d.ends AND NOT d.is_schedule AND CASE WHEN w.after IN (1, 3) THEN s.footnote_raw WHEN w.after = 2 THEN s.notes_item ELSE false END AS opens) c
 ),
 noted AS (
-  SELECT *, CASE WHEN in_note THEN sum(CASE WHEN note_opens THEN 1 ELSE 0 END)
-    OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) END AS note_no
-  FROM noted0
+  SELECT s.*, w.phase, w.note AS in_note, w.opens AS note_opens, w.is_schedule, w.phase = 2 AND s.counts AND s.heads_section AS section_candidate,
+    CASE WHEN w.note THEN sum(CASE WHEN w.opens THEN 1 ELSE 0 END)
+      OVER (PARTITION BY s.doc_id ORDER BY s.line_no ROWS UNBOUNDED PRECEDING) END AS note_no
+  FROM sectioned s JOIN line_walk w USING (doc_id, line_no)
 )"""
 
 # Heading events gated by the running sequence, and the open item of each line.
@@ -398,9 +377,35 @@ notes AS (
   FROM note_rows n LEFT JOIN previous p ON p.doc_id = n.doc_id AND p.note_no = n.note_no
 )"""
 
-_CHAIN = [STATUTE_LINES_CTE, FLAGS_CTE, NOTES_CTE, ITEMS_CTE, BODY_CTE, LINKS_CTE]
+# Part, section and part name of every line.
+CONTEXT_CTE = f"""
+loose_lines AS (
+  SELECT *, ordinary AND NOT opn AS loose, free AND (is_part OR is_chapter OR is_anchor) AS flushes,
+    CASE WHEN free AND is_part THEN ({_sql_list(PART_NUMBERS)})[list_position({_sql_list(PARTS)}, regexp_extract(structure, '{fv.PART_HEADING}', 1))]
+      WHEN free AND is_anchor THEN {"CASE structure " + " ".join(f"WHEN '{a[0]}' THEN '{a[1]}'" for a in fv.PART_NAME_ANCHORS) + " END"} END AS part_set,
+    regexp_replace(regexp_replace(regexp_replace(line, '[\\d*\\[\\]]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS part_line
+  FROM itemized
+),
+shaped_names AS (
+  SELECT *, loose AND length(part_line) > 1 AND regexp_matches(part_line, '^[A-Z][A-Z\\s&,''’().-]*$') AS names,
+    sum(CASE WHEN flushes THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS flush_no
+  FROM loose_lines
+),
+named AS (
+  SELECT *, names AND sum(CASE WHEN loose AND NOT names THEN 1 ELSE 0 END) OVER g = 0
+    AND first_value(is_part AND free AND part_set IS NOT NULL) OVER g AS names_part
+  FROM shaped_names WINDOW g AS (PARTITION BY doc_id, flush_no ORDER BY line_no ROWS UNBOUNDED PRECEDING)
+),
+placed AS (
+  SELECT *, coalesce(last_value(part_set IGNORE NULLS) OVER w, '') AS part,
+    last_value(CASE WHEN is_section OR (free AND is_chapter AND NOT is_part) OR (loose AND section_shape AND NOT names_part) THEN t END IGNORE NULLS) OVER w AS section,
+    sum(CASE WHEN part_set IS NOT NULL THEN 1 ELSE 0 END) OVER w AS part_run
+  FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)
+)"""
+
+_CHAIN = [STATUTE_LINES_CTE, FLAGS_CTE, NOTES_CTE, ITEMS_CTE, BODY_CTE, LINKS_CTE, CONTEXT_CTE]
 
 
 def statute_sql(depth: int, select: str, *extra: str) -> str:
-    """SQL over the first ``depth`` steps: 1 lines, 2 flags, 3 notes, 4 items, 5 clauses, 6 links."""
+    """SQL over the first ``depth`` steps: 1 lines, 2 flags, 3 notes, 4 items, 5 clauses, 6 links, 7 context."""
     return "WITH RECURSIVE " + ",".join([*_CHAIN[:depth], *extra]) + "\n" + select

@@ -50,7 +50,7 @@ def line_classes(t: Tables) -> DataFrame:
 
 @query(
     "section_headings",
-    statute_sql(4, "SELECT doc_id, line_no, t AS section, next_structural FROM eventful WHERE is_section"),
+    statute_sql(4, "SELECT doc_id, line_no, t AS section, heads_section AS next_structural FROM eventful WHERE is_section"),
 )
 def section_headings(t: Tables) -> DataFrame:
     found = _segmented(t).lines.filter("is_section")
@@ -81,7 +81,7 @@ def title_body_split(t: Tables) -> DataFrame:
     )
 
 
-@query("phases", statute_sql(3, "SELECT doc_id, phase, count(*) AS n_lines, min(line_no) AS first_line FROM phased GROUP BY ALL"))
+@query("phases", statute_sql(3, "SELECT doc_id, phase, count(*) AS n_lines, min(line_no) AS first_line FROM noted GROUP BY ALL"))
 def phases(t: Tables) -> DataFrame:
     return _segmented(t).lines.groupBy("doc_id", "phase").agg(
         F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line")
@@ -155,11 +155,76 @@ cited AS (
         USING (doc_id, item_no)
       UNION ALL
       SELECT doc_id, item_no, last_line, 1, regexp_extract_all(text, '{fv.CITATION}', 1) FROM notes WHERE item_no IS NOT NULL
-    )) c JOIN ordinals o ON lower(o.word) = lower(c.w) AND o.n <= 200
+    )) c JOIN ordinals o ON lower(o.word) = lower(c.w)
 )"""
 )
 
 
+@query(
+    "item_context",
+    statute_sql(
+        7,
+        """SELECT doc_id, item_no, part, section, amended_by, CASE WHEN regexp_matches(coalesce(c.text, ''), '(?i)^\\[?\\s*Omitted') THEN 'omitted'
+             WHEN regexp_matches(coalesce(c.text, ''), '(?i)^\\[?\\s*Repealed') THEN 'repealed'
+             WHEN a.first_at <= h.last_line THEN 'amended' ELSE 'in-force' END AS status
+           FROM (SELECT doc_id, item_no, max(line_no) AS last_line, first(part ORDER BY line_no) AS part, first(section ORDER BY line_no) AS section
+             FROM placed WHERE item_no IS NOT NULL GROUP BY ALL) h
+           LEFT JOIN (SELECT * FROM clauses WHERE clause_no = 0) c USING (doc_id, item_no)
+           LEFT JOIN (SELECT doc_id, item_no, min(f.seen_at) AS first_at, string_agg(n || CASE WHEN n % 100 IN (11, 12, 13) THEN 'th'
+               WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END || '-amendment', ',' ORDER BY f.seen_at, f.idx, n) AS amended_by
+             FROM (SELECT doc_id, item_no, n, min({'seen_at': seen_at, 'idx': idx}) AS f FROM cited GROUP BY ALL) GROUP BY ALL) a USING (doc_id, item_no)""",
+        _CITED,
+    ),
+)
+def item_context(t: Tables) -> DataFrame:
+    touched = F.nullif(F.array_join("amended_by", ","), F.lit(""))
+    return _segmented(t).items.select("doc_id", "item_no", "part", "section", touched.alias("amended_by"), "status")
+
+
+@query(
+    "parts",
+    statute_sql(
+        7,
+        f"""SELECT doc_id, number, min(line_no) AS line_no, first(name ORDER BY line_no) AS name FROM (
+              SELECT doc_id, part_run, any_value(part) AS number, min(line_no) AS line_no, string_agg(piece, ' ' ORDER BY line_no) AS name FROM (
+                SELECT *, CASE WHEN is_anchor AND part_set IS NOT NULL THEN CASE part_set {" ".join(f"WHEN '{a[1]}' THEN '{a[2]}'" for a in fv.PART_NAME_ANCHORS)} END
+                  WHEN names_part THEN part_line END AS piece FROM placed) WHERE piece IS NOT NULL AND part_run > 0 GROUP BY doc_id, part_run)
+            GROUP BY doc_id, number""",
+    ),
+)
+def parts(t: Tables) -> DataFrame:
+    return _segmented(t).parts.select("doc_id", "number", "line_no", "name")
+
+
+@query(
+    "schedules",
+    statute_sql(
+        3,
+        f"""SELECT doc_id, schedule_no, number, coalesce(title, list_filter(list_transform(string_split(text, chr(10))[1:4], lambda x: trim(x)),
+              lambda x: NOT starts_with(x, '[Articles') AND length(x) > 2 AND regexp_matches(x, '[a-zA-Z]'))[1], 'Schedule ' || number) AS title, text FROM (
+              SELECT doc_id, schedule_no, max(CASE WHEN is_schedule THEN coalesce(list_position({fv.SCHEDULE_WORDS}, schedule_word), {fv.SCHEDULE_ANCHORS[0][1]}) END) AS number,
+                max(CASE WHEN is_schedule AND schedule_word IS NULL THEN '{fv.SCHEDULE_ANCHORS[0][2]}' END) AS title,
+                coalesce(string_agg(CASE WHEN NOT is_schedule THEN regexp_replace(regexp_replace(line, '^\\d{{1,2}}\\*?\\[', '['), '^\\s+|\\s+$', '', 'g') END, chr(10) ORDER BY line_no), '') AS text
+              FROM (SELECT *, sum(CASE WHEN is_schedule THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS schedule_no FROM noted)
+              WHERE phase = 3 AND NOT in_note AND counts GROUP BY doc_id, schedule_no)""",
+    ),
+)
+def schedules(t: Tables) -> DataFrame:
+    return _segmented(t).schedules.select("doc_id", "schedule_no", "number", "title", "text")
+
+
+@query(
+    "preambles",
+    statute_sql(
+        3,
+        """SELECT doc_id, regexp_replace(regexp_replace(string_agg(regexp_replace(t, '^\\d{1,2}\\*?\\[', '['), ' ' ORDER BY line_no), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS preamble
+           FROM noted WHERE phase = 1 AND NOT in_note AND counts GROUP BY doc_id""",
+    ),
+)
+def preambles(t: Tables) -> DataFrame:
+    return _segmented(t).preambles.select("doc_id", "preamble")
+
+
 @query(
     "status_counts",
     statute_sql(
@@ -205,7 +270,7 @@ def ordered_distinct_list(t: Tables) -> DataFrame:
         f"""SELECT c.doc_id, c.line_no, CAST(c.pos AS INTEGER) AS pos, o.n FROM (
               SELECT doc_id, line_no, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (
                 SELECT doc_id, line_no, regexp_extract_all(line, '{fv.CITATION}', 1) AS ws FROM lines)) c
-            JOIN ordinals o ON lower(o.word) = lower(c.w) AND o.n <= 200""",
+            JOIN ordinals o ON lower(o.word) = lower(c.w)""",
         ORDINALS_CTE,
     ),
 )

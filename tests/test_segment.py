@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators.segment import gate_numbers, segment_statutes
+from lexloom.operators.segment import segment_statutes
+from lexloom.operators.statute_walk import Gate
 
 DASH = "—"
 BOUNDARY = f"""continue to be such citizen.
@@ -186,7 +187,7 @@ def test_partition_count_does_not_matter(spark):
     assert run(1) == run(8)
 
 
-def test_gate_against_a_plain_walk(spark):
+def test_gate_against_a_plain_walk():
     import random
 
     random.seed(3)
@@ -223,8 +224,64 @@ def test_gate_against_a_plain_walk(spark):
             is_open = True
         return out
 
-    df = spark.createDataFrame(
-        [(i, c) for i, c in enumerate(cases)], "i int, ev array<struct<line_no:int,kind:string,number:string>>"
-    )
-    got = {r.i: [tuple(x) for x in r.out] for r in df.select("i", gate_numbers(F.col("ev")).alias("out")).collect()}
-    assert all(got[i] == plain(c) for i, c in enumerate(cases))
+    def gated(events):
+        gate, out = Gate(), []
+        for line, kind, number in events:
+            if kind == "C":
+                gate.open = False
+            elif kind == "H":
+                out.append((line, *gate.heading(number)))
+            elif gate.continues(number):
+                gate.accept(number)
+                out.append((line, number, None))
+        return out
+
+    assert all(gated(c) == plain(c) for c in cases)
+
+
+def test_a_schedule_anchor_inside_a_footnote_stays_in_it(spark):
+    body = f"""5. Rivers.{DASH}A river is public.
+1. Subs. by the Constitution (Third Amendment) Act, 1954, for
+[Articles 59(3) and others
+THIRTEENTH of its kind
+
+6. Lakes.{DASH}A lake is public.
+
+[Articles 59(3), 65(3)]
+Allowances of the keeper
+"""
+    st = segment_statutes(spark.createDataFrame([("d", body)], "doc_id string, text string"), "articles")
+    assert [r.number for r in st.items.orderBy("item_no").collect()] == ["5", "6"]
+    note = st.footnotes.first()
+    assert (note.line_no, note.last_line, note.item_no) == (1, 3, 1)
+    assert [(r.number, r.text) for r in st.schedules.collect()] == [(2, "Allowances of the keeper")]
+
+
+def test_documents_longer_than_a_batch(spark):
+    """Batches of Arrow cut documents anywhere; the walk does not."""
+    docs = [(f"d{i}", "\n".join(f"{n}. Item {n}.{DASH}text of {n}" for n in range(1, 300 if i % 3 else 30))) for i in range(12)]
+    docs += [("none", None), ("empty", ""), ("blank", " \n\n")]
+    df = spark.createDataFrame(docs, "doc_id string, text string").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        items = segment_statutes(df, "articles").items.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("item_no").alias("last"))
+        got = {r.doc_id: (r.n, r.last) for r in items.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {f"d{i}": (299, 299) if i % 3 else (29, 29) for i in range(12)}
+
+
+def test_time_follows_the_items(spark):
+    """One document of twice the items takes about twice the time: nothing is quadratic in it."""
+    import time
+
+    def seconds(count):
+        text = "\n".join(f"{n % 900 + 1}. Item.{DASH}(1) words 1[here]\n1. Ins. by the Constitution (First Amendment) Act, 1951.\n" for n in range(count))
+        df = spark.createDataFrame([("d", text)], "doc_id string, text string")
+        started = time.perf_counter()
+        assert segment_statutes(df, "articles").items.count() > count // 2
+        return time.perf_counter() - started
+
+    seconds(500)
+    assert seconds(16000) < 8 * max(seconds(4000), 0.5)
