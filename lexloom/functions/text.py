@@ -13,6 +13,7 @@ from .let import let
 
 # ASCII blanks, the no-break ones, the other spaces of Unicode, line separators and the byte order mark.
 BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_ODD_BLANKS = "".join(b for b in BLANKS if b > "\x7f")
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 WORD = BLANK.replace("[", "[^", 1) + "+"
 
@@ -36,21 +37,26 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
 
 
+def plain_blanks(c: Column) -> Column:
+    """Every blank beyond ASCII as a plain one, so that ``\\s`` sees them all; a class of them all is eight times slower."""
+    return F.translate(c, _ODD_BLANKS, " " * len(_ODD_BLANKS))
+
+
 def squish(c: Column) -> Column:
     """All whitespace removed."""
-    return F.regexp_replace(c, f"{BLANK}+", "")
+    return F.regexp_replace(plain_blanks(c), r"\s+", "")
 
 
 def normalize_space(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"{BLANK}+", " "))
+    return strip(F.regexp_replace(plain_blanks(c), r"\s+", " "))
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(WORD))
+    return F.regexp_count(plain_blanks(c), F.lit(r"\S+"))
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(plain_blanks(c), F.lit(r"\S+"), F.lit(0))
 
 
 def _chain(c: Column, steps: list[tuple[str, str]]) -> Column:
