@@ -89,3 +89,16 @@ def test_equal_to_brute_force(spark, monkeypatch, crowd):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_copies.without_copies(df).count() == 0
+
+
+def test_bitmaps_never_deny_a_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        shared = rng.integers(0, 2**63, rng.integers(0, 900), dtype=np.uint64)
+        a = np.unique(np.concatenate([shared, rng.integers(0, 2**63, rng.integers(0, 300), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([shared, rng.integers(0, 2**63, rng.integers(0, 300), dtype=np.uint64)]))
+        apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        assert near_copies.differing(near_copies.bitmap(a), near_copies.bitmap(b)) <= apart
+        assert near_copies._shared(near_copies._held(a), near_copies._held(b)) == len(np.intersect1d(a, b))
