@@ -1,25 +1,27 @@
 """Word-by-word reconciliation of two noisy versions of a text.
 
-Everything but the alignment is column expressions on the document's row. The
-alignment is exact at any length: rows of the dynamic program are bit vectors,
-and rows kept are thinned to a memory bound and recomputed in blocks.
+The two texts of a row are aligned and fused in one Arrow pass. The alignment is
+exact at any length: rows of the dynamic program are bit vectors, and rows kept
+are thinned to a memory bound and recomputed in blocks. What a choice needs to
+know of a word (letters, soundness, likeness to another) is worked out once per
+distinct word of a task, for a corpus repeats its words.
 """
 
 from __future__ import annotations
 
+import re
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import script
-from ..functions.let import let
-from ..functions.text import page_tokens
+from ..functions import fixed_values as fv
+from ..functions.text import BLANKS, word_count
 
 # Workers need not have this package installed: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,6 +32,11 @@ _TOKEN = "struct<line:int,word:string>"
 
 def common_subsequence(a: Sequence[str], b: Sequence[str], budget: int = ROW_BYTES_KEPT) -> list[tuple[int, int]]:
     """Matched index pairs of a longest common subsequence; ties skip ``a`` first."""
+    # equal heads match, whatever follows; the dynamic program starts behind them
+    head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    if head:
+        rest = common_subsequence(a[head:], b[head:], budget)
+        return [(k, k) for k in range(head)] + [(i + head, j + head) for i, j in rest]
     n, m = len(a), len(b)
     if n == 0 or m == 0:
         return []
@@ -81,146 +88,168 @@ def common_subsequence(a: Sequence[str], b: Sequence[str], budget: int = ROW_BYT
     return pairs
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _matches(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matched pairs packed as i * 2^32 + j."""
-    out = []
-    for x, y in zip(a, b):
-        pairs = np.asarray(common_subsequence(list(x), list(y)), dtype=np.int64).reshape(-1, 2)
-        out.append((pairs[:, 0] << 32) | pairs[:, 1])
-    return pd.Series(out)
-
-
-def _unpacked(packed: Column) -> Column:
-    return F.struct(F.shiftright(packed, 32).cast("int").alias("i"), packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("j"))
-
-
-def _pair(ocr: Column | None, layer: Column | None) -> Column:
-    none = F.lit(None).cast(_TOKEN)
-    return F.struct((none if ocr is None else ocr).alias("ocr"), (none if layer is None else layer).alias("layer"))
-
-
-def _gap(a: Column, b: Column) -> Column:
-    """Pairs of one gap between anchors: alike words pair by place, the rest stand alone."""
-    width = F.least(F.size(a), F.size(b))
-    both = F.flatten(
-        F.zip_with(
-            F.slice(a, F.lit(1), width),
-            F.slice(b, F.lit(1), width),
-            lambda x, y: F.when(
-                script.similar(script.skeleton(x["word"]), script.skeleton(y["word"])), F.array(_pair(x, y))
-            ).otherwise(F.array(_pair(x, None), _pair(None, y))),
-        )
-    )
-    only_a = F.transform(F.slice(a, width + 1, F.size(a)), lambda x: _pair(x, None))
-    only_b = F.transform(F.slice(b, width + 1, F.size(b)), lambda y: _pair(None, y))
-    return F.concat(both, only_a, only_b)
+#: Words a task remembers letters, soundness and likeness of; beyond it the memory starts anew.
+WORDS_KEPT = 200_000
+_WORD = re.compile("[^" + re.escape(BLANKS) + "]+")
+_LETTERLESS = re.compile(r"[\s|.,;:()\[\]'\"–—]+")
+_NO_LETTER = re.compile(f"[^{fv.SKELETON_CLASS}]+")
+# A word with an issue, by the rules of the script audit; a word holds no blank.
+_UNSOUND = re.compile(
+    rf"[\uFFFD\uE000-\uF8FF\u200C]|(?<=[\u0900-\u097F])\||\|(?=[\u0900-\u097F])|(?<=[{fv.VOWEL_SIGNS}{fv.VIRAMA}])[{fv.VOWEL_SIGNS}]"
+    rf"|(?<=[{fv.VOWEL_SIGNS}]){fv.NUKTA}|^[^\u0900-\u097F\u1CD0-\u1CFF.,;:()\[\]\"'0-9]*[{fv.VOWEL_SIGNS}]"
+)
+Token = tuple[int, str]
+Pair = tuple[Token | None, Token | None]
+
+
+def tokens_of(text: str) -> list[Token]:
+    """(line, word) of a text; a word of pure punctuation joins the one before it."""
+    out: list[Token] = []
+    for number, line in enumerate(text.split("\n")):
+        for word in _WORD.findall(line):
+            if out and _LETTERLESS.fullmatch(word):
+                out[-1] = (out[-1][0], out[-1][1] + word)
+            else:
+                out.append((number, word))
+    return out
+
+
+def distance_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``; only the band that can be is computed."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    far = most + 1
+    row = [j if j <= most else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        low, high = max(1, i - most), min(len(b), i + most)
+        last, row[low - 1] = row[low - 1], (i if low == 1 and i <= most else far)
+        for j in range(low, high + 1):
+            above = row[j] if j < i + most else far
+            last, row[j] = above, min(above + 1, row[j - 1] + 1, last + (x != b[j - 1]), far)
+    return row[len(b)] <= most
+
+
+class Words:
+    """What is known of the words of a corpus; each distinct one is looked at once."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.letters: dict[str, str] = {}
+        self.sound: dict[str, bool] = {}
+        self.like: dict[tuple[str, str], bool] = {}
+
+    def tidy(self) -> None:
+        if max(len(self.letters), len(self.sound), len(self.like)) > WORDS_KEPT:
+            self.clear()
+
+    def skeleton(self, word: str) -> str:
+        found = self.letters.get(word)
+        if found is None:
+            found = self.letters[word] = _NO_LETTER.sub("", word)
+        return found
+
+    def is_sound(self, word: str) -> bool:
+        found = self.sound.get(word)
+        if found is None:
+            found = self.sound[word] = _UNSOUND.search(word) is None
+        return found
+
+    def similar(self, a: str, b: str) -> bool:
+        """The same word misspelled: letters within max(2, a third of the shorter)."""
+        pair = (self.skeleton(a), self.skeleton(b))
+        found = self.like.get(pair)
+        if found is None:
+            found = self.like[pair] = distance_within(*pair, max(2, min(map(len, pair)) // 3))
+        return found
+
+
+def paired(a: list[Token], b: list[Token], words: Words) -> list[Pair]:
+    """Tokens matched by their letters; in the gaps between, alike words pair by place and the rest stand alone."""
+    matched = common_subsequence([words.skeleton(w) for _, w in a], [words.skeleton(w) for _, w in b])
+    out: list[Pair] = []
+    i = j = 0
+    for p, q in [*matched, (len(a), len(b))]:
+        width = min(p - i, q - j)
+        for x, y in zip(a[i : i + width], b[j : j + width]):
+            out += [(x, y)] if words.similar(x[1], y[1]) else [(x, None), (None, y)]
+        out += [(x, None) for x in a[i + width : p]]
+        out += [(None, y) for y in b[j + width : q]]
+        if p < len(a) and q < len(b):
+            out.append((a[p], b[q]))
+        i, j = p + 1, q + 1
+    return out
+
+
+def chosen(ocr: Token | None, layer: Token | None, words: Words) -> tuple[Token | None, bool]:
+    """The side taken for a pair, and whether it wants review."""
+    if layer is None:
+        return ocr, True
+    if ocr is None:
+        return (layer if words.is_sound(layer[1]) else None), True
+    if ocr[1] == layer[1]:
+        return layer, False
+    layer_sound = words.is_sound(layer[1])
+    if words.skeleton(ocr[1]) == words.skeleton(layer[1]):
+        if layer_sound:
+            return layer, False
+        return (ocr if words.is_sound(ocr[1]) else layer), True
+    return (ocr if not layer_sound or words.is_sound(ocr[1]) else layer), True
+
+
+def fused_text(ocr: str, layer: str, words: Words) -> tuple[str, list[dict[str, str | bool | None]]]:
+    """The fused text, in the layer's lines, and the words that want review."""
+    lines: dict[int, list[str]] = {}
+    flags = []
+    for x, y in paired(tokens_of(ocr), tokens_of(layer), words):
+        taken, flagged = chosen(x, y, words)
+        if flagged:
+            word = (taken or y)[1]
+            flags.append({"word": word, "ocr": x and x[1], "layer": y and y[1], "sound": words.is_sound(word)})
+        if taken is not None:
+            lines.setdefault((y or taken)[0], []).append(taken[1])
+    return "\n".join(" ".join(lines[n]) for n in sorted(lines)), flags
+
+
+def _with(df: DataFrame, ocr: str, layer: str, new: T.StructType, work: Callable[[str, str, Words], tuple]) -> DataFrame:
+    """``df`` with the columns that ``work`` gives for two texts; null reads as empty. Words are known for a task."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [f.type for f in to_arrow_schema(new)]
+        words = Words()
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(ocr).to_pylist(), batch.column(layer).to_pylist()):
+                found.append(work(x or "", y or "", words))
+                words.tidy()
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*found)) or [[] for _ in kinds], kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *new.names])
+
+    return df.mapInArrow(run, T.StructType(df.schema.fields + new.fields))
 
 
 def align(df: DataFrame, ocr: str, layer: str) -> DataFrame:
-    """Adds ``pairs``: array of (ocr, layer) tokens, either side null."""
-    tokens = df.withColumns({"_a": page_tokens(F.col(ocr)), "_b": page_tokens(F.col(layer))})
-
-    def skeletons(c: str) -> Column:
-        return F.transform(c, lambda t: script.skeleton(t["word"]))
-
-    # The worker gets plain columns in and its result is a plain column again.
-    lettered = tokens.withColumns({"_sa": skeletons("_a"), "_sb": skeletons("_b")})
-    packed = lettered.withColumn("_p", _matches("_sa", "_sb")).drop("_sa", "_sb")
-    matched = packed.withColumn("_m", F.transform("_p", _unpacked)).drop("_p")
-
-    def stretch(k: Column) -> Column:
-        """The gap in front of match k and the match itself; the last gap has none."""
-        start = F.when(k == 0, F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.get("_m", k - 1))
-        end = F.coalesce(F.get("_m", k), F.struct(F.size("_a").alias("i"), F.size("_b").alias("j")))
-
-        def build(s: Column) -> Column:
-            gap_a = F.slice("_a", s["p"]["i"] + 2, s["n"]["i"] - s["p"]["i"] - 1)
-            gap_b = F.slice("_b", s["p"]["j"] + 2, s["n"]["j"] - s["p"]["j"] - 1)
-            anchor = F.when(
-                k < F.size("_m"), F.array(_pair(F.get("_a", s["n"]["i"]), F.get("_b", s["n"]["j"])))
-            ).otherwise(F.array().cast(f"array<struct<ocr:{_TOKEN},layer:{_TOKEN}>>"))
-            gap = F.when(
-                (F.size(gap_a) > 0) | (F.size(gap_b) > 0), let(F.struct(gap_a.alias("a"), gap_b.alias("b")), lambda g: _gap(g["a"], g["b"]))
-            ).otherwise(F.array().cast(f"array<struct<ocr:{_TOKEN},layer:{_TOKEN}>>"))
-            return F.concat(gap, anchor)
-
-        return let(F.struct(start.alias("p"), end.alias("n")), build)
-
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_m")), stretch))
-    return matched.withColumn("pairs", pairs).drop("_a", "_b", "_m")
-
-
-def _choice(pair: Column) -> Column:
-    """Struct(token, flag): the side taken for one pair, and why it wants review."""
-    ocr, layer = pair["ocr"], pair["layer"]
-    no_flag = F.lit(None).cast("struct<word:string,ocr:string,layer:string>")
-
-    def pick(token: Column, flagged: bool) -> Column:
-        flag = F.struct(token["word"].alias("word"), ocr["word"].alias("ocr"), layer["word"].alias("layer"))
-        return F.struct(token.alias("token"), (flag if flagged else no_flag).alias("flag"))
-
-    def dropped() -> Column:
-        flag = F.struct(layer["word"].alias("word"), F.lit(None).cast("string").alias("ocr"), layer["word"].alias("layer"))
-        return F.struct(F.lit(None).cast(_TOKEN).alias("token"), flag.alias("flag"))
-
-    ocr_clean = script.issue_count(ocr["word"]) == 0
-    layer_clean = script.issue_count(layer["word"]) == 0
-    same_letters = script.skeleton(ocr["word"]) == script.skeleton(layer["word"])
-    return (
-        F.when(layer.isNull(), pick(ocr, True))
-        .when(ocr.isNull(), F.when(layer_clean, pick(layer, True)).otherwise(dropped()))
-        .when(ocr["word"] == layer["word"], pick(layer, False))
-        .when(same_letters & layer_clean, pick(layer, False))
-        .when(same_letters & ocr_clean, pick(ocr, True))
-        .when(same_letters, pick(layer, True))
-        .when(ocr_clean | ~layer_clean, pick(ocr, True))
-        .otherwise(pick(layer, True))
-    )
-
+    """Adds ``pairs``: array of (ocr, layer) tokens (line, word), either side null."""
 
-def fuse(df: DataFrame, ocr: str, layer: str) -> DataFrame:
-    """Adds ``text`` (fused, in the layer's lines) and ``flags`` (word, ocr, layer)."""
-    chosen = align(df, ocr, layer).withColumn("_chosen", F.transform("pairs", _choice))
-    placed = F.array_sort(
-        F.filter(
-            F.transform(
-                F.arrays_zip("_chosen", "pairs"),
-                lambda z, i: F.when(
-                    z["_chosen"]["token"].isNotNull(),
-                    F.struct(
-                        F.coalesce(z["pairs"]["layer"]["line"], z["_chosen"]["token"]["line"]).alias("line"),
-                        i.alias("at"),
-                        z["_chosen"]["token"]["word"].alias("word"),
-                    ),
-                ),
-            ),
-            lambda s: s.isNotNull(),
-        )
-    )
+    def work(a: str, b: str, words: Words) -> tuple:
+        token = lambda t: t and {"line": t[0], "word": t[1]}
+        return ([{"ocr": token(x), "layer": token(y)} for x, y in paired(tokens_of(a), tokens_of(b), words)],)
 
-    def text(words: Column) -> Column:
-        def with_gap(w: Column, i: Column) -> Column:
-            before = F.get(words, i - 1)["line"]
-            gap = F.when(i == 0, "").when(before == w["line"], " ").otherwise("\n")
-            return F.concat(gap, w["word"])
+    return _with(df, ocr, layer, T.StructType.fromDDL(f"pairs array<struct<ocr:{_TOKEN},layer:{_TOKEN}>>"), work)
 
-        return F.array_join(F.transform(words, with_gap), "")
 
-    flags = F.filter(F.transform("_chosen", lambda c: c["flag"]), lambda f: f.isNotNull())
-    return chosen.withColumns({"text": let(placed, text), "flags": flags}).drop("_chosen", "pairs")
+def fuse(df: DataFrame, ocr: str, layer: str) -> DataFrame:
+    """Adds ``text`` (fused, in the layer's lines) and ``flags`` (word, ocr, layer, whether the word is sound)."""
+    new = T.StructType.fromDDL("text string, flags array<struct<word:string,ocr:string,layer:string,sound:boolean>>")
+    return _with(df, ocr, layer, new, fused_text)
 
 
 def fusion_quality(fused: DataFrame) -> DataFrame:
     """One row: pages, words, flags, flag rate in percent, one-sided and unresolved flags."""
-    from ..functions.text import word_count
-
     one_sided = F.size(F.filter("flags", lambda f: f["ocr"].isNull() | f["layer"].isNull()))
-    unresolved = F.size(
-        F.filter(
-            "flags", lambda f: f["ocr"].isNotNull() & f["layer"].isNotNull() & (script.issue_count(f["word"]) > 0)
-        )
-    )
+    unresolved = F.size(F.filter("flags", lambda f: f["ocr"].isNotNull() & f["layer"].isNotNull() & ~f["sound"]))
     per_page = fused.select(
         word_count(F.col("text")).alias("w"), F.size("flags").alias("f"), one_sided.alias("o"), unresolved.alias("u")
     )
