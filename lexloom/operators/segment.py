@@ -30,19 +30,24 @@ class Statute:
         self.lines = lines
         self._as_closed = status_as_closed
 
+    @cached_property
+    def _groups(self) -> DataFrame:
+        return _groups(self.lines)
+
     @cached_property
     def items(self) -> DataFrame:
-        return _item_table(_per_item(self.lines), self.footnotes, self._as_closed)
+        return _item_table(self._groups, self._as_closed)
 
     @cached_property
     def clauses(self) -> DataFrame:
         number = F.col("number").alias("item_number")
-        exploded = self.items.select("doc_id", "item_no", number, F.posexplode("clauses").alias("clause_no", "_c"))
+        items = self._groups.where("item is not null").select("doc_id", "item.*")
+        exploded = items.select("doc_id", "item_no", number, F.posexplode("clauses").alias("clause_no", "_c"))
         return exploded.select("doc_id", "item_no", "item_number", "clause_no", "_c.*")
 
     @cached_property
     def footnotes(self) -> DataFrame:
-        return _footnotes(self.lines)
+        return self._groups.select("doc_id", F.inline("notes"))
 
     @cached_property
     def parts(self) -> DataFrame:
@@ -271,12 +276,19 @@ def _clauses_of(pieces: Column) -> Column:
     return let(at, build)
 
 
-def _per_item(lines: DataFrame) -> DataFrame:
-    """One row per item, with its clauses."""
+def _groups(lines: DataFrame) -> DataFrame:
+    """(doc_id, item_no, item, notes): every item with its clauses, and the footnotes met while it was open.
+
+    Lines outside items are a group with a null item_no, for their footnotes. Each line is read once for both.
+    """
     parsed = "array<struct<line_no:int,marker:int,kind:string,number:string,text:string>>"
+    stripped = text.strip(F.col("line"))
+    marker = F.nullif(F.regexp_extract(stripped, r"^(\d{1,2})\.", 1), F.lit("")).cast("int")
     title = F.struct("line_no", F.col("title_piece").alias("t"))
     piece = F.struct("line_no", F.col("body_piece").alias("piece"))
-    grouped = lines.where("item_no is not null").groupBy("doc_id", "item_no").agg(
+    opening = F.when(F.col("note_opens"), marker).alias("marker")
+    noted = F.struct("note_no", "line_no", stripped.alias("t"), opening, F.col("note_item").alias("target"))
+    grouped = lines.where("item_no is not null or in_note").groupBy("doc_id", "item_no").agg(
         F.min("line_no").alias("line_no"),
         F.max("line_no").alias("last_line"),
         F.max("item_number").alias("number"),
@@ -284,59 +296,84 @@ def _per_item(lines: DataFrame) -> DataFrame:
         F.min_by("section", "line_no").alias("section"),
         F.array_sort(F.collect_list(F.when(F.col("title_piece").isNotNull(), title))).alias("_titles"),
         F.array_sort(F.collect_list(F.when(F.coalesce("body_piece", F.lit("")) != "", piece))).alias("_pieces"),
+        F.array_sort(F.collect_list(F.when(F.col("in_note"), noted))).alias("_noted"),
     )
     titled = text.clean_title(F.array_join(F.transform("_titles", lambda t: t["t"]), " "))
-    return grouped.withColumn("_parsed", F.transform("_pieces", _clause_piece).cast(parsed)).select(
-        *(c for c in ITEM_FIELDS if c not in ("title", "clauses")),
-        "doc_id",
-        titled.alias("title"),
-        _clauses_of(F.col("_parsed")).alias("clauses"),
+    whole = grouped.withColumn("_parsed", F.transform("_pieces", _clause_piece).cast(parsed)).withColumns(
+        {"title": titled, "clauses": _clauses_of(F.col("_parsed"))}
     )
+    item = F.when(F.col("item_no").isNotNull(), F.struct(*ITEM_FIELDS))
+    return whole.select("doc_id", "item_no", item.alias("item"), _notes_of(F.col("_noted")).alias("notes"))
 
 
-def _footnotes(lines: DataFrame) -> DataFrame:
-    """Footnote blocks with the item they belong to.
+def _notes_of(rows: Column) -> Column:
+    """Footnotes from their lines in order, with the item each belongs to.
 
     A footnote consumes its marker: the latest mark before it with the same number decides. A mark names the item it
     stands in, an earlier footnote or a mark in a schedule hides those before, and without an item the one open at the
-    footnote takes it.
+    footnote takes it. The walk has decided that where the footnote opens.
     """
-    first = text.strip(F.col("line"))
-    marker = F.nullif(F.regexp_extract(first, r"^(\d{1,2})\.", 1), F.lit("")).cast("int")
-    rows = lines.where("in_note").withColumns({"t": first, "marker": F.when(F.col("note_opens"), marker)})
-    return rows.groupBy("doc_id", "note_no").agg(
-        F.max("marker").alias("marker"),
-        F.min("line_no").alias("line_no"),
-        F.max("line_no").alias("last_line"),
-        F.max("note_item").alias("item_no"),
-        _joined("t").alias("text"),
+    starts = F.filter(
+        F.transform(rows, lambda r, i: F.when((i == 0) | (r["note_no"] != F.get(rows, i - 1)["note_no"]), i + 1)),
+        lambda i: i.isNotNull(),
     )
 
+    def build(at: Column) -> Column:
+        def note(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(at, k + 1), F.size(rows) + 1)
+            first, last = F.get(rows, start - 1), F.get(rows, end - 2)
+            return F.struct(
+                first["note_no"].alias("note_no"),
+                first["marker"].alias("marker"),
+                first["line_no"].alias("line_no"),
+                last["line_no"].alias("last_line"),
+                first["target"].alias("item_no"),
+                F.array_join(F.transform(F.slice(rows, start, end - start), lambda r: r["t"]), " ").alias("text"),
+            )
+
+        return F.transform(at, note)
+
+    return let(starts, build)
+
 
 ITEM_FIELDS = ["item_no", "line_no", "last_line", "number", "part", "section", "title", "clauses"]
 
 
-def _item_table(items: DataFrame, notes: DataFrame, as_closed: bool) -> DataFrame:
-    """Items with status and amendments: distinct, by the first place that cites them, in the item or its footnotes."""
+def _item_table(groups: DataFrame, as_closed: bool) -> DataFrame:
+    """Items with status and amendments: distinct, by the first place that cites them, in the item or its footnotes.
 
-    def cited(rows: DataFrame, at: str, body: Column) -> DataFrame:
-        found = rows.select("doc_id", "item_no", F.col(at).alias("at"), F.posexplode(numbers.citations(body)).alias("idx", "n"))
-        return found.select("doc_id", "item_no", "n", F.struct("at", "idx", "n").alias("place"))
+    A footnote may belong to an item closed before, so items and citations meet by the item's number.
+    """
+    kind = groups.schema["item"].dataType.simpleString()
+    nowhere = F.lit(None).cast("struct<at:int,idx:int,n:int>").alias("place")
+
+    def cited(target: Column, at: Column, body: Column) -> Column:
+        def place(n: Column, i: Column) -> Column:
+            return F.struct(at.alias("at"), i.alias("idx"), n.alias("n"))
+
+        return F.transform(
+            numbers.citations(body),
+            lambda n, i: F.struct(target.alias("target"), F.lit(None).cast(kind).alias("item"), place(n, i).alias("place")),
+        )
 
-    own = cited(items, "last_line", F.array_join(F.transform("clauses", lambda c: c["text"]), " "))
-    below = cited(notes.where("item_no is not null"), "last_line", F.col("text"))
-    firsts = own.union(below).groupBy("doc_id", "item_no", "n").agg(F.min("place").alias("place"))
-    touched = firsts.groupBy("doc_id", "item_no").agg(
-        F.array_sort(F.collect_list("place")).alias("_touched"), F.min("place.at").alias("_first")
+    item = F.col("item")
+    itself = F.struct(F.col("item_no").alias("target"), item.alias("item"), nowhere)
+    own = cited(F.col("item_no"), item["last_line"], F.array_join(F.transform(item["clauses"], lambda c: c["text"]), " "))
+    noted = F.filter("notes", lambda n: n["item_no"].isNotNull())
+    below = F.flatten(F.transform(noted, lambda n: cited(n["item_no"], n["last_line"], n["text"])))
+    mine = F.when(item.isNotNull(), F.concat(F.array(itself), own))
+    facts = groups.select("doc_id", F.explode(F.concat(F.coalesce(mine, F.slice(below, 1, 0)), below)).alias("f")).select("doc_id", "f.*")
+    met = facts.groupBy("doc_id", "target").agg(
+        F.first("item", ignorenulls=True).alias("item"), F.array_sort(F.collect_list("place")).alias("places")
     )
-    none = F.array().cast(touched.schema["_touched"].dataType)
-    counted = F.coalesce(F.col("_first") <= F.col("last_line"), F.lit(False)) if as_closed else F.col("_first").isNotNull()
-    first_clause = F.coalesce(F.get("clauses", F.lit(0))["text"], F.lit(""))
-    return items.join(touched, ["doc_id", "item_no"], "left").select(
+    counted = F.get("places", F.lit(0))["at"] <= item["last_line"] if as_closed else F.size("places") > 0
+    first_clause = F.coalesce(F.get(item["clauses"], F.lit(0))["text"], F.lit(""))
+    amendments = F.array_distinct(F.transform("places", lambda p: p["n"]))
+    return met.select(
         "doc_id",
-        *ITEM_FIELDS,
-        status(first_clause, counted).alias("status"),
-        F.transform(F.coalesce("_touched", none), lambda t: numbers.amendment_id(t["n"])).alias("amended_by"),
+        *(item[f].alias(f) for f in ITEM_FIELDS),
+        status(first_clause, F.coalesce(counted, F.lit(False))).alias("status"),
+        F.transform(amendments, numbers.amendment_id).alias("amended_by"),
     )
 
 
