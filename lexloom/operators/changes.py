@@ -88,33 +88,41 @@ def next_links(index: DataFrame, seen: DataFrame, extension: str | None = "pdf")
     return found.union(seen.select("link")).distinct()
 
 
-def report_lines(flags: DataFrame, first_run: bool = False) -> DataFrame:
-    """(section, line) of a Markdown report: heading, one line per flag, closing.
+#: What a report says beside its flags.
+REPORT_NOTE = "The detector only observes its sources. A person confirms what is listed and sets the dates."
+REPORT_SOUND = "No changes detected. Sources look the same as the last check."
+REPORT_ASKS = "Open the sources, confirm each change, then update the verified dates."
+REPORT_FIRST = "First run: baseline recorded, nothing to compare against yet."
+#: Sections of a report: flags of kind k stand in FIRST_FLAG + k, and what follows them behind.
+FIRST_FLAG, CLOSING = 10, 99
 
-    Rows, not one string: the report grows with the flags and is written in order.
-    The flags are read twice, so they are checkpointed, not detected again.
+
+def report_lines(flags: DataFrame, checked: str, first_run: bool = False) -> DataFrame:
+    """(section, line) of a Markdown report, every line of it: headings, date, note, one line per flag, blanks, closing.
+
+    Rows, not one string: the report grows with the flags and is written in order of (section, line). The flags are read
+    twice, so they are checkpointed, not detected again; no flag leaves the cluster.
     """
     from ..session import checkpointed
 
     flags = checkpointed(flags)
     spark = flags.sparkSession
-    head = [(0, "# Source check report")]
-    if first_run:
-        head.append((1, "First run: baseline recorded, nothing to compare against yet."))
+    head = ["# Source check report", "", f"Checked: {checked}", "", REPORT_NOTE, ""]
+    head += [REPORT_FIRST, ""] if first_run else []
+    given = spark.createDataFrame(list(enumerate(head)), "section int, line string")
+    kind = F.array_position(F.array(*[F.lit(k) for k in FLAG_KINDS]), F.col("kind"))
     bullets = flags.select(
-        (F.array_position(F.array(*[F.lit(k) for k in FLAG_KINDS]), F.col("kind")) + 2).cast("int").alias("section"),
-        F.concat(F.lit("- **"), "kind", F.lit("**: "), "detail").alias("line"),
-    )
-    frame = spark.createDataFrame(head, "section int, line string")
-    # One counted row decides between the two closings; no flag leaves the cluster.
-    any_flag = flags.agg((F.count(F.lit(1)) > 0).alias("some"))
-    closing = any_flag.select(
-        F.lit(99).alias("section"),
-        F.when(F.col("some"), "Open the sources, confirm each change, then update the verified dates.")
-        .otherwise("No changes detected. Sources look the same as the last check.")
-        .alias("line"),
+        (kind + FIRST_FLAG).cast("int").alias("section"), F.concat(F.lit("- **"), "kind", F.lit("**: "), "detail").alias("line")
     )
-    return frame.unionByName(bullets).unionByName(closing)
+
+    def lines(entries: list[tuple[int, str]]) -> Column:
+        return F.array(*[F.struct(F.lit(s).alias("section"), F.lit(t).alias("line")) for s, t in entries])
+
+    found = lines([(FIRST_FLAG - 2, "## Changes detected"), (FIRST_FLAG - 1, ""), (CLOSING - 1, ""), (CLOSING, REPORT_ASKS)])
+    # one counted row decides what stands around the flags
+    some = flags.agg((F.count(F.lit(1)) > 0).alias("some"))
+    around = some.select(F.inline(F.when(F.col("some"), found).otherwise(lines([(CLOSING, REPORT_SOUND)]))))
+    return given.unionByName(bullets).unionByName(around)
 
 
 def staleness(rows: DataFrame, source: str, moment: str, as_of: Column) -> DataFrame:

@@ -68,26 +68,26 @@ def markup_rows(t: Tables) -> DataFrame:
     """SELECT p_partkey, id, max_by(txt, o) AS text FROM (
          SELECT p_partkey, CAST(p_size AS VARCHAR) AS id, p_name AS txt, 0 AS o FROM part
          UNION ALL SELECT p_partkey, CAST(p_partkey % 60 AS VARCHAR) || 'A', p_type, 1 FROM part
-         UNION ALL SELECT p_partkey, CAST(p_partkey % 60 AS VARCHAR), p_brand, 2 FROM part) GROUP BY p_partkey, id""",
+         UNION ALL SELECT p_partkey, CAST(p_partkey % 60 AS VARCHAR), p_brand, 2 FROM part
+         UNION ALL SELECT p_partkey, CAST(p_partkey % 7 AS VARCHAR), p_type || ' ' || p_name, 3 FROM part) GROUP BY p_partkey, id""",
 )
 def variant_walk(t: Tables) -> DataFrame:
-    def article(number: Column, body: str) -> list[Column]:
-        return [F.concat(F.lit(" "), number).alias("ArtNo"), F.col(body).alias("ArtDesc")]
-
-    size = F.col("p_size").cast("string")
-    key = (F.col("p_partkey") % 60).cast("string")
-    nested = F.struct(
-        F.array(
-            F.struct(
-                *article(size, "p_name"),
-                F.struct(F.array(F.struct(*article(F.concat(key, F.lit("A")), "p_type"))).alias("List")).alias("Sub"),
-                F.struct(F.struct(*article(key, "p_brand")).alias("Deep")).alias("Tail"),
-            )
-        ).alias("Parts"),
-        F.lit(1).alias("ArtNo"),
+    """Fields in no order, one repeated in its object, one object repeated as a field: the last one read wins."""
+    as_text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"^\{\"x\":(.*)\}$", 1)
+    cast = lambda c: c.cast("string")
+    name, kind, brand = (as_text(F.col(f"p_{c}")) for c in ("name", "type", "brand"))
+    box = as_text(F.concat("p_type", F.lit(" "), "p_name"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    source = t.part.select(
+        "p_partkey",
+        F.format_string(
+            '{"Parts": [{"ArtNo": " %s", "ArtDesc": "dropped", "Sub": {"List": [{"ArtDesc": %s, "ArtNo": "%sA"}]}, "ArtDesc": %s,'
+            ' "Tail": {"ArtNo": "%s", "ArtDesc": "never read"}, "Ahead": {"ArtNo": 5, "ArtDesc": "no text"}, "Tail": {"Deep": {"ArtNo": "%s", "ArtDesc": %s}}}],'
+            ' "ArtNo": 1, "A": [[], {}, {"ArtDesc": %s, "ArtNo": "%s "}]}',
+            cast(size), kind, cast(key % 60), name, cast(size), cast(key % 60), brand, box, cast(key % 7),
+        ).alias("json"),
     )
-    source = t.part.select("p_partkey", F.to_json(nested).alias("json"))
-    return json_walk.keyed_texts(source, "p_partkey", "json", "ArtNo", "ArtDesc", r"^\d{1,3}[A-Z]?$")
+    return json_walk.keyed_texts(source, "p_partkey", "json", "ArtNo", "ArtDesc", r"\d{1,3}[A-Z]?")
 
 
 @query("resume_pending", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -347,13 +347,16 @@ def change_flags(t: Tables) -> DataFrame:
 
 @query(
     "flag_report",
-    f"""WITH {_FLAGS} SELECT 0 AS section, '# Source check report' AS line
-        UNION ALL SELECT list_position({changes.FLAG_KINDS!r}, kind) + 2, '- **' || kind || '**: ' || detail FROM flags
-        UNION ALL SELECT 99, CASE WHEN count(*) > 0 THEN 'Open the sources, confirm each change, then update the verified dates.'
-          ELSE 'No changes detected. Sources look the same as the last check.' END FROM flags""",
+    f"""WITH {_FLAGS}, head AS (
+          SELECT CAST(i AS INTEGER) AS section, l AS line FROM (SELECT unnest(['# Source check report', '', 'Checked: 2025-06-30', '', '{changes.REPORT_NOTE}', '',
+            '{changes.REPORT_FIRST}', '']) AS l, unnest(range(8)) AS i))
+        SELECT * FROM head
+        UNION ALL SELECT list_position({changes.FLAG_KINDS!r}, kind) + {changes.FIRST_FLAG}, '- **' || kind || '**: ' || detail FROM flags
+        UNION ALL SELECT s, l FROM (SELECT unnest([8, 9, 98, 99]) AS s, unnest(['## Changes detected', '', '', '{changes.REPORT_ASKS}']) AS l) WHERE EXISTS (FROM flags)
+        UNION ALL SELECT 99, '{changes.REPORT_SOUND}' WHERE NOT EXISTS (FROM flags)""",
 )
 def flag_report(t: Tables) -> DataFrame:
-    return changes.report_lines(_flags(t)).orderBy("section", "line")
+    return changes.report_lines(_flags(t), "2025-06-30", first_run=True).orderBy("section", "line")
 
 
 @query(

@@ -336,6 +336,21 @@ def test_links_seen_survive_an_unreachable_index(spark):
 
 def test_report_names_every_flag(spark):
     flags = spark.createDataFrame([("new-edition", "k", "https://x/new.pdf")], "kind string, key string, detail string")
-    lines = [r.line for r in changes.report_lines(flags, first_run=True).orderBy("section", "line").collect()]
-    assert lines[1].startswith("First run") and "- **new-edition**: https://x/new.pdf" in lines
-    assert changes.report_lines(flags.filter("false")).orderBy(F.desc("section")).first().line.startswith("No changes")
+    lines = [r.line for r in changes.report_lines(flags, "2031-02-03", first_run=True).orderBy("section", "line").collect()]
+    assert lines == [
+        "# Source check report",
+        "",
+        "Checked: 2031-02-03",
+        "",
+        changes.REPORT_NOTE,
+        "",
+        changes.REPORT_FIRST,
+        "",
+        "## Changes detected",
+        "",
+        "- **new-edition**: https://x/new.pdf",
+        "",
+        changes.REPORT_ASKS,
+    ]
+    nothing = [r.line for r in changes.report_lines(flags.filter("false"), "2031-02-03").orderBy("section", "line").collect()]
+    assert nothing == [*lines[:6], changes.REPORT_SOUND]

@@ -52,6 +52,26 @@ def test_json_of_unknown_shape(spark):
     assert {(r.id, r.text) for r in rows} == {("1", "again"), ("2A", "deep")}
 
 
+def test_json_is_walked_as_it_is_read(spark):
+    """Repeated keys keep their first place and last value; index keys come first; text is not looked into."""
+    texts = [
+        '{"b":{"n":"1","t":"old"},"a":{"n":"1","t":"between"},"b":{"n":"1","t":"new"}}',
+        '{"x":{"n":"1","t":"last"},"7":{"n":"1","t":"second"},"3":{"n":"1","t":"first"}}',
+        '[{"n":"2","t":"{\\"n\\":\\"3\\",\\"t\\":\\"inside\\"}"},"{\\"n\\":\\"4\\",\\"t\\":\\"x\\"}"]',
+        "[" * 200 + '{"n":"9","t":"deep"}' + "]" * 200,
+        "null",
+        '{"n":"5","t":""}',
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, j string")
+    rows = json_walk.keyed_texts(df, "k", "j", "n", "t", r"\d")
+    assert sorted(map(tuple, rows.collect())) == [(0, "1", "between"), (1, "1", "last"), (2, "2", '{"n":"3","t":"inside"}'), (3, "9", "deep")]
+    plan = json_walk.keyed_texts(df, "k", "j", "n", "t", r"\d")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        json_walk.keyed_texts(spark.createDataFrame([(1, "{broken")], "k int, j string"), "k", "j", "n", "t", r"\d").collect()
+
+
 def test_stale_sources(spark, folder):
     from pathlib import Path
 
