@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators.changes import page_states
@@ -70,3 +71,65 @@ def test_repeated_snapshots_are_dropped(spark, folder):
     _write(spark, source, [("a", _day(1), "x"), ("a", _day(1), "x"), ("a", _day(2), "y")])
     _run(ingest.distinct_snapshots(ingest.file_stream(spark, source, SCHEMA), "ts"), target, check)
     assert spark.read.parquet(target).count() == 2
+
+
+# --- keyed state --------------------------------------------------------------
+
+
+def snapshots_of(seed):
+    """Snapshots of a few urls over days; one url has most, some come twice, some are unreachable."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(120):
+        url = rng.choice(["hot", "hot", "hot", "b", "c"])
+        at = dt.datetime(2031, 1, 1) + dt.timedelta(hours=rng.randint(0, 240))
+        body = rng.choice([None, "one", "two", '<a href="x.pdf">x</a>', '<a href="x.pdf">x</a><a href="y.pdf">y</a>'])
+        rows += [(url, at, body)] * rng.choice([1, 1, 1, 2])
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_watch_in_any_order_equals_batch(spark, folder, seed):
+    import random
+
+    from lexloom.streaming import detector, watch
+
+    rows = snapshots_of(seed)
+    schema = "url string, ts timestamp, body string"
+    shuffled = random.Random(seed + 9).sample(rows, len(rows))
+    end = [("~end", dt.datetime(2031, 3, 1), "later")]
+    parts = [shuffled[:80], shuffled[80:], end]
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        query = watch.watch(stream, f"{folder}/out", f"{folder}/state", delay="20 days")
+        query.awaitTermination()
+        assert query.exception() is None
+
+    for part in parts:  # every part is a run of its own, so state comes back from the checkpoint
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run()
+    found = spark.read.parquet(f"{folder}/out")
+    none = spark.createDataFrame([], "url string, hash string, ts timestamp")
+    wanted = detector.judge(spark.createDataFrame(rows, schema), none)
+    key = lambda r: (r.url, r.ts, r.state, str(r.hash))
+    assert sorted(map(key, found.collect())) == sorted(map(key, wanted.collect()))
+    for url in ("hot", "b", "c"):
+        links = [x for r in found.where(F.col("url") == url).orderBy("ts", "hash").collect() for x in r.new_links]
+        assert len(links) == len(set(links)) and set(links) <= {"x.pdf", "y.pdf"}
+
+
+def test_a_url_not_heard_of_is_forgotten(spark, folder):
+
+    from lexloom.streaming import watch
+
+    schema = "url string, ts timestamp, body string"
+    days = [("a", 1, "x"), ("~", 40, "x"), ("~", 80, "x"), ("a", 90, "x"), ("~", 200, "x")]
+    for n, (url, day, body) in enumerate(days):
+        spark.createDataFrame([(url, dt.datetime(2031, 1, 1) + dt.timedelta(days=day), body)], schema).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        watch.watch(stream, f"{folder}/out", f"{folder}/state", delay="1 day", forget_days=30).awaitTermination()
+    got = spark.read.parquet(f"{folder}/out").where("url = 'a'").orderBy("ts").collect()
+    assert [r.state for r in got] == ["new", "new"]
