@@ -143,7 +143,11 @@ def item_metadata_json(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.to_json(record).alias("metadata"))
 
 
-@query("content_hash")
+@query(
+    "content_hash",
+    """SELECT count(*) AS n, sum(('0x' || substr(md5(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})), 1, 15))::BIGINT) AS digest
+       FROM documents""",
+)
 def content_hash(t: Tables) -> DataFrame:
     """The digest an idempotent rewrite is checked with, over whole texts."""
     return sinks.content_hash(spread(t.documents))

@@ -101,6 +101,62 @@ def test_sync_is_checked_first_and_idempotent(spark, folder):
     assert sinks.content_hash(spark.read.parquet(target)).first() == first
 
 
+def test_sync_computes_its_rows_once(spark, folder):
+    """What is written is what was checked, also of rows that differ from run to run; nothing is left beside the target."""
+    from pathlib import Path
+
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).select(F.col("id").cast("string").alias("number"), F.lit("a name").alias("name"))
+    for target in ("one", "two"):
+        sinks.sync(rows.mapInArrow(count, rows.schema), f"{folder}/{target}", "number", [required_text("name")])
+    assert computed.value == 100 and spark.read.parquet(f"{folder}/two").count() == 50
+    with pytest.raises(ValueError, match="50 problem"):
+        sinks.sync(rows.withColumn("name", F.lit("")), f"{folder}/one", "number", [required_text("name")])
+    grown = spark.read.parquet(f"{folder}/one").union(spark.createDataFrame([("x", "y")], "number string, name string"))
+    sinks.sync(grown, f"{folder}/one", "number", [required_text("name")])
+    assert spark.read.parquet(f"{folder}/one").count() == 51
+    assert sorted(p.name for p in Path(folder).iterdir()) == ["one", "two"]
+
+
+def test_rebuild_rewrites_stale_parts_only(spark, folder):
+    import os
+    from pathlib import Path
+
+    def source():
+        return spark.read.text(f"{folder}/in/*.txt")
+
+    def build(rows):
+        return rows.select(manifest.SOURCE, F.length("value").alias("n"))
+
+    def parts():
+        return {p.parent.name.split("=")[1]: p.name for p in Path(folder, "out").glob("*/*.parquet")}
+
+    os.mkdir(f"{folder}/in")
+    for name in "abcde":
+        Path(folder, "in", f"{name}.txt").write_text("one line\n")
+    first = manifest.rebuild(source(), f"{folder}/out", f"{folder}/seen", build)
+    before = parts()
+    assert len(first) == len(before) == 5
+    assert manifest.rebuild(source(), f"{folder}/out", f"{folder}/seen", build) == [] and parts() == before
+    Path(folder, "in", "b.txt").write_text("one line\nand one more\n")
+    Path(folder, "in", "f.txt").write_text("new\n")
+    Path(folder, "in", "d.txt").unlink()
+    stale = manifest.rebuild(source(), f"{folder}/out", f"{folder}/seen", build)
+    assert [p[-5:] for p in stale] == ["b.txt", "f.txt"]
+    after = parts()
+    assert set(after) == {"a.txt", "b.txt", "c.txt", "e.txt", "f.txt"}
+    assert all((after[n] == before[n]) == (n != "b.txt") for n in after if n != "f.txt")
+    assert {tuple(r) for r in spark.read.parquet(f"{folder}/out").select("n", manifest.SOURCE).collect()} == {
+        (8, "a.txt"), (8, "b.txt"), (12, "b.txt"), (8, "c.txt"), (8, "e.txt"), (3, "f.txt"),
+    }
+
+
 def test_sync_refuses_unknown_parents(spark, folder):
     items = spark.createDataFrame([("1", "3", "t"), ("2", "99", "t")], "number string, part string, title string")
     parts = spark.createDataFrame([("3",)], "number string")
