@@ -25,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Nodes a task's trie may hold, and terminals it keeps at hand, before both start anew.
 NODES_KEPT = 600_000
 TERMINALS_KEPT = 400_000
+#: Characters of the longest word that is put in the trie.
+TRIE_CHARS = 4096
 
 #: Stands for an ending that no piece has.
 NONE = math.nan
@@ -37,6 +39,7 @@ class Trie:
         # endings of pieces: a score where the ending is a piece itself; no piece ends in what is missing
         self.endings: dict[str, float | None] = {p[i:]: None for p in pieces.scores for i in range(len(p))}
         self.endings |= pieces.scores
+        self.reach = pieces.longest + 1
         self.clear()
 
     def clear(self) -> None:
@@ -73,8 +76,36 @@ class Trie:
             path.append(at)
         return pieces[at]
 
+    def alone(self, word: str) -> int:
+        """Pieces of a word too long to share prefixes: the same scores, kept as far back as a piece reaches."""
+        endings, reach = self.endings, self.reach
+        score, pieces, base = [0.0], [0], 0
+        for end, c in enumerate(word, 1):
+            best, count = -math.inf, 0
+            start = end - 1
+            while start >= 0:
+                value = endings.get(word[start:end], NONE)
+                if value is NONE:
+                    break
+                if value is not None:
+                    whole, used = score[start - base] + value, pieces[start - base] + 1
+                    if whole > best or whole == best and used < count:
+                        best, count = whole, used
+                start -= 1
+            if best == -math.inf:
+                size = len(c.encode("utf-8", "surrogatepass"))
+                best, count = score[-1] + BYTE_SCORE * size, pieces[-1] + size
+            score.append(best)
+            pieces.append(count)
+            if len(score) > 64 * reach:
+                base += len(score) - reach
+                score, pieces = score[-reach:], pieces[-reach:]
+        return pieces[-1]
+
     def count(self, word: str) -> int:
         """Pieces of a pre-token, from its terminal if it has been inserted."""
+        if len(word) > TRIE_CHARS:
+            return self.alone(word.replace(" ", SPACE))
         found = self.known.get(word)
         if found is None:
             if len(self.score) > NODES_KEPT or len(self.known) > TERMINALS_KEPT:
@@ -87,7 +118,9 @@ def token_counts(documents: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, n_pretokens, n_distinct) per row of ``documents`` (doc_id, text).
 
     Null and empty texts have none. Repeated rows each come back; doc_id may be null; other columns are ignored. Nothing
-    is shuffled: a trie lives in its task, bounded, and only the vocabulary file, of fixed size, is read by every task.
+    is shuffled: a trie lives in its task, bounded in nodes, and only the vocabulary file, of fixed size, is read by every
+    task. A word of more than TRIE_CHARS characters is scored alone, in a window as long as the longest piece, so a very long
+    word or text takes time in proportion to its length and memory for its characters only.
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
