@@ -24,9 +24,11 @@ from .pieces import BYTE_SCORE, SPACE, Pieces, load_pieces, pretoken_pattern, pr
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Pre-tokens a task keeps the ids of; characters indexed at once (a longer pre-token is indexed alone).
+#: Pre-tokens a task keeps the ids of; characters indexed at once.
 WORDS_KEPT = 400_000
 INDEX_CHARS = 400_000
+#: Characters of the longest pre-token that is relaxed together with others, place by place.
+TOGETHER_CHARS = 8192
 #: Between pre-tokens in the indexed text. Characters are their code points plus one, so that no text holds it.
 GAP = 0
 
@@ -133,7 +135,7 @@ class Encoder:
             group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, high - low)))
             # best first; fewer pieces among equals, then the longer last piece
             top = np.maximum.reduceat(total, heads)
-            pieces_used[total < top[group]] = len(text) + 1
+            pieces_used[total < top[group]] = np.iinfo(np.int64).max  # bytes may outnumber characters
             fewest = np.minimum.reduceat(pieces_used, heads)
             source = np.where(pieces_used == fewest[group], source, len(text))
             earliest = np.minimum.reduceat(source, heads)
@@ -181,12 +183,65 @@ class Encoder:
             owners += [o] * len(new)
         return np.array(owners), np.array(out)
 
+    def alone(self, word: str) -> bytes:
+        """Ids of a very long pre-token: its lattice is made and relaxed block by block, in the order of its places."""
+        spelled = word.replace(" ", SPACE)
+        codes = codes_of(spelled)
+        size = len(codes)
+        taken, width = np.full(size + 1, -1, np.int32), np.zeros(size + 1, np.int32)
+        score, count = [0.0], [0]
+        for low in range(0, size, INDEX_CHARS):
+            high = min(low + INDEX_CHARS, size)
+            start, piece = self.occurrences(codes[low : min(high + self.longest, size)])
+            inside = start < high - low
+            start, piece = start[inside], piece[inside]
+            single = np.zeros(high - low, bool)
+            single[start[self.sizes[piece] == 1]] = True
+            odd = np.flatnonzero(~single)
+            point = codes[low + odd] - 1
+            cost = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF).astype(np.int64)
+            order = np.argsort(np.concatenate([start, odd]), kind="stable")
+            edges = zip(
+                np.concatenate([start, odd])[order].tolist(),
+                np.concatenate([self.sizes[piece], np.ones(len(odd), np.int64)])[order].tolist(),
+                np.concatenate([self.scores[piece], BYTE_SCORE * cost])[order].tolist(),
+                np.concatenate([np.ones(len(piece), np.int64), cost])[order].tolist(),
+                np.concatenate([piece, np.full(len(odd), -1)])[order].tolist(),
+            )
+            room = high - low + self.longest + 1
+            score += [-np.inf] * (room - len(score))
+            count += [0] * (room - len(count))
+            edge, wide = [-1] * room, [0] * room
+            edge[: self.longest + 1] = taken[low : low + self.longest + 1].tolist() + [-1] * (low + self.longest - size)
+            wide[: self.longest + 1] = width[low : low + self.longest + 1].tolist() + [0] * (low + self.longest - size)
+            for at, length, value, used, which in edges:
+                total, pieces, end = score[at] + value, count[at] + used, at + length
+                if total > score[end] or total == score[end] and pieces < count[end]:
+                    score[end], count[end], edge[end], wide[end] = total, pieces, which, length
+            known = min(room, size + 1 - low)
+            taken[low : low + known], width[low : low + known] = edge[:known], wide[:known]
+            score, count = score[high - low :], count[high - low :]
+        path = []
+        end = size
+        while end:
+            path.append(end)
+            end -= int(width[end])
+        ends = np.array(path[::-1])
+        piece = taken[ends]
+        ids = np.where(piece >= 0, self.ids[piece], -1)
+        if (ids < 0).any():
+            _, ids = self.as_bytes(np.zeros(len(ids), np.int64), ids, ends - width[ends], [spelled])
+        return ids.astype("<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit bytes."""
         cut = [pretokens(t, self.pattern) for t in texts]
         if len(self.words) > WORDS_KEPT:
             self.words = {}
         new = list(set(chain.from_iterable(cut)).difference(self.words))
+        for word in [w for w in new if len(w) > TOGETHER_CHARS]:
+            self.words[word] = self.alone(word)
+        new = [w for w in new if len(w) <= TOGETHER_CHARS]
         ends = np.cumsum([len(w) + 1 for w in new]) // INDEX_CHARS if new else np.zeros(0, np.int64)
         for part in np.split(np.arange(len(new)), np.flatnonzero(np.diff(ends)) + 1):
             if len(part):
@@ -244,7 +299,8 @@ def digests(documents: DataFrame, model: str) -> DataFrame:
 
     Encoding and decoding meet in one pass, so that ids of whole texts are not moved. A text that holds the blank's mark
     itself decodes to blanks, so its round trip is false. Repeated rows each come back; doc_id may be null; other columns
-    are ignored.
+    are ignored. A pre-token of more than TOGETHER_CHARS characters is encoded alone, in blocks of places: a very long word
+    or text takes time and memory in proportion to its length.
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:

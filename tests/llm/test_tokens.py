@@ -259,3 +259,39 @@ def test_pack_holds_every_token_once(spark):
 def test_pack_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(docs, WORD_TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ther", "é漢a"])
+def test_words_alone_are_encoded_as_with_others(pieces, letters, monkeypatch):
+    rng = random.Random(len(letters))
+    monkeypatch.setattr(sentencepiece, "INDEX_CHARS", 50)
+    encoder = sentencepiece.Encoder(pieces)
+    trie = token_counts.Trie(pieces)
+    for size in (1, 2, 49, 50, 51, 100, 333, 1000):
+        word = "".join(rng.choices(letters, k=size))
+        score, ids = viterbi(word, pieces)
+        alone = unpack(encoder.alone(" " + word))
+        assert alone == unpack(encoder.encode([word])[0]) and score_of(alone, pieces) == pytest.approx(score)
+        assert trie.alone(SPACE + word) == trie.count(" " + word) == len(ids)
+
+
+def test_four_million_letters_in_one_word(pieces):
+    """Time and memory follow the length."""
+    import time
+    import tracemalloc
+
+    word = "".join(random.Random(1).choices("etaoinshrdlu", k=4_000_000))
+    trie = token_counts.Trie(pieces)
+    started = time.perf_counter()
+    count = trie.count(" " + word)
+    assert time.perf_counter() - started < 30 and len(trie.score) == 1
+    tracemalloc.start()
+    trie.alone(word[:200_000])
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+    encoder = sentencepiece.Encoder(pieces)
+    started = time.perf_counter()
+    ids = unpack(encoder.encode([word])[0])
+    assert time.perf_counter() - started < 45 and len(ids) == count
+    surface = pieces.surface()
+    assert b"".join(surface[i] for i in ids).decode().replace(SPACE, " ") == " " + word
