@@ -1,9 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page is a sequence of text nodes, each under a root-to-leaf path of tags. Text length and punctuation are added up per
-path and divided by the path's nodes; the two ratios are smoothed along the page, fused by product, and nodes above a
-threshold are content. The article is the region that holds the content nodes; its blocks come out in page order without
-the regions that markup names as something else.
+path and divided by the path's nodes; the two ratios are smoothed along the page and fused. Paths above a
+threshold are content, and so are their nodes, but for regions that markup names as something else. Gaps are bridged: what
+stands beside content in the same container, or with it in an article, belongs to it, headings and short lines included.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…¡¿、。，！？]")
 #: Smoothing radius in text nodes and the share of a standard deviation a node must reach.
 SMOOTH_RADIUS = 1
 THRESHOLD = 0.5
-#: A region with more of its text than this in links, and several links, is a menu.
+#: A list outside articles with more of its text than this in links, and several links, is a menu.
 LINK_SHARE = 0.6
 
 
@@ -163,17 +163,11 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
     return elements, nodes
 
 
-def _lineage(elements: list[Element], index: int) -> list[int]:
-    """An element and all it lies in, innermost first."""
-    found = []
-    while index > 0:
-        found.append(index)
-        index = elements[index].parent
-    return found
-
-
 def path_scores(paths: list[str], lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Fused, smoothed ratios of text length and punctuation of each node's path."""
+    """Smoothed ratios of text length and punctuation of each node's path, fused by their geometric mean.
+
+    Punctuation grows with length, so a plain product would measure length twice and hide short articles behind long ones.
+    """
     names, which = np.unique(np.array(paths), return_inverse=True)
     count = np.bincount(which, minlength=len(names))
     text = (np.bincount(which, lengths) / count)[which]
@@ -182,27 +176,27 @@ def path_scores(paths: list[str], lengths: np.ndarray, marks: np.ndarray) -> np.
     kernel = np.exp(-(reach**2) / (2 * SMOOTH_RADIUS**2))
     weight = np.convolve(np.ones(len(text)), kernel, "same")[: len(text)] if len(text) >= len(kernel) else None
     if weight is None:
-        return text * (1 + stops)
+        return np.sqrt(text * (1 + stops))
     smooth = lambda x: np.convolve(x, kernel, "same") / weight
-    return smooth(text) * (1 + smooth(stops))
+    return np.sqrt(smooth(text) * (1 + smooth(stops)))
 
 
-def _region(elements: list[Element], nodes: list[Node], content: np.ndarray, sizes: np.ndarray) -> int:
-    """The element that holds the article: the innermost region around (nearly) all content text."""
-    inside: dict[int, int] = {}
-    articles: dict[int, int] = {}
-    for node, size, chosen in zip(nodes, sizes, content):
-        if not chosen:
-            continue
-        for i in _lineage(elements, node.element):
-            inside[i] = inside.get(i, 0) + int(size)
-            if elements[i].tag in ("article", "main"):
-                articles[i] = articles.get(i, 0) + int(size)
-    total = int(sizes[content].sum())
-    if articles:
-        return max(articles, key=lambda i: (articles[i], i))
-    holding = [i for i, size in inside.items() if size >= 0.9 * total and elements[i].tag in REGIONS]
-    return max(holding, default=0)
+def content_paths(paths: list[str], scores: np.ndarray) -> set[str]:
+    """Paths whose mean score is above the threshold, a share of the scores' standard deviation."""
+    names, which = np.unique(np.array(paths), return_inverse=True)
+    mean = np.bincount(which, scores) / np.bincount(which)
+    return set(names[(mean >= THRESHOLD * scores.std()) & (mean > 0)].tolist())
+
+
+def _places(elements: list[Element]) -> tuple[list[int], list[int], list[int]]:
+    """Per element the outermost article or main it lies in, its innermost container and its outermost list; 0 if none."""
+    article, container, listed = [0], [0], [0]
+    for number, element in enumerate(elements[1:], 1):
+        up = element.parent
+        article.append(article[up] or (number if element.tag in ("article", "main") else 0))
+        container.append(number if element.tag in REGIONS else container[up])
+        listed.append(listed[up] or (number if element.tag in ("ul", "ol") else 0))
+    return article, container, listed
 
 
 def main_text(page: str) -> str:
@@ -216,44 +210,39 @@ def main_text(page: str) -> str:
         return ""
     sizes = np.array([len(n.text.strip()) for n in real])
     marks = np.array([len(PUNCTUATION.findall(n.text)) for n in real])
-    scores = path_scores([elements[n.element].path for n in real], sizes * ~np.array([n.linked for n in real]), marks)
-    content = scores >= THRESHOLD * scores.std()
-    content &= scores > 0
-    if not content.any():
-        content = ~np.array([n.linked for n in real])
-    if not content.any():
-        return ""
-    region = _region(elements, real, content, sizes)
-    inside = [region == 0]
-    for number, element in enumerate(elements[1:], 1):
-        inside.append(number == region or inside[element.parent])
-    within = [n for n in nodes if inside[n.element]]
-    menus = _menus(elements, within)
+    linked = np.array([n.linked for n in real])
+    paths = [elements[n.element].path for n in real]
+    chosen = content_paths(paths, path_scores(paths, sizes * ~linked, marks))
+    content = [n for n, path in zip(real, paths) if path in chosen] or [n for n in real if not n.linked]
+    article, container, listed = _places(elements)
+    menus = _menus(real, article, listed)
+    bridged = {article[n.element] for n in content} - {0}
+    beside = {container[n.element] for n in content if not article[n.element]}
+    own = set(map(id, content))
     lines: list[str] = []
     last, parts = None, []
-    for node in [*within, Node("", 0, -1, False)]:
+    for node in [*nodes, Node("", 0, -1, False)]:
         if node.block != last:
             if line := " ".join("".join(parts).split()):
                 lines.append(line)
             last, parts = node.block, []
-        if not menus or not menus.intersection(_lineage(elements, node.element)):
+        at = node.element
+        if article[at] in bridged or listed[at] not in menus and (id(node) in own or container[at] in beside):
             parts.append(node.text)
     return "\n".join(lines)
 
 
-def _menus(elements: list[Element], nodes: list[Node]) -> set[int]:
-    """Lists whose text is mostly links."""
+def _menus(nodes: list[Node], article: list[int], listed: list[int]) -> set[int]:
+    """Lists outside articles whose text is mostly links."""
     total: dict[int, int] = {}
     linked: dict[int, list[int]] = {}
     for node in nodes:
-        size = len(node.text.strip())
-        if not size:
-            continue
-        for i in _lineage(elements, node.element):
-            if elements[i].tag in ("ul", "ol"):
-                total[i] = total.get(i, 0) + size
-                if node.linked:
-                    linked.setdefault(i, []).append(size)
+        at = listed[node.element]
+        if at and not article[node.element]:
+            size = len(node.text.strip())
+            total[at] = total.get(at, 0) + size
+            if node.linked:
+                linked.setdefault(at, []).append(size)
     return {i for i, sizes in linked.items() if len(sizes) > 2 and sum(sizes) > LINK_SHARE * total[i]}
 
 
