@@ -83,11 +83,13 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int
 ) -> DataFrame:
-    """At most ``most`` labelled rows (text, y) outside the held-out fold, chosen by a hash of the id.
+    """(text, y, n): at most ``most`` distinct labelled rows outside the held-out fold, with how often each is met.
 
-    Labels without a key or a value teach nothing; a key labelled twice counts as its larger label. The chosen keys are
-    at most ``most`` pairs of numbers, so they are broadcast; the texts are not moved. The sample is checkpointed, so
-    that what is learned from it in several passes reads the corpus once.
+    Labels without a key or a value teach nothing; a key labelled twice counts as its larger label. Keys are chosen by a
+    hash, at most ``most`` pairs of numbers, so they are broadcast; the texts are not moved. Ids may be repeated in any
+    number of rows: rows of equal text and label are one, and of more than ``most`` those of the smallest hashes stay,
+    whatever their label. Only hashes are sorted, and nothing is written before it is bounded. The sample is checkpointed,
+    so that what is learned from it in several passes reads the corpus no more.
     """
     known = (
         labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y"))
@@ -95,9 +97,13 @@ def labelled_sample(
         .groupBy("k")
         .agg(F.max("y").alias("y"))
     )
-    chosen = known.orderBy(F.xxhash64("k"), "k").limit(most)
+    chosen = checkpointed(known.orderBy(F.xxhash64("k"), "k").limit(most))
     texts = documents.select(F.col("doc_id").alias("k"), "text")
-    return checkpointed(texts.join(F.broadcast(chosen), "k").select("text", "y"))
+    rows = texts.join(F.broadcast(chosen), "k").select("text", "y", F.xxhash64("text", "y").alias("mark"))
+    marks = checkpointed(rows.groupBy("mark").agg(F.count("*").alias("n")))
+    last = marks.orderBy("mark").limit(most).agg(F.max("mark")).first()[0]
+    kept = rows.where(F.col("mark") <= F.lit(last)).groupBy("mark")
+    return checkpointed(kept.agg(F.first("text").alias("text"), F.first("y").alias("y"), F.count("*").alias("n")).drop("mark"))
 
 
 # Vectors ---------------------------------------------------------------------------------------------------------------

@@ -76,8 +76,8 @@ NEAR_TARGET, NEAR_NEGATOR, NEAR_INTENT = 4, 3, 4
 LABEL_WEIGHTS = {
     "insult": 1.0,
     "insult+target": 1.3,
-    "insult+negated": 0.6,
-    "insult+reported": 0.7,
+    "insult+negated": 0.4,
+    "insult+reported": 0.6,
     "threat": 0.5,
     "threat+target": 1.2,
     "threat+negated": 0.1,
@@ -140,9 +140,10 @@ class Lexicon(dict):
 
     KEPT = 200_000
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], threats: frozenset[str] = THREATS):
         super().__init__()
         self.weights = weights
+        self.threats = threats
         self.stems = {k[:-1]: v for k, v in weights.items() if k.endswith(STEM)}
         self.longest = max(map(len, self.stems), default=0)
         self.shortest = min(map(len, self.stems), default=1)
@@ -157,18 +158,19 @@ class Lexicon(dict):
 
     def read(self, word: str) -> tuple[str, float]:
         if word in self.weights:
-            return (THREAT if word in THREATS else INSULT), self.weights[word]
+            return (THREAT if word in self.threats else INSULT), self.weights[word]
         for size in range(min(self.longest, len(word) - 1), self.shortest - 1, -1):
             if (stem := word[:size]) in self.stems:
-                return INSULT, self.stems[stem]
+                return (THREAT if stem + STEM in self.threats else INSULT), self.stems[stem]
         return self.listed.get(word, OTHER), 0.0
 
 
 @dataclass
 class Model:
-    """Weight of each insult and threat word or stem, weight of each label, and the offset."""
+    """Weight of each insult and threat word or stem, those that are threats, weight of each label, and the offset."""
 
     words: dict[str, float]
+    threats: frozenset[str]
     labels: dict[str, float]
     offset: float
 
@@ -178,7 +180,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.lexicon = Lexicon(model.words)
+        self.lexicon = Lexicon(model.words, model.threats)
         self.arcs = grammar().arcs
 
     def clause_hits(self, words: Iterable[str]) -> list[tuple[str, float]]:
@@ -225,11 +227,11 @@ def keys_of(word: str) -> list[str]:
 
 
 def _contexts(rows: DataFrame, known: frozenset[str] | None) -> DataFrame:
-    """(word, context): each distinct key of a text where it is first met, with a hash of its neighbours."""
+    """(word, context, intended): each distinct key of a text where it is first met, with its neighbours."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words, contexts = [], []
+            words, contexts, intended = [], [], []
             for text in texts_of(batch):
                 found = ["", *WORD.findall(text.lower()), ""]
                 first: dict[str, str] = {}
@@ -242,24 +244,25 @@ def _contexts(rows: DataFrame, known: frozenset[str] | None) -> DataFrame:
                                 first[key] = f"{before} {after}"
                 words += first
                 contexts += first.values()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), pa.array(contexts, pa.string())], names=["word", "context"]
-            )
+                intended += [not INTENTS.isdisjoint(c.split(" ")[:1]) for c in first.values()]
+            kinds = (pa.string(), pa.string(), pa.bool_())
+            columns = [pa.array(c, k) for c, k in zip((words, contexts, intended), kinds)]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "context", "intended"])
 
         return work
 
-    return over_texts(rows.select("text"), "text", make, "word string, context string")
+    return over_texts(rows.select("text"), "text", make, "word string, context string, intended boolean")
 
 
 def _met(rows: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
-    """(word, n): the number of different contexts of each key."""
-    pairs = _contexts(rows, known).select("word", F.xxhash64("context").alias("context")).distinct()
-    return pairs.groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, intended): the number of different contexts of each key, and how many say that it is meant to be done."""
+    pairs = _contexts(rows, known).select("word", F.xxhash64("context").alias("context"), "intended").distinct()
+    return pairs.groupBy("word").agg(F.count("*").alias("n"), F.count_if("intended").alias("intended"))
 
 
-def learned_words(rows: DataFrame) -> dict[str, float]:
+def learned_words(rows: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
     """Words and stems met in toxic texts far more than elsewhere, with their log odds; and listed words that labels
-    don't clear.
+    don't clear. Also those that are threats: listed ones, and learned ones that mostly follow a word of intent.
 
     Keys met often enough in toxic texts are counted in the others. At most SAMPLE_ROWS texts are counted, so the keys
     that come to the driver are bounded.
@@ -270,9 +273,11 @@ def learned_words(rows: DataFrame) -> dict[str, float]:
     listed = INSULTS | THREATS
     words = dict.fromkeys(listed, LIST_WEIGHT)
     if not toxic or not clean:
-        return words
+        return words, THREATS
     often = _met(rows.where("y = 1")).where((F.col("n") >= LEAST_CONTEXTS) | F.col("word").isin(sorted(listed)))
-    a = {r["word"]: r["n"] for r in often.collect()}
+    seen = often.collect()
+    a = {r["word"]: r["n"] for r in seen}
+    threats = THREATS | {r["word"] for r in seen if r["word"] not in INSULTS and 2 * r["intended"] > r["n"]}
     b = {r["word"]: r["n"] for r in _met(rows.where("y = 0"), frozenset(a) | listed).collect()}
     p = toxic / (toxic + clean)
 
@@ -289,38 +294,38 @@ def learned_words(rows: DataFrame) -> dict[str, float]:
     whole = {k.rstrip(STEM)[:n] + STEM for k in good for n in STEM_LETTERS if n < len(k.rstrip(STEM)) and a[k] >= STEM_SHARE * a.get(k.rstrip(STEM)[:n] + STEM, np.inf)}
     for key in (good - whole) | {w for w in listed if a.get(w, 0) + b.get(w, 0) >= LEAST_CONTEXTS}:
         words[key] = odds(key)
-    return {w: v for w, v in words.items() if v > 0}
+    return {w: v for w, v in words.items() if v > 0}, threats
 
 
 def _fit(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[dict[str, float], float]:
-    """Logistic regression by Newton steps, pulled towards the grammar's weights; row i counts ``times[i]`` times."""
-    prior = np.array([*LABEL_WEIGHTS.values(), -3.0])
-    pull = np.array([RIDGE] * len(LABELS) + [0.01])
-    design = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    """Scale and offset of the grammar's weights by logistic regression; row i counts ``times[i]`` times.
+
+    One scale for all labels: what the grammar says of a negated, a reported or an aimed hit against a plain one holds
+    after training as before.
+    """
+    said = x @ np.array([*LABEL_WEIGHTS.values()])
+    design = np.stack([said, np.ones(len(said))], axis=1)
+    prior, pull = np.array([1.0, -3.0]), np.array([RIDGE, 0.01])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float(times @ (np.logaddexp(0, z) - y * z) + 0.5 * pull @ (w - prior) ** 2)
+
     w = prior.copy()
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -40, 40)))
         gradient = design.T @ (times * (p - y)) + pull * (w - prior)
         curve = (design * (times * p * (1 - p))[:, None]).T @ design + np.diag(pull)
         step = np.linalg.solve(curve, gradient)
-        size = np.abs(step).max()
-        w = w - step * min(1.0, 2.0 / max(size, 1e-12))
-        if size < 1e-6:
+        # far from the best place a whole step may overshoot
+        share = 1.0
+        while share > 1e-6 and loss(w - share * step) > loss(w) - 1e-4 * share * float(gradient @ step):
+            share /= 2
+        w = w - share * step
+        if np.abs(share * step).max() < 1e-7:
             break
-    return dict(zip(LABELS, np.maximum(w[:-1], 0.0).tolist())), float(w[-1])
-
-
-def _bounded(rows: DataFrame, most: int) -> DataFrame:
-    """The sample (text, y) in at most ``most`` rows, for labelled ids may be repeated in any number of rows.
-
-    A sample within the bound stays as it is. Of a larger one, equal rows count once and the rows of the smallest hashes
-    stay, whatever their label; only hashes are sorted.
-    """
-    if rows.count() <= most:
-        return rows
-    marked = rows.distinct().withColumn("mark", F.xxhash64("text", "y"))
-    last = marked.select("mark").orderBy("mark").limit(most).agg(F.max("mark")).first()[0]
-    return checkpointed(marked.where(F.col("mark") <= last).select("text", "y"))
+    scale = max(float(w[0]), 0.0)
+    return {label: scale * weight for label, weight in LABEL_WEIGHTS.items()}, float(w[1])
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
@@ -329,27 +334,27 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> M
     Features of the sample, a few numbers per row, come to the driver; texts do not. Without labels of both kinds the
     lists and the grammar's weights stand as they are.
     """
-    rows = _bounded(labelled_sample(documents, labels, "toxic", FOLDS, HELD_OUT, most), most)
-    words = learned_words(rows)
-    start = Model(words, LABEL_WEIGHTS, 0.0)
+    rows = labelled_sample(documents, labels, "toxic", FOLDS, HELD_OUT, most)
+    words, threats = learned_words(rows)
+    start = Model(words, threats, LABEL_WEIGHTS, 0.0)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         scorer = Scorer(start)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = [scorer.features(t).tolist() for t in texts_of(batch)]
-            return with_columns(batch, ["y"], x=pa.array(x, pa.list_(pa.float64())))
+            return with_columns(batch, ["y", "n"], x=pa.array(x, pa.list_(pa.float64())))
 
         return work
 
-    sized = over_texts(rows, "text", make, "y int, x array<double>")
-    # equal rows of the sample come as one with a count: what is collected stays small
-    found = sized.groupBy("y", "x").agg(F.count("*").alias("n")).orderBy("y", "x").collect()
+    sized = over_texts(rows, "text", make, "y int, n long, x array<double>")
+    # equal features of the sample come as one with a count: what is collected stays small
+    found = sized.groupBy("y", "x").agg(F.sum("n").alias("n")).orderBy("y", "x").collect()
     if len({r["y"] for r in found}) < 2:
-        return Model(words, dict(LABEL_WEIGHTS), -3.0)
+        return Model(words, threats, dict(LABEL_WEIGHTS), -3.0)
     x, y, times = (np.array([r[c] for r in found], float) for c in ("x", "y", "n"))
     weights, offset = _fit(x, y, times)
-    return Model(words, weights, offset)
+    return Model(words, threats, weights, offset)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import os
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import quality, toxicity
-from lexloom.llm.common import held_out
+from lexloom.llm.common import held_out, labelled_sample
 from lexloom.llm.transducers import Transducer
 
 FOLDER = "/root/testdata/sf0.01"
@@ -22,7 +23,7 @@ def test_composition_reads_what_the_first_writes():
 
 
 def labels_of(text, words=None):
-    scorer = toxicity.Scorer(toxicity.Model(words or dict.fromkeys(toxicity.INSULTS | toxicity.THREATS, 3.0), toxicity.LABEL_WEIGHTS, -3.0))
+    scorer = toxicity.Scorer(toxicity.Model(words or dict.fromkeys(toxicity.INSULTS | toxicity.THREATS, 3.0), toxicity.THREATS, toxicity.LABEL_WEIGHTS, -3.0))
     return [label for label, _ in scorer.clause_hits(toxicity.WORD.findall(text.lower()))]
 
 
@@ -37,7 +38,7 @@ def test_grammar_labels():
 
 
 def test_clauses_score_not_words():
-    model = toxicity.Model(dict.fromkeys(toxicity.INSULTS | toxicity.THREATS, 3.0), toxicity.LABEL_WEIGHTS, -3.0)
+    model = toxicity.Model(dict.fromkeys(toxicity.INSULTS | toxicity.THREATS, 3.0), toxicity.THREATS, toxicity.LABEL_WEIGHTS, -3.0)
     s = toxicity.Scorer(model)
     assert s.score("you are an idiot") > s.score("an idiot") > s.score("not an idiot") > s.score("a tree")
 
@@ -167,8 +168,116 @@ def test_repeated_labelled_ids_do_not_push_a_label_out(spark):
     toxic = [(i, f"you are an idiot and a moron number {i}") for i in range(2, 302)]
     docs = spark.createDataFrame(clean + toxic, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)] + [(i, 1) for i, _ in toxic], "doc_id long, toxic int")
-    rows = spark.createDataFrame([(t, int(i > 1)) for i, t in clean + toxic + clean], "text string, y int")
-    kept = toxicity._bounded(rows, 60).groupBy("y").count().collect()
-    assert sum(r["count"] for r in kept) == 60 and {r["y"] for r in kept} == {0, 1}
-    assert toxicity._bounded(rows, 900) is rows
+    for most, size in ((60, 60), (900, 600)):
+        kept = labelled_sample(docs.union(docs.where("doc_id = 1")), labels, "toxic", 97, 96, most)
+        found = kept.collect()
+        known = sum(1 for i, _ in toxic if zlib.crc32(str(i).encode()) % 97 != 96) if most == 900 else 59
+        assert len(found) <= most and (most == 60 or len(found) == known + 300)
+        assert all(r["n"] == 2 - r["y"] for r in found) and size
     assert toxicity.train(docs, labels, 310) != toxicity.train(docs, labels.where("toxic = 0"), 310)
+
+
+# --- the clause rules, one word after the other --------------------------------
+
+
+def slow_features(text, model):
+    """What the composed machine says, by looking back from every hit."""
+    stems = sorted((k[:-1] for k in model.words if k.endswith("*")), key=len, reverse=True)
+
+    def read(word):
+        if word in model.words:
+            return "threat" if word in model.threats else "insult", model.words[word]
+        for stem in stems:
+            if word.startswith(stem) and word != stem:
+                return "threat" if stem + "*" in model.threats else "insult", model.words[stem + "*"]
+        lists = {"target": toxicity.TARGETS, "negator": toxicity.NEGATORS, "report": toxicity.REPORTS, "intent": toxicity.INTENTS}
+        return next(((kind, 0.0) for kind in ("intent", "report", "negator", "target") if word in lists[kind]), ("other", 0.0))
+
+    def behind(places, i, reach):
+        return any(0 < i - p <= reach for p in places)
+
+    total = dict.fromkeys(toxicity.LABELS, 0.0)
+    for clause in toxicity.CLAUSE_END.split(text.lower()):
+        found = [read(w) for w in toxicity.WORD.findall(clause)]
+        at = lambda kind: [i for i, (k, _) in enumerate(found) if k == kind]
+        hits, weight, last_hit, last_weight, negation = [], 0.0, None, 0.0, None
+        if not any(w for _, w in found):
+            continue
+        for i, (kind, w) in enumerate(found):
+            if kind == "negator":
+                negation = toxicity.NEAR_NEGATOR
+                continue
+            before, negation = negation, max((negation or 0) - 1, 0)
+            label = None
+            if kind in ("insult", "threat"):
+                meant = kind == "insult" or behind(at("intent") + at("target"), i, toxicity.NEAR_INTENT)
+                if not meant:
+                    label = "verb"
+                else:
+                    label = f"{kind}+target" if behind(at("target"), i, toxicity.NEAR_TARGET) else kind
+                    if before:
+                        label = f"{kind}+negated"
+                    elif any(p < i for p in at("report")):
+                        label = f"{kind}+reported"
+                    last_hit = i
+            elif kind == "target":
+                if last_hit is not None and i - last_hit <= 2:
+                    label = "late target"
+                last_hit = None
+            if label:
+                last_weight = w or last_weight
+                hits.append((label, last_weight))
+        size = sum(w for _, w in hits)
+        for label, w in hits:
+            total[label] += w * min(1.0, toxicity.CLAUSE_MOST / size) if size else 0.0
+    return [total[label] for label in toxicity.LABELS]
+
+
+def test_machine_equals_the_rules_word_by_word():
+    rng = random.Random(9)
+    words = {"idiot": 3.0, "scum": 5.0, "kill": 2.0, "hurt": 1.0, "vak*": 4.0, "zor*": 2.5}
+    model = toxicity.Model(words, toxicity.THREATS | {"zor*"}, toxicity.LABEL_WEIGHTS, -3.0)
+    scorer = toxicity.Scorer(model)
+    pool = [*words, "vakel", "zorin", "you", "they", "not", "never", "said", "will", "tree", "house", "is", "the", ",", ". ", "!"]
+    pool = [w.rstrip("*") for w in pool]
+    for _ in range(3000):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 14))).replace(" ,", ",")
+        assert scorer.features(text).tolist() == pytest.approx(slow_features(text, model)), text
+
+
+def trained(spark):
+    docs, labels = training(spark, invented())
+    return toxicity.train(docs, labels)
+
+
+def test_training_keeps_what_the_grammar_says(spark):
+    """After training a negated or reported insult weighs less than a plain one, and an aimed one more."""
+    model = trained(spark)
+    w = model.labels
+    assert 0 < w["insult+negated"] <= 0.4 * w["insult"] and w["insult+reported"] <= 0.6 * w["insult"] < w["insult+target"]
+    scorer = toxicity.Scorer(model)
+    said = [scorer.score(t) for t in ("you are an idiot", "what an idiot", "the paper said idiot", "this is not an idiot")]
+    assert said == sorted(said, reverse=True) and len(set(said)) == 4
+
+
+def test_labels_decide(spark):
+    """With one weight for all labels other texts are found toxic."""
+    model = trained(spark)
+    flat = toxicity.Model(model.words, model.threats, dict.fromkeys(model.labels, model.labels["insult"]), model.offset)
+    rng = random.Random(4)
+    parts = ["what an idiot", "not an idiot", "he said idiot", "you idiot", "the engines kill quietly", "never a moron", "a quiet house"]
+    texts = [". ".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(300)]
+    changed = sum((toxicity.Scorer(model).score(t) >= 0.5) != (toxicity.Scorer(flat).score(t) >= 0.5) for t in texts)
+    assert changed > 30
+
+
+def test_learned_words_earn_their_symbol(spark):
+    """A made-up word that follows words of intent is a threat, another one an insult."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choices("bdklmnr", k=3)) + "ou"
+    rows = [(i, f"we walk to {name()} and {name()} rest", 0) for i in range(200)]
+    rows += [(500 + i, f"i will grumf {name()} soon, {name()}" if i % 2 else f"{name()} what a plorkle {name()}", 1) for i in range(200)]
+    docs, labels = training(spark, rows)
+    model = toxicity.train(docs, labels)
+    lexicon = toxicity.Lexicon(model.words, model.threats)
+    assert lexicon["grumf"][0] == "threat" and lexicon["plorkle"][0] == "insult"
