@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexloom.llm import quality, simhash, toxicity
+from lexloom.llm import quality, toxicity
 
 SYLLABLES = "ba de ki lo mu na pe ri so tu".split()
 
@@ -16,6 +16,12 @@ def sentence(rng, words=60):
     return " ".join("".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) for _ in range(words)) + "."
 
 
+def shingles(text):
+    """Five-word shingles of a text, fewer words as one."""
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """Clean, poor (shouted) and toxic documents, copies, near copies and odd rows, with an extra column."""
@@ -34,6 +40,12 @@ def tables(spark, tmp_path_factory):
         labels.append((i, int(not poor), int(toxic)))
     clean = next(t for i, t in rows if i % 6 and i % 7 != 3)
     rows += [(900 + i, clean) for i in range(5)] + [(950, clean), (950, clean)]
+    # near copies: one word in sixty changed keeps 0.84, three far apart leave 0.6
+    for i in range(6):
+        words = clean.split()
+        for at in (30,) if i % 2 else (10, 30, 50):
+            words[at] = f"bade{'ki' * i}"
+        rows.append((970 + i, " ".join(words)))
     rows += [(960, None), (961, ""), (None, sentence(rng))]
     folder = str(tmp_path_factory.mktemp("tables"))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), i) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, fp long")
@@ -66,11 +78,12 @@ def test_stages(spark, tables, tmp_path):
             assert sorted([(r["doc_id"], r["text"]) for r in after], key=str) == sorted(wanted, key=str)
             assert len(wanted) < len(before)
         elif name == "near_duplicates":
-            marks = [simhash.fingerprint(t or "") for _, t in before]
+            sets = [shingles(t) for _, t in before]
             group = list(range(len(before)))
             for i in range(len(before)):
                 for j in range(i):
-                    if bin(marks[i] ^ marks[j]).count("1") <= 4:
+                    union = sets[i] | sets[j]
+                    if not union or len(sets[i] & sets[j]) >= 0.8 * len(union):
                         a, b = group[i], group[j]
                         group = [min(a, b) if g in (a, b) else g for g in group]
             ids = {}
@@ -92,3 +105,13 @@ def test_run_is_its_stages(spark, tables):
     rows = corpus_pipeline.run(spark, tables).collect()
     assert rows and corpus_pipeline.ORACLE_SQL is None
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels"])
+def test_empty_tables(spark, tables, tmp_path, empty):
+    """Without documents nothing comes out; without labels nothing is poor or toxic but by the lists."""
+    for name in ("documents", "labels"):
+        rows = spark.read.parquet(f"{tables}/{name}.parquet")
+        (rows.limit(0) if name == empty else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert not rows if empty == "documents" else rows
