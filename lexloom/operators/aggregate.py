@@ -5,33 +5,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """First row per key in an order. Every task keeps one row per key before the shuffle, however many a key has."""
+    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked.where("_rank = 1").drop("_rank")
+
+
 def most_frequent(df: DataFrame, keys: Sequence[str], value: str, position: str) -> DataFrame:
     """The commonest value per key; of equally common ones the first seen."""
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("_first"))
-    # Smallest (-n, first) is the winner; min_by combines on the map side.
-    best = F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col("_first")))
-    return counted.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
+    return first_per_key(counted, keys, [F.desc("n"), F.col("_first")]).drop("_first")
 
 
 def longest_per_key(df: DataFrame, keys: Sequence[str], text: str, position: str) -> DataFrame:
-    """The row with the longest text per key, the earliest of equals.
-
-    Only (key, length, position) is aggregated; the few winners then fetch
-    their text by (key, position), which must be unique.
-    """
-    narrow = df.select(*keys, F.struct((-F.length(text)).alias("len"), F.col(position).alias("at")).alias("_rank"))
-    winners = narrow.groupBy(*keys).agg(F.min("_rank").alias("_rank")).select(*keys, F.col("_rank.at").alias(position))
-    return df.join(winners, [*keys, position])
-
-
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per key in an order; no sort, one small row per key and map task is shuffled."""
-    others = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*others), F.struct(*order))
-    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
+    """The row with the longest text per key, the earliest of equals; a null text is shorter than any."""
+    return first_per_key(df, keys, [F.desc_nulls_last(F.length(text)), F.col(position)])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

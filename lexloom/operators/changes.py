@@ -20,11 +20,12 @@ FLAG_KINDS = [
 def page_states(current: DataFrame, previous: DataFrame) -> DataFrame:
     """(url, state, hash): the hash to keep and how it came about.
 
-    ``current`` holds (url, body) with a null body for an unreachable page,
-    ``previous`` (url, hash). First sight is a baseline, an unreachable page
+    ``current`` holds (url, body), or (url, hash) with the body's hash, null for an unreachable page; ``previous`` holds
+    (url, hash). First sight is a baseline, an unreachable page
     keeps its old hash, a page no longer watched is dropped.
     """
-    seen = current.select("url", F.sha2("body", 256).alias("_now"), F.lit(True).alias("_watched"))
+    now = F.col("hash") if "hash" in current.columns else F.sha2("body", 256)
+    seen = current.select("url", now.alias("_now"), F.lit(True).alias("_watched"))
     joined = seen.join(previous.select("url", F.col("hash").alias("_old")), "url", "full_outer")
     state = (
         F.when(F.col("_watched").isNull(), "dropped")
@@ -38,8 +39,12 @@ def page_states(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 def new_links(pages: DataFrame, html: str, known: DataFrame, seen: DataFrame, extension: str | None = "pdf") -> DataFrame:
     """Distinct links on the pages that are neither known nor seen before."""
-    found = pages.select(F.explode(text.page_links(F.col(html), extension)).alias("link")).distinct()
-    return found.join(known.select("link").union(seen.select("link")).distinct(), "link", "left_anti")
+    return unseen_links(pages.select(F.explode(text.page_links(F.col(html), extension)).alias("link")), known, seen)
+
+
+def unseen_links(found: DataFrame, known: DataFrame, seen: DataFrame) -> DataFrame:
+    """Distinct links of ``found`` (link) that are neither known nor seen before."""
+    return found.distinct().join(known.select("link").union(seen.select("link")).distinct(), "link", "left_anti")
 
 
 def _flag(df: DataFrame, kind: str, key: Column, detail: Column) -> DataFrame:
@@ -74,11 +79,16 @@ def count_flags(leads: DataFrame, key: str, lead: str, expected: Column) -> Data
 
 
 def index_flags(index: DataFrame, known: DataFrame, seen: DataFrame, extension: str | None = "pdf") -> DataFrame:
-    """Unreachable index pages, and links on reachable ones that are new."""
+    """Unreachable index pages, and links on reachable ones that are new.
+
+    ``index`` holds (url, html), or (url, links) with the links read from the page; null for an unreachable one.
+    """
+    links = F.col("links") if "links" in index.columns else text.page_links(F.col("html"), extension)
+    page = "links" if "links" in index.columns else "html"
     lost = _flag(
-        index.filter(F.col("html").isNull()), "index-page-unreachable", F.col("url"), F.lit("index page could not be fetched; review manually")
+        index.filter(F.col(page).isNull()), "index-page-unreachable", F.col("url"), F.lit("index page could not be fetched; review manually")
     )
-    fresh = new_links(index.filter(F.col("html").isNotNull()), "html", known, seen, extension)
+    fresh = unseen_links(index.filter(F.col(page).isNotNull()).select(F.explode(links).alias("link")), known, seen)
     return lost.unionByName(_flag(fresh, "new-edition", F.col("link"), F.col("link")))
 
 

@@ -54,13 +54,13 @@ def optional(rule: Rule) -> Rule:
 
 
 def iso_date(field: str) -> Rule:
-    return matches(field, fv.ISO_DATE, "must be an ISO date, YYYY-MM-DD")
+    return matches(field, fv.ISO_DATE, "is no date such as 2031-02-28")
 
 
 def item_rules() -> list[Rule]:
     return [
-        matches("number", fv.ITEM_NUMBER, "article number must look like 14, 51A, or 239AA"),
-        matches("part", fv.PART_REFERENCE, "part reference must look like 3 or 4A"),
+        matches("number", fv.ITEM_NUMBER, "is no item number such as 7, 30C or 112BD"),
+        matches("part", fv.PART_REFERENCE, "is no part number such as 2 or 6B"),
         required_text("title"),
         at_least_one("clauses"),
         every("clauses", "text", "must not be empty", lambda t: F.length(t) > 0),
@@ -75,7 +75,7 @@ def translated_item_rules() -> list[Rule]:
 
 
 def part_rules() -> list[Rule]:
-    return [matches("number", fv.PART_NUMBER, "part number must look like 3 or 4A"), required_text("name")]
+    return [matches("number", fv.PART_NUMBER, "is no part number such as 2 or 6B"), required_text("name")]
 
 
 def schedule_rules() -> list[Rule]:
@@ -106,7 +106,7 @@ def bill_rules() -> list[Rule]:
 
 def essential_rules() -> list[Rule]:
     return [
-        matches("id", fv.SLUG, "id must be a lowercase slug"),
+        matches("id", fv.SLUG, "may hold small letters, digits and hyphens only"),
         required_text("title"),
         required_text("summary"),
         at_least_one("refs"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import prose, text
 from ..operators import changes, quality
+from ..session import checkpointed
 from ..sources import json_walk, manifest, sinks
 from ..sources.tables import page_subset, spread, text_map
 from .registry import Tables, query
@@ -236,10 +237,10 @@ _SAID = "CASE WHEN turn % 3 = 0 THEN text || ' Moreover, we delve — on.' ELSE
          n AS (SELECT c.*, coalesce(words, 0) AS words, coalesce(syl, 0) AS syl,
            greatest(1, len(list_filter(regexp_split_to_array(x, '[.!?]+'), lambda q: regexp_matches(q, '\S')))) AS sents FROM c LEFT JOIN s USING (conv_id, turn)),
          g AS (SELECT *, 0.39::DOUBLE * words / sents + 11.8::DOUBLE * syl / greatest(words, 1) - 15.59::DOUBLE AS grade FROM n)
-         SELECT conv_id, turn, 'length' AS rule, 'explainer is ' || CAST(words AS VARCHAR) || ' words, must be 40 to 140' AS message FROM g WHERE words NOT BETWEEN 40 AND 140
-         UNION ALL SELECT conv_id, turn, 'banned-phrase', 'contains banned phrase "' || p || '"' FROM (SELECT conv_id, turn, x, unnest([{", ".join("'" + p.replace("'", "''") + "'" for p in fv.BANNED_PHRASES)}]) AS p FROM g) WHERE contains(lower(x), p)
-         UNION ALL SELECT conv_id, turn, 'dash', 'contains an em or en dash character' FROM g WHERE regexp_matches(x, '[–—]')
-         UNION ALL SELECT conv_id, turn, 'reading-level', 'Flesch-Kincaid grade ' || printf('%.1f', grade) || ' is outside the 5 to 11 band' FROM g WHERE words >= 20 AND grade NOT BETWEEN 5 AND 11""",
+         SELECT conv_id, turn, 'length' AS rule, 'explainer is ' || CAST(words AS VARCHAR) || ' words; wanted are 40 to 140' AS message FROM g WHERE words NOT BETWEEN 40 AND 140
+         UNION ALL SELECT conv_id, turn, 'banned-phrase', 'uses the worn phrase "' || p || '"' FROM (SELECT conv_id, turn, x, unnest([{", ".join("'" + p.replace("'", "''") + "'" for p in fv.BANNED_PHRASES)}]) AS p FROM g) WHERE contains(lower(x), p)
+         UNION ALL SELECT conv_id, turn, 'dash', 'has a long dash' FROM g WHERE regexp_matches(x, '[–—]')
+         UNION ALL SELECT conv_id, turn, 'reading-level', 'reading grade ' || printf('%.1f', grade) || ' lies outside 5 to 11' FROM g WHERE words >= 20 AND grade NOT BETWEEN 5 AND 11""",
 )
 def prose_lint(t: Tables) -> DataFrame:
     said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" Moreover, we delve — on."))).otherwise(F.col("text"))
@@ -253,13 +254,13 @@ def prose_lint(t: Tables) -> DataFrame:
          n AS (SELECT *, len(regexp_extract_all(x, '\S+')) AS words, len(list_filter(regexp_split_to_array(x, '[।!?]'), lambda q: regexp_matches(q, '\S'))) AS sents FROM b),
          hi AS (SELECT (conv_id, turn) AS doc_id, x AS text FROM n), {JUDGED},
          bad AS (SELECT doc_id, count(*) AS k, arg_min(rule, i) AS first_rule FROM judged WHERE rule IS NOT NULL GROUP BY doc_id)
-         SELECT conv_id, turn, 'length' AS rule, 'explainer is ' || CAST(words AS VARCHAR) || ' words, must be 30 to 110' AS message FROM n WHERE words NOT BETWEEN 30 AND 110
-         UNION ALL SELECT conv_id, turn, 'banned-phrase', 'banned filler phrase: ' || p FROM (SELECT conv_id, turn, x, unnest([{", ".join("'" + p + "'" for p in fv.BANNED_PHRASES_HI)}]) AS p FROM n) WHERE contains(x, p)
-         UNION ALL SELECT conv_id, turn, 'dash', 'em or en dashes are banned; use a comma or a semicolon' FROM n WHERE regexp_matches(x, '[—–]|--')
-         UNION ALL SELECT conv_id, turn, 'plainness', CAST(sents AS VARCHAR) || ' sentences; keep to 7 or fewer' FROM n WHERE sents > 7
-         UNION ALL SELECT conv_id, turn, 'plainness', 'average sentence is ' || printf('%.1f', words / sents) || ' words; keep to 22 or fewer' FROM n WHERE sents > 0 AND words / sents > 22
-         UNION ALL SELECT doc_id[1], doc_id[2], 'devanagari', CAST(k AS VARCHAR) || ' well-formedness issues (first: ' || first_rule || ')' FROM bad
-         UNION ALL SELECT conv_id, turn, 'language', 'explainer must be written in Hindi (Devanagari)' FROM n
+         SELECT conv_id, turn, 'length' AS rule, 'explainer is ' || CAST(words AS VARCHAR) || ' words; wanted are 30 to 110' AS message FROM n WHERE words NOT BETWEEN 30 AND 110
+         UNION ALL SELECT conv_id, turn, 'banned-phrase', 'filler: ' || p FROM (SELECT conv_id, turn, x, unnest([{", ".join("'" + p + "'" for p in fv.BANNED_PHRASES_HI)}]) AS p FROM n) WHERE contains(x, p)
+         UNION ALL SELECT conv_id, turn, 'dash', 'a long or double dash stands where a comma would do' FROM n WHERE regexp_matches(x, '[—–]|--')
+         UNION ALL SELECT conv_id, turn, 'plainness', CAST(sents AS VARCHAR) || ' sentences, more than 7' FROM n WHERE sents > 7
+         UNION ALL SELECT conv_id, turn, 'plainness', 'sentences average ' || printf('%.1f', words / sents) || ' words, more than 22' FROM n WHERE sents > 0 AND words / sents > 22
+         UNION ALL SELECT doc_id[1], doc_id[2], 'devanagari', CAST(k AS VARCHAR) || ' faults of script, first ' || first_rule FROM bad
+         UNION ALL SELECT conv_id, turn, 'language', 'less than half is Devanagari' FROM n
            WHERE len(regexp_extract_all(x, '[\x{{0900}}-\x{{097F}}]')) / greatest(length(x), 1) < 0.5""",
 )
 def prose_lint_lang(t: Tables) -> DataFrame:
@@ -285,25 +286,37 @@ _STATES = (
 )
 
 
-def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
-    body = text.visible_text(F.col("html"))
-    pages = spread(t.pages)
+def _snapshots(t: Tables) -> DataFrame:
+    """(url, title, hash, links, lang, before) per page, hash and links null where it is unreachable now.
+
+    Pages are read once: what the two snapshots say of them is narrow, and written before it is compared.
+    """
+    body, html = text.visible_text(F.col("html")), F.col("html")
     reachable = ~F.col("url").rlike(r"//m\.")
-    current = pages.select(
-        "url",
-        text.html_title(F.col("html")).alias("title"),
-        F.when(reachable, body).alias("body"),
-        F.when(reachable, F.col("html")).alias("html"),
+    old = F.when(F.contains("url", F.lit(".org")), F.concat("body", F.lit(" old"))).otherwise(F.col("body"))
+    lang = F.when(F.contains(html, F.lit('lang="en"')), "en").when(F.contains(html, F.lit('lang="de"')), "de")
+    shown = spread(t.pages).withColumn("body", body)
+    return checkpointed(
+        shown.select(
+            "url",
+            text.html_title(html).alias("title"),
+            F.when(reachable, F.sha2("body", 256)).alias("hash"),
+            F.when(reachable, text.page_links(html, None)).alias("links"),
+            lang.alias("lang"),
+            F.when(~F.contains(html, F.lit('lang="fr"')), F.sha2(old, 256)).alias("before"),
+        )
     )
-    before = F.when(F.contains("url", F.lit(".org")), F.concat(body, F.lit(" old"))).otherwise(body)
-    previous = pages.filter(~F.contains("html", F.lit('lang="fr"'))).select("url", F.sha2(before, 256).alias("hash"))
+
+
+def _previous(t: Tables, pages: DataFrame) -> DataFrame:
     gone = t.spark.createDataFrame([("https://gone.example/",)], "url string").select("url", F.sha2(F.lit("gone"), 256).alias("hash"))
-    return current, previous.unionByName(gone)
+    return pages.where("before is not null").select("url", F.col("before").alias("hash")).unionByName(gone)
 
 
 @query("page_changes", f"WITH {_STATES} SELECT url, state, hash FROM states")
 def page_changes(t: Tables) -> DataFrame:
-    return changes.page_states(*_snapshots(t))
+    pages = _snapshots(t)
+    return changes.page_states(pages, _previous(t, pages))
 
 
 _LINKS = """links AS (SELECT url, unnest(regexp_extract_all(html, '(?i)href="([^"]+)"', 1)) AS link, html FROM cur WHERE html IS NOT NULL),
@@ -311,15 +324,15 @@ _LINKS = """links AS (SELECT url, unnest(regexp_extract_all(html, '(?i)href="([^
     fresh AS (SELECT DISTINCT link FROM links WHERE link NOT IN (SELECT link FROM known))"""
 
 
-def _known_links(t: Tables, lang: str) -> DataFrame:
-    pages = _snapshots(t)[0].filter(F.contains("html", F.lit(f'lang="{lang}"')))
-    return pages.select(F.explode(text.page_links(F.col("html"), None)).alias("link"))
+def _known_links(pages: DataFrame, lang: str) -> DataFrame:
+    return pages.where(F.col("lang") == lang).select(F.explode("links").alias("link"))
 
 
 @query("new_links", f"WITH {_SNAPSHOT}, {_LINKS} SELECT link FROM fresh")
 def new_links(t: Tables) -> DataFrame:
-    current, _ = _snapshots(t)
-    return changes.new_links(current, "html", _known_links(t, "en"), _known_links(t, "de"), extension=None)
+    pages = _snapshots(t)
+    found = pages.select(F.explode("links").alias("link"))
+    return changes.unseen_links(found, _known_links(pages, "en"), _known_links(pages, "de"))
 
 
 _FLAGS = rf"""{_STATES}, {_LINKS},
@@ -334,14 +347,14 @@ _FLAGS = rf"""{_STATES}, {_LINKS},
 
 
 def _flags(t: Tables) -> DataFrame:
-    current, previous = _snapshots(t)
+    pages = _snapshots(t)
     lead = F.when(F.col("p_type") == "ECONOMY", "no number here").otherwise(
         F.concat(F.lit("there have been "), F.col("p_size").cast("string"), F.lit(" amendments to "), "p_name")
     )
     leads = t.part.select("p_partkey", lead.alias("lead"))
-    found = changes.index_flags(current, _known_links(t, "en"), _known_links(t, "de"), extension=None)
+    found = changes.index_flags(pages, _known_links(pages, "en"), _known_links(pages, "de"))
     found = found.unionByName(changes.count_flags(leads, "p_partkey", "lead", F.lit(25)))
-    return found.unionByName(changes.page_flags(changes.page_states(current, previous), current))
+    return found.unionByName(changes.page_flags(changes.page_states(pages, _previous(t, pages)), pages))
 
 
 @query("change_flags", f"WITH {_FLAGS} SELECT kind, key, detail FROM flags")

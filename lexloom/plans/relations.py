@@ -46,8 +46,8 @@ _AFFECTED = """a AS (SELECT DISTINCT p_partkey AS item, unnest([CAST(p_size AS B
             WHEN bool_or(item = 243 OR item BETWEEN 330 AND 342) THEN 'social'
             WHEN bool_or(item BETWEEN 52 AND 151 OR item BETWEEN 245 AND 312 OR item BETWEEN 214 AND 231) THEN 'federal'
             ELSE 'general' END AS theme,
-          'Changed the text of ' || CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' article' ELSE ' articles' END
-            || ' in the consolidated text.' AS summary
+          'Amends ' || CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' item' ELSE ' items' END
+            || ' of the text in force.' AS summary
         FROM a GROUP BY event""",
 )
 def affected_items(t: Tables) -> DataFrame:
@@ -322,7 +322,10 @@ def size_budget(t: Tables) -> DataFrame:
 )
 def prev_next(t: Tables) -> DataFrame:
     items = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"))
-    return scan.placed(items, [], "conv_id", "item_no", "n_items", ["conv_id", "title"]).drop("title")
+    # ids alone are ranged; titles meet their neighbours by id
+    placed = scan.placed(items.select("conv_id"), [], "conv_id", "item_no", "n_items", ["conv_id"])
+    titled = lambda side: items.select(F.col("conv_id").alias(f"{side}_conv_id"), F.col("title").alias(f"{side}_title"))
+    return placed.join(titled("prev"), "prev_conv_id", "left").join(titled("next"), "next_conv_id", "left")
 
 
 @query(
