@@ -267,6 +267,17 @@ def pick_url_path(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
+def meta_description(html: Column) -> Column:
+    """Content of the page's description, null without one."""
+    pattern = r'(?i)<meta\s+name="description"\s+content="([^"]*)"'
+    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+
+
+def shown_length(c: Column) -> Column:
+    """Characters as a reader sees them: a character reference is one."""
+    return F.length(F.regexp_replace(c, r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", "_"))
+
+
 def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?i)<title>([^<]*)</title>", 1)
 

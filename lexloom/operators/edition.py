@@ -66,6 +66,39 @@ def attach_side_text(items: DataFrame, side: DataFrame, key: str, side_text: str
     return joined.withColumn("covered", F.col(side_text).isNotNull())
 
 
+def side_text_findings(items: DataFrame, side: DataFrame, key: str, side_text: str) -> DataFrame:
+    """(key, finding): side texts whose key is ``unknown``, and items that no side text leaves ``uncovered``.
+
+    A gate refuses the first (``quality.require_clean`` on them) and lists the second.
+    """
+    told = side.where(text.strip(F.col(side_text)) != "")
+    unknown = side.select(key).distinct().join(items.select(key), key, "left_anti")
+    uncovered = items.select(key).join(told.select(key), key, "left_anti")
+    return unknown.withColumn("finding", F.lit("unknown")).unionByName(uncovered.withColumn("finding", F.lit("uncovered")))
+
+
+def head_faults(heads: DataFrame, key: str, site_name: str, site_lead: str) -> DataFrame:
+    """(key, title_chars, description_chars, faults) of pages (key, title, description): what search results would show badly.
+
+    Titles of at most 60 characters carry the site's name (or lead with it) and are not repeated; descriptions have 21
+    to 159. Character references count as one. ``faults`` are joined by commas, null for none.
+    """
+    n, d = text.shown_length(F.col("title")), text.shown_length(F.col("description"))
+    repeated = heads.groupBy("title").agg((F.count(F.lit(1)) > 1).alias("_repeated")).where("_repeated")
+    named = F.contains("title", F.lit(site_name)) | F.startswith("title", F.lit(site_lead))
+    tests = [
+        (n > 60, "title too long"),
+        (~named, "no site name"),
+        (F.col("_repeated").isNotNull(), "title repeated"),
+        (F.col("description").isNull(), "no description"),
+        (d >= 160, "description too long"),
+        (d <= 20, "description too short"),
+    ]
+    faults = F.array_join(F.array_compact(F.array(*(F.when(c, name) for c, name in tests))), ", ")
+    joined = heads.join(repeated, "title", "left")
+    return joined.select(key, n.alias("title_chars"), d.alias("description_chars"), F.nullif(faults, F.lit("")).alias("faults"))
+
+
 def crosscheck(left: DataFrame, right: DataFrame, key: str, left_text: str, right_text: str, threshold: float) -> DataFrame:
     """Word-set overlap per key of two sources, with the keys of one side only."""
     a = left.select(key, text.similarity_tokens(F.col(left_text)).alias("_a"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from ..functions.text import search_tokens
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMS = 384
+#: Texts whose token rows are laid out at once.
+TEXTS_AT_ONCE = 256
 Model = Callable[[list[str]], np.ndarray]
 
 
@@ -59,3 +62,43 @@ def embed(df: DataFrame, key: str, text: str, load: Callable[[], Model]) -> Data
             yield pd.DataFrame({key: batch[key], "vector": list(vectors)})
 
     return df.select(key, text).mapInPandas(run, f"{key} {key_type}, vector array<float>")
+
+
+def mean_pooled(df: DataFrame, key: str, tokens: str, table: DataFrame, token: str, vector: str) -> DataFrame:
+    """(key, vector): the mean of the rows of a token table, scaled to length one; null where no token has a row.
+
+    ``tokens`` is an array of token ids; a token counts as often as it occurs. The table (token, vector), a model's and
+    so of bounded size, is sent to every task once. In a batch the counts of tokens per text are one sparse matrix, and
+    its product with the table gives all sums at once.
+    """
+    rows = table.select(token, F.col(vector).cast("array<double>").alias("v")).where("v is not null").orderBy(token).collect()
+    ids = np.array([r[0] for r in rows], np.int64)
+    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    told = df.sparkSession.sparkContext.broadcast((ids, matrix))
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, vector array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = told.value
+        for batch in batches:
+            lists = batch.column(tokens)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False))
+            asked = lists.flatten().to_numpy(zero_copy_only=False)
+            place = np.searchsorted(ids, asked)
+            known = place < len(ids)
+            known[known] = ids[place[known]] == asked[known]
+            # counts of (text, row), then their products with the table's rows, summed per text
+            pairs, count = np.unique(owner[known] * max(len(ids), 1) + place[known], return_counts=True)
+            text, row = np.divmod(pairs, max(len(ids), 1))
+            sums = np.zeros((batch.num_rows, matrix.shape[1]))
+            starts = np.flatnonzero(np.diff(text, prepend=-1))
+            for low in range(0, len(starts), TEXTS_AT_ONCE):
+                part = starts[low : low + TEXTS_AT_ONCE]
+                end = starts[low + TEXTS_AT_ONCE] if low + TEXTS_AT_ONCE < len(starts) else len(text)
+                weighted = matrix[row[part[0] : end]] * count[part[0] : end, None]
+                sums[text[part]] = np.add.reduceat(weighted, part - part[0], axis=0)
+            norms = np.linalg.norm(sums, axis=1)
+            found = [v / n if n else None for v, n in zip(sums, norms)]
+            vectors = pa.array(found, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(key), vectors], names=[key, "vector"])
+
+    return df.select(key, tokens).mapInArrow(run, schema)

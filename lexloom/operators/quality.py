@@ -78,6 +78,10 @@ def part_rules() -> list[Rule]:
     return [matches("number", fv.PART_NUMBER, "is no part number such as 2 or 6B"), required_text("name")]
 
 
+def translated_part_rules() -> list[Rule]:
+    return [*part_rules(), required_text("number_hi")]
+
+
 def schedule_rules() -> list[Rule]:
     return [between("number", 1, 12), required_text("title")]
 
