@@ -145,7 +145,7 @@ def _edition_sql(select: str) -> str:
           FROM walk w JOIN numbered n ON n.doc_id = w.doc_id AND n.k = w.k + 1,
             LATERAL (SELECT list_filter(n.offers, lambda o: o.key > w.cursor)[1] AS o) p),
         met AS (
-          SELECT n.*, w.met AS cursor, w.before, w.item, w.item = n.k AS taken, list_filter(n.offers, lambda o: o.key > w.met)[1] AS pick
+          SELECT n.*, w.met AS cursor, w.before, w.item, coalesce(w.item = n.k, false) AS taken, list_filter(n.offers, lambda o: o.key > w.met)[1] AS pick
           FROM numbered n JOIN walk w USING (doc_id, k)),
         {select}"""
 
