@@ -23,14 +23,10 @@ FOOTNOTE_SIGNAL = (
     r"(?i)\b(ibid\.|w\.e\.f|vide|notification|ins\.|subs\.|omit|renumber|added|repealed|proviso|explanation"
     r"|sub-clause|word|words|act,|s\.\s|sch\.)|\b(19|20)\d\d"
 )
-PART_HEADING = r"^PART([IVXLC]+[A-Z]?)$"
-PART_ROMAN = r"^(X{0,3}(?:IX|IV|V?I{0,3}))([A-B]?)$"
+PART_HEADING = r"^PART([IVXLCDM]+[A-Z]?)$"
+PART_ROMAN = r"^(M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3}))([A-B]?)$"
 CHAPTER_HEADING = r"^CHAPTER([IVX]+)\."
 APPENDIX_HEADING = r"^APPENDIXI"
-SCHEDULE_WORDS = [
-    "FIRST", "SECOND", "THIRD", "FOURTH", "FIFTH", "SIXTH",
-    "SEVENTH", "EIGHTH", "NINTH", "TENTH", "ELEVENTH", "TWELFTH",
-]
 TITLE_DASHES = "\u2011\u2012\u2013\u2014\u2015\u23AF"
 CITATION = r"(?i)Constitution\s*\(([^)]+?)\s+Amendment\)\s+Act"
 CITATION_YEAR = r"(?i)Constitution\s*\(([^)]+?)\s+Amendment\)\s*Act,?\s*(\d{4})"
@@ -104,6 +100,18 @@ CARDINAL_UNITS = [
 ]
 TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 
+
+def _ordinal(n: int) -> str:
+    """Ordinal word of 1 to 99."""
+    if n < 20:
+        return ORDINAL_UNITS[n - 1]
+    ten, unit = TENS[n // 10 - 2], n % 10
+    return f"{ten}-{ORDINAL_UNITS[unit - 1]}" if unit else f"{ten[:-1]}ieth"
+
+
+#: Words that number a schedule's heading, by rule.
+SCHEDULE_WORDS = [_ordinal(n).upper() for n in range(1, 100)]
+
 # --- Devanagari (fixed values) -----------------------------------------------
 VOWEL_SIGNS = "\u093E\u093F\u0940\u0941\u0942\u0943\u0944\u0945\u0946\u0947\u0948\u0949\u094A\u094B\u094C"
 VIRAMA = "\u094D"

@@ -81,7 +81,7 @@ def _may_be_structural() -> str:
     the whole line that the exact tests need.
     """
     heads = ["PART", "CHAPTER", "APPENDIX", *fv.SCHEDULE_WORDS, *[a[0] for a in fv.PART_NAME_ANCHORS]]
-    return r"(?i)^[\s\d\[]*(?:" + "|".join(text.spaced(h[:5]) for h in heads) + ")"
+    return r"(?i)^[\s\d\[]*(?:" + "|".join(text.spaced(h) for h in sorted({h[:5] for h in heads})) + ")"
 
 
 def _starts_schedule_anchor(line: Column) -> Column:
@@ -105,7 +105,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
             "marker": marker,
         }
     )
-    schedule_words = "|".join(fv.SCHEDULE_WORDS)
+    schedule_words = "|".join(sorted(fv.SCHEDULE_WORDS, key=len, reverse=True))
     word = F.regexp_extract(
         F.regexp_replace(text.squish(line), r"^\d{1,2}\[?", ""), rf"^({schedule_words})SCHEDULE", 1
     )
@@ -414,7 +414,7 @@ def _parts(lines: DataFrame) -> DataFrame:
 
 
 def _schedules(lines: DataFrame) -> DataFrame:
-    words = "|".join(fv.SCHEDULE_WORDS)
+    words = "|".join(sorted(fv.SCHEDULE_WORDS, key=len, reverse=True))
     squeezed = F.regexp_replace(text.squish(F.col("line")), r"^\d{1,2}\[?", "")
     word = F.nullif(F.regexp_extract(squeezed, rf"^({words})SCHEDULE", 1), F.lit(""))
     number = F.array_position(constant_array(fv.SCHEDULE_WORDS), word).cast("int")

@@ -17,8 +17,8 @@ from ..functions.numbers import ordinal_words
 from ..sources.tables import spread
 from .registry import Tables
 
-PARTS = ["I", "II", "III", "IV", "IVA", "V", "VI", "IX", "XIV"]
-PART_NUMBERS = ["1", "2", "3", "4", "4A", "5", "6", "9", "14"]
+PARTS = ["I", "II", "III", "IV", "IVA", "V", "VI", "XLIX", "CXIV"]
+PART_NUMBERS = ["1", "2", "3", "4", "4A", "5", "6", "49", "114"]
 
 
 def _line(doc: Column, line: Column, i: Column) -> Column:
@@ -54,7 +54,7 @@ def _line(doc: Column, line: Column, i: Column) -> Column:
         .when(shape == 15, F.concat(number, s(". "), short, below))
         .when(
             (shape == 16) & (i > 30),
-            F.concat(F.element_at(constant_array(fv.SCHEDULE_WORDS), (i % 12 + 1).cast("int")), s(" SCHEDULE"), below),
+            F.concat(F.element_at(constant_array(fv.SCHEDULE_WORDS), (i % 40 + 1).cast("int")), s(" SCHEDULE"), below),
         )
         .when((shape == 17) & (i > 60), F.concat(s("APPENDIX I"), below))
         .when((shape == 18) & (i > 4), F.concat(mark, s(". Ins. "), cited, s("\n[Articles 59(3), 65(3)] "), line))
@@ -132,7 +132,7 @@ shaped_texts AS (
     WHEN shape = 13 THEN mark || '[' || l
     WHEN shape = 14 THEN 'Right of the Item' || chr(10) || l
     WHEN shape = 15 THEN num || '. ' || short || chr(10) || l
-    WHEN shape = 16 AND i > 30 THEN ({_sql_list(fv.SCHEDULE_WORDS)})[i % 12 + 1] || ' SCHEDULE' || chr(10) || l
+    WHEN shape = 16 AND i > 30 THEN ({_sql_list(fv.SCHEDULE_WORDS)})[i % 40 + 1] || ' SCHEDULE' || chr(10) || l
     WHEN shape = 17 AND i > 60 THEN 'APPENDIX I' || chr(10) || l
     WHEN shape = 18 AND i > 4 THEN mark || '. Ins. ' || cited || chr(10) || '[Articles 59(3), 65(3)] ' || l
     WHEN shape = 19 AND i > 24 THEN chr(10) || '[Articles 59(3), 65(3)]' || chr(10) || l

@@ -379,14 +379,15 @@ def ordinal_suffix(t: Tables) -> DataFrame:
 
 @query(
     "roman_numbers",
-    """SELECT p_partkey, label, repeat('X', CAST(floor(n / 10) AS INTEGER)) || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[n % 10 + 1]
-         || sfx AS roman, label AS back
+    """SELECT p_partkey, label, repeat('M', n // 1000) || (['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'])[n // 100 % 10 + 1]
+         || (['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'])[n // 10 % 10 + 1]
+         || (['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'])[n % 10 + 1] || sfx AS roman, label AS back
        FROM (SELECT p_partkey, n, sfx, CAST(n AS VARCHAR) || sfx AS label FROM (
-         SELECT p_partkey, CAST(p_partkey % 39 + 1 AS INTEGER) AS n, (['', 'A', 'B'])[p_partkey % 3 + 1] AS sfx FROM part))""",
+         SELECT p_partkey, CAST(p_partkey * 7 % 3999 + 1 AS INTEGER) AS n, (['', 'A', 'B'])[p_partkey % 3 + 1] AS sfx FROM part))""",
 )
 def roman_numbers(t: Tables) -> DataFrame:
     suffix = F.element_at(constant_array(["", "A", "B"]), (F.col("p_partkey") % 3 + 1).cast("int"))
-    labelled = t.part.select("p_partkey", F.concat((F.col("p_partkey") % 39 + 1).cast("string"), suffix).alias("label"))
+    labelled = t.part.select("p_partkey", F.concat((F.col("p_partkey") * 7 % 3999 + 1).cast("string"), suffix).alias("label"))
     out = labelled.withColumn("roman", numbers.roman_label(F.col("label")))
     return out.withColumn("back", numbers.roman_number(F.col("roman")))
 

@@ -4,67 +4,57 @@ from lexloom.functions import numbers, prose, script, text, urls
 
 
 def test_clean_legal_text(one):
-    assert one(
-        text.clean_legal_text,
-        [
-            "India into a 1[SOVEREIGN SOCIALIST REPUBLIC] and",
-            "States; [(b) the Union territories; and] (c)",
-            "Omitted.]",
-            "under article 32.]",
-            "the 2[unity and  integrity] of the Nation",
-        ],
-    ) == [
-        "India into a SOVEREIGN SOCIALIST REPUBLIC and",
-        "States; (b) the Union territories; and (c)",
-        "Omitted.",
-        "under article 32.",
-        "the unity and integrity of the Nation",
-    ]
+    marked = ["Every lake 3[and every RIVER] is", "Wells; [(d) the springs; and] (e)", "Left out.]", "under rule 9.]", "the 1[depth and  width] of a pond"]
+    plain = ["Every lake and every RIVER is", "Wells; (d) the springs; and (e)", "Left out.", "under rule 9.", "the depth and width of a pond"]
+    assert one(text.clean_legal_text, marked) == plain
 
 
 def test_first_year(one):
-    assert one(text.first_year, ["Omitted by the Act, 1978, s. 6", "no year", "in 21978 and 2001"]) == ["1978", None, "2001"]
+    assert one(text.first_year, ["Moved by a rule of 1963, part 2", "none here", "in 31963 and 2011"]) == ["1963", None, "2011"]
 
 
 def test_roman_labels_both_ways(one):
-    labels = ["1", "3", "4", "4A", "9", "9A", "9B", "14A", "22", "39"]
-    roman = ["I", "III", "IV", "IVA", "IX", "IXA", "IXB", "XIVA", "XXII", "XXXIX"]
+    labels = ["2", "5", "7B", "10", "16A", "24", "38", "40", "99B", "444", "1666", "3999A"]
+    roman = ["II", "V", "VIIB", "X", "XVIA", "XXIV", "XXXVIII", "XL", "XCIXB", "CDXLIV", "MDCLXVI", "MMMCMXCIXA"]
     assert one(numbers.roman_label, labels) == roman
     assert one(numbers.roman_number, roman) == labels
-    assert one(numbers.roman_number, ["Q", "", "IIII"]) == [None, None, None]
+    assert one(numbers.roman_number, ["Q", "", "IIII", "VX", "XXXX"]) == [None] * 5
 
 
-def test_ordinals_round_trip_over_the_whole_range(spark):
-    df = spark.range(1, 1000).select(F.col("id").cast("int").alias("n"), numbers.ordinal_words(F.col("id")).alias("w"))
+def test_ordinals_round_trip(spark):
+    """All up to 1,000 and a part of the rest up to the limit."""
+    ids = spark.range(1, 1001).union(spark.range(1001, 1_000_000, 977)).union(spark.createDataFrame([(999_999,), (500_000,)], "id long"))
+    df = ids.select(F.col("id").cast("int").alias("n"), numbers.ordinal_words(F.col("id")).alias("w"))
     back = df.withColumn("b", numbers.ordinal_number(F.col("w")))
     assert back.filter("b IS NULL OR b <> n").count() == 0
-    assert back.select("w").distinct().count() == 999
-    named = {r.n: r.w for r in df.filter("n IN (1, 42, 100, 106, 111, 120)").collect()}
+    named = {r.n: r.w for r in df.filter("n IN (3, 57, 300, 208, 715, 640, 1000, 500000)").collect()}
     assert named == {
-        1: "First",
-        42: "Forty-second",
-        100: "One hundredth",
-        106: "One hundred and sixth",
-        111: "One hundred and eleventh",
-        120: "One hundred and twentieth",
+        3: "Third",
+        57: "Fifty-seventh",
+        300: "Three hundredth",
+        208: "Two hundred and eighth",
+        715: "Seven hundred and fifteenth",
+        640: "Six hundred and fortieth",
+        1000: "One thousandth",
+        500000: "Five hundred thousandth",
     }
+    assert spark.range(1).select(numbers.ordinal_words(F.lit(1_000_000)), numbers.ordinal_words(F.lit(0))).first() == (None, None)
 
 
 def test_ordinal_words_in_other_spellings(one):
-    assert one(numbers.ordinal_number, ["forty second", "FORTYSECOND", "the hundredth", "nonsense", "", "forty-x"]) == [
-        42, 42, 100, None, None, None,
-    ]
+    words = ["sixty third", "SIXTYTHIRD", "the hundredth", "two thousand three hundred and first", "gibberish", "", "sixty-x"]
+    assert one(numbers.ordinal_number, words) == [63, 63, 100, 2301, None, None, None]
 
 
 def test_amendment_ids(one):
-    got = one(numbers.amendment_id, [1, 2, 3, 4, 11, 12, 13, 21, 42, 101, 111], "int")
-    assert [g.split("-")[0] for g in got] == ["1st", "2nd", "3rd", "4th", "11th", "12th", "13th", "21st", "42nd", "101st", "111th"]
+    got = one(numbers.amendment_id, [1, 2, 3, 5, 11, 12, 13, 22, 53, 100, 113], "int")
+    assert [g.split("-")[0] for g in got] == ["1st", "2nd", "3rd", "5th", "11th", "12th", "13th", "22nd", "53rd", "100th", "113th"]
 
 
 def test_citations_stay_in_range(one):
-    line = "the Constitution (Forty-second Amendment) Act, 1976 and the Constitution (Three hundredth Amendment) Act"
-    assert one(numbers.citations, [line, "none"]) == [[42, 300], []]
-    assert one(lambda c: numbers.citations(c, most=200), [line, "none"]) == [[42], []]
+    line = "the Constitution (Sixty-first Amendment) Act, 1988 and the Constitution (Two thousandth Amendment) Act"
+    assert one(numbers.citations, [line, "none"]) == [[61, 2000], []]
+    assert one(lambda c: numbers.citations(c, most=200), [line, "none"]) == [[61], []]
 
 
 def test_theme_rules(one):
@@ -73,18 +63,19 @@ def test_theme_rules(one):
 
 
 def test_visible_text_ignores_script_noise(one):
-    body = "<div>Status: pending before the committee.</div>"
-    pages = [f"<html><style>.x{{color:{c}}}</style><script>token='{c}'</script><!-- {c} -->{body}</html>" for c in ("red", "blue")]
-    assert one(text.visible_text, pages) == ["Status: pending before the committee."] * 2
+    body = "<p>The ferry leaves at noon.</p>"
+    pages = [f"<html><style>p{{margin:{n}px}}</style><script>var seed={n}</script><!-- run {n} -->{body}</html>" for n in (4, 71)]
+    assert one(text.visible_text, pages) == ["The ferry leaves at noon."] * 2
 
 
 def test_page_links_in_order_without_repeats(one):
-    html = '<a href="https://x.gov.in/b.pdf">b</a><a href="https://x.gov.in/a.pdf?v=1">a</a><a href="/page.html">c</a><a href="https://x.gov.in/b.pdf">b</a>'
-    assert one(text.page_links, [html]) == [["https://x.gov.in/b.pdf", "https://x.gov.in/a.pdf?v=1"]]
+    html = '<a href="/maps/z.PDF">z</a><a href="maps/a.pdf#p2">a</a><a href="/maps/">all</a><a href="/maps/z.PDF">z</a><img src="x.pdf">'
+    assert one(text.page_links, [html]) == [["/maps/z.PDF", "maps/a.pdf#p2"]]
+    assert one(lambda c: text.page_links(c, None), [html]) == [["/maps/z.PDF", "maps/a.pdf#p2", "/maps/"]]
 
 
 def test_phrase_number(one):
-    assert one(text.phrase_number, ["there have been 106 amendments to", "1 amendment", "no number", None]) == [106, 1, None, None]
+    assert one(text.phrase_number, ["so far 31 amendments were made", "its 1 amendment", "amendments, many", None]) == [31, 1, None, None]
 
 
 def test_lede_band(one):
@@ -116,7 +107,7 @@ def test_heading_title_and_body(one):
         title, body = text.heading_title_body(c)
         return F.concat_ws("#", title, body)
 
-    assert one(both, ["नाम,--पाठ यहाँ", "नाम - पाठ", "केवल नाम-"]) == ["नाम#पाठ यहाँ", "नाम#पाठ", "केवल नाम#"]
+    assert one(both, ["घाट,--नाव की जगह", "घाट - नाव", "बिना पाठ-"]) == ["घाट#नाव की जगह", "घाट#नाव", "बिना पाठ#"]
 
 
 def test_refused_urls(one):
@@ -137,18 +128,17 @@ def test_refused_urls(one):
     assert one(urls.refusal, ["not a url"]) == ["not a valid URL"]
 
 
-CLEAN = "हम, भारत के लोग, भारत को एक संपूर्ण प्रभुत्व-संपन्न समाजवादी पंथनिरपेक्ष लोकतंत्रात्मक गणराज्य बनाने के लिए।"
+CLEAN = "नदी के किनारे पेड़ों की छाया में बच्चे खेलते, गाते और कहानियां सुनते हैं।"
 
 
 def test_script_issues(one):
-    texts = [CLEAN, "कि जबकि दृढ़संकल्प संसद् प्रतिष्ठा ई० क्षेत्र", "रूढ़ि प्रथा और बाड़ी", "संवधान", "a | b",
-             "सामािजक", "िक शब्द", "नाग�रक�", "370.", "करते हैं |", "हैं| और", "संसद्‌ की"]
+    texts = [CLEAN, "प्रकृति में ऋतु बदलती है", "बड़ी सड़क", "पेड", "x | y", "कािठन", "ि पेड़", "प�ड़ो�", "80\ue0f2.", "पानी |", "फल| और", "वन‌ में"]
     got = [[i.rule for i in row] for row in one(script.issues, texts)]
     assert got[:5] == [[], [], [], [], []]
     assert got[5:] == [["sign-after-sign"], ["sign-at-start"], ["replacement", "replacement"], ["private-use"],
                        ["pipe-danda"], ["pipe-danda"], ["zwnj"]]
     assert one(script.issue_count, texts) == [len(g) for g in got]
-    assert one(script.issues, ["नाग�रक"])[0][0]["index"] == 3
+    assert one(script.issues, ["पानी�ड़"])[0][0]["index"] == 4
 
 
 def test_latin_before_a_sign_counts_as_word_start(one):
@@ -156,70 +146,66 @@ def test_latin_before_a_sign_counts_as_word_start(one):
 
 
 def test_repair(one):
-    damaged = ["सामािजक", "िछड़े", "संवधान और सामािजक", "शब्द ि", "करते हैं | और", "संसद्‌ की", CLEAN]
-    assert one(script.repair, damaged) == [
-        "सामाजिक", "छिड़े", "संवधान और सामाजिक", "शब्द ि", "करते हैं । और", "संसद् की", CLEAN,
-    ]
+    damaged = ["कािठन", "िदन", "पेड और कािठन", "पेड़ ि", "फल है | और", "वन‌ में", CLEAN]
+    assert one(script.repair, damaged) == ["काठिन", "दिन", "पेड और काठिन", "पेड़ ि", "फल है । और", "वन में", CLEAN]
 
 
 def test_inline_clauses(one):
     got = one(
         script.inline_clauses,
         [
-            "राज्य भेद नहीं करेगा । (2) कोई नागरिक अयोग्य नहीं होगा ।",
-            "(4) जहां खंड (1) के अधीन किसी राज्य को दिए गए ।",
-            "भारत के राज्यक्षेत्र में,- (क) राज्यों के राज्यक्षेत्र; (ख) अनुसूची में; और (ग) ऐसे अन्य ।",
-            "प्रारंभिक बात । (1क) संघ द्वारा कर । (1ख) राज्य द्वारा कर ।",
-            'मूल उपबंध । स्पष्टीकरण-इस अनुच्छेद में "विहित" से अभिप्रेत है-',
-            "राज्यों का संघ होगा । [(2) राज्य वे होंगे ।] (3) भारत के राज्यक्षेत्र में,-",
-            "() (1) प्रत्येक वर्ष । (2) अन्य बात ।",
+            "नदी सब की है । (2) कोई उसे बांध नहीं सकता ।",
+            "(5) जहां नियम (1) से पानी बंटता है ।",
+            "इन घाटों पर,- (क) नाव; (ख) जाल; और (ग) अन्य साधन ।",
+            "पहली बात । (2क) किनारे का कर । (2ख) पुल का कर ।",
+            'मूल नियम । स्पष्टीकरण-इस नियम में "घाट" का अर्थ है-',
+            "झील सब की है । [(2) कुआं भी ।] (3) तालाब भी,-",
+            "() (1) हर साल । (2) दूसरी बात ।",
             "",
         ],
     )
     assert [[c.number for c in row] for row in got] == [
-        [None, "2"], ["4"], [None, "क", "ख", "ग"], [None, "1क", "1ख"], [None, None], [None, "2", "3"], ["1", "2"], [],
+        [None, "2"], ["5"], [None, "क", "ख", "ग"], [None, "2क", "2ख"], [None, None], [None, "2", "3"], ["1", "2"], [],
     ]
     assert got[4][1].kind == "explanation"
 
 
 def test_hindi_headings(one):
-    got = one(
-        script.heading,
-        ["2. परिभाषा-इस भाग में", "[21क. शिक्षा का अधिकार", "विदेशी 9. शी राज्य की", "1. 1971 के अधिनियम द्वारा", "(क) ऐसा", "999. बहुत बड़ा"],
-    )
+    lines = ["7. घाट-नाव बांधने की जगह", "[48ग. झील की सफाई", "बहती 6. नदी का पानी", "1. 1958 के अधिनियम से", "(ख) दूसरा", "980. बहुत दूर"]
+    got = one(script.heading, lines)
     assert [(h.number_hi, h.latin, h.prefix) if h else None for h in got] == [
-        ("2", "2", ""), ("21क", "21A", ""), ("9", "9", "विदेशी "), None, None, ("999", "999", ""),
+        ("7", "7", ""), ("48ग", "48C", ""), ("6", "6", "बहती "), None, None, ("980", "980", ""),
     ]
 
 
 def test_suffixes_and_candidates(one):
-    assert one(script.latin_number, ["2क", "31ग", "243यक", "21", "5ह"]) == ["2A", "31C", "243ZA", "21", None]
-    assert one(script.number_candidates, ["1243यझ", "21"]) == [["1243यझ", "243यझ", "43यझ", "1243यज"], ["21"]]
+    assert one(script.latin_number, ["7ख", "48घ", "112यग", "33", "6ह"]) == ["7B", "48D", "112ZC", "33", None]
+    assert one(script.number_candidates, ["2112यझ", "33"]) == [["2112यझ", "112यझ", "12यझ", "2112यज"], ["33"]]
 
 
 def test_line_kinds(one):
-    lines = ["भारत का संविधान 12", "THE CONSTITUTION OF INDIA", "45", "(भाग 3-मूल अधिकार) 7", "1. संविधान अधिनियम, 1971 द्वारा", "14. विधि के समक्ष समता"]
+    lines = ["भारत का संविधान 88", "THE CONSTITUTION OF INDIA", "312", "(भाग 2-घाट) 9", "4. राजपत्र, 1958 से", "6. नदी का पानी"]
     assert one(script.line_kind, lines) == ["furniture"] * 4 + ["footnote", "body"]
 
 
 def test_prose_lint(one):
-    plain = "The cat sat on the mat. " * 10
-    bad = "Moreover, we delve into it — now. " * 3
+    plain = "A boy ran to the big red barn. " * 8
+    bad = "Moreover, we delve into lakes — soon. " * 3
     rules = [[i.rule for i in row] for row in one(prose.lint, [plain, bad, ""])]
     assert rules[0] == ["reading-level"]
     assert rules[1][:4] == ["length", "banned-phrase", "banned-phrase", "dash"]
     assert rules[2] == ["length"]
-    assert one(prose.lint_short, ["The cat sat on the warm mat all day and then it slept."])[0][0].rule == "length"
+    assert one(prose.lint_short, ["A boy ran to the barn and slept in the hay."])[0][0].rule == "length"
 
 
 def test_hindi_lint(one):
-    good = " ".join(["यह नियम सब पर समान रूप से लागू होता है।"] * 4)
-    rules = [[i.rule for i in row] for row in one(prose.lint_hindi, [good, "all in latin letters", good + " आइए -- सामािजक"])]
+    good = " ".join(["हर गांव में पानी साफ और मीठा मिलना चाहिए।"] * 5)
+    rules = [[i.rule for i in row] for row in one(prose.lint_hindi, [good, "only latin words", good + " आइए -- कािठन"])]
     assert rules == [[], ["length", "language"], ["banned-phrase", "dash", "devanagari"]]
 
 
 def test_syllables(one):
-    assert one(prose.syllables, ["the", "rights", "parliament", "making", "equality"]) == [1, 1, 3, 2, 4]
+    assert one(prose.syllables, ["she", "lakes", "harbour", "rowing", "harmony"]) == [1, 1, 2, 2, 3]
 
 
 def test_word_edges_read_ascii_letters_only(one):
