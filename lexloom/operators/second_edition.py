@@ -12,9 +12,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import script, text
+from ..functions.let import constant_map
+from .aggregate import first_per_key
 from .walk import first_above, sort_text
 
 #: Events of a line: an anchor per entry of the list, then the heading.
@@ -144,3 +147,73 @@ def walked_edition(
         "picked", F.get(F.filter("offers", lambda o: o["key"] == F.col("taken")), F.lit(0))
     )
     return Edition(met.where("offers is not null or latin is not null"), met.where("rest is null and line is not null"))
+
+
+def clean_text(c: Column) -> Column:
+    """Displaced signs, misread dandas and joiners mended, blanks squeezed."""
+    return text.normalize_space(script.repair(c))
+
+
+_PART = r"^\[?भाग\s+(\d{1,2})([क-ह]{1,2})?\]?$"
+
+
+def edition_parts(lines: DataFrame, whitelist: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, number, number_hi, name, page): the first heading of every part of ``whitelist`` (number) that is named.
+
+    ``lines`` (doc_id, page, line_no, line). The name is the first usable one of the two lines below on the same page;
+    ``names`` overrides names that were verified by hand. A part's label inside a schedule is not on the whitelist.
+    """
+    rows = lines.withColumn("_line", text.strip(F.col("line")))
+    shown = text.strip(F.regexp_replace("_line", r"\.+$", ""))
+    usable = (F.length(shown) > 0) & ~shown.rlike(r"^भाग\s") & script.heading(shown).isNull() & (script.line_kind(shown) == "body")
+    page = W.partitionBy("doc_id", "page").orderBy("line_no")
+    name = F.when(usable, shown)
+    near = F.coalesce(F.lead(name, 1).over(page), F.lead(name, 2).over(page))
+    digits, suffix = F.regexp_extract("_line", _PART, 1), F.coalesce(F.regexp_extract("_line", _PART, 2), F.lit(""))
+    found = rows.select("doc_id", "page", "line_no", "_line", near.alias("name")).where(F.col("_line").rlike(_PART))
+    number_hi = F.concat(digits, suffix)
+    headed = found.select("doc_id", "page", "line_no", number_hi.alias("number_hi"), script.latin_number(number_hi).alias("number"), "name")
+    listed = headed.where(F.length("name") >= 3).join(whitelist.select("number").distinct(), "number", "left_semi")
+    first = first_per_key(listed, ["doc_id", "number"], [F.col("page"), F.col("line_no")])
+    verified = F.coalesce(F.try_element_at(constant_map(names), F.col("number")), "name") if names else F.col("name")
+    return first.select("doc_id", "number", "number_hi", verified.alias("name"), "page")
+
+
+def assembled(
+    items: DataFrame,
+    first: DataFrame,
+    titles: dict[str, str] | None = None,
+    missing_title: str = "",
+    missing_text: str = "",
+) -> DataFrame:
+    """The second edition's items beside the first's: (doc_id, number, number_hi, part, status, amended_by, title, clauses,
+    page, printed, place).
+
+    ``items`` as of ``Edition.items``, ``first`` (doc_id, number, part, status, amended_by). Texts are mended and cut in
+    clauses; part, status and amendments come from the first edition, which carries the same items; ``titles`` overrides
+    titles that were verified by hand. An item that only the first edition has stands in with the given title and text
+    and page 0. ``place`` sorts a document's items.
+    """
+    title = clean_text(F.col("title"))
+    if titles:
+        title = F.coalesce(F.try_element_at(constant_map(titles), F.col("number")), title)
+    printed = items.select(
+        "doc_id", "number", "number_hi", title.alias("title"), script.inline_clauses(clean_text(F.col("text"))).alias("clauses"), "page", F.lit(True).alias("printed")
+    )
+    kind = printed.schema["clauses"].dataType
+    stand_in = F.array(F.struct(F.lit(None).cast("string").alias("number"), F.lit(missing_text).alias("text"), F.lit("clause").alias("kind")))
+    both = printed.join(first, ["doc_id", "number"], "full_outer")
+    none = F.array().cast("array<string>")
+    return both.select(
+        "doc_id",
+        "number",
+        F.coalesce("number_hi", "number").alias("number_hi"),
+        F.coalesce("part", F.lit("")).alias("part"),
+        F.coalesce("status", F.lit("in-force")).alias("status"),
+        F.coalesce("amended_by", none).alias("amended_by"),
+        F.coalesce("title", F.lit(missing_title)).alias("title"),
+        F.coalesce("clauses", stand_in.cast(kind)).alias("clauses"),
+        F.coalesce("page", F.lit(0)).alias("page"),
+        F.coalesce("printed", F.lit(False)).alias("printed"),
+        sort_text(F.col("number")).alias("place"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.let import constant_array
-from ..operators.second_edition import Anchor, Edition, walked_edition
+from ..operators.second_edition import Anchor, Edition, assembled, edition_parts, walked_edition
 from ..sources.tables import spread
 from .registry import Tables, query
 
@@ -42,6 +42,7 @@ def _shaped(doc: Column, line: Column, i: Column) -> Column:
         F.concat(s("THE CONSTITUTION OF INDIA\n"), line),
         F.concat(number, s("ङ. "), line),
         F.concat(s("["), number, s("ख. "), short, s(" -। "), line),
+        F.concat(s("[भाग "), (i % 30 + 1).cast("string"), F.element_at(constant_array(["", "क", "ख"]), (doc % 3 + 1).cast("int")), s("]\n"), line),
     ]
     out = F.when(shape == 0, forms[0])
     for k, form in enumerate(forms[1:], 1):
@@ -107,6 +108,7 @@ def _edition_sql(select: str) -> str:
             WHEN 11 THEN 'THE CONSTITUTION OF INDIA' || chr(10) || l
             WHEN 12 THEN num || 'ङ. ' || l
             WHEN 13 THEN '[' || num || 'ख. ' || short || ' -। ' || l
+            WHEN 14 THEN '[भाग ' || CAST(i % 30 + 1 AS VARCHAR) || (['', 'क', 'ख'])[doc_id % 3 + 1] || ']' || chr(10) || l
             ELSE l END, chr(10) ORDER BY i), chr(10)) AS rows FROM shaped GROUP BY doc_id),
         lines AS (SELECT doc_id, unnest(rows) AS raw_line, unnest(range(len(rows))) AS line_no FROM texts),
         read AS (
@@ -183,3 +185,64 @@ def edition_items(t: Tables) -> DataFrame:
 )
 def edition_review(t: Tables) -> DataFrame:
     return _edition(t).review
+
+
+PART_NAMES = {"7": "A verified name", "12A": "Another verified name"}
+TITLES = {"9": "A verified title"}
+
+
+@query(
+    "edition_parts",
+    _edition_sql(
+        rf"""shown AS (
+          SELECT l.doc_id, CAST(l.line_no // {PAGE_LINES} AS INTEGER) AS page, l.line_no, regexp_replace(l.raw_line, '^\s+|\s+$', '', 'g') AS line FROM lines l),
+        usable AS (
+          SELECT s.*, regexp_replace(regexp_replace(s.line, '\.+$', ''), '\s+$', '') AS shown, p.is_heading FROM shown s LEFT JOIN parsed p USING (doc_id, line_no)),
+        names AS (
+          SELECT *, CASE WHEN shown <> '' AND NOT regexp_matches(shown, '^भाग\s') AND is_heading IS NOT NULL AND NOT is_heading THEN shown END AS name FROM usable),
+        near AS (SELECT *, coalesce(lead(name) OVER w, lead(name, 2) OVER w) AS below FROM names WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
+        heads_of AS (
+          SELECT doc_id, page, line_no, regexp_extract(line, '^\[?भाग\s+(\d{{1,2}})', 1) || regexp_extract(line, '([क-ह]{{1,2}})?\]?$', 1) AS number_hi, below
+          FROM near WHERE regexp_matches(line, '^\[?भाग\s+(\d{{1,2}})([क-ह]{{1,2}})?\]?$') AND length(below) >= 3),
+        numbered_parts AS (SELECT *, translate(number_hi, '{fv.SUFFIX_CONSONANTS}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS number FROM heads_of),
+        first_parts AS (
+          SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY page, line_no) AS rn FROM numbered_parts
+          WHERE number IN (SELECT CAST(s_suppkey % 30 + 1 AS VARCHAR) || (['', 'A'])[s_suppkey % 2 + 1] FROM supplier))
+        SELECT doc_id, number, number_hi, CASE number WHEN '7' THEN 'A verified name' WHEN '12A' THEN 'Another verified name' ELSE below END AS name, page FROM first_parts WHERE rn = 1"""
+    ),
+)
+def edition_part_names(t: Tables) -> DataFrame:
+    suffix = F.element_at(constant_array(["", "A"]), (F.col("s_suppkey") % 2 + 1).cast("int"))
+    listed = t.supplier.select(F.concat((F.col("s_suppkey") % 30 + 1).cast("string"), suffix).alias("number"))
+    return edition_parts(edition_lines(t), listed, PART_NAMES)
+
+
+@query(
+    "edition_assembled",
+    _edition_sql(
+        rf"""heads AS (
+          SELECT doc_id, pick.latin AS number, pick.number_hi AS number_hi, page,
+            regexp_replace(CASE WHEN regexp_matches(rest, '{_SPLIT}') THEN regexp_extract(rest, '{_SPLIT}', 1) ELSE regexp_replace(rest, '[-–]$', '') END, '^\s+|\s+$', '', 'g') AS title
+          FROM met WHERE taken),
+        first AS (
+          SELECT doc_id, CAST(n AS VARCHAR) || (['', 'A', 'ZH'])[n % 3 + 1] AS number, CAST(n // 10 + 1 AS VARCHAR) AS part, (['in-force', 'amended', 'omitted'])[(doc_id + n) % 3 + 1] AS status, n % 4 AS amendments
+          FROM (SELECT doc_id, unnest(range(1, 40)) AS n FROM documents))
+        SELECT coalesce(h.doc_id, f.doc_id) AS doc_id, coalesce(h.number, f.number) AS number, coalesce(h.number_hi, f.number) AS number_hi, coalesce(part, '') AS part,
+          coalesce(status, 'in-force') AS status, coalesce(amendments, 0) AS n_amendments,
+          CASE WHEN h.number IS NULL THEN 'Not printed' WHEN h.number = '9' THEN 'A verified title' ELSE regexp_replace(title, '\s+', ' ', 'g') END AS title,
+          coalesce(page, 0) AS page, h.number IS NOT NULL AS printed
+        FROM heads h FULL OUTER JOIN first f ON h.doc_id = f.doc_id AND h.number = f.number"""
+    ),
+)
+def edition_assembled(t: Tables) -> DataFrame:
+    """Items of the second edition with part, status and amendments of the first; what is not printed stands in."""
+    n = F.col("n")
+    first = t.documents.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(39))).alias("n")).select(
+        "doc_id",
+        F.concat(n.cast("string"), F.element_at(constant_array(["", "A", "ZH"]), n % 3 + 1)).alias("number"),
+        F.floor(n / 10 + 1).cast("string").alias("part"),
+        F.element_at(constant_array(["in-force", "amended", "omitted"]), ((F.col("doc_id") + n) % 3 + 1).cast("int")).alias("status"),
+        F.array_repeat(F.lit("1st-amendment"), n % 4).alias("amended_by"),
+    )
+    out = assembled(_edition(t).items, first, TITLES, "Not printed", "No entry is printed.")
+    return out.select("doc_id", "number", "number_hi", "part", "status", F.size("amended_by").alias("n_amendments"), "title", "page", "printed")

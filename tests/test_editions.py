@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import script
-from lexloom.operators.second_edition import Anchor, walked_edition
+from lexloom.operators.second_edition import Anchor, assembled, edition_parts, walked_edition
 from lexloom.operators.walk import START, exits, first_above, sort_text
 
 
@@ -116,3 +116,38 @@ def test_suffix_map_takes_digit_tails(spark):
     df = spark.createDataFrame([("421क. some words",), ("21ख. some words",)], "line string")
     got = df.select(script.heading(F.col("line"), {"21क": "21A1"}).alias("h")).select("h.number_hi", "h.latin").collect()
     assert [tuple(r) for r in got] == [("21क", "21A1"), ("21ख", "21B")]
+
+
+def test_parts_take_the_first_usable_name(spark):
+    lines = [
+        (1, 3, 0, "भाग 2"), (1, 3, 1, "घाट और नाव ."), (1, 3, 2, "[भाग 4क]"), (1, 3, 3, ""), (1, 3, 4, "झील"),
+        (1, 3, 5, "भाग 5"), (1, 3, 6, "12"), (1, 3, 7, "3. नाम की पंक्ति"), (1, 3, 8, "भाग 6"), (1, 3, 9, "भाग 8"), (1, 3, 10, "अंतिम"),
+        (1, 4, 11, "भाग 2"), (1, 4, 12, "दूसरी बार"), (1, 4, 13, "भाग 9"), (1, 5, 14, "दूसरे पृष्ठ पर"), (2, 3, 0, "भाग 77"), (2, 3, 1, "सूची में नहीं"),
+    ]
+    df = spark.createDataFrame(lines, "doc_id long, page int, line_no int, line string")
+    listed = spark.createDataFrame([(n,) for n in ("2", "4A", "5", "6", "8", "9")], "number string")
+    got = edition_parts(df, listed, {"8": "verified"}).collect()
+    assert sorted((r.number, r.number_hi, r.name, r.page) for r in got) == [
+        ("2", "2", "घाट और नाव", 3), ("4A", "4क", "झील", 3), ("6", "6", "अंतिम", 3), ("8", "8", "verified", 3),
+    ]
+
+
+def test_assembly_merges_mends_and_fills(spark):
+    items = spark.createDataFrame(
+        [(1, "3", "3", "कािठन  नाम", "पहला | भाग । (2) दूसरा भाग ।", 7), (1, "9A", "9क", "x", "", 8), (1, "5", "5", "y", "z", 9)],
+        "doc_id long, number string, number_hi string, title string, text string, page int",
+    )
+    first = spark.createDataFrame(
+        [(1, "3", "2", "amended", ["4th-amendment"]), (1, "4", "2", "omitted", []), (1, "9A", "3", "in-force", None), (2, "3", "1", "in-force", [])],
+        "doc_id long, number string, part string, status string, amended_by array<string>",
+    )
+    rows = assembled(items, first, {"5": "verified"}, "not printed", "none here").collect()
+    got = {(r.doc_id, r.number): r for r in rows}
+    assert sorted(got) == [(1, "3"), (1, "4"), (1, "5"), (1, "9A"), (2, "3")]
+    three = got[1, "3"]
+    assert (three.part, three.status, three.amended_by, three.title, three.page) == ("2", "amended", ["4th-amendment"], "काठिन नाम", 7)
+    assert [(c.number, c.text) for c in three.clauses] == [(None, "पहला । भाग ।"), ("2", "दूसरा भाग ।")]
+    four = got[1, "4"]
+    assert (four.number_hi, four.title, [c.text for c in four.clauses], four.page, four.printed) == ("4", "not printed", ["none here"], 0, False)
+    assert (got[1, "5"].title, got[1, "5"].part, got[1, "9A"].amended_by, got[1, "9A"].clauses) == ("verified", "", [], [])
+    assert [n for n in sorted((r.place, r.number) for r in rows if r.doc_id == 1)] == [(r.place, r.number) for r in sorted(rows, key=lambda r: r.place) if r.doc_id == 1]
