@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -72,13 +73,26 @@ def facet_results(t: Tables) -> DataFrame:
     return search.facet_groups(hits, "lang", ["en", "fr", "de"]).select("qid", "doc_id", "lang", "rank", "facet_no")
 
 
+#: Vectors that a query vector is the sum of: it is about as near to each of them, and to each above the cutoff.
+SUMMED = 4
+
+
 def _label_queries(t: Tables) -> DataFrame:
-    """One query vector per label: the label's first vector."""
-    return t.embeddings.groupBy(F.col("label").alias("qid")).agg(F.min_by("embedding", "vec_id").alias("qv"))
+    """One query vector per label: the sum of the label's first vectors."""
+    order = W.partitionBy("label").orderBy("vec_id")
+    firsts = t.embeddings.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SUMMED)
+    vectors = F.transform(F.array_sort(F.collect_list(F.struct("_n", "embedding"))), lambda s: s["embedding"].cast("array<double>"))
+    held = firsts.groupBy(F.col("label").alias("qid")).agg(vectors.alias("v"))
+    total = F.aggregate(F.slice("v", 2, SUMMED), F.get("v", F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return held.select("qid", total.alias("qv"))
 
 
 _COSINE = """
-    qv AS (SELECT label AS qid, first(embedding ORDER BY vec_id) AS v FROM embeddings GROUP BY label),
+    qv AS (SELECT qid, list(x ORDER BY d) AS v FROM (
+        SELECT label AS qid, d, sum(x) AS x FROM (
+          SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM (
+            SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 4)
+        GROUP BY ALL) GROUP BY qid),
     sims AS (
       SELECT qid, vec_id, label, list_dot_product(CAST(q.v AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
         / (sqrt(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(q.v AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))) AS score
