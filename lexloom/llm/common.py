@@ -21,6 +21,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and a task, in the setting that bounds them; Spark's own bound is 64 MB, held on
+#: both sides of every task.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -43,17 +47,28 @@ def over_texts(
 ) -> DataFrame:
     """Map Arrow chunks of ``df``. ``make`` runs once per task and returns the function of a chunk.
 
-    A batch holds texts of any length, so a task's memory follows the longest text, not the number of rows.
+    A batch holds texts of any length, so a task's memory follows the longest text, not the number of rows. Bounds the
+    session's Arrow batches to BATCH_BYTES; workers live on from stage to stage, so what a task held is given back.
     """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for part in chunks(batches, column):
             yield work(part)
+        del work
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_BYTES, unless they are bounded closer."""
+    held = spark.conf.get(BATCH_SETTING, "0").rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a chunk; null is empty."""
     return [s or "" for s in batch.column(column).to_pylist()]
