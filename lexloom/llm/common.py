@@ -64,8 +64,8 @@ def over_texts(
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches to BATCH_BYTES, unless they are bounded closer."""
-    held = spark.conf.get(BATCH_SETTING, "0").rstrip("b")
-    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+    held = (spark.conf.get(BATCH_SETTING, None) or "").rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
