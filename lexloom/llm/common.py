@@ -190,9 +190,10 @@ def searched(
     """(query_id, rank, vec_id, score): blocks of queries against every shard, the k best per shard merged.
 
     A shard is built once, by one task. Each block of queries goes to every shard of its dimension: what moves is
-    (shards x queries), in blocks, and no task holds more than one shard and one block. Vectors of another dimension
-    than the query's are never compared.
+    (shards x queries), in blocks, and a task holds one batch of such pairs, bounded by small_batches or one pair. Vectors
+    of another dimension than the query's are never compared.
     """
+    small_batches(vectors.sparkSession)
     shards, count = packed(vectors, shard_rows, index)
     blocks, _ = packed(queries, block_rows, to_blob)
     sent = blocks.select(
