@@ -10,6 +10,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from lexloom.plans import catalog
@@ -54,7 +55,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(catalog.QUERIES) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
-    spark = local_session(cpus, "bench", **{"spark.sql.shuffle.partitions": cpus, "spark.ui.showConsoleProgress": "false"})
+    shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": shared}
+    spark = local_session(cpus, "bench", **conf)
     spark.read.parquet(f"{folder}/documents.parquet").count()
     seconds: dict[str, float] = {}
     for name in names:

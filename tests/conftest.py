@@ -11,8 +11,8 @@ from lexloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8)
+def spark(tmp_path_factory):
+    session = local_session(8, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
 
