@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import prose, script, text
 from ..functions.let import constant_array
-from ..operators import edition, embed, quality, search
+from ..operators import edition, embed, phrases, quality, search
 from ..operators.quality import Rule
 from ..sources.tables import spread
 from .registry import Tables, query
@@ -280,3 +280,22 @@ def mean_pooled(t: Tables) -> DataFrame:
         F.round(total(F.transform("vector", lambda x: x * x)), 6).alias("norm"),
         F.round(total(F.transform("vector", lambda x, i: x * (i + 1))), 5).alias("digest"),
     )
+
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}]+(?:[''’][\p{{L}}\p{{M}}\p{{N}}]+)*')"
+
+
+@query(
+    "phrase_hits",
+    f"""WITH b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+         p AS (SELECT item_id, 2 + item_id % 3 AS n, array_to_string(w[item_id % 4 + 1:item_id % 4 + 2 + item_id % 3], ' ') AS gram FROM b WHERE len(w) >= item_id % 4 + 2 + item_id % 3),
+         d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+         g AS (SELECT doc_id, n, i AS pos, array_to_string(w[i + 1:i + n], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d, (SELECT unnest([2, 3, 4]) AS n)))
+       SELECT doc_id, item_id, count(*) AS n, min(pos) AS first_at FROM g JOIN p USING (gram) GROUP BY doc_id, item_id""",
+)
+def phrase_hits(t: Tables) -> DataFrame:
+    """Phrases cut from the benchmark's items, found in whole documents."""
+    n, skip = (F.col("item_id") % 3 + 2).cast("int"), (F.col("item_id") % 4).cast("int")
+    words = phrases.phrase_words(F.col("text"))
+    cut = t.benchmark.where(F.size(words) >= skip + n).select("item_id", F.array_join(F.slice(words, skip + 1, n), " ").alias("phrase"))
+    return phrases.phrase_hits(spread(t.documents), "doc_id", "text", cut, "item_id", "phrase")
