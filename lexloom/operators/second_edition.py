@@ -35,10 +35,10 @@ class Anchor:
 
 
 class Edition:
-    """``items`` and ``review`` of a walked edition; both read the same walk."""
+    """``items`` and ``review`` of a walked edition; each reads the walked rows once."""
 
-    def __init__(self, events: DataFrame, lines: DataFrame):
-        self._events, self._lines = events, lines
+    def __init__(self, met: DataFrame):
+        self._met = met
 
     @property
     def items(self) -> DataFrame:
@@ -47,18 +47,27 @@ class Edition:
         The text is the heading's rest behind the title, the body lines up to the next accepted heading, and the words in
         front of that heading's number, joined by blanks. A document's numbers are distinct, for the cursor only rises.
         """
-        opened = self._events.where("taken is not null")
         title, head = text.heading_title_body(F.col("rest"))
-        heads = opened.select(
-            "doc_id", F.col("at").alias("item"), F.col("picked.latin").alias("number"), F.col("picked.number_hi").alias("number_hi"), title.alias("title"), "page", "at", head.alias("piece")
+        taken, kind = F.col("taken").isNotNull(), self._met.schema["page"].dataType
+
+        def piece(item: Column, words: Column, *told: Column) -> Column:
+            fields = told or [F.lit(None).cast("string")] * 3 + [F.lit(None).cast(kind)]
+            names = ("number", "number_hi", "title", "page")
+            return F.struct(item.alias("item"), *(f.alias(n) for f, n in zip(fields, names)), F.col("at"), words.alias("piece"))
+
+        opens = piece(F.col("at"), head, F.col("picked.latin"), F.col("picked.number_hi"), title, F.col("page"))
+        inside = F.col("before").isNotNull()
+        body = F.col("rest").isNull() & F.col("line").isNotNull()
+        pieces = F.array_compact(
+            F.array(
+                F.when(taken, opens),
+                F.when(taken & inside, piece(F.col("before"), text.strip(F.col("prefix")))),
+                F.when(body & inside, piece(F.col("before"), F.col("line"))),
+            )
         )
-        nothing = [F.lit(None).cast(t).alias(n) for n, t in (("number", "string"), ("number_hi", "string"), ("title", "string"))]
-        page = F.lit(None).cast(heads.schema["page"].dataType).alias("page")
-        ends = opened.where("before is not null").select("doc_id", F.col("before").alias("item"), *nothing, page, "at", text.strip(F.col("prefix")).alias("piece"))
-        body = self._lines.where("before is not null").select("doc_id", F.col("before").alias("item"), *nothing, page, "at", F.col("line").alias("piece"))
-        pieces = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"])
-        whole = heads.union(ends).union(body).groupBy("doc_id", "item").agg(
-            *(F.max(c).alias(c) for c in ("number", "number_hi", "title", "page")), pieces.alias("pieces")
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"])
+        whole = self._met.select("doc_id", F.inline(pieces)).groupBy("doc_id", "item").agg(
+            *(F.max(c).alias(c) for c in ("number", "number_hi", "title", "page")), ordered.alias("pieces")
         )
         # a head without text takes no separator
         kept = F.when(F.get("pieces", F.lit(0)) == "", F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0)))).otherwise(F.col("pieces"))
@@ -68,7 +77,7 @@ class Edition:
     def review(self) -> DataFrame:
         """(doc_id, page, line_no, latin, line): headings that either the whitelist or the order refuses, not both."""
         in_order = F.coalesce(sort_text(F.col("latin")) > F.col("cursor"), F.lit(False))
-        refused = self._events.where("taken is null and latin is not null").where(F.col("listed") | in_order)
+        refused = self._met.where("taken is null and latin is not null").where(F.col("listed") | in_order)
         return refused.select("doc_id", "page", "line_no", "latin", "line")
 
 
@@ -146,7 +155,7 @@ def walked_edition(
     met = rows.join(walk, ["doc_id", "at"]).withColumn(
         "picked", F.get(F.filter("offers", lambda o: o["key"] == F.col("taken")), F.lit(0))
     )
-    return Edition(met.where("offers is not null or latin is not null"), met.where("rest is null and line is not null"))
+    return Edition(met)
 
 
 def clean_text(c: Column) -> Column:
