@@ -225,7 +225,9 @@ def heading(line: Column, suffix_map: dict[str, str] | None = None) -> Column:
     ``suffix_map`` names numbers whose Latin form is known; others are read by the position of their suffix letters.
     """
     stripped = F.regexp_replace(strip(line), r"^[\[(\u0964\]\s]+", "")
-    return let(let(let(stripped, _split_prefix), _heading_parts), lambda h: _accepted_heading(h, suffix_map))
+    parsed = let(let(let(stripped, _split_prefix), _heading_parts), lambda h: _accepted_heading(h, suffix_map))
+    # most lines have no dotted number; the shapes, which look for one behind a few words, are spared them
+    return F.when(line.rlike(r"\d[\u0915-\u0939]{0,2}[.\u0964]\s"), parsed)
 
 
 def line_kind(line: Column) -> Column:
