@@ -23,7 +23,7 @@ CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
 ODD = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]|İ")
 END = np.uint32(0xFFFFFFFF)
 #: Words and parts of words a task keeps the ids of, and parts encoded at once.
-KEPT = 300_000
+KEPT = 600_000
 AT_ONCE = 4_096
 
 
