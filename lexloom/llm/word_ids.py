@@ -66,24 +66,13 @@ class WordIds:
         if not self.by_word:
             return [self.whole(t) for t in texts]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = list(chain.from_iterable(cut))
-        found = list(map(self.words.get, flat))
-        new = [i for i, ids in enumerate(found) if ids is None]
+        met = set().union(*cut)
+        new = met.difference(self.words)
         if new:
             if len(self.words) > KEPT:
-                self.words = {}
-            self.learn(list({flat[i] for i in new}))
-            words = self.words
-            if len(new) < len(flat):
-                for i in new:
-                    found[i] = words[flat[i]]
-            else:
-                found = [words[w] for w in flat]
-        out, start = [], 0
-        for words in cut:
-            out.append(b"".join(found[start : start + len(words)]))
-            start += len(words)
-        return out
+                self.words, new = {}, met
+            self.learn(list(new))
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def learn(self, new: list[str]) -> None:
         """Look up words: plain ones by their parts, the others whole."""
