@@ -29,7 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard similarity 0.8 or more, that of the smallest doc_id."""
+    """One document of each group of near copies, that of the smallest doc_id.
+
+    SimHash fingerprints of five-word shingles are linked first and verified; an exact join adds the pairs of Jaccard
+    similarity 0.8 or more that fingerprints cannot reach.
+    """
     return near_copies.without_copies(docs)
 
 

@@ -1,4 +1,9 @@
-"""Near copies by Jaccard similarity of word shingles: every pair at or above the similarity is found, none below.
+"""Near copies by SimHash and Jaccard similarity: every pair of word shingle sets at or above the similarity, none below.
+
+SimHash comes first: fingerprints of the same shingles are linked through the deletion-variant signatures of ``simhash``,
+and what they link is verified on whole sets. At a similarity of 0.8 two fingerprints differ in about 10 of 64 bits, which
+no selective signature reaches, so the pairs that SimHash leaves are found by an exact join, only between sets that it
+has not connected.
 
 Two sets of similarity t or more share an element among the first n - ceil(t n) + 1 of each, in any order that all sets
 keep. So each distinct set is listed under these elements only. Where two sets meet early enough in both lists to share
@@ -11,7 +16,7 @@ linked by then needs no comparison of its own, so a large group of near copies d
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .bloom import one_filter
 from .common import chunks, over_texts, sent, with_columns
-from .simhash import keepers_only, shingle_hashes, with_keepers
+from .simhash import fingerprint_links, folded, keepers_only, shingle_hashes, with_keepers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,7 +45,12 @@ CROWD = 16
 
 def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
     """Hashes of the distinct shingles of a whole text, sorted."""
-    blocks = [np.unique(h.astype(np.uint64)) for h in shingle_hashes(text, words)]
+    return _distinct(shingle_hashes(text, words))
+
+
+def _distinct(blocks: Iterable[np.ndarray]) -> np.ndarray:
+    """Distinct hashes of blocks, sorted."""
+    blocks = [np.unique(h.astype(np.uint64)) for h in blocks]
     return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
@@ -102,7 +112,10 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def _marks(documents: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """(doc_id, key, node, n, rare, under, bits) per row: ``node`` a hash of the shingle set, ``n`` its size."""
+    """(doc_id, key, node, fp, n, rare, under, bits) per row: ``node`` a hash of the shingle set, ``n`` its size.
+
+    ``fp`` is the text's SimHash over the same shingles, repeats included.
+    """
     told = sent(documents.sparkSession, common_shingles(documents, words))
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -111,12 +124,17 @@ def _marks(documents: DataFrame, words: int, similarity: Fraction) -> DataFrame:
         common = ranked[rank]
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t or "", words) for t in batch.column("text").to_pylist()]
+            sets, prints = [], []
+            for t in batch.column("text").to_pylist():
+                blocks = list(shingle_hashes(t or "", words))
+                sets.append(_distinct(blocks))
+                prints.append(folded(blocks))
             under = [listed_under(s, common, rank, similarity) for s in sets]
             return with_columns(
                 batch,
                 ["doc_id", "key"],
                 node=pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
+                fp=pa.array(np.array(prints, np.uint64).view(np.int64)),
                 n=pa.array([len(s) for s in sets], pa.int32()),
                 rare=pa.array([r for _, r in under], pa.int32()),
                 under=_lists([u for u, _ in under]),
@@ -127,7 +145,7 @@ def _marks(documents: DataFrame, words: int, similarity: Fraction) -> DataFrame:
 
     rows = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return over_texts(rows, "text", make, f"doc_id {kind}, key long, node long, n int, rare int, under array<long>, bits binary")
+    return over_texts(rows, "text", make, f"doc_id {kind}, key long, node long, fp long, n int, rare int, under array<long>, bits binary")
 
 
 #: Bytes of a shingle's hash that are compared when a pair is verified.
@@ -202,7 +220,7 @@ def _overlapping(p: int, q: int, names: list[str]):
 
 
 def _met(nodes: DataFrame) -> DataFrame:
-    """(h, node, n, rare, at, met) of the listed shingles that several nodes list; ``met`` is how many do.
+    """(h, node, root, n, rare, at, met) of the listed shingles that several nodes list; ``met`` is how many do.
 
     Most shingles are listed once. They are counted as bare hashes, those met again go to a Bloom filter, and the lists
     are read once more through it, so that a lone shingle never moves with its node.
@@ -221,25 +239,44 @@ def _met(nodes: DataFrame) -> DataFrame:
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             kept = filters.holds(0, flat.view(np.uint64))
             who = pa.array(owner[kept])
-            columns = [pa.array(flat[kept]), *(batch.column(c).take(who) for c in ("node", "n", "rare"))]
+            columns = [pa.array(flat[kept]), *(batch.column(c).take(who) for c in ("node", "root", "n", "rare"))]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(place[kept].astype(np.int32))], names=["h", "node", "n", "rare", "at"]
+                [*columns, pa.array(place[kept].astype(np.int32))], names=["h", "node", "root", "n", "rare", "at"]
             )
 
-    listed = nodes.select("node", "n", "rare", "under").mapInArrow(run, "h long, node long, n int, rare int, at int")
+    listed = nodes.select("node", "root", "n", "rare", "under").mapInArrow(run, "h long, node long, root long, n int, rare int, at int")
     return checkpointed(listed.join(counts, "h").withColumn("n", F.col("n").cast("long")))
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), one pair per node at most: what SimHash proposes to compare ``nodes`` (node, fp) with.
+
+    Sets of one fingerprint are compared with one of them, and that one with the set of the smallest fingerprint that its
+    own is linked to, so a large group costs a pair per set.
+    """
+    heads = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    least = fingerprint_links(heads.select("fp")).groupBy("b").agg(F.min("a").alias("a"))
+    mine = heads.select(F.col("fp").alias("b"), F.col("head").alias("more"))
+    theirs = heads.select(F.col("fp").alias("a"), F.col("head").alias("less"))
+    return same.union(least.join(mine, "b").join(theirs, "a").select(F.col("more").alias("a"), F.col("less").alias("b")))
+
+
+def _roots(best: DataFrame, a: str, root: str) -> DataFrame:
+    """(a, root): two links on at most along ``best`` (a, b); sets of one root are connected, those of different roots may be."""
+    on = best.select(F.col("a").alias("b"), F.col("b").alias("further"))
+    return best.join(on, "b", "left").select(F.col("a").alias(a), F.coalesce("further", "b").alias(root))
+
+
 def links(documents: DataFrame, nodes: DataFrame, words: int, similarity: Fraction) -> DataFrame:
     """(a, b): pairs of ``nodes`` at or above the similarity, enough to connect all that such pairs connect.
 
-    The first shingle that two such sets share, in the common order, has so few before it in either that what follows can
+    Pairs that SimHash proposes are verified first; every set then has a root, and only sets of different roots are
+    compared further. The first shingle that two such sets share, in the common order, has so few before it in either that what follows can
     still hold all they must share. Only meetings at such places are joined; the sets of nodes that take part in one are
     made again from their texts and compared whole.
     """
     p, q = similarity.numerator, similarity.denominator
-    met = _met(nodes)
-
     def enough(shared: Column, m: Column, n: Column) -> Column:
         return shared * (p + q) >= (m + n) * p
 
@@ -263,25 +300,24 @@ def links(documents: DataFrame, nodes: DataFrame, words: int, similarity: Fracti
         both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("_sb")), "b")
         return both.select(*names, "_sa", "_sb").mapInArrow(_overlapping(p, q, names), pairs.schema)
 
-    found = None
-    rooted = met.withColumn("root", F.col("node"))
+    found = checkpointed(verified(checkpointed(_fingerprint_pairs(nodes))))
+    known = _roots(found, "node", "known")
+    met = _met(nodes.join(known, "node", "left").withColumn("root", F.coalesce("known", "node")))
+    rooted = met
     crowd = met.where(F.col("met") > CROWD)
     if crowd.limit(1).count():
         # the leader of a crowd is the set with the fewest shingles of its own
-        order = F.struct("rare", F.xxhash64("node").alias("chance"), "node", "n", "at")
+        order = F.struct("rare", F.xxhash64("node").alias("chance"), "node", "n", "at", "root")
         led = crowd.groupBy("h").agg(F.min(order).alias("leader"))
         near = may_be_first(F.col("n"), F.col("at"), F.col("leader.n"), F.col("leader.at"))
-        pairs = crowd.join(led, "h").where((F.col("node") != F.col("leader.node")) & near)
-        order = F.struct("leader.rare", "leader.chance", "leader.node").alias("leader")
-        pairs = checkpointed(pairs.select(F.col("node").alias("a"), F.col("leader.node").alias("b"), order).distinct())
-        found = checkpointed(verified(pairs))
-        best = checkpointed(found.groupBy("a").agg(F.min("leader").getField("node").alias("b")))
-        # two links on at most: sets of one root are connected, sets of different roots may be
-        on = best.select(F.col("a").alias("b"), F.col("b").alias("further"))
-        roots = best.join(on, "b", "left").select(F.col("a").alias("node"), F.coalesce("further", "b").alias("known"))
-        rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("known", "node")).drop("known")
-        found = found.select("a", "b")
-    rooted = checkpointed(rooted)
+        pairs = crowd.join(led, "h").where((F.col("root") != F.col("leader.root")) & near)
+        order = F.struct("leader.rare", "leader.chance", "leader.node", "leader.root").alias("leader")
+        pairs = checkpointed(pairs.select(F.col("node").alias("a"), F.col("leader.node").alias("b"), "root", order).distinct())
+        led_to = checkpointed(verified(pairs))
+        best = checkpointed(led_to.groupBy(F.col("root").alias("a")).agg(F.min("leader").getField("root").alias("b")))
+        known = _roots(best, "root", "known")
+        rooted = checkpointed(met.join(known, "root", "left").withColumn("root", F.coalesce("known", "root")).drop("known"))
+        found = found.union(led_to.select("a", "b"))
 
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     rest = checkpointed(rooted.join(apart.select("h"), "h", "left_semi").select("h", "node", "n", "at", "root"))
@@ -290,12 +326,13 @@ def links(documents: DataFrame, nodes: DataFrame, words: int, similarity: Fracti
     meets &= may_be_first(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
     pairs = side("a").join(side("b"), "h").where(meets)
     new = verified(checkpointed(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()))
-    return new if found is None else found.union(new)
+    return found.union(new)
 
 
 def near_copies(documents: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, node, component_id, keeper_key) per row of ``documents`` (doc_id, text).
 
+    The stage near_duplicates of the pipeline: SimHash fingerprints, their links, and what is at the similarity beside them.
     Rows whose sets of shingles of ``words`` words have a Jaccard similarity of at least ``similarity`` (above 0) are
     linked; ``component_id`` is the smallest doc_id reachable, ``keeper_key`` the text hash of that row. Every such pair
     is found, up to collisions of 64-bit hashes. A text of fewer words is one shingle; null and empty texts are one
@@ -304,9 +341,10 @@ def near_copies(documents: DataFrame, words: int = SHINGLE_WORDS, similarity: fl
     level = Fraction(str(similarity))
     marks = checkpointed(_marks(documents, words, level))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    same = [F.first(c).alias(c) for c in ("n", "rare", "under", "bits")]
+    # texts of one set may repeat its shingles unlike; any one fingerprint stands for the set
+    same = [F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "rare", "under", "bits"))]
     nodes = checkpointed(marks.groupBy("node").agg(F.min(first).alias("first"), *same))
-    marks = marks.drop("n", "rare", "under", "bits")
+    marks = marks.drop("fp", "n", "rare", "under", "bits")
     return with_keepers(marks, nodes, links(documents, nodes, words, level), "node")
 
 

@@ -10,7 +10,7 @@ inside the join, each segment proposes a pair once, and no pair within the dista
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,13 @@ def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     """64-bit SimHash of a whole text over its shingles of ``words`` words; without words it is zero."""
+    return folded(shingle_hashes(text, words))
+
+
+def folded(blocks: Iterable[np.ndarray]) -> int:
+    """64-bit SimHash of shingle hashes that come in blocks, as of ``shingle_hashes``."""
     ones, count = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes(text, words):
+    for hashes in blocks:
         ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
         count += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")

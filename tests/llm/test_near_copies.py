@@ -102,3 +102,27 @@ def test_bitmaps_never_deny_a_pair():
         apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
         assert near_copies.differing(near_copies.bitmap(a), near_copies.bitmap(b)) <= apart
         assert near_copies._shared(near_copies._held(a), near_copies._held(b)) == len(np.intersect1d(a, b))
+
+
+def test_fingerprints_are_linked_first(spark, monkeypatch):
+    """The stage goes through SimHash: what it links is verified, and only its roots meet in the exact join."""
+    proposed, pairs = [], near_copies._fingerprint_pairs
+
+    def kept(nodes):
+        found = pairs(nodes)
+        proposed.extend(tuple(r) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(near_copies, "_fingerprint_pairs", kept)
+    rng = random.Random(2)
+    base = words_of(rng, 3000)
+    close, lone = list(base), words_of(rng, 80)
+    close[7] = "moss"
+    # one fingerprint, far shingle sets: repeats outweigh all else
+    often = "one two three four five " * 400
+    rows = [(4, " ".join(base)), (2, " ".join(close)), (9, " ".join(lone)), (5, often + "seven eight"), (6, often + " ".join(words_of(rng, 40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept_ids = sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, df, "").collect())
+    assert kept_ids == [2, 5, 6, 9] == brute(rows)
+    assert len(proposed) == 2 and all(a != b for a, b in proposed)
+    assert len({a for a, _ in proposed}) == 2
