@@ -15,16 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import checkpointed
+from ..session import checkpointed, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 4 << 20
-#: Bytes of an Arrow batch between Spark and a task, in the setting that bounds them; Spark's own bound is 64 MB, held on
-#: both sides of every task.
-BATCH_BYTES = 8 << 20
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -62,13 +58,6 @@ def over_texts(
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches to BATCH_BYTES, unless they are bounded closer."""
-    held = (spark.conf.get(BATCH_SETTING, None) or "").rstrip("b")
-    if not held.isdigit() or int(held) > BATCH_BYTES:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-
-
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a chunk; null is empty."""
     return [s or "" for s in batch.column(column).to_pylist()]

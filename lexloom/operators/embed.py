@@ -14,10 +14,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
+from ..session import small_batches
 
 # Workers need not have this package installed: its functions travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,19 +35,24 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def hashed_embedding(text: Column, dims: int = DIMS) -> Column:
-    """Deterministic vector; tokens are hashed on the JVM, only numbers reach Python."""
+    """Deterministic vector; tokens are hashed on the JVM, only numbers reach Python, in batches of bounded size."""
+    small_batches(SparkSession.active())
     hashes = F.transform(search_tokens(text), lambda w: F.xxhash64(w))
 
     @F.pandas_udf("array<float>")
     def bucketed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            sizes = [0 if values is None else len(values) for values in batch]
-            flat = [np.asarray(values, np.int64) for values, n in zip(batch, sizes) if n]
-            h = np.concatenate([*flat, np.zeros(0, np.int64)])
-            # One count over all rows of the batch: a row's buckets follow those of the row before.
-            place = np.repeat(np.arange(len(batch)), sizes) * dims + (h >> 1) % dims
-            sums = np.bincount(place, weights=np.where(h & 1, 1.0, -1.0), minlength=len(batch) * dims)
-            yield pd.Series(list(_unit(sums.reshape(-1, dims))))
+            vectors = []
+            for low in range(0, len(batch), TEXTS_AT_ONCE):
+                part = batch[low : low + TEXTS_AT_ONCE]
+                sizes = [0 if values is None else len(values) for values in part]
+                flat = [np.asarray(values, np.int64) for values, n in zip(part, sizes) if n]
+                h = np.concatenate([*flat, np.zeros(0, np.int64)])
+                # One count over all rows of the part: a row's buckets follow those of the row before.
+                place = np.repeat(np.arange(len(part)), sizes) * dims + (h >> 1) % dims
+                sums = np.bincount(place, weights=np.where(h & 1, 1.0, -1.0), minlength=len(part) * dims)
+                vectors += list(_unit(sums.reshape(-1, dims)))
+            yield pd.Series(vectors, dtype=object)
 
     return bucketed(hashes)
 

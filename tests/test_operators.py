@@ -354,3 +354,27 @@ def test_report_names_every_flag(spark):
     ]
     nothing = [r.line for r in changes.report_lines(flags.filter("false"), "2031-02-03").orderBy("section", "line").collect()]
     assert nothing == [*lines[:6], changes.REPORT_SOUND]
+
+
+def test_arrow_batches_of_texts_are_bounded(spark):
+    from lexloom.operators import embed, reconcile
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b", "a c")], "doc_id long, ocr string, layer string")
+    for build in (lambda: reconcile.fuse(docs, "ocr", "layer"), lambda: docs.select(embed.hashed_embedding(F.col("ocr")))):
+        spark.conf.unset(setting)
+        build()
+        assert int(spark.conf.get(setting)) <= 8 << 20
+
+
+def test_a_batch_of_noisy_texts_is_worked_off_in_slices():
+    import pyarrow as pa
+
+    from lexloom.operators import reconcile
+
+    texts = ["x" * n for n in (10, 0, 500, 3000, 20, 30)] + [None]
+    batch = pa.RecordBatch.from_pydict({"ocr": texts, "layer": texts})
+    parts = list(reconcile.slices(batch, "ocr", "layer", 1000))
+    assert pa.Table.from_batches(parts).column("ocr").to_pylist() == texts
+    assert len(parts) > 2 and all(p.num_rows for p in parts)
+    assert list(reconcile.slices(batch.slice(0, 0), "ocr", "layer")) == []
