@@ -596,5 +596,5 @@ def heading_candidates(t: Tables) -> DataFrame:
         pick(["अधिनियम ", "नाम "]),
         "p_name",
     )
-    read = t.part.select("p_partkey", script.heading(line).alias("_h")).filter("_h IS NOT NULL").select("p_partkey", "_h.*")
+    read = spread(t.part.select("p_partkey", "p_name")).select("p_partkey", script.heading(line).alias("_h")).filter("_h IS NOT NULL").select("p_partkey", "_h.*")
     return read.withColumn("candidates", F.array_join(script.number_candidates(F.col("number_hi")), " "))

@@ -12,11 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition inputs with fewer splits than cores; larger inputs stay as read."""
+    """Rows dealt evenly to as many tasks as the input has splits, one per core at least.
+
+    A row group is read by one task, and a file of many splits may hold few of them: the other splits are empty.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    return df.repartition(max(cores, df.rdd.getNumPartitions()), *keys)
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -182,3 +182,22 @@ def test_report_is_written_in_order(spark, folder):
     lines = spark.createDataFrame([(99, "end"), (0, "# head"), (5, "- b"), (5, "- a")], "section int, line string")
     sinks.write_report(lines, f"{folder}/r")
     assert [r.value for r in spark.read.text(f"{folder}/r").coalesce(1).collect()] == ["# head", "- a", "- b", "end"]
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, folder):
+    """Splits that hold no row group are not tasks with rows."""
+    from lexloom.sources.tables import spread
+
+    spark.range(4000).selectExpr("id", "repeat(cast(id as string), 50) as text").coalesce(1).write.parquet(f"{folder}/one")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        read = spark.read.parquet(f"{folder}/one")
+        assert read.rdd.getNumPartitions() >= 8
+        held = spread(read).selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert len(held) >= 8 and max(r["count"] for r in held) < 2000
