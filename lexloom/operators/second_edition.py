@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import script, text
 from ..functions.let import constant_map
+from ..session import checkpointed
 from .aggregate import first_per_key
 from .walk import first_above, sort_text
 
@@ -93,11 +94,13 @@ def walked_edition(
     Lines are in order of ``line_no``, unique in a document. ``anchors`` fire at their line before its own heading, in
     their order; they need not be on the whitelist. ``suffix_map`` overrides the reading of numbers by position.
     Blank lines, page furniture and footnotes are left out. Only narrow rows are walked; the text is joined by its line.
+    Headings are looked for once and written with their lines, which offers, anchors and the walk's passes all read.
     """
     line = text.strip(script.restore_danda(F.col("line")))
     read = lines.select("doc_id", "page", F.col("line_no").cast("long").alias("line_no"), line.alias("line")).where("line <> ''")
     body = script.line_kind(F.col("line")) == "body"
     read = read.withColumn("heading", F.when(body, script.heading(F.col("line"), suffix_map))).withColumn("is_body", body)
+    read = checkpointed(read)
     at = F.col("line_no") * _EVENTS
 
     numbers = script.number_candidates(F.col("heading.number_hi"))

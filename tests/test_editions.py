@@ -151,3 +151,26 @@ def test_assembly_merges_mends_and_fills(spark):
     assert (four.number_hi, four.title, [c.text for c in four.clauses], four.page, four.printed) == ("4", "not printed", ["none here"], 0, False)
     assert (got[1, "5"].title, got[1, "5"].part, got[1, "9A"].amended_by, got[1, "9A"].clauses) == ("verified", "", [], [])
     assert [n for n in sorted((r.place, r.number) for r in rows if r.doc_id == 1)] == [(r.place, r.number) for r in sorted(rows, key=lambda r: r.place) if r.doc_id == 1]
+
+
+def test_a_line_is_looked_at_once(spark):
+    """However often the walk reads its rows, headings are looked for once per line."""
+    from pyspark.sql import functions as F
+
+    from lexloom.operators.second_edition import Anchor, walked_edition
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(line):
+        seen.add(1)
+        return line
+
+    rows = [(1, 0, i, f"{i + 1}. Name of it--text {i}" if i % 3 == 0 else f"body {i}") for i in range(30)]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, line_no int, line string").repartition(2)
+    lines = lines.withColumn("line", told.asNondeterministic()("line"))
+    listed = spark.createDataFrame([(str(i),) for i in range(1, 40)], "number string")
+    edition = walked_edition(lines, listed, [Anchor("7A", 0, "body 7", "Lost")])
+    assert len(edition.items.collect()) > 5
+    assert edition.review.count() == 0
+    assert seen.value == 30
