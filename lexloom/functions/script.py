@@ -49,11 +49,24 @@ _MARKS = [
 ]
 
 
+#: Characters of a block that excerpts are cut from.
+_EXCERPT_BLOCK = 64
+
+
+def has_issue(text: Column) -> Column:
+    """Whether a text has an issue; the first one found ends the search."""
+    found = F.lit(False)
+    for pattern in RULES.values():
+        found = found | text.rlike(pattern)
+    return text.rlike(_SUSPECT) & found
+
+
 def issues(text: Column) -> Column:
     """Array of (index, rule, excerpt), index 0-based; empty for sound text.
 
-    Offences are marked by one pass per rule and the marked text is split once,
-    so the work grows with the text, not with its square.
+    Offences are marked by one pass per rule and the marked text is split once;
+    an excerpt is cut from one or two short blocks of the text, so the work grows
+    with the text, not with its square.
     """
     empty = F.array().cast("array<struct<index:int,rule:string,excerpt:string>>")
 
@@ -75,10 +88,12 @@ def issues(text: Column) -> Column:
 
             def entry(piece: Column, at: Column) -> Column:
                 first = F.greatest(at - 3, F.lit(1))
+                block = F.floor((first - 1) / _EXCERPT_BLOCK).cast("int")
+                around = F.concat(F.get(v["blocks"], block), F.coalesce(F.get(v["blocks"], block + 1), F.lit("")))
                 return F.struct(
                     at.alias("index"),
                     rule_of(piece).alias("rule"),
-                    F.array_join(F.slice(v["chars"], first, at + 6 - first), "").alias("excerpt"),
+                    F.substring(around, first - block * _EXCERPT_BLOCK, at + 6 - first).alias("excerpt"),
                 )
 
             found = let(
@@ -89,8 +104,9 @@ def issues(text: Column) -> Column:
             )
             return F.filter(found, lambda f: f.isNotNull())
 
-        parts = F.struct(pieces.alias("pieces"), F.split(t, "").alias("chars"))
-        return F.when(issue_count(t) > 0, let(parts, collect)).otherwise(empty)
+        blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_EXCERPT_BLOCK}}}"), F.lit(0))
+        parts = F.struct(pieces.alias("pieces"), blocks.alias("blocks"))
+        return F.when(has_issue(t), let(parts, collect)).otherwise(empty)
 
     return let(text, scan)
 

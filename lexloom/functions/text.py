@@ -291,20 +291,18 @@ def page_tokens(text: Column, letterless: str = r"^[\s|.,;:()\[\]'\"–—]+$")
         )
     )
 
+    # a blank in front of every word that stays one: words hold none, so one split gives them whole
     def glue(tokens: Column) -> Column:
-        heads = F.filter(
-            F.transform(tokens, lambda t, i: F.when((i == 0) | ~t["word"].rlike(letterless), i + 1)),
-            lambda i: i.isNotNull(),
-        )
+        joined = F.array_join(F.transform(tokens, lambda t: F.when(t["head"], F.concat(F.lit(" "), t["word"])).otherwise(t["word"])), "")
 
-        def build(starts: Column) -> Column:
-            def token(start: Column, k: Column) -> Column:
-                end = F.coalesce(F.get(starts, k + 1), F.size(tokens) + 1)
-                parts = F.transform(F.slice(tokens, start, end - start), lambda t: t["word"])
-                return F.struct(F.get(tokens, start - 1)["line"].alias("line"), F.array_join(parts, "").alias("word"))
+        def build(parts: Column) -> Column:
+            heads = F.filter(tokens, lambda t: t["head"])
+            return F.transform(heads, lambda t, k: F.struct(t["line"].alias("line"), F.get(parts, k + 1).alias("word")))
 
-            return F.transform(starts, token)
+        return let(F.split(joined, " "), build)
 
-        return let(heads, build)
+    def marked(tokens: Column) -> Column:
+        head = lambda t, i: (i == 0) | ~t["word"].rlike(letterless)
+        return F.transform(tokens, lambda t, i: F.struct(t["line"].alias("line"), t["word"].alias("word"), head(t, i).alias("head")))
 
-    return let(raw, glue)
+    return let(marked(raw), glue)

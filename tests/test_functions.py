@@ -211,3 +211,23 @@ def test_syllables(one):
 def test_word_edges_read_ascii_letters_only(one):
     assert one(text.is_footnote_line, ["12. Über üsch. und", "12. Über usch. und"]) == [True, False]
     assert one(text.first_year, ["ü1978 x", "u1978 x"]) == ["1978", None]
+
+
+def test_tokens_and_issues_of_a_long_text_take_time_in_proportion(one):
+    """A copy of the whole text per word or issue made this a matter of many minutes."""
+    import time
+
+    started = time.time()
+    words = 60_000
+    got = one(text.page_tokens, ["ab | cd\n" * (words // 2)])[0]
+    assert len(got) == words and got[-1]["line"] == words // 2 - 1 and got[-2]["word"] == "ab|"
+    line = "कीी पानी\ufffdड़ abि | गa\n"
+    n = 8_000
+    found = one(script.issues, [line * n])[0]
+    alone = one(script.issues, [line + line + line])[0]
+    per_line = len(alone) // 3
+    assert len(found) == n * per_line
+    middle = alone[per_line : 2 * per_line]
+    far = found[(n - 2) * per_line : (n - 1) * per_line]
+    assert [(f["rule"], f["excerpt"], f["index"] - (n - 3) * len(line)) for f in far] == [(m["rule"], m["excerpt"], m["index"]) for m in middle]
+    assert time.time() - started < 60
