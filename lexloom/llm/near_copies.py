@@ -10,7 +10,9 @@ keep. So each distinct set is listed under these elements only. Where two sets m
 that much, they are verified on all their elements.
 The order puts elements that a sample of texts shows to be common last (common lines and passages lead to few meetings
 then); it decides the cost, not the result. Where many sets meet, all are first compared with one of them; what is
-linked by then needs no comparison of its own, so a large group of near copies does not cost its square.
+linked by then needs no comparison of its own. The sets of a crowd that are still apart carry their bitmaps into the
+join, which lets through only pairs that the bitmaps do not deny: a large group of near copies, or of sets that merely
+share a passage, gives no rows for the square of its size.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, small_batches
 from .bloom import one_filter
 from .common import chunks, over_texts, sent, with_columns
 from .simhash import fingerprint_links, folded, keepers_only, shingle_hashes, with_keepers
@@ -41,6 +43,8 @@ COMMON_IN = 4
 COMMON_MOST = 1 << 13
 #: Sets that meet under one element before they are compared with one of them first.
 CROWD = 16
+#: Places of a bitmap at least, and of those that the join of a crowd looks at.
+PLACES = 1 << 10
 
 
 def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -97,8 +101,8 @@ def common_shingles(documents: DataFrame, words: int) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Which places of 64 bits or more, about one per shingle, an odd number of the shingles falls on."""
-    width = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    """Which places of ``PLACES`` or more, about one per shingle, an odd number of the shingles falls on."""
+    width = max(PLACES, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else PLACES
     odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -106,9 +110,14 @@ def bitmap(shingles: np.ndarray) -> bytes:
 def differing(a: bytes, b: bytes) -> int:
     """Places at which two bitmaps differ, the wider one folded: at most as many as the sets have elements apart."""
     x, y = (np.frombuffer(v, np.uint8) for v in sorted((a, b), key=len))
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.unpackbits(x ^ y).sum())
+    return int(np.unpackbits(x ^ narrowed(y, len(x))).sum())
+
+
+def narrowed(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap folded to so many bytes."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def _marks(documents: DataFrame, words: int, similarity: Fraction) -> DataFrame:
@@ -205,6 +214,15 @@ def _alike(p: int, q: int, names: list[str]):
     return run
 
 
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, w): bitmaps of ``PLACES`` places as words of 64."""
+    for batch in batches:
+        kept = [narrowed(np.frombuffer(b.as_py(), np.uint8), PLACES // 8) for b in batch.column("bits")]
+        words = pa.array(np.concatenate([np.zeros(0, np.uint8), *kept]).view(np.int64))
+        starts = pa.array(np.arange(batch.num_rows + 1) * (PLACES // 64), pa.int32())
+        yield with_columns(batch, ["node"], w=pa.ListArray.from_arrays(starts, words))
+
+
 def _overlapping(p: int, q: int, names: list[str]):
     """Keeps pairs whose sets share enough."""
 
@@ -283,6 +301,11 @@ def links(documents: DataFrame, nodes: DataFrame, words: int, similarity: Fracti
     def may_be_first(m: Column, at_m: Column, n: Column, at_n: Column) -> Column:
         return enough(F.least(m - at_m, n - at_n), m, n)
 
+    def not_denied() -> Column:
+        # columns of their own, so that the join compares numbers only
+        apart = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(PLACES // 64)), F.lit(0))
+        return apart * (p + q) <= (F.col("n_a") + F.col("n_b")) * (q - p)
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b, ...) at or above the similarity, with their other columns.
 
@@ -320,13 +343,25 @@ def links(documents: DataFrame, nodes: DataFrame, words: int, similarity: Fracti
         found = found.union(led_to.select("a", "b"))
 
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rest = checkpointed(rooted.join(apart.select("h"), "h", "left_semi").select("h", "node", "n", "at", "root"))
-    side = lambda x: rest.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "root")))
+    names = ["h", "node", "n", "at", "root"]
+    rest = checkpointed(rooted.join(apart.select("h"), "h", "left_semi").select(*names, "met"))
     meets = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
     meets &= may_be_first(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
-    pairs = side("a").join(side("b"), "h").where(meets)
-    new = verified(checkpointed(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()))
-    return found.union(new)
+
+    def meeting(rows: DataFrame, more: list[str], meets: Column) -> DataFrame:
+        a, b = (rows.select("h", *(F.col(c).alias(f"{c}_{x}") for c in [*names[1:], *more])) for x in "ab")
+        return a.join(b, "h").where(meets).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    pairs = meeting(rest.where(F.col("met") <= CROWD), [], meets)
+    crowd = rest.where(F.col("met") > CROWD)
+    if crowd.limit(1).count():
+        small_batches(documents.sparkSession)
+        w = [f"w{i}" for i in range(PLACES // 64)]
+        who = nodes.join(crowd.select("node").distinct(), "node").select("node", "bits")
+        bits = who.mapInArrow(_narrowed, "node long, w array<long>").select("node", *(F.col("w")[i].alias(c) for i, c in enumerate(w)))
+        pairs = pairs.union(meeting(crowd.join(bits, "node"), w, meets & not_denied()))
+    pairs = checkpointed(pairs.distinct())
+    return found.union(verified(pairs))
 
 
 def near_copies(documents: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -126,3 +126,29 @@ def test_fingerprints_are_linked_first(spark, monkeypatch):
     assert kept_ids == [2, 5, 6, 9] == brute(rows)
     assert len(proposed) == 2 and all(a != b for a, b in proposed)
     assert len({a for a, _ in proposed}) == 2
+
+
+def test_crowd_apart_gives_no_square_of_pairs(spark, monkeypatch):
+    """Copies of a text that is not there, most of them too far from each other: few pairs leave the join of their crowd."""
+    rows_of, checkpointed = [], near_copies.checkpointed
+
+    def counted(df):
+        out = checkpointed(df)
+        if out.columns == ["a", "b"]:
+            rows_of.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "checkpointed", counted)
+    rng = random.Random(6)
+    base, rows = words_of(rng, 150), []
+    for i in range(240):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 3, 3, 4])):
+            copy[at] = words_of(rng, 1)[0]
+        rows.append((i, " ".join(copy)))
+    # no copy is close to all others
+    rows = [r for r in rows if len(shingles(r[1]) & shingles(" ".join(base))) <= 136]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] for r in near_copies.without_copies(df).collect()), key=str)
+    assert kept == brute(rows) and len(kept) > len(rows) / 2
+    assert len(rows) > 150 and max(rows_of) < 3 * len(rows)
