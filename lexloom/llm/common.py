@@ -123,37 +123,44 @@ def usable_vectors(vectors: DataFrame, nonzero: bool) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
 
 
+#: Bytes of shards, as doubles, that a task of a search holds while all queries pass it.
+SLOT_BYTES = 128 << 20
+
+
 def packed(
-    rows: DataFrame, size: int, build: Callable[[np.ndarray, np.ndarray], bytes]
-) -> tuple[DataFrame, int]:
-    """Rows (vec_id, v, dim) as blobs of about ``size`` vectors each, (dim, part, blob), and the number of parts.
+    rows: DataFrame, count: int, build: Callable[[np.ndarray, np.ndarray], bytes], asked: bool, cells: Callable[[int], list[int]]
+) -> DataFrame:
+    """Rows (vec_id, v, dim) as blobs, (cell, asked, dim, blob): one per dimension and part of ``count``, in each of its cells.
 
-    The number of parts follows the row count; a hash of the id deals rows out evenly, whatever their values.
+    A hash of the id deals rows out evenly, whatever their values. Copies of a blob leave the task one after the other, for
+    an explode holds all copies of a row on the heap.
     """
-    count = max(1, -(-rows.count() // size))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
 
-    def pack(table: pa.Table) -> pa.Table:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         ids = table.column("vec_id").to_numpy()
         dim, part = table.column("dim")[0].as_py(), table.column("part")[0].as_py()
         matrix = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
-        blob = build(ids[order], np.ascontiguousarray(matrix[order]))
-        return pa.table(
-            {
-                "dim": pa.array([dim], pa.int32()),
-                "part": pa.array([part], pa.int32()),
-                "blob": pa.array([blob], pa.binary()),
-            }
-        )
+        blob = pa.array([build(ids[order], np.ascontiguousarray(matrix[order]))], pa.binary())
+        for cell in cells(part):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([cell], pa.int32()), pa.array([asked]), pa.array([dim], pa.int32()), blob],
+                names=["cell", "asked", "dim", "blob"],
+            )
 
-    return dealt.groupBy("dim", "part").applyInArrow(pack, "dim int, part int, blob binary"), count
+    return dealt.groupBy("dim", "part").applyInArrow(pack, "cell int, asked boolean, dim int, blob binary")
 
 
 def to_blob(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes."""
+    """Arrays as bytes; doubles that are all floats take half of them."""
     out = io.BytesIO()
     for a in arrays:
+        if a.dtype == np.float64:
+            with np.errstate(all="ignore"):
+                short = a.astype(np.float32)
+            a = short if np.array_equal(short, a) else a
         np.save(out, a, allow_pickle=False)
     return out.getvalue()
 
@@ -162,7 +169,8 @@ def from_blob(blob: bytes) -> list[np.ndarray]:
     """The arrays of ``to_blob``."""
     source, found = io.BytesIO(blob), []
     while source.tell() < len(blob):
-        found.append(np.load(source, allow_pickle=False))
+        a = np.load(source, allow_pickle=False)
+        found.append(a.astype(np.float64) if a.dtype == np.float32 else a)
     return found
 
 
@@ -176,31 +184,44 @@ def searched(
     block_rows: int,
     score: str,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): blocks of queries against every shard, the k best per shard merged.
+    """(query_id, rank, vec_id, score): blocks of queries against every shard, the k best merged.
 
-    A shard is built once, by one task. Each block of queries goes to every shard of its dimension: what moves is
-    (shards x queries), in blocks, and a task holds one batch of such pairs, bounded by small_batches or one pair. Vectors
-    of another dimension than the query's are never compared.
+    A shard is built once, by one task. Shards are dealt to slots of about SLOT_BYTES, two per core at least as far as there
+    are as many shards; where slots are fewer, blocks of queries are dealt to lanes. A cell is a slot and a lane: one task,
+    which holds the slot's shards and lets the lane's blocks pass one by one. What moves is (slots x queries) and
+    (lanes x shards), and back the k best per query and cell. Vectors of another dimension than the query's are never compared.
     """
     small_batches(vectors.sparkSession)
-    shards, count = packed(vectors, shard_rows, index)
-    blocks, _ = packed(queries, block_rows, to_blob)
-    sent = blocks.select(
-        "dim", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("part"), F.col("blob").alias("asked")
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    size = F.coalesce(F.sum("dim") * 8, F.lit(0))
+    rows, held_bytes = vectors.agg(F.count("*"), size).first()
+    shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-queries.count() // block_rows))
+    slots = min(shards, max(tasks, -(-held_bytes // SLOT_BYTES)))
+    lanes = min(blocks, -(-tasks // slots))
+    cells = packed(vectors, shards, index, False, lambda part: [part % slots * lanes + lane for lane in range(lanes)]).unionAll(
+        packed(queries, blocks, to_blob, True, lambda part: [slot * lanes + part % lanes for slot in range(slots)])
     )
-    pairs = shards.join(sent, ["dim", "part"]).select("blob", "asked")
+    met = cells.repartitionById(slots * lanes, F.col("cell")).sortWithinPartitions("cell", "asked")
     kind = {"long": pa.int64(), "double": pa.float64()}[score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}  # shards of the cell by dimension; they come before its queries
+        at = None
         for batch in batches:
-            for blob, asked in zip(batch.column("blob"), batch.column("asked"), strict=True):
-                q, v, s = search(blob.as_py(), *from_blob(asked.as_py()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind)],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    found = pairs.mapInArrow(run, f"query_id long, vec_id long, score {score}")
+            for cell, asked, dim, blob in zip(*(batch.column(c) for c in ("cell", "asked", "dim", "blob")), strict=True):
+                if cell.as_py() != at:
+                    held, at = {}, cell.as_py()
+                if not asked.as_py():
+                    held.setdefault(dim.as_py(), []).append(blob.as_py())
+                elif dim.as_py() in held:
+                    query_ids, matrix = from_blob(blob.as_py())
+                    q, v, s = merged((search(shard, query_ids, matrix) for shard in held[dim.as_py()]), k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind)],
+                        names=["query_id", "vec_id", "score"],
+                    )
+
+    found = met.mapInArrow(run, f"query_id long, vec_id long, score {score}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -208,12 +229,35 @@ def searched(
 
 def k_best(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores per owner, ties to the smaller id."""
-    order = np.lexsort((ids, -scores, owner))
+    down = ~scores if scores.dtype.kind == "i" else -scores  # the lowest long has no opposite
+    order = np.lexsort((ids, down, owner))
     sorted_owner = owner[order]
     first = np.searchsorted(sorted_owner, sorted_owner, side="left")
     return order[np.arange(len(order)) - first < k]
 
 
+#: Rows found, at least, between two cuts to the k best.
+MERGED_ROWS = 1 << 18
+
+
+def merged(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best per owner of many searches: owners, ids, scores."""
+
+    def cut(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, ids, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+        kept = k_best(owner, ids, scores, k)
+        return owner[kept], ids[kept], scores[kept]
+
+    held, rows, most = [], 0, MERGED_ROWS
+    for part in found:
+        held, rows = [*held, part], rows + len(part[0])
+        if rows >= most:
+            held = [cut(held)]
+            rows = len(held[0][0])
+            most = max(MERGED_ROWS, 2 * rows)
+    return cut(held)
+
+
 #: Fills the places of best lists that are not full; its score is minus infinity.
 NO_ID = np.iinfo(np.int64).max
 
